@@ -68,7 +68,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     salted = rows.join(F.broadcast(top), keys, "left").withColumn(
         "__g_salt", F.when(F.col("__g_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(100_003)) + 1).otherwise(F.lit(0).cast("bigint"))
     )
-    rest = groups.select(*keys, F.struct(*names).alias("__g_cold"), F.lit(0).cast("bigint").alias("__g_salt"))
+    # Not a literal 0: the optimiser would take the salt out of the shuffle key.
+    rest = groups.select(*keys, F.struct(*names).alias("__g_cold"), F.pmod(F.col(size), F.lit(1)).cast("bigint").alias("__g_salt"))
     joined = salted.join(rest, [*keys, "__g_salt"], "left")
     found = F.coalesce("__g_hot", "__g_cold")
     return joined.select(*rows.columns, *[found[n].alias(n) for n in names])
