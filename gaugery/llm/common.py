@@ -6,13 +6,16 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word: code points other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+FLAGS = 1 << 18
+CELLS = 64
+
 _own_root: list[str] = []
 
 
@@ -73,3 +76,25 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     joined = salted.join(rest, [*keys, "__g_salt"], "left")
     found = F.coalesce("__g_hot", "__g_cold")
     return joined.select(*rows.columns, *[found[n].alias(n) for n in names])
+
+
+def flagged(rows: DataFrame, column: Column, wanted: DataFrame, flags: int = FLAGS) -> DataFrame:
+    """Rows whose column may be among wanted's only column: at most `flags` bucket numbers are broadcast; false hits stay."""
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(flags)).cast("int")
+    few = wanted.select(bucket(F.col(wanted.columns[0])).alias("__g_flag")).distinct()
+    return rows.withColumn("__g_flag", bucket(column)).join(F.broadcast(few), "__g_flag", "left_semi").drop("__g_flag")
+
+
+def labelled_sample(labels: DataFrame, docs: DataFrame, most: dict | int) -> DataFrame:
+    """label and text of a bounded sample: of labels (id, label), at most `most` rows of each label (a number, or one by label).
+
+    Rows are drawn by the least hashes of their ids in 64 cells of each label, so that no label's rows meet in one task;
+    docs (id, text) is then read for the drawn ids alone. The result is written to the scratch folder. Nulls are left out.
+    """
+    rows = labels.filter("id is not null and label is not null").withColumn("h", F.xxhash64(F.col("id"), F.lit(3)))
+    limit = F.lit(most) if isinstance(most, int) else F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in most.items()], F.lit(0))
+    cell = Window.partitionBy("label", F.pmod("h", F.lit(CELLS))).orderBy("h", "id")
+    drawn = rows.withColumn("place", F.row_number().over(cell)).filter((F.col("place") - 1) * CELLS + F.pmod("h", F.lit(CELLS)) < limit)
+    drawn = materialise(drawn.select("id", "label").distinct(), "drawn")
+    texts = flagged(docs.filter("text is not null").select("id", "text"), F.col("id"), drawn.select("id"))
+    return materialise(texts.join(drawn, "id").select("label", "text"), "sample")

@@ -2,7 +2,7 @@
 
 Every language has a codeword of +1 and -1. For each bit a binary classifier on hashed character n-grams (orders 1 to 3
 over lower-cased letters, other characters being gaps) tells the languages with +1 from those with -1: the log-odds of
-an n-gram under the mean of either side, averaged over a text and scaled by the root of its length. Decoding takes the
+an n-gram under the mean of either side, averaged over a text, short texts being drawn to 0. Decoding takes the
 codeword of least loss, log(1 + exp(-code * margin)) weighted by each bit's accuracy on the sample, and flags a text as
 ambiguous where the runner-up is near. Up to five languages have the exhaustive code, more a random dense code chosen
 for the distance of its words.
@@ -25,18 +25,19 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import materialise
-from gaugery.llm.near_dedup import flagged
+from gaugery.llm.common import labelled_sample
 from gaugery.ship import ship
 
 PER_LANGUAGE = 1500
-CELLS = 64
 DIMENSIONS = 1 << 16
 SMOOTHING = 0.5
 AMBIGUOUS = 0.2
+#: A margin is SCALE times the mean log-odds of a text with many n-grams; SHRINK n-grams without opinion are added.
+SCALE = 3.0
+SHRINK = 12
 CHUNK = 400_000
 
 
@@ -118,7 +119,7 @@ class Model:
             some = ends > first
             total[some] += np.add.reduceat(self.table[bins], first[some], axis=0, dtype=np.float64)
             counts += ends - first
-        return total / np.sqrt(counts)[:, None]
+        return SCALE * total / (counts + SHRINK)[:, None]
 
     def losses(self, margins: np.ndarray) -> np.ndarray:
         """texts x languages"""
@@ -140,16 +141,6 @@ class Model:
         return best, second, score, near
 
 
-def sample(docs: DataFrame, lang_col: str, id_col: str, text_col: str, learnable: Column, per_language: int) -> DataFrame:
-    """At most per_language rows of each language, by the least hashes of id in 64 cells; written once."""
-    own = F.xxhash64(F.col(id_col), F.lit(3))
-    rows = docs.filter(learnable & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), own.alias("h"))
-    cell = Window.partitionBy("lang", F.pmod("h", F.lit(CELLS))).orderBy("h", "id")
-    drawn = materialise(rows.withColumn("place", F.row_number().over(cell)).filter(F.col("place") <= max(1, per_language // CELLS)).select("id", "lang"), "lang-drawn")
-    texts = flagged(docs.filter(learnable & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), F.col("id"), drawn.select("id"))
-    return materialise(texts.join(drawn, ["id", "lang"], "left_semi").select("lang", "text"), "lang-sample")
-
-
 def _counter(dimensions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = {}
@@ -175,7 +166,9 @@ def fit(
 ) -> Model:
     """The model, of a size that depends on the number of languages alone."""
     ship(docs.sparkSession)
-    rows = sample(docs, lang_col, id_col, text_col, F.lit(True) if learnable is None else learnable, per_language)
+    own = docs if learnable is None else docs.filter(learnable)
+    own = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
+    rows = labelled_sample(own.select("id", "label"), own.select("id", "text"), per_language)
     counted = rows.mapInArrow(_counter(dimensions), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     languages = sorted(got["lang"].unique())

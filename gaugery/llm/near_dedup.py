@@ -9,9 +9,10 @@
    confirmed on their full shingle sets, read again from the texts.
 4. Components of the confirmed links. A bucket whose members now share one component is settled: a further link inside
    it could change nothing.
-5. Open buckets are finished exactly: members of different components are compared in blocks of bounded size, first
-   each member's best eight partners in every other component, then all that are left and still apart. So no link
-   between components is lost, but for banding (3e-6 at the threshold) and `miss`.
+5. Open buckets are finished exactly, in blocks of bounded size. Members of different components are compared by
+   signature, those with a surviving partner get their texts, and all their intersections are counted at once by
+   products of 0/1 matrices. What a block sends on is links that join its components, fewer than its members; so no
+   link between components is lost, but for banding (3e-6 at the threshold) and `miss`.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and is its own component; with
 fewer words than a shingle has, the whole sequence is the only shingle. Rows with a null id are linked with nothing,
@@ -28,10 +29,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import join_groups, materialise
+from gaugery.llm.common import flagged, join_groups, materialise
 from gaugery.llm.components import components
 from gaugery.ship import ship
 
@@ -41,9 +42,7 @@ BANDS = 24
 ROWS = 4
 MISS = 1e-7
 BATCH = 16
-BLOCK = 1024
-FIRST = 8
-FLAGS = 1 << 18
+BLOCK = 512
 PIVOT_BLOCK = 256
 MASK = (1 << 64) - 1
 
@@ -183,13 +182,6 @@ def _confirmer(k: int, percent: int):
     return run
 
 
-def flagged(rows: DataFrame, column: Column, wanted: DataFrame, flags: int = FLAGS) -> DataFrame:
-    """Rows whose column may be among wanted's only column: at most `flags` bucket numbers are broadcast; false hits stay."""
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(flags)).cast("int")
-    few = wanted.select(bucket(F.col(wanted.columns[0])).alias("__g_flag")).distinct()
-    return rows.withColumn("__g_flag", bucket(column)).join(F.broadcast(few), "__g_flag", "left_semi").drop("__g_flag")
-
-
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (id, pivot) whose full shingle sets reach the threshold; texts has id and text, and is read once more.
 
@@ -205,44 +197,86 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("id").asc_nulls_first()).mapInArrow(_confirmer(k, percent), "id long, pivot long")
 
 
-def _cross(n: int, percent: int, miss: float):
-    """Rows (key, x, y, side, id, comp, sig) sorted by key, x, y: a run is one block or a pair of blocks of a bucket."""
-
-    def finish(rows: list[tuple], least: tuple[int, ...]) -> tuple[list, list, list]:
-        side, ids, comps = (np.array([r[j] for r in rows]) for j in (0, 1, 2))
-        sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint32).reshape(-1, n)
-        mixed = side[0] != 0
-        out = [], [], []
-        for i in range(len(rows)):
-            other = np.flatnonzero((comps != comps[i]) & ((side != side[i]) if mixed else True))
-            if not len(other):
-                continue
-            alive, seen = survives(np.broadcast_to(sigs[i], (len(other), n)), sigs[other], least, BATCH)
-            other, seen = other[alive], seen[alive]
-            order = np.lexsort((ids[other], -seen, comps[other]))
-            rank, last = 0, None
-            for j in order.tolist():
-                rank = rank + 1 if comps[other[j]] == last else 0
-                last = comps[other[j]]
-                if ids[i] != ids[other[j]]:
-                    out[0].append(min(ids[i], ids[other[j]]))
-                    out[1].append(max(ids[i], ids[other[j]]))
-                    out[2].append(rank)
-        return out
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (key, x, y, ...) sorted by the three: those of each run, one block or a pair of blocks of a bucket."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != row[:3]:
+                if len(rows) > 1:
+                    yield rows
+                at, rows = row[:3], []
+            rows.append(row)
+    if len(rows) > 1:
+        yield rows
+
+
+def _apart(rows: list[tuple]) -> np.ndarray:
+    """Which pairs of a run are to be compared: of different components, and of different blocks if the run has two."""
+    side, comps = (np.array([r[j] for r in rows]) for j in (3, 5))
+    apart = comps[:, None] != comps
+    return apart & (side[:, None] != side) if rows[0][1] != rows[0][2] else apart
+
+
+def _hopeful(n: int, percent: int, miss: float):
+    """Of rows (key, x, y, side, id, comp, sig), those with a partner that no batch rules out; without the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = fewest_matches(n, BATCH, percent, miss)
-        pack = lambda out: pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["id", "pivot", "rank"])
-        at, rows = None, []
-        for batch in batches:
-            for key, x, y, side, own, comp, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != (key, x, y):
-                    if len(rows) > 1:
-                        yield pack(finish(rows, least))
-                    at, rows = (key, x, y), []
-                rows.append((side, own, comp, sig))
-        if len(rows) > 1:
-            yield pack(finish(rows, least))
+        for rows in _runs(batches):
+            sigs, apart = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, n), _apart(rows)
+            hope = np.zeros(len(rows), bool)
+            for i in range(len(rows)):
+                other = np.flatnonzero(apart[i, i + 1 :]) + i + 1
+                if len(other):
+                    alive, _ = survives(np.broadcast_to(sigs[i], (len(other), n)), sigs[other], least, BATCH)
+                    hope[other[alive]] = True
+                    hope[i] |= len(alive) > 0
+            columns = list(zip(*[r[:6] for r, h in zip(rows, hope, strict=True) if h], strict=True)) or [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "x", "y", "side", "id", "comp"])
+
+    return run
+
+
+def shared(sets: list[np.ndarray], cells: int = 4_000_000) -> np.ndarray:
+    """Sizes of the intersections of all pairs, by products of 0/1 matrices over the elements that two sets or more have."""
+    _, element, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    use = often[element] > 1
+    number = np.cumsum(often > 1) - 1
+    element, own, total = number[element[use]], own[use], int((often > 1).sum())
+    order = np.argsort(element, kind="stable")
+    element, own = element[order], own[order]
+    both, width = np.zeros((len(sets), len(sets)), np.float64), max(1, cells // len(sets))
+    for low in range(0, total, width):
+        a, b = np.searchsorted(element, (low, low + width))
+        m = np.zeros((len(sets), min(width, total - low)), np.float32)
+        m[own[a:b], element[a:b] - low] = 1
+        both += m @ m.T
+    return both
+
+
+def _finisher(k: int, percent: int):
+    """Of rows (key, x, y, side, id, comp, text), links that join all components of a run that any link would join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches):
+            words_of = [word_list(r[6]) for r in rows]
+            sets = [shingle_hashes(w, k) for w in words_of]
+            size, both = np.array([len(x) for x in sets], np.float64), shared(sets)
+            close = (100 * both >= percent * (size[:, None] + size - both)) & _apart(rows)
+            label, links = np.array([r[5] for r in rows]), []
+            while close.any():
+                i, j = divmod(int(close.argmax()), len(rows))
+                x, y = shingle_set(rows[i][6], k), shingle_set(rows[j][6], k)
+                if 100 * len(x & y) >= percent * len(x | y):
+                    links.append((rows[i][4], rows[j][4]))
+                    label[label == label[j]] = label[i]
+                    close &= label[:, None] != label
+                else:
+                    close[i, j] = close[j, i] = False
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["id", "pivot"])
 
     return run
 
@@ -293,18 +327,13 @@ def link(
     if not opened.isEmpty():
         sent = opened.join(sigs, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         runs = sent.select("key", F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"), F.when(F.col("own") == F.col("j"), 0).when(F.col("own") < F.col("j"), 1).otherwise(2).alias("side"), "id", "comp", "sig")
-        crossed = runs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_cross(size, percent, miss), "id long, pivot long, rank int")
-        crossed = materialise(crossed.groupBy("id", "pivot").agg(F.min("rank").alias("rank")).join(candidates.select(F.least("id", "pivot").alias("id"), F.greatest("id", "pivot").alias("pivot")).distinct(), ["id", "pivot"], "left_anti"), "near-crossed")
-        for low, high in ((0, FIRST), (FIRST, None)):
-            more = crossed.filter((F.col("rank") >= low) & (F.col("rank") < high if high else F.lit(True))).select("id", "pivot")
-            apart = _labelled(more, comps).withColumnRenamed("comp", "one").join(comps.select(F.col("node").alias("pivot"), "component"), "pivot", "left")
-            apart = materialise(apart.filter("one != coalesce(component, pivot)").select("id", "pivot"), "near-apart")
-            if apart.isEmpty():
-                continue
-            found = materialise(confirm(apart, whole, shingle, percent), "near-links")
-            if not found.isEmpty():
-                links = links.unionAll(found)
-                comps = materialise(components(links, "id", "pivot"), "near-comps")
+        hopeful = runs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_hopeful(size, percent, miss), "key long, x int, y int, side int, id long, comp long")
+        hopeful = materialise(hopeful, "near-hopeful")
+        told = hopeful.join(flagged(whole, F.col("id"), hopeful.select("id")), "id").select("key", "x", "y", "side", "id", "comp", "text")
+        found = told.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_finisher(shingle, percent), "id long, pivot long")
+        found = materialise(found, "near-links")
+        if not found.isEmpty():
+            comps = materialise(components(links.unionAll(found), "id", "pivot"), "near-comps")
 
     final = _labelled(member.select("rep", F.col("id").alias("own")).withColumnRenamed("rep", "id"), comps).select(F.col("own").alias("id"), "comp")
     final = final.groupBy("id").agg(F.min("comp").alias("comp"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugery.llm import exact_dedup, language_id, mixing, near_dedup, packing
+from gaugery.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, toxicity, url_filter
 from gaugery.llm.common import held_out, table
 
 
@@ -25,6 +25,52 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "second", "ambiguous")
 
 
+#: The host rules, and the path patterns that are blocked where no host rule fits.
+URL_RULES = [
+    url_filter.Rule("block", "net/"),
+    url_filter.Rule("allow", "example.net/en/"),
+    url_filter.Rule("block", "example.com/de/"),
+    url_filter.Rule("allow", "org/fr/"),
+    *[url_filter.Rule("block", f"*/{p}/*", glob=True) for p in ("casino", "login", "porn", "signup", "wp-admin", "xxx")],
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+OP3_SQL = """
+WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM a),
+c AS (
+  SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1), '') AS path FROM b),
+d AS (
+  SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                 WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                 WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                 WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+         (SELECT arg_max('*/' || p || '/*', (length(p), p)) FROM (VALUES ('casino'), ('login'), ('porn'), ('signup'), ('wp-admin'), ('xxx')) v(p)
+          WHERE contains(host || path, '/' || p || '/')) AS pattern FROM c)
+SELECT page_id, host, path, rule, pattern,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM d
+"""
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select(F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    model = toxicity.fit(labels, docs.filter(~held_out()).withColumnRenamed("doc_id", "id"))
+    return toxicity.predict(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decide(table(spark, sf_dir, "documents"))
 
@@ -90,11 +136,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_language_id": op2_language_id,
+        "op3_url_filter": op3_url_filter,
+        "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_near_dedup": op6_near_dedup,
+        "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
