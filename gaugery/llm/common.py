@@ -78,11 +78,14 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return joined.select(*rows.columns, *[found[n].alias(n) for n in names])
 
 
-def flagged(rows: DataFrame, column: Column, wanted: DataFrame, flags: int = FLAGS) -> DataFrame:
-    """Rows whose column may be among wanted's only column: at most `flags` bucket numbers are broadcast; false hits stay."""
+def flagged(rows: DataFrame, column: Column, wanted: DataFrame, flags: int = FLAGS, how: str = "left_semi") -> DataFrame:
+    """Rows whose column may be among wanted's only column: at most `flags` bucket numbers are broadcast; false hits stay.
+
+    how="left_anti" gives the other rows.
+    """
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(flags)).cast("int")
     few = wanted.select(bucket(F.col(wanted.columns[0])).alias("__g_flag")).distinct()
-    return rows.withColumn("__g_flag", bucket(column)).join(F.broadcast(few), "__g_flag", "left_semi").drop("__g_flag")
+    return rows.withColumn("__g_flag", bucket(column)).join(F.broadcast(few), "__g_flag", how).drop("__g_flag")
 
 
 def labelled_sample(labels: DataFrame, docs: DataFrame, most: dict | int) -> DataFrame:

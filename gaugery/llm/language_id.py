@@ -198,26 +198,28 @@ def fit(
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs' columns but the text, with lang_pred, score (0 to 1), second, ambiguous."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """docs' columns, the text only if asked for, with lang_pred, score (0 to 1), second, ambiguous."""
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
-    ordered = docs.select(*[f"`{c}`" for c in rest], F.col(text_col).alias("__g_text"))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "second", "ambiguous")]
+    at = kept.index(text_col)
+    sent = [i for i in range(len(kept)) if keep_text or i != at]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = batch.column(len(rest)).to_pylist()
-            at = [i for i, t in enumerate(texts) if m.languages and has_letters(t)]
+            texts = batch.column(at).to_pylist()
+            good = [i for i, t in enumerate(texts) if m.languages and has_letters(t)]
             best, second, score, near = ["und"] * len(texts), [None] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            for i, b, s, p, n in zip(at, *m.predict([texts[i] for i in at]), strict=True):
+            for i, b, s, p, n in zip(good, *m.predict([texts[i] for i in good]), strict=True):
                 best[i], score[i], near[i] = m.languages[b], float(p), bool(n)
                 second[i] = m.languages[s] if len(m.languages) > 1 else None
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(rest))), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(near, pa.bool_())],
-                names=[*rest, "lang_pred", "score", "second", "ambiguous"],
+                [*(batch.column(i) for i in sent), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string()), pa.array(near, pa.bool_())],
+                names=[*(kept[i] for i in sent), "lang_pred", "score", "second", "ambiguous"],
             )
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields[:-1])
-    return ordered.mapInArrow(run, f"{types}, lang_pred string, score double, second string, ambiguous boolean")
+    ordered = docs.select(*[f"`{c}`" for c in kept])
+    types = "".join(f"`{ordered.schema[i].name}` {ordered.schema[i].dataType.simpleString()}, " for i in sent)
+    return ordered.mapInArrow(run, f"{types}lang_pred string, score double, second string, ambiguous boolean")

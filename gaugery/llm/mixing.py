@@ -22,13 +22,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import materialise, words
+from gaugery.llm.common import join_groups, materialise, words
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2
 SEED = "mix-1"
 CELLS = 4096
+#: A written table of sources with no more rows than this is broadcast.
+FEW_SOURCES = 50_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -64,6 +66,99 @@ def _cut(cells: DataFrame, key: list[str], cell: str, need: str, before: str) ->
     return hit.select(*key, F.col(cell).alias(f"{cell}_cut"), (F.col("__g_run") - F.col("__g_words")).alias(f"{cell}_before"))
 
 
+def _by_source(rows: DataFrame, sources: DataFrame, size: str) -> DataFrame:
+    """Left join with a written table of one row per source: broadcast if it has few enough rows, else by `join_groups`."""
+    if sources.count() <= FEW_SOURCES:
+        return rows.join(F.broadcast(sources), "__g_source", "left")
+    return join_groups(rows, sources, ["__g_source"], size, F.col("__g_id"))
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight_col: str | None) -> DataFrame:
+    return docs.withColumns(
+        {
+            "__g_id": F.col(id_col),
+            "__g_source": F.struct(F.col(source_col).isNull().alias("last"), F.col(source_col).alias("name")),
+            "__g_size": F.size(words(F.col(text_col))).cast("bigint"),
+            "__g_u": draw(F.col(id_col), seed),
+            "__g_weight": F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0),
+        }
+    )
+
+
+def _ranked(rows: DataFrame, due: DataFrame, most: int) -> DataFrame:
+    """rows with copies due, their whole part, the rest, the rank, and its cells."""
+    rows = _by_source(rows, due, "source_size").withColumn("__g_due", F.coalesce(F.least(F.lit(float(most)), F.col("__g_rate") * F.col("__g_weight")), F.lit(0.0)))
+    rows = rows.withColumn("__g_whole", F.floor("__g_due").cast("bigint")).withColumn("__g_f", F.col("__g_due") - F.col("__g_whole"))
+    odds = (F.col("__g_u") / (1 - F.col("__g_u"))) * ((1 - F.col("__g_f")) / F.when(F.col("__g_f") > 0, F.col("__g_f")))
+    # odds / (1 + odds) keeps the order and lies in (0, 1).
+    place = F.col("__g_rank") / (1 + F.col("__g_rank")) * CELLS
+    return rows.withColumn("__g_rank", odds).withColumn("__g_c1", F.floor(place).cast("int")).withColumn("__g_c2", F.floor((place - F.floor(place)) * CELLS).cast("int"))
+
+
+def _who() -> Column:
+    return F.struct("__g_rank", F.col("__g_id").isNull().alias("none"), F.col("__g_id").alias("id"))
+
+
+def _wanted() -> Column:
+    return F.col("__g_rank").isNotNull() & (F.col("__g_need") > 0)
+
+
+def _inside(ranked: DataFrame) -> DataFrame:
+    """ranked, joined with the cuts, with whether the ordered sample has the row."""
+    below = (F.col("__g_c1") < F.col("__g_k1")) | ((F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") < F.col("__g_k2")))
+    at = (F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") == F.col("__g_k2")) & (_who() <= F.col("__g_end"))
+    return ranked.withColumn("__g_in", F.when(_wanted(), F.col("__g_k1").isNull() | below | F.coalesce(at, F.lit(False))).otherwise(False))
+
+
+def _cuts(ranked: DataFrame) -> DataFrame:
+    """One row per source: the words needed beyond certain copies, the cells and the rank of the cut, and the gap left."""
+    key = ["__g_source"]
+    tries = ranked.filter("__g_rank is not null and __g_size > 0")
+    certain = ranked.groupBy(*key).agg((F.first("target") - F.sum(F.col("__g_whole") * F.col("__g_size"))).alias("__g_need"), F.count(F.lit(1)).alias("__g_rows"))
+    first = tries.groupBy(*key, "__g_c1").agg(F.sum("__g_size").alias("__g_words")).join(certain, key).withColumn("__g_zero", F.lit(0).cast("bigint"))
+    one = materialise(_cut(first, key, "__g_c1", "__g_need", "__g_zero").join(certain, key), "mix-cells")
+    in_one = _by_source(tries, one, "__g_rows").filter(F.col("__g_c1") == F.col("__g_c1_cut"))
+    second = in_one.groupBy(*key, "__g_c1", "__g_c2", "__g_need", "__g_c1_before").agg(F.sum("__g_size").alias("__g_words"))
+    two = _cut(second, [*key, "__g_c1", "__g_need"], "__g_c2", "__g_need", "__g_c1_before")
+    two = materialise(two.join(certain.select(*key, "__g_rows"), key).withColumnRenamed("__g_c1", "__g_k1"), "mix-cells")
+    last = _by_source(tries, two, "__g_rows").filter((F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") == F.col("__g_c2_cut")))
+    ties = last.groupBy(*key, "__g_need", "__g_c2_before", "__g_rank", "__g_id").agg(F.sum("__g_size").alias("__g_words"))
+    order = Window.partitionBy(*key).orderBy("__g_rank", F.col("__g_id").asc_nulls_last())
+    run = ties.withColumn("__g_run", F.sum("__g_words").over(order) + F.col("__g_c2_before"))
+    # The last rank that still fits ends the ordered sample; what is then missing is the gap.
+    fits = run.filter(F.col("__g_run") <= F.col("__g_need"))
+    ends = fits.groupBy(*key).agg(F.max(_who()).alias("__g_end"), F.max("__g_run").alias("__g_run"))
+    lows = two.select(*key, "__g_k1", F.col("__g_c2_cut").alias("__g_k2"), "__g_c2_before")
+    cuts = certain.join(lows, key, "left").join(ends, key, "left")
+    return cuts.withColumn("__g_gap", F.col("__g_need") - F.coalesce("__g_run", "__g_c2_before")).drop("__g_run", "__g_c2_before")
+
+
+def _copies(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total_share: float, most: int, seed: str, weight_col: str | None
+) -> DataFrame:
+    """docs with __g_size, __g_source, source_size, target and __g_copies; docs is read once for the sizes and once more."""
+    needed = list(dict.fromkeys([id_col, text_col, source_col, *([weight_col] if weight_col else [])]))
+    drawn = _drawn(docs, id_col, text_col, source_col, seed, weight_col)
+    sizes = materialise(_drawn(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, seed, weight_col).select("__g_id", "__g_source", "__g_size", "__g_u", "__g_weight"), "mix")
+    due = targets(sizes, weights, total_share, most)
+    if weight_col:
+        due = due.join(sizes.groupBy("__g_source").agg(F.sum(F.col("__g_weight") * F.col("__g_size")).alias("__g_ws")), "__g_source")
+        due = due.withColumn("__g_rate", F.col("target") / F.when(F.col("__g_ws") > 0, F.col("__g_ws"))).drop("__g_ws")
+    else:
+        due = due.withColumn("__g_rate", F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))
+    due = materialise(due, "mix-targets")
+    ranked = _ranked(sizes, due, most)
+    cuts = materialise(_cuts(ranked), "mix-cuts")
+    # The document that closes the gap best is the last of the sample, if it comes nearer than none.
+    miss = F.abs(F.col("__g_size") - F.col("__g_gap"))
+    closer = _inside(_by_source(ranked, cuts, "__g_rows")).filter(_wanted() & ~F.col("__g_in") & (F.col("__g_size") > 0) & (miss < F.col("__g_gap")))
+    fill = closer.groupBy("__g_source").agg(F.min(F.struct(miss.alias("miss"), _who().alias("who"))).getField("who").alias("__g_fill"))
+    cuts = materialise(cuts.join(fill, "__g_source", "left"), "mix-fill")
+    done = _inside(_by_source(_ranked(drawn, due, most), cuts, "__g_rows"))
+    extra = F.col("__g_in") | F.coalesce(_wanted() & (_who() == F.col("__g_fill")), F.lit(False))
+    return done.withColumn("__g_copies", F.col("__g_whole") + extra.cast("bigint"))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -79,63 +174,8 @@ def mix(
 
     weight_col: a positive column by which documents of a source are due more or fewer copies; null counts as 1.
     """
-    weight = F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0)
-    sizes = materialise(
-        docs.select(
-            F.col(id_col).alias("__g_id"),
-            F.struct(F.col(source_col).isNull().alias("last"), F.col(source_col).alias("name")).alias("__g_source"),
-            F.size(words(F.col(text_col))).cast("bigint").alias("__g_size"),
-            draw(F.col(id_col), seed).alias("__g_u"),
-            weight.alias("__g_weight"),
-        ),
-        "mix",
-    )
-    due = targets(sizes, weights, total_share, most)
-    if weight_col:
-        due = due.join(sizes.groupBy("__g_source").agg(F.sum(F.col("__g_weight") * F.col("__g_size")).alias("__g_ws")), "__g_source")
-        copies = F.least(F.lit(float(most)), F.col("target") * F.col("__g_weight") / F.when(F.col("__g_ws") > 0, F.col("__g_ws")))
-    else:
-        copies = F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))
-    due = materialise(due, "mix-targets")
-    # One row per source: broadcast by Spark where statistics of the written table prove it small, else dealt by source and salt.
-    rows = sizes.join(due, "__g_source").withColumn("__g_due", F.coalesce(copies, F.lit(0.0)))
-    rows = rows.withColumn("__g_whole", F.floor("__g_due").cast("bigint")).withColumn("__g_f", F.col("__g_due") - F.col("__g_whole"))
-    odds = (F.col("__g_u") / (1 - F.col("__g_u"))) * ((1 - F.col("__g_f")) / F.when(F.col("__g_f") > 0, F.col("__g_f")))
-    rows = rows.withColumn("__g_rank", odds)
-    # odds / (1 + odds) keeps the order and lies in (0, 1).
-    place = F.col("__g_rank") / (1 + F.col("__g_rank")) * CELLS
-    rows = rows.withColumn("__g_c1", F.floor(place).cast("int")).withColumn("__g_c2", F.floor((place - F.floor(place)) * CELLS).cast("int"))
-    tries = rows.filter("__g_rank is not null and __g_size > 0")
-    certain = rows.groupBy("__g_source").agg((F.first("target") - F.sum(F.col("__g_whole") * F.col("__g_size"))).alias("__g_need"))
-    key = ["__g_source"]
-    first = tries.groupBy("__g_source", "__g_c1").agg(F.sum("__g_size").alias("__g_words")).join(certain, key).withColumn("__g_zero", F.lit(0).cast("bigint"))
-    one = _cut(first, key, "__g_c1", "__g_need", "__g_zero").join(certain, key)
-    inside = tries.join(one.withColumnRenamed("__g_c1_cut", "__g_c1"), [*key, "__g_c1"])
-    second = inside.groupBy("__g_source", "__g_c1", "__g_c2", "__g_need", "__g_c1_before").agg(F.sum("__g_size").alias("__g_words"))
-    two = _cut(second, [*key, "__g_c1", "__g_need"], "__g_c2", "__g_need", "__g_c1_before")
-    last = tries.join(two.withColumnRenamed("__g_c2_cut", "__g_c2"), [*key, "__g_c1", "__g_c2"])
-    ties = last.groupBy(*key, "__g_need", "__g_c2_before", "__g_c1", "__g_c2", "__g_rank", "__g_id").agg(F.sum("__g_size").alias("__g_words"))
-    order = Window.partitionBy(*key).orderBy("__g_rank", F.col("__g_id").asc_nulls_last())
-    run = ties.withColumn("__g_run", F.sum("__g_words").over(order) + F.col("__g_c2_before"))
-    # The last rank that still fits ends the ordered sample; what is then missing is the gap.
-    inside = run.filter(F.col("__g_run") <= F.col("__g_need"))
-    ends = inside.groupBy(*key).agg(F.max(F.struct("__g_rank", F.col("__g_id").isNull().alias("none"), F.col("__g_id").alias("id"))).alias("__g_end"), F.max("__g_run").alias("__g_run"))
-    lows = two.select(*key, F.col("__g_c1").alias("__g_k1"), F.col("__g_c2_cut").alias("__g_k2"))
-    reached = two.select(*key, F.col("__g_c2_before"))
-    cuts = certain.select(*key, "__g_need").join(lows, key, "left").join(ends, key, "left").join(reached, key, "left")
-    cuts = materialise(cuts.withColumn("__g_gap", F.col("__g_need") - F.coalesce("__g_run", "__g_c2_before")).drop("__g_run", "__g_c2_before"), "mix-cuts")
-    mine = F.struct("__g_rank", F.col("__g_id").isNull().alias("none"), F.col("__g_id").alias("id"))
-    below = (F.col("__g_c1") < F.col("__g_k1")) | ((F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") < F.col("__g_k2")))
-    at = (F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") == F.col("__g_k2")) & (mine <= F.col("__g_end"))
-    wanted = F.col("__g_rank").isNotNull() & (F.col("__g_need") > 0)
-    cut = rows.join(cuts, key).withColumn("__g_in", F.when(wanted, F.col("__g_k1").isNull() | below | F.coalesce(at, F.lit(False))).otherwise(False))
-    # The document that closes the gap best is the last of the sample, if it comes nearer than none.
-    miss = F.abs(F.col("__g_size") - F.col("__g_gap"))
-    closer = cut.filter(wanted & ~F.col("__g_in") & (F.col("__g_size") > 0) & (miss < F.col("__g_gap")))
-    fill = closer.groupBy(*key).agg(F.min(F.struct(miss.alias("miss"), mine.alias("who"))).getField("who").alias("__g_fill"))
-    cut = cut.join(materialise(fill, "mix-fill"), key, "left")
-    extra = F.col("__g_in") | F.coalesce(wanted & (mine == F.col("__g_fill")), F.lit(False))
-    done = cut.withColumn("__g_copies", F.col("__g_whole") + extra.cast("bigint"))
+    needed = list(dict.fromkeys([id_col, text_col, source_col, *([weight_col] if weight_col else [])]))
+    done = _copies(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, weights, total_share, most, seed, weight_col)
     return done.select(
         F.col("__g_id").alias(id_col),
         F.col("__g_source.name").alias(source_col),
@@ -145,3 +185,20 @@ def mix(
         F.col("__g_copies").alias("copies"),
         (F.col("__g_copies") * F.col("__g_size")).alias("taken"),
     )
+
+
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[int, ...] = WEIGHTS,
+    total_share: float = TOTAL_SHARE,
+    most: int = MOST_COPIES,
+    seed: str = SEED,
+    weight_col: str | None = None,
+) -> DataFrame:
+    """The mixture itself: each row of docs as often as it is taken, all columns as they were; texts aren't shuffled."""
+    done = _copies(docs, id_col, text_col, source_col, weights, total_share, most, seed, weight_col)
+    repeated = done.filter("__g_copies > 0").withColumn("__g_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__g_copies"))))
+    return repeated.select(*[f"`{c}`" for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugery.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, toxicity, url_filter
+from gaugery.llm import exact_dedup, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, toxicity, url_filter, warc
 from gaugery.llm.common import held_out, table
 
 
@@ -59,6 +59,16 @@ FROM d
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    page = F.col("headers")["X-Page-ID"].cast("bigint").alias("page_id")
+    return made.select(page, *warc.FIELDS, F.to_json("headers").alias("headers"), F.decode("block", "UTF-8").alias("text"), "block_digest", "payload_digest")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -140,8 +150,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_near_dedup": op6_near_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_mixing": op9_mixing,
+        "op10_warc": op10_warc,
     }
 
 

@@ -37,6 +37,7 @@ MOST_TOXIC = 2000
 MOST_CLEAN = 8000
 CHANCE = 1e-6
 STEMS = (3, 4, 5, 7)
+ONE_WORD = 0.7
 POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
 #: Phrases in which a term is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "sore loser")
@@ -136,6 +137,14 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, chance: f
     weight = lambda t, c: log((t + 0.5) / (toxic - t + 0.5)) - log((c + 0.5) / (clean - c + 0.5))
     share = toxic / (toxic + clean)
     good = {x: weight(t, c) for x, t, c in counts if t >= 3 and weight(t, c) >= 2 and _log_tail(t, t + c, share) < log(chance)}
+    # A stem that stands for little more than one word gives way to that word.
+    often = {x: t for x, t, _ in counts}
+    most: dict[str, int] = {}
+    for x, t in often.items():
+        if x.endswith(" "):
+            for n in STEMS:
+                most[x[: n + 1]] = max(most.get(x[: n + 1], 0), t)
+    good = {x: w for x, w in good.items() if x.endswith(" ") or most.get(x, 0) < ONE_WORD * often[x]}
     kept: dict[str, float] = {}
     for x in sorted(good, key=lambda x: (len(x), x)):
         stems = [x[:n] for n in range(2, len(x)) if x[:n] in kept]
