@@ -1,54 +1,76 @@
 """BLEU, chrF and TER over a corpus, from statistics of each row that are summed.
 
-`smoothed_bleu4` and BLEU and chrF are Column functions and aggregates; TER's edit counts need a search with shifts and
-come from an Arrow function. BLEU, chrF and TER follow the published definitions with the usual parameters: 13a tokens,
+Statistics of a row are counted on Arrow batches; sums and the last step are Column aggregates, so a corpus of any size
+meets in one row of numbers. BLEU, chrF and TER follow the published definitions with the usual parameters: 13a tokens,
 exponential smoothing, chrF2 on character 6-grams without blanks.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugery.functions.text import strip
+from gaugery.functions.arrow import arrow_udf
 
 TINY = 2.2250738585072014e-308
 
 
-def _grams(tokens: Column, n: int, glue: str = "\x1f") -> Column:
-    """n-grams of an array of strings, joined; none if there are too few."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(n)), glue))).otherwise(F.array().cast("array<string>"))
+def _counts(tokens: Sequence[str], n: int) -> Counter:
+    return Counter(zip(*(tokens[i:] for i in range(n)), strict=False))
 
 
-def _times(grams: Column, g: Column) -> Column:
-    return F.size(F.filter(grams, lambda x: x == g))
+def punct_tokens(text: str) -> list[str]:
+    """Words and single signs, in lower case."""
+    return re.findall(r"\w+|[^\s\w]", text.strip().lower())
+
+
+def tokens_13a(text: str) -> list[str]:
+    """Tokens of the standard scheme for machine translation."""
+    t = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
+    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        t = t.replace(entity, sign)
+    t = f" {t} "
+    for find, put in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = re.sub(find, put, t)
+    return t.split()
 
 
-def _clipped(predicted: Column, references: Column) -> Column:
-    """Predicted n-grams that some reference has, each counted at most as often as the reference that has it most."""
-    most = lambda g: F.array_max(F.transform(references, lambda r: _times(r, g)))
-    return F.aggregate(F.array_distinct(predicted), F.lit(0), lambda s, g: s + F.least(_times(predicted, g), most(g)))
+def row_stats(prediction: str, references: Sequence[str], tokenise: Callable[[str], list[str]] = punct_tokens) -> tuple[int, int, list[int], list[int]]:
+    """Tokens of the shortest reference and of the prediction; by order 1 to 4 the predicted n-grams, and those of them that
+    a reference has, each at most as often as in the reference that has it most."""
+    p, rs = tokenise(prediction), [tokenise(r) for r in references]
+    correct = []
+    for n in range(1, 5):
+        most: Counter = Counter()
+        for r in rs:
+            most |= _counts(r, n)
+        correct.append((_counts(p, n) & most).total())
+    return min(map(len, rs)), len(p), [max(len(p) - n + 1, 0) for n in range(1, 5)], correct
 
 
-def punct_tokens(c: Column) -> Column:
-    """Words and single signs, in lower case."""
-    return F.regexp_extract_all(strip(F.lower(c)), F.lit(r"(?U)[\w]+|[^\s\w]"), F.lit(0))
+_STATS = "ref_len long, pred_len long, guess array<long>, correct array<long>"
 
 
-def bleu4_stats(prediction: Column, references: Column, tokenise=punct_tokens) -> Column:
-    """ref_len (shortest), pred_len, guess and correct (arrays by order 1 to 4) of a row."""
-    p, rs = tokenise(prediction), F.transform(references, tokenise)
-    guess = F.array(*[F.greatest(F.size(p) - n + 1, F.lit(0)).cast("bigint") for n in range(1, 5)])
-    correct = F.array(*[_clipped(_grams(p, n), F.transform(rs, _ngrams_of(n))).cast("bigint") for n in range(1, 5)])
-    return F.struct(F.array_min(F.transform(rs, F.size)).cast("bigint").alias("ref_len"), F.size(p).cast("bigint").alias("pred_len"), guess.alias("guess"), correct.alias("correct"))
+def _table(predictions: pd.Series, references: pd.Series, tokenise: Callable[[str], list[str]]) -> pd.DataFrame:
+    rows = [row_stats(p or "", [str(r) for r in rs], tokenise) for p, rs in zip(predictions, references, strict=True)]
+    return pd.DataFrame(rows, columns=["ref_len", "pred_len", "guess", "correct"])
 
 
-def _ngrams_of(n: int):
-    return lambda tokens: _grams(tokens, n)
+@arrow_udf(_STATS)
+def bleu4_stats(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
+    """Statistics for `bleu4`, by words and signs in lower case; at least one reference."""
+    return _table(prediction, references, punct_tokens)
+
+
+@arrow_udf(_STATS)
+def bleu_stats(prediction: pd.Series, references: pd.Series) -> pd.DataFrame:
+    """Statistics for `bleu`, by 13a tokens."""
+    return _table(prediction, references, tokens_13a)
 
 
 def bleu4(stats: Column) -> Column:
@@ -63,17 +85,6 @@ def bleu4(stats: Column) -> Column:
     return F.exp(sum(part[1:], part[0]) / 4.0 + brevity) * 100.0
 
 
-def tokens_13a(c: Column) -> Column:
-    """Tokens of the standard scheme for machine translation."""
-    t = F.replace(F.replace(F.replace(c, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
-    for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
-    t = F.concat(F.lit(" "), t, F.lit(" "))
-    for find, put in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
-        t = F.regexp_replace(t, find, put)
-    return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
-
-
 def bleu(stats: Column) -> Column:
     """Corpus BLEU from 0 to 100 of a column of bleu4_stats with tokens_13a; orders without a match are halved in turn."""
     logs, halvings = F.lit(0.0), F.lit(0.0)
@@ -87,16 +98,15 @@ def bleu(stats: Column) -> Column:
     return F.when(missing | (F.sum(stats["correct"][0]) == 0), 0.0).otherwise(brevity * F.exp(logs / 4.0))
 
 
-def chrf_stats(prediction: Column, reference: Column, orders: int = 6) -> Column:
-    """Arrays by order of characters without blanks: in the prediction, in the reference, in both."""
-    p, r = (F.filter(F.split(F.regexp_replace(c, r"(?U)\s+", ""), ""), lambda x: x != "") for c in (prediction, reference))
-    own = lambda a, n: F.greatest(F.size(a) - n + 1, F.lit(0)).cast("bigint")
-    span = range(1, orders + 1)
-    return F.struct(
-        F.array(*[own(p, n) for n in span]).alias("pred"),
-        F.array(*[own(r, n) for n in span]).alias("ref"),
-        F.array(*[_clipped(_grams(p, n, ""), F.array(_grams(r, n, ""))).cast("bigint") for n in span]).alias("both"),
-    )
+@arrow_udf("pred array<long>, ref array<long>, both array<long>")
+def chrf_stats(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """By order 1 to 6, runs of characters without blanks: in the prediction, in the reference, in both."""
+    rows = []
+    for p, r in zip(prediction, reference, strict=True):
+        p, r = ("".join((x or "").split()) for x in (p, r))
+        span = range(1, 7)
+        rows.append(([max(len(p) - n + 1, 0) for n in span], [max(len(r) - n + 1, 0) for n in span], [(_counts(p, n) & _counts(r, n)).total() for n in span]))
+    return pd.DataFrame(rows, columns=["pred", "ref", "both"])
 
 
 def chrf(stats: Column, orders: int = 6, beta: float = 2.0) -> Column:
@@ -150,7 +160,7 @@ def ter_edits(prediction: str, reference: str, longest: int = 10, farthest: int
     return moves + now, len(r)
 
 
-@F.pandas_udf("edits long, words long")
+@arrow_udf("edits long, words long")
 def ter_stats(prediction: pd.Series, reference: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([ter_edits(p or "", r or "") for p, r in zip(prediction, reference, strict=True)], columns=["edits", "words"])
 

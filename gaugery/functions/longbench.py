@@ -9,8 +9,7 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import functions as F
-
+from gaugery.functions.arrow import arrow_udf
 from gaugery.functions.rouge import rouge_l, tokenise
 
 #: The score of each task, and the tasks of which only the first line counts.
@@ -90,7 +89,7 @@ def score(task: str, prediction: str, reference: str, classes: list[str] = ()) -
             return _numbers(p, m[1] if m else None)
 
 
-@F.pandas_udf("double")
+@arrow_udf("double")
 def longbench_score(task: pd.Series, prediction: pd.Series, references: pd.Series, classes: pd.Series) -> pd.Series:
     """The best score over the references; classes may be null."""
     rows = zip(task, prediction, references, classes, strict=True)

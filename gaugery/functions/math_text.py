@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import functions as F
+from gaugery.functions.arrow import arrow_udf
 
 #: Phrases that announce an answer, in the order in which they are tried on a line.
 PHRASES = tuple(re.compile(p, re.I) for p in (r"\bfinal answer(?:\s+is)?\s*[:=\-]?\s*(.+)", r"\bthe answer(?:\s+is)?\s*[:=\-]?\s*(.+)", r"\banswer\s*[:=\-]\s*(.+)"))
@@ -120,17 +120,17 @@ def equivalent(left: str | None, right: str | None) -> bool:
         return left == right
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def extract_answer(text: pd.Series) -> pd.Series:
     return text.map(extract)
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def canonical_answer(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else canonical(x))
 
 
-@F.pandas_udf("double")
+@arrow_udf("double")
 def math_match(prediction: pd.Series, target: pd.Series) -> pd.Series:
     """1 if the answer found in a prediction is equivalent to the target."""
     return pd.Series([float(equivalent(extract(p), t)) for p, t in zip(prediction, target, strict=True)], dtype=float)
@@ -158,7 +158,7 @@ def _folded(t: str) -> str:
     return " ".join(t.strip().strip("`\"'").lower().split())
 
 
-@F.pandas_udf("double")
+@arrow_udf("double")
 def short_match(prediction: pd.Series, target: pd.Series) -> pd.Series:
     """1 if a short answer is equivalent as mathematics or the same but for case and blanks."""
     pairs = ((short_answer(p), t or "") for p, t in zip(prediction, target, strict=True))

@@ -8,7 +8,7 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import functions as F
+from gaugery.functions.arrow import arrow_udf
 
 #: A language's articles; None has none.
 ARTICLES = {
@@ -40,7 +40,7 @@ def scores(prediction: str, answer: str, language: str) -> tuple[float, float]:
     return float(p == a), 2 * both / (len(p.split()) + len(a.split())) if both else 0.0
 
 
-@F.pandas_udf("em double, f1 double, place int")
+@arrow_udf("em double, f1 double, place int")
 def mlqa_best(prediction: pd.Series, answers: pd.Series, language: pd.Series) -> pd.DataFrame:
     """The best answer by (em, f1), the first of equals."""
     rows = []

@@ -25,7 +25,7 @@ def canonical(c: Column) -> Column:
 def common_count(left: Column, right: Column) -> Column:
     """Size of the intersection of two arrays as multisets."""
     times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    return F.aggregate(F.array_distinct(left), F.lit(0), lambda s, t: s + F.least(times(left, t), times(right, t)))
+    return F.aggregate(F.array_intersect(left, right), F.lit(0), lambda s, t: s + F.least(times(left, t), times(right, t)))
 
 
 def multiset_f1(left: Column, right: Column, both_empty: float | None = 1.0) -> Column:

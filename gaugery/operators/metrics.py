@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 def mean_scores(samples: DataFrame, keys: Sequence[str] = (), scores: str = "scores") -> DataFrame:
     """One row per keys and metric: the sum of a score over all samples that were run, those without it counting 0."""
-    total = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
-    summed = samples.select(*keys, F.explode(scores).alias("metric", "value")).groupBy(*keys, "metric").agg(F.sum("value").alias("total"))
-    joined = summed.join(F.broadcast(total), list(keys)) if keys else summed.crossJoin(F.broadcast(total))  # one row
-    return joined.select(*keys, "metric", (F.col("total") / F.col("samples")).alias("value"), "samples")
+    own = samples.withColumn("__k", F.struct(F.lit(0), *keys))
+    total = own.groupBy("__k").agg(F.count(F.lit(1)).alias("samples"))
+    summed = own.select("__k", *keys, F.explode(scores).alias("metric", "value")).groupBy("__k", *keys, "metric").agg(F.sum("value").alias("total"))
+    return summed.join(total, "__k").select(*keys, "metric", (F.col("total") / F.col("samples")).alias("value"), "samples")
 
 
 def perplexities(logprob: Column, words: Column, size: Column) -> Column:

@@ -12,12 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugery.scratch import materialise
+
 DEFAULT_SEED = 7
 
 
 def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """Dense row numbers: a count per partition gives each its offset, so no row moves."""
-    marked = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    """Dense row numbers in the order of df: its rows are written with their partition and place, and a count per partition
+    gives each its offset, so no row is sorted or moved. Tables of files are better numbered by `sources.read_rows`."""
+    marked = materialise(df.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "rows")
     sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row per partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
