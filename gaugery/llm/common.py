@@ -66,7 +66,10 @@ def labelled_sample(labels: DataFrame, docs: DataFrame, most: dict | int) -> Dat
     rows = labels.filter("id is not null and label is not null").withColumn("h", F.xxhash64(F.col("id"), F.lit(3)))
     limit = F.lit(most) if isinstance(most, int) else F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in most.items()], F.lit(0))
     cell = Window.partitionBy("label", F.pmod("h", F.lit(CELLS))).orderBy("h", "id")
-    drawn = rows.withColumn("place", F.row_number().over(cell)).filter((F.col("place") - 1) * CELLS + F.pmod("h", F.lit(CELLS)) < limit)
+    # The first bound is one that Spark applies before the shuffle.
+    high = most if isinstance(most, int) else max(most.values())
+    placed = rows.withColumn("place", F.row_number().over(cell)).filter(F.col("place") <= high // CELLS + 1)
+    drawn = placed.filter((F.col("place") - 1) * CELLS + F.pmod("h", F.lit(CELLS)) < limit)
     drawn = materialise(drawn.select("id", "label").distinct(), "drawn")
     texts = flagged(docs.filter("text is not null").select("id", "text"), F.col("id"), drawn.select("id"))
     return materialise(texts.join(drawn, "id").select("label", "text"), "sample")

@@ -50,17 +50,23 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 _homoglyphs = str.maketrans(HOMOGLYPHS)
-_inside = re.compile(r"(?<=[^\W\d_])[013457@$!89]+(?=[^\W\d_])|(?<![^\s])[013457@$89]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457]+(?![^\W_])")
+#: A word in which a letter stands next to a digit or sign.
+_mixed = re.compile(r"[\w@$]*(?:[^\W\d_][0-9@$!]|[0-9@$][^\W\d_])[\w@$!]*")
 _substitutes = str.maketrans(SUBSTITUTES)
 _gaps = re.compile(r"[\W\d_]+")
 
 
+def _unmixed(m: re.Match) -> str:
+    word = m.group().rstrip("@$!")
+    return word.translate(_substitutes) if sum(map(str.isalpha, word)) >= 2 else word
+
+
 def fold(text: str | None) -> str:
     """Words in folded letters, each between two spaces of its own."""
     t = (text or "").lower()
     if not t.isascii():
         t = unicodedata.normalize("NFKC", t).translate(_homoglyphs)
-    t = _inside.sub(lambda m: m.group().translate(_substitutes), t)
+    t = _mixed.sub(_unmixed, t)
     return f" {_gaps.sub('  ', t)} "
 
 
