@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def archive_lines(spark: SparkSession, path: str, pattern: str = r"\.(jsonl?|csv
                         part = rows[i : i + 10_000]
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(i, i + len(part)), pa.int64()), pa.array(part, pa.string())], names=["member", "line_no", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "member string, line_no long, line string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), "member string, line_no long, line string")
 
 
 @reader("jsonl_in_archive")
@@ -166,7 +166,7 @@ def _xlsx(spark: SparkSession, s: Source) -> DataFrame:
                 rows = sheet_rows(content.as_py())
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["line_no", "cells"])
 
-    return spark.read.format("binaryFile").load(s.path).select("content").mapInArrow(run, "line_no long, cells array<string>")
+    return spark.read.format("binaryFile").load(s.path).select("content").mapInArrow(tidy(run), "line_no long, cells array<string>")
 
 
 def sheet_rows(content: bytes) -> list[list[str]]:
