@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugery.llm.common import labelled_sample
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 PER_LANGUAGE = 1500
 DIMENSIONS = 1 << 16
@@ -169,7 +169,7 @@ def fit(
     own = docs if learnable is None else docs.filter(learnable)
     own = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
     rows = labelled_sample(own.select("id", "label"), own.select("id", "text"), per_language)
-    counted = rows.mapInArrow(_counter(dimensions), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(_counter(dimensions)), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     got = counted.toPandas()
     languages = sorted(got["lang"].unique())
     codes = codewords(len(languages))
@@ -191,7 +191,7 @@ def fit(
                 seen += b - a
         yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([right.tolist()])], names=["seen", "right"])
 
-    got = rows.mapInArrow(tested, "seen long, right array<long>").agg(F.sum("seen").alias("seen"), *[F.sum(F.col("right")[i]).alias(f"r{i}") for i in range(codes.shape[1])]).first()
+    got = rows.mapInArrow(tidy(tested), "seen long, right array<long>").agg(F.sum("seen").alias("seen"), *[F.sum(F.col("right")[i]).alias(f"r{i}") for i in range(codes.shape[1])]).first()
     accuracy = np.clip([(got[f"r{i}"] + 1) / (got["seen"] + 2) for i in range(codes.shape[1])], 0.51, 0.999)
     weights = np.log(accuracy / (1 - accuracy))
     model.weights = weights / weights.mean()
@@ -222,4 +222,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bo
 
     ordered = docs.select(*[f"`{c}`" for c in kept])
     types = "".join(f"`{ordered.schema[i].name}` {ordered.schema[i].dataType.simpleString()}, " for i in sent)
-    return ordered.mapInArrow(run, f"{types}lang_pred string, score double, second string, ambiguous boolean")
+    return ordered.mapInArrow(tidy(run), f"{types}lang_pred string, score double, second string, ambiguous boolean")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from gaugery.llm.common import flagged, join_groups, materialise
 from gaugery.llm.components import components
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 SHINGLE = 5
 PERCENT = 80
@@ -194,7 +194,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     asked = materialise(dealt.unionAll(heads).withColumn("of", F.coalesce("id", "pivot")), "near-asked")
     found = flagged(texts, F.col("id"), asked.select("of")).withColumnRenamed("id", "of")
     rows = asked.join(found, "of").select("pivot", "block", "id", "text")
-    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("id").asc_nulls_first()).mapInArrow(_confirmer(k, percent), "id long, pivot long")
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("id").asc_nulls_first()).mapInArrow(tidy(_confirmer(k, percent)), "id long, pivot long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -293,7 +293,7 @@ def link(
     ship(docs.sparkSession)
     size = bands * rows
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialise(whole.mapInArrow(_sketcher(shingle, bands, rows), "id long, n_shingles long, sequence binary, sig binary, keys array<long>"), "near-sketch")
+    sketch = materialise(whole.mapInArrow(tidy(_sketcher(shingle, bands, rows)), "id long, n_shingles long, sequence binary, sig binary, keys array<long>"), "near-sketch")
     full = sketch.filter("id is not null and n_shingles > 0")
     classes = full.groupBy("sequence").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     member = materialise(join_groups(full.select("id", "sequence"), classes.filter("n > 1"), ["sequence"], "n", F.col("id")).select("id", F.coalesce("rep", "id").alias("rep")), "near-class")
@@ -313,7 +313,7 @@ def link(
         per = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
         heads = per.join(sigs.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot")
         both = join_groups(pairs.join(sigs, "id"), heads, ["pivot"], "n", F.col("id")).filter("pivot_sig is not null")
-        return both.select("id", "pivot", "sig", "pivot_sig").mapInArrow(_pruner(size, percent, miss), "id long, pivot long")
+        return both.select("id", "pivot", "sig", "pivot_sig").mapInArrow(tidy(_pruner(size, percent, miss)), "id long, pivot long")
 
     candidates = materialise(pruned(materialise(stars, "near-stars")), "near-pruned")
     links = materialise(confirm(candidates, whole, shingle, percent), "near-links")
@@ -327,10 +327,10 @@ def link(
     if not opened.isEmpty():
         sent = opened.join(sigs, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         runs = sent.select("key", F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"), F.when(F.col("own") == F.col("j"), 0).when(F.col("own") < F.col("j"), 1).otherwise(2).alias("side"), "id", "comp", "sig")
-        hopeful = runs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_hopeful(size, percent, miss), "key long, x int, y int, side int, id long, comp long")
+        hopeful = runs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(_hopeful(size, percent, miss)), "key long, x int, y int, side int, id long, comp long")
         hopeful = materialise(hopeful, "near-hopeful")
         told = hopeful.join(flagged(whole, F.col("id"), hopeful.select("id")), "id").select("key", "x", "y", "side", "id", "comp", "text")
-        found = told.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_finisher(shingle, percent), "id long, pivot long")
+        found = told.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(_finisher(shingle, percent)), "id long, pivot long")
         found = materialise(found, "near-links")
         if not found.isEmpty():
             comps = materialise(components(links.unionAll(found), "id", "pivot"), "near-comps")

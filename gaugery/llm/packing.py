@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 CAPACITY = 2048
 END_ID = 1
@@ -188,8 +188,8 @@ def pack(
     text = F.coalesce(F.col(text_col), F.lit(""))
     drawn = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(groups)).cast("bigint")
     pieces = docs.select(drawn.alias("group"), F.col(id_col).alias("id"), text.alias("text")).mapInArrow(
-        _cutter(tokenizer, capacity, end_id, narrow), f"group long, id {id_type}, start long, length long, doc_tokens long, ids binary"
+        tidy(_cutter(tokenizer, capacity, end_id, narrow)), f"group long, id {id_type}, start long, length long, doc_tokens long, ids binary"
     )
     dealt = pieces.repartition("group").sortWithinPartitions("group", F.col("length").desc(), "id", "start")
-    packed = dealt.mapInArrow(_packer(capacity, narrow), f"id {id_type}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+    packed = dealt.mapInArrow(tidy(_packer(capacity, narrow)), f"id {id_type}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
     return packed.withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugery.llm.common import flagged, join_groups, materialise
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 BITS = 5
 LEAST = 16
@@ -105,7 +105,7 @@ def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     """One row per chunk: id, place, start and end in bytes, words, and the digest's halves hi and lo."""
     ship(docs.sparkSession)
     schema = "id long, place int, start long, end long, words int, hi long, lo long"
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(_chunker(bits, least, most), schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most)), schema)
 
 
 def passages(
@@ -160,5 +160,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    cut = touched.select(*[f"`{c}`" for c in names], "__g_gone").mapInArrow(run, docs.schema)
+    cut = touched.select(*[f"`{c}`" for c in names], "__g_gone").mapInArrow(tidy(run), docs.schema)
     return cut.unionByName(rest)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugery.llm.common import labelled_sample
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 MOST_TOXIC = 2000
 MOST_CLEAN = 8000
@@ -173,7 +173,7 @@ def fit(labels: DataFrame, docs: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model()
-    counted = spread.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = spread.mapInArrow(tidy(_counted), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # A term needs three toxic texts and a weight of 2, an exception three clean ones over a stem: only such are collected.
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(toxic + 0.5) - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (F.lit(clean + 0.5) - F.col("clean")))
     counts = counted.filter((F.col("toxic") >= 3) & (odds >= 2)).toPandas()
@@ -195,7 +195,7 @@ def fit(labels: DataFrame, docs: DataFrame, most_toxic: int = MOST_TOXIC, most_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(length)], names=["label", "total", "length"])
 
     kind = rows.schema["label"].dataType.simpleString()
-    seen = spread.mapInArrow(measured, f"label {kind}, total double, length double").toPandas()
+    seen = spread.mapInArrow(tidy(measured), f"label {kind}, total double, length double").toPandas()
     y = (seen["label"].to_numpy() == 1).astype(float)
     best = None
     for power in POWERS:
@@ -237,4 +237,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(rest))), *columns], names=[*rest, "score", "predicted", "evidence", "n_words"])
 
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in ordered.schema.fields[:-1])
-    return ordered.mapInArrow(run, f"{types}score double, predicted int, evidence double, n_words long")
+    return ordered.mapInArrow(tidy(run), f"{types}score double, predicted int, evidence double, n_words long")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugery.ship import ship
+from gaugery.ship import ship, tidy
 
 DATE = "2024-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -114,7 +114,7 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                 rows.append(_record(f"{own}:{url}", "response", url, date, "application/http; msgtype=response", http + body, headers, body))
             yield _batch(rows)
 
-    return pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(run, SCHEMA)
+    return pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(tidy(run), SCHEMA)
 
 
 def _derivatives(row: dict) -> list[tuple]:
@@ -150,7 +150,7 @@ def derive(records: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 yield _batch([x for row in batch.slice(i, 500).to_pylist() for x in _derivatives(row)])
 
-    return records.filter("record_type = 'response'").select(*COLUMNS).mapInArrow(run, SCHEMA)
+    return records.filter("record_type = 'response'").select(*COLUMNS).mapInArrow(tidy(run), SCHEMA)
 
 
 def encode(row: dict) -> bytes:
@@ -190,7 +190,7 @@ def write(records: DataFrame, path: str) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([encode(x) for x in batch.slice(i, 500).to_pylist()], pa.binary())], names=["value"])
 
     # Members are stored as rows of a table; `read` takes both such a table and plain .warc or .warc.gz files.
-    records.select(*COLUMNS).mapInArrow(run, "value binary").write.mode("errorifexists").parquet(path)
+    records.select(*COLUMNS).mapInArrow(tidy(run), "value binary").write.mode("errorifexists").parquet(path)
 
 
 def read(spark: SparkSession, path: str, table: bool = False) -> DataFrame:
@@ -209,4 +209,4 @@ def read(spark: SparkSession, path: str, table: bool = False) -> DataFrame:
                         rows = []
                 yield _batch(rows)
 
-    return blobs.mapInArrow(run, SCHEMA)
+    return blobs.mapInArrow(tidy(run), SCHEMA)
