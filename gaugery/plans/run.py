@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from gaugery.functions import bleu, classification, ifeval, labels, math_text, mlqa, numeric, qa_text, rouge, text
 from gaugery.functions import multiple_choice as mc
 from gaugery.operators import joins, metrics, reshape
-from gaugery.plans.spec import prompt_column
-from gaugery.plans.suites import Suite, sql
+from gaugery.plans.spec import prompt_column, sql
+from gaugery.plans.suites import Suite
 from gaugery.ship import ship, tidy
 
 Scorer = Callable[[DataFrame], DataFrame]

@@ -13,6 +13,11 @@ from gaugery.functions.text import strip
 _slot = re.compile(r"\{([^{}]+)\}")
 
 
+def sql(text: str) -> Column:
+    """strip(x) becomes a regular expression that trims."""
+    return F.expr(re.sub(r"strip\((\w+|`[^`]+`)\)", r"regexp_replace(CAST(\1 AS STRING), '(?U)^[\\\\s]+|[\\\\s]+$', '')", text))
+
+
 def lettered(options: Column, mark: str = "{0}. {1}", glue: str = "\n") -> Column:
     """Options as lines that begin with their labels."""
     head, tail = mark.split("{0}")[0], mark.split("{0}")[1].split("{1}")
@@ -30,9 +35,9 @@ def prompt_column(template: str) -> Column:
         if kind == "raw" and name:
             parts.append(F.col(name).cast("string"))
         elif kind == "lettered" and name:
-            parts.append(lettered(F.expr(name)))
+            parts.append(lettered(sql(name)))
         elif kind == "sql" and name:
-            parts.append(F.expr(name).cast("string"))
+            parts.append(sql(name).cast("string"))
         else:
             parts.append(strip(F.col(m[1]).cast("string")))
         last = m.end()

@@ -7,12 +7,8 @@ given `prompt` (and `choices`, `gold` or `targets`) by the caller.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 
 @dataclass(frozen=True)
 class Suite:
@@ -31,11 +27,6 @@ class Suite:
     labels: tuple[str, ...] = ()  # for corpus F1 over labels
 
 
-def sql(text: str) -> Column:
-    """strip(x) becomes a regular expression that trims."""
-    return F.expr(re.sub(r"strip\((\w+|`[^`]+`)\)", r"regexp_replace(CAST(\1 AS STRING), '(?U)^[\\\\s]+|[\\\\s]+$', '')", text))
-
-
 SUITES: dict[str, Suite] = {}
 
 
