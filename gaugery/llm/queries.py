@@ -69,6 +69,40 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(page, *warc.FIELDS, F.to_json("headers").alias("headers"), F.decode("block", "UTF-8").alias("text"), "block_digest", "payload_digest")
 
 
+_COMMON_SQL = "[" + ", ".join(f"'{w}'" for w in quality_rules.COMMON) + "]"
+OP8_SQL = (
+    r"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT doc_id, lang, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, regexp_replace(t, '[a-z\x20\x09-\x0D]+', '', 'g') AS rest,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT doc_id, unnest(range(1, n_words - 1)) AS i, w FROM m WHERE n_words >= 3),
+q AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+k AS (SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words FROM q, (VALUES (0), (1), (2)) v(j) WHERE n > 1 GROUP BY doc_id),
+b AS (
+  SELECT m.doc_id, lang, w, rest, n_words, word_chars, length(regexp_replace(rest, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words, length(regexp_replace(rest, '[^A-Z]', '', 'g')) AS upper_, length(regexp_replace(rest, '[^0-9]', '', 'g')) AS digit,
+         length(regexp_replace(rest, '[^\x00-\x7f]', '', 'g')) AS plain FROM m LEFT JOIN k USING (doc_id)),
+h AS (
+  SELECT doc_id, lang, 'c' AS h, unnest(['a', 'b', 'c', 'd', 'e', 'f']) AS bin,
+         unnest([word_chars - length(rest), upper_, digit, n_symbols, plain - upper_ - digit - n_symbols, length(rest) - plain]) AS n FROM b
+  UNION ALL
+  SELECT doc_id, lang, 'w', CASE WHEN list_contains(COMMON, x) THEN x ELSE '' END, count(*) FROM (SELECT doc_id, lang, unnest(w) AS x FROM b) GROUP BY ALL),
+r AS (SELECT lang, h, bin, sum(n) AS n FROM h WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT NULL, h, bin, sum(n) FROM h GROUP BY ALL),
+rt AS (SELECT lang, h, sum(n)::DOUBLE AS total FROM r GROUP BY ALL),
+ht AS (SELECT doc_id, any_value(lang) AS lang, h, sum(n)::DOUBLE AS total FROM h GROUP BY doc_id, h HAVING sum(n) > 0),
+u AS (
+  SELECT ht.doc_id, ht.h, coalesce(h.n, 0) / ht.total AS p, r.n / rt.total AS q
+  FROM ht JOIN rt ON ht.h = rt.h AND ht.lang IS NOT DISTINCT FROM rt.lang JOIN r ON r.h = ht.h AND r.lang IS NOT DISTINCT FROM ht.lang
+  LEFT JOIN h ON h.doc_id = ht.doc_id AND h.h = ht.h AND h.bin = r.bin WHERE rt.total > 0),
+j AS (SELECT doc_id, h, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS js FROM u GROUP BY ALL),
+z AS (SELECT doc_id, sum(js) / 2 AS js FROM j GROUP BY doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b LEFT JOIN z USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (n_words < LEAST_WORDS OR coalesce(js, 0) <= MOST_DISTANCE) AS kept FROM f
+""".replace("COMMON", _COMMON_SQL).replace("LEAST_WORDS", str(quality_rules.LEAST_WORDS)).replace("MOST_DISTANCE", str(quality_rules.MOST_DISTANCE))
+)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -97,6 +131,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) WHEN len(w) = 1 THEN w ELSE [] END AS g FROM w),
+s AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS low FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON r.id = l.a WHERE r.low < l.b),
+c AS (SELECT id, min(low) AS component_id FROM r GROUP BY id)
+SELECT g.doc_id, len(g.g) AS n_shingles, c.component_id, g.doc_id = c.component_id AS kept FROM g JOIN c ON g.doc_id = c.id
+"""
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.link(table(spark, sf_dir, "documents"), shingle=2)
 
@@ -158,4 +208,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op9_mixing": OP9_SQL}
+    return {"op3_url_filter": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_near_dedup": OP6_SQL, "op8_quality_rules": OP8_SQL, "op9_mixing": OP9_SQL}

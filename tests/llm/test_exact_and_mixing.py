@@ -13,7 +13,7 @@ def rows(spark, texts):
     return spark.createDataFrame([(i, t, "en", s, "n", None) for i, t, s in texts], DOCS)
 
 
-@pytest.mark.parametrize("name", ["op3_url_filter", "op5_exact_dedup", "op9_mixing"])
+@pytest.mark.parametrize("name", ["op3_url_filter", "op5_exact_dedup", "op6_near_dedup", "op8_quality_rules", "op9_mixing"])
 def test_sql(name, same_as_sql):
     same_as_sql(queries.queries()[name], queries.oracle_sql()[name])
 
