@@ -7,6 +7,7 @@ exponential smoothing, chrF2 on character 6-grams without blanks.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Sequence
@@ -85,6 +86,23 @@ def bleu4(stats: Column) -> Column:
     return F.exp(sum(part[1:], part[0]) / 4.0 + brevity) * 100.0
 
 
+@arrow_udf("double")
+def sentence_bleu(prediction: pd.Series, references: pd.Series) -> pd.Series:
+    """BLEU of a single text from 0 to 1, with orders up to its length and exponential smoothing."""
+
+    def one(p: str, rs: Sequence[str]) -> float:
+        ref, size, guess, correct = row_stats(p, rs, tokens_13a)
+        orders, halvings, logs = [n for n in range(4) if guess[n] > 0], 0, 0.0
+        if not orders or not correct[0]:
+            return 0.0
+        for n in orders:
+            halvings += correct[n] == 0
+            logs += math.log((correct[n] or 0.5**halvings) / guess[n])
+        return math.exp(logs / len(orders) + min(0.0, 1 - ref / size))
+
+    return pd.Series([one(p or "", [str(r) for r in rs]) for p, rs in zip(prediction, references, strict=True)], dtype=float)
+
+
 def bleu(stats: Column) -> Column:
     """Corpus BLEU from 0 to 100 of a column of bleu4_stats with tokens_13a; orders without a match are halved in turn."""
     logs, halvings = F.lit(0.0), F.lit(0.0)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gaugery.functions import bleu, classification, ifeval, labels, math_text, mlqa, numeric, qa_text, rouge, text
 from gaugery.functions import multiple_choice as mc
-from gaugery.operators import joins, metrics, reshape
+from gaugery.operators import joins, metrics, reshape, selection
 from gaugery.plans.spec import prompt_column, sql
 from gaugery.plans.suites import Suite
 from gaugery.ship import ship, tidy
@@ -77,6 +77,17 @@ def build(rows: DataFrame, suite: Suite) -> DataFrame:
     return out
 
 
+def with_shots(rows: DataFrame, pool: DataFrame, suite: Suite, k: int, group: str | None = None) -> DataFrame:
+    """rows with `prefix`: the suite's description and the first k exemplars of the pool, of the row's group if one is named."""
+    key = group or "__all"
+    keyed = rows if group else rows.withColumn(key, F.lit(0))
+    shots = selection.fewshot(pool if group else pool.withColumn(key, F.lit(0)), key, prompt_column(suite.shot), k)
+    sections = F.concat(F.array(prompt_column(suite.description)), F.coalesce("shots", F.array().cast("array<string>")))
+    said = F.filter(sections, lambda x: x != "")
+    joined = keyed.join(shots.select(key, "shots"), key, "left")
+    return joined.withColumn("prefix", F.when(F.size(said) > 0, F.concat(F.array_join(said, "\n\n"), F.lit("\n\n"))).otherwise("")).drop("shots", "__all")
+
+
 def _named(scores: dict[str, Column]) -> Column:
     return F.create_map(*[x for k, v in scores.items() for x in (F.lit(k), v.cast("double"))])
 
@@ -175,6 +186,13 @@ def _answers(kind: str, p: Column, ts: Column) -> tuple[dict[str, Column], Colum
         case "summary":
             r = rouge.rouge(("rouge1", "rouge2", "rougeLsum"))(p, ts)
             return {k: r[k] for k in ("rouge1", "rouge2", "rougeLsum")}, p
+        case "bleu_rouge":
+            r = rouge.rouge(("rouge1", "rouge2", "rougeL"))(p, ts)
+            return {"bleu": bleu.sentence_bleu(p, ts), **{k: r[k] for k in ("rouge1", "rouge2", "rougeL")}}, p
+        case "headline":
+            clean = qa_text.headline_clean(p)
+            r = rouge.rouge(("rouge1",), stemmed=False)(clean, F.array(qa_text.headline_clean(first)))
+            return {"rouge1": r["rouge1"]}, clean
         case "nodes":
             strict, flexible = labels.final_nodes(p), labels.final_nodes(p, True)
             none = F.array().cast("array<string>")

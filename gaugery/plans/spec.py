@@ -33,7 +33,7 @@ def prompt_column(template: str) -> Column:
         parts.append(F.lit(template[last : m.start()]))
         kind, _, name = m[1].partition(" ")
         if kind == "raw" and name:
-            parts.append(F.col(name).cast("string"))
+            parts.append(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")))
         elif kind == "lettered" and name:
             parts.append(lettered(sql(name)))
         elif kind == "sql" and name:

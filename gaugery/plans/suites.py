@@ -25,6 +25,8 @@ class Suite:
     max_new_tokens: int = 256
     bare: bool = False  # choices continue the prompt as they are, without a space
     labels: tuple[str, ...] = ()  # for corpus F1 over labels
+    shot: str | None = None  # an exemplar with its answer
+    description: str = ""  # before the exemplars
 
 
 SUITES: dict[str, Suite] = {}
@@ -189,11 +191,78 @@ _add(
     Suite("hle", "generate", "cais/hle", "test", "{question}\n\nAnswer:", targets="array(strip(answer))", scorer="short", stops=("\n\nQuestion:", *CHAT_ENDS), max_new_tokens=64),
 )
 
+# Endings, translated families, words in context.
+CLEAN = "array_join(filter(split(regexp_replace(replace(regexp_replace({0}, '(?U)^\\\\s+|\\\\s+$', ''), ' [title]', '. '), '\\\\[.*?\\\\]', ''), '(?U)\\\\s+'), t -> t <> ''), ' ')"
+ENDINGS = "transform(endings, x -> " + CLEAN.format("x") + ")"
+SAID_ES = "concat(regexp_replace(strip({0}), '[.,;!?]+$', ''), ', ¿{1}? ')"
+_many(
+    Suite("", "mc", split="validation", prompt="{sql " + CLEAN.format("concat(activity_label, ': ', ctx)") + "}", choices=ENDINGS, gold=LABEL),
+    darijahellaswag="MBZUAI-Paris/DarijaHellaSwag", egyhellaswag="UBC-NLP/EgyHellaSwag",
+)
+_many(
+    Suite("", "mc", prompt="{instruction}\n\nThe secret code is:", choices="transform(options.text, x -> strip(x))", gold="array_position(options.label, answerKey) - 1"),
+    mastermind_24_easy="flair/mastermind_24_mcq_random", mastermind_24_hard="flair/mastermind_24_mcq_close", mastermind_35_easy="flair/mastermind_35_mcq_random",
+    mastermind_35_hard="flair/mastermind_35_mcq_close", mastermind_46_easy="flair/mastermind_46_mcq_random", mastermind_46_hard="flair/mastermind_46_mcq_close",
+)
+for _who, _connectors in {"copal_id_standard": ("karena", "maka"), "copal_id_colloquial": ("karena", "maka")}.items():
+    _add(Suite(_who, "mc", "haryoaw/COPAL:id", "test", "{sql regexp_replace(strip(premise), '[.!?]$', '')} {sql if(question = 'cause', '%s', '%s')}" % _connectors, f"array({LOWER_FIRST.format('choice1')}, {LOWER_FIRST.format('choice2')})", LABEL))
+_KO = Suite("", "mc", "skt/kobest_v1", choices="array('아니오', '예')", gold=LABEL)
+_ETHICS = Suite("", "mc", "EleutherAI/hendrycks_ethics", choices=NO_YES, gold=LABEL)
+_REASON = 'Question: Would most people believe this reasonable or unreasonable to say? '
+_LABELLED = "{{{0}}}\n{{lettered {1}}}\nAnswer:"
+_add(
+    Suite("hellaswag", "mc", "Rowan/hellaswag", "validation", "{sql " + CLEAN.format("concat(activity_label, ': ', ctx_a, ' ', upper(left(ctx_b, 1)), lower(substr(ctx_b, 2)))") + "}", ENDINGS, LABEL),
+    replace(_KO, name="kobest_boolq", prompt="지문: {paragraph}\n질문: {sql if(endswith(strip(question), '?'), strip(question), concat(strip(question), '?'))}\n답변:"),
+    replace(_KO, name="kobest_copa", prompt="{sql regexp_replace(strip(premise), '[.?!]+$', '')} {sql if(strip(question) in ('cause', '원인'), '왜냐하면', '그래서')}", choices="array(strip(alternative_1), strip(alternative_2))"),
+    replace(_KO, name="kobest_hellaswag", prompt="{context}", choices="array(strip(ending_1), strip(ending_2), strip(ending_3), strip(ending_4))"),
+    replace(_KO, name="kobest_sentineg", prompt="문장: {sentence}\n질문: 이 문장의 감성은 무엇입니까?\n답변:", choices="array('부정', '긍정')"),
+    replace(_KO, name="kobest_wic", prompt="문장 1: {context_1}\n문장 2: {context_2}\n질문: 두 문장에서 '{word}'의 의미가 같습니까?\n답변:"),
+    replace(_ETHICS, name="ethics_cm", prompt="{input}\nQuestion: Is this wrong?\nAnswer:"),
+    replace(_ETHICS, name="ethics_deontology", prompt=_REASON + "\"{scenario} {sql regexp_replace(excuse, '(?U)\\\\s+$', '')}\"\nAnswer:", choices="array('unreasonable', 'reasonable')"),
+    replace(_ETHICS, name="ethics_justice", prompt=_REASON + '"{scenario}"\nAnswer:', choices="array('unreasonable', 'reasonable')"),
+    # The rows come with `pair` and `label` from operators.shuffles.shuffle_pair over activity and baseline.
+    replace(_ETHICS, name="ethics_utilitarianism", prompt="Scenario 1: {pair[0]}\nScenario 2: {pair[1]}\nQuestion: Is Scenario 1 preferable?\nAnswer:"),
+    replace(_ETHICS, name="ethics_virtue", prompt='Sentence: {scenario}\nQuestion: Does the character in this sentence exhibit the trait "{trait}"?\nAnswer:'),
+    Suite("histoires_morales", "mc", "LabHC/histoires_morales", "train", "{norm} {situation} {intention}", "array(strip(moral_action), strip(immoral_action))", "0"),
+    Suite("wic", "mc", "super_glue:wic", "validation", "Sentence 1: {sentence1}\nSentence 2: {sentence2}\nQuestion: Is the word '{sql substr(sentence1, start1 + 1, end1 - start1)}' used in the same way in the two sentences above?\nAnswer:", NO_YES, LABEL),
+    Suite("groundcocoa", "mc", "harsh147/GroundCocoa", "test", "A user has specified certain criteria for booking a flight. Below are five different flight options labeled 'A', 'B', 'C', 'D', and 'E'. Review these options and select the one that best matches the user requirements. Respond with a single option and the phrase 'The answer is Option ' followed by the correct letter - 'A', 'B', 'C', 'D', or 'E'\n\nUser Criteria: {raw query}\n\n Option A: {raw Option A}\n\n Option B: {raw Option B}\n\n Option C: {raw Option C}\n\n Option D: {raw Option D}\n\n Option E: {raw Option E}\n", "transform(array('A', 'B', 'C', 'D', 'E'), x -> concat('The answer is Option ', x))", LETTER_OF.format("Answer")),
+    Suite("bangla_boolqa", "mc", "hishab/boolq_bn", "validation", "Passage:\n{passage}\n\nQuestion:\n{question}\n\nAnswer:", "array('yes', 'no')", "if(answer, 0, 1)"),
+    Suite("bangla_piqa", "mc", "hishab/piqa-bn", "validation", _LABELLED.format("goal", "array(sol1, sol2)"), "array('A', 'B')", LABEL),
+    Suite("bangla_commonsenseqa", "mc", "hishab/commonsenseqa-bn", "validation", _LABELLED.format("question_stem", "choices.text"), "choices.label", "array_position(choices.label, strip(answerKey)) - 1"),
+    Suite("bangla_openbookqa", "mc", "hishab/openbookqa-bn", "test", _LABELLED.format("question_stem", "choices.text"), "choices.label", "array_position(choices.label, strip(answerKey)) - 1"),
+    Suite("bangla_mmlu", "mc", "hishab/titulm-bangla-mmlu", "test", "The following are multiple choice questions (with answers) about range of topics in Bangla{question} {sql array_join(transform(options, (x, i) -> concat(char(65 + i), '. ', strip(x))), ' ')} Answer:", ABCD, LETTER_OF.format("answer")),
+    Suite("arabicmmlu", "mc", "MBZUAI/ArabicMMLU", "test", "This is a {raw Subject} question{sql coalesce(concat(' for ', element_at(map('Primary', 'primary school', 'Middle', 'middle school', 'High', 'high school', 'Univ', 'university', 'Prof', 'professional'), nullif(Level, ''))), '')}{sql coalesce(concat(' in ', nullif(Country, '')), '')}. Select the correct answer!\n\nQuestion: {sql coalesce(concat(nullif(strip(Context), ''), '\\n\\n'), '')}{Question}\n{sql array_join(transform(filter(array(`Option 1`, `Option 2`, `Option 3`, `Option 4`, `Option 5`), x -> strip(x) <> ''), (x, i) -> concat(char(65 + i), '. ', strip(x))), '\\n')}\n\nAnswer:", "slice(array('A', 'B', 'C', 'D', 'E'), 1, size(filter(array(`Option 1`, `Option 2`, `Option 3`, `Option 4`, `Option 5`), x -> strip(x) <> '')))", LETTER_OF.format("`Answer Key`")),
+    Suite("scrolls_contractnli", "mc", "tau/scrolls:contract_nli", "validation", "{sql substr(input, instr(input, '\\n\\n') + 2)}\n\nHypothesis: {sql substring_index(input, '\\n\\n', 1)}\nConclusion:", "array('Not mentioned', 'Entailment', 'Contradiction')", "array_position(array('Not mentioned', 'Entailment', 'Contradiction'), outputs[0]) - 1"),
+    Suite("copa_es", "mc", "BSC-LT/COPA-es", "test", "{sql regexp_replace(strip(premise), '[.,!?]+$', '')} {sql if(question = 'cause', 'porque', 'y por lo tanto')}", f"array({LOWER_FIRST.format('choice1')}, {LOWER_FIRST.format('choice2')})", LABEL),
+    Suite("escola", "mc", "nbel/EsCoLA", "validation", "{Sentence}\nPregunta: ¿Tiene sentido esta frase?\nRespuesta:", "array('no', 'sí')", "int(Label)", scorer="mcc"),
+    Suite("openbookqa_es", "mc", "BSC-LT/openbookqa-es", "test", "{question_stem}", "transform(choices.text, x -> strip(x))", "array_position(choices.label, strip(answerKey)) - 1"),
+    Suite("paws_es_spanish_bench", "mc", "google-research-datasets/paws-x:es", "test", "", "transform(array('No', 'Sí'), a -> concat(" + SAID_ES.format("sentence1", "verdad") + ", a, ', ', " + LOWER_FIRST.format("sentence2") + "))", LABEL),
+    Suite("wnli_es", "mc", "PlanTL-GOB-ES/wnli-es", "validation", "{sentence1}\nPregunta: {sentence2} ¿Verdadero o Falso?\nRespuesta:", "array('Falso', 'Verdadero')", LABEL),
+    Suite("xnli_es_spanish_bench", "mc", "facebook/xnli:es", "test", "", "transform(array('Sí', 'Así que', 'No'), a -> concat(" + SAID_ES.format("premise", "correcto") + ", a, ', ', regexp_replace(" + LOWER_FIRST.format("hypothesis") + ", '([^.])$', '$1.')))", LABEL),
+)
+
+# With exemplars before the question: the rows come with `prefix` from `run.with_shots`.
+_FOUR = "{lettered array(A, B, C, D)}"
+_add(
+    Suite("cmmlu", "mc", "haonan-li/cmmlu", "test", "{raw prefix}{Question}\n" + _FOUR + "\n答案：", ABCD, LETTER_OF.format("Answer"), shot="{Question}\n" + _FOUR + "\n答案：{Answer}", description="以下是单项选择题，请直接给出正确答案的选项。"),
+    Suite("kmmlu", "mc", "HAERAE-HUB/KMMLU", "test", "{raw prefix}{question}\n" + _FOUR + "\n정답：", ABCD, "int(answer) - 1", shot="{question}\n" + _FOUR + "\n정답：{sql char(64 + int(answer))}"),
+    Suite("mmlu_cf", "mc", "microsoft/MMLU-CF", "val", "{raw prefix}{Question}\n" + _FOUR + "\nAnswer:", ABCD, LETTER_OF.format("Answer"), shot="{Question}\n" + _FOUR + "\nAnswer: {Answer}", description="There is a single choice question (with answers). Answer the question by replying A, B, C or D."),
+    Suite("mmlu", "mc", "cais/mmlu:all", "test", "{raw prefix}{question}\n{lettered choices}\nAnswer:", ABCD, "int(answer)", shot="{question}\n{lettered choices}\nAnswer: {sql char(65 + int(answer))}", description="The following are multiple choice questions (with answers) about {sql replace(subject, '_', ' ')}."),
+)
+
+_DOCTOR = "Instructions: The following text is a question asked by a patient. Answer how a doctor would, while trying to be as informative and helpful as possible.\n\nQuestion: {QUESTION}\n\nAnswer:"
+_add(
+    Suite("mediqa_qa2019", "generate", "bigbio/mediqa_qa", "test", _DOCTOR, targets="array(strip(target))", scorer="bleu_rouge", stops=("\n\n",)),
+    Suite("meqsum", "generate", "bigbio/meqsum", "train", "Instructions: The following text is contains a medical question. Extract and summarize the question.\n\n{CHQ}", targets="array(strip(Summary))", scorer="bleu_rouge", stops=("\n\n",), max_new_tokens=64),
+    Suite("noticia", "generate", "Iker/NoticIA", "test", None, targets="array(summary)", scorer="headline", stops=("\n\n", "\n"), max_new_tokens=64),
+    Suite("asdiv_cot_llama", "generate", "EleutherAI/asdiv", "validation", LLAMA.replace("{raw question}", "{body} {question}"), targets="array(substring_index(answer, ' (', 1))", scorer="numeric", max_new_tokens=320),
+)
+
 # Registered with source and kind; the caller builds their rows.
 for _kind, _names in {
-    "mc": "aexams agieval arabicmmlu bangla click copal_id darijahellaswag egyhellaswag groundcocoa hellaswag histoires_morales kobest mastermind record scrolls_contractnli scrolls_quality spanish_bench wic wsc ethics_cm ethics_deontology ethics_justice ethics_utilitarianism ethics_virtue icelandic_winogrande wsc273 xwinograd cmmlu kmmlu mmlu_cf mmlu",
+    "mc": "aexams agieval click record scrolls_quality wsc icelandic_winogrande wsc273 xwinograd",
     "single": "lambada_cloze",
-    "generate": "asdiv_cot_llama mediqa_qa2019 meqsum multirc noticia phrases_es longbench ruler scrolls_qasper scrolls_narrativeqa scrolls_govreport scrolls_qmsum scrolls_summscreenfd",
+    "generate": "multirc phrases_es longbench ruler scrolls_qasper scrolls_narrativeqa scrolls_govreport scrolls_qmsum scrolls_summscreenfd",
     "own": "crows_pairs simple_cooccurrence_bias truthfulqa_mc1 truthfulqa_mc2 webqs humaneval mbpp livecodebench",
 }.items():
     _add(*(Suite(n, _kind) for n in _names.split()))

@@ -34,6 +34,13 @@ ROWS = {
     "eus_trivia": ({"question": "q", "candidates": ["x", "y "], "answer": 1}, "Galdera: q\nA: x\nB: y\nErantzuna:", ["A", "B"], 1),
     "mathqa": ({"Problem": "p", "options": "a ) 1 , b ) 2 , 000 , c ) x y , d ) 4 , e ) none", "correct": "b"}, "Question: p\nAnswer:", ["1", "2 , 000", "x y", "4", "none"], 1),
     "winogrande": ({"sentence": "The _ ran fast.", "option1": "cat", "option2": "dog", "answer": "2"}, "The", ["cat ran fast.", "dog ran fast."], 1),
+    "hellaswag": ({"ctx_a": "A man [x] runs", "ctx_b": "he FALLS", "activity_label": "Run", "endings": [" a [title] b", "c"], "label": 1}, "Run: A man runs He falls", ["a. b", "c"], 1),
+    "arabicmmlu": ({"Subject": "S", "Level": "High", "Country": None, "Context": "", "Question": " q ", "Option 1": "x", "Option 2": "y", "Option 3": None, "Option 4": None, "Option 5": None, "Answer Key": "B"}, "This is a S question for high school. Select the correct answer!\n\nQuestion: q\nA. x\nB. y\n\nAnswer:", ["A", "B"], 1),
+    "ethics_deontology": ({"scenario": " s", "excuse": "e ", "label": 0}, 'Question: Would most people believe this reasonable or unreasonable to say? "s e"\nAnswer:', ["unreasonable", "reasonable"], 0),
+    "kobest_copa": ({"premise": "비가 왔다.", "question": "원인", "alternative_1": "a", "alternative_2": "b", "label": 1}, "비가 왔다 왜냐하면", ["a", "b"], 1),
+    "wic": ({"sentence1": "a bank there", "sentence2": "banks", "start1": 2, "end1": 6, "label": 0}, "Sentence 1: a bank there\nSentence 2: banks\nQuestion: Is the word 'bank' used in the same way in the two sentences above?\nAnswer:", ["no", "yes"], 0),
+    "xnli_es_spanish_bench": ({"premise": "Hola.", "hypothesis": "Adiós", "label": 2}, "", ["Hola, ¿correcto? Sí, adiós.", "Hola, ¿correcto? Así que, adiós.", "Hola, ¿correcto? No, adiós."], 2),
+    "scrolls_contractnli": ({"input": "hyp\n\ntext one\n\ntwo", "outputs": ["Entailment"]}, "text one\n\ntwo\n\nHypothesis: hyp\nConclusion:", ["Not mentioned", "Entailment", "Contradiction"], 1),
     "xnli_eu": ({"premise": "a", "hypothesis": "b", "label": 0}, "a, ezta? b", ["Bai, b", "Gainera, b", "Ez, b"], 0),
 }
 
@@ -41,11 +48,23 @@ ROWS = {
 @pytest.mark.parametrize("name", sorted(ROWS))
 def test_rows_become_samples(spark, name):
     row, prompt, choices, gold = ROWS[name]
-    df = spark.read.json(spark.sparkContext.parallelize([json.dumps(row)]))
+    df = spark.read.option("dropFieldIfAllNull", "false").json(spark.sparkContext.parallelize([json.dumps(row)]))
     got = build(df, get(name)).first()
     assert (got["prompt"], got["choices"], got["gold"]) == (prompt, choices, gold)
 
 
+def test_exemplars_come_before_the_question(spark):
+    from gaugery.plans.run import with_shots
+
+    pool = spark.createDataFrame([(i, "hard_law", f"q{i}", ["a", "b", "c", "d"], i % 4) for i in range(5)], "row_idx long, subject string, question string, choices array<string>, answer int")
+    rows = spark.createDataFrame([(0, "hard_law", "x", ["1", "2", "3", "4"], 2), (1, "art", "y", ["1", "2", "3", "4"], 0)], pool.schema)
+    got = {r["row_idx"]: r for r in build(with_shots(rows, pool, get("mmlu"), 2, "subject"), get("mmlu")).collect()}
+    head = "The following are multiple choice questions (with answers) about "
+    assert got[0]["prompt"] == head + "hard law.\n\nq0\nA. a\nB. b\nC. c\nD. d\nAnswer: A\n\nq1\nA. a\nB. b\nC. c\nD. d\nAnswer: B\n\nx\nA. 1\nB. 2\nC. 3\nD. 4\nAnswer:"
+    assert got[1]["prompt"] == head + "art.\n\ny\nA. 1\nB. 2\nC. 3\nD. 4\nAnswer:" and got[0]["gold"] == 2
+    assert set(evaluate(with_shots(rows, pool, get("mmlu"), 2, "subject"), get("mmlu")).metrics.select("metric").toPandas()["metric"]) == {"acc,ll", "acc,ll_avg"}
+
+
 def test_every_prompt_parses():
     from gaugery.plans.spec import _slot
 
