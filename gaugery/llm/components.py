@@ -33,15 +33,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Every node has one way down and ends there: no node with two, and none with ways both down and up."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionAll(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """One row per linked node: node and component, the least node that it reaches. Self-links and nulls are ignored."""
     edges = links.filter(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("a"), F.least(left, right).alias("b")).distinct()
-    edges, before = materialise(edges, "links"), None
+    edges = materialise(edges, "links")
     for _ in range(MOST_ROUNDS):
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("a"), F.min("b")).first())
-        if now == before or now[0] == 0:
+        if _settled(edges):
             break
-        before = now
         edges = materialise(_small(_large(edges)), "links")
     else:
         raise RuntimeError(f"components have not settled in {MOST_ROUNDS} rounds")

@@ -170,16 +170,21 @@ def fit(
     own = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
     rows = labelled_sample(own.select("id", "label"), own.select("id", "text"), per_language)
     counted = rows.mapInArrow(tidy(_counter(dimensions)), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    got = counted.toPandas()
-    languages = sorted(got["lang"].unique())
+    got = counted.toArrow()
+    names, bins, numbers = got.column("lang").combine_chunks().dictionary_encode(), got.column("bin").to_numpy(), got.column("n").to_numpy()
+    if isinstance(names, pa.ChunkedArray):
+        names = names.combine_chunks()
+    seen = names.dictionary.to_pylist()
+    languages = sorted(seen)
     codes = codewords(len(languages))
     if len(languages) < 2:
         return Model(languages, codes, np.zeros((dimensions, 1), np.float32), np.ones(1))
-    counts = np.zeros((len(languages), dimensions))
-    np.add.at(counts, (got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy(), got["bin"].to_numpy()), got["n"].to_numpy())
-    p = (counts + SMOOTHING) / (counts + SMOOTHING).sum(axis=1, keepdims=True)
-    side = lambda s: (p[:, :, None] * (codes[:, None, :] == s)).sum(axis=0) / (codes == s).sum(axis=0)
-    model = Model(languages, codes, np.log(side(1) / side(-1)).astype(np.float32), np.ones(codes.shape[1]))
+    counts = np.full((len(languages), dimensions), SMOOTHING)
+    place = np.array([languages.index(x) for x in seen])
+    counts[place[names.indices.to_numpy()], bins] += numbers  # one row for each language and bin
+    p = counts / counts.sum(axis=1, keepdims=True)
+    side = lambda s: (codes == s).T.astype(float) @ p / (codes == s).sum(axis=0)[:, None]
+    model = Model(languages, codes, np.log(side(1) / side(-1)).T.astype(np.float32, order="C"), np.ones(codes.shape[1]))
 
     def tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, seen = np.zeros(codes.shape[1], np.int64), 0

@@ -66,9 +66,9 @@ def _cut(cells: DataFrame, key: list[str], cell: str, need: str, before: str) ->
     return hit.select(*key, F.col(cell).alias(f"{cell}_cut"), (F.col("__g_run") - F.col("__g_words")).alias(f"{cell}_before"))
 
 
-def _by_source(rows: DataFrame, sources: DataFrame, size: str) -> DataFrame:
-    """Left join with a written table of one row per source: broadcast if it has few enough rows, else by `join_groups`."""
-    if sources.count() <= FEW_SOURCES:
+def _by_source(rows: DataFrame, sources: DataFrame, size: str, few: bool) -> DataFrame:
+    """Left join with a written table of one row per source: broadcast if there are few, else by `join_groups`."""
+    if few:
         return rows.join(F.broadcast(sources), "__g_source", "left")
     return join_groups(rows, sources, ["__g_source"], size, F.col("__g_id"))
 
@@ -85,9 +85,9 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     )
 
 
-def _ranked(rows: DataFrame, due: DataFrame, most: int) -> DataFrame:
+def _ranked(rows: DataFrame, due: DataFrame, most: int, few: bool) -> DataFrame:
     """rows with copies due, their whole part, the rest, the rank, and its cells."""
-    rows = _by_source(rows, due, "source_size").withColumn("__g_due", F.coalesce(F.least(F.lit(float(most)), F.col("__g_rate") * F.col("__g_weight")), F.lit(0.0)))
+    rows = _by_source(rows, due, "source_size", few).withColumn("__g_due", F.coalesce(F.least(F.lit(float(most)), F.col("__g_rate") * F.col("__g_weight")), F.lit(0.0)))
     rows = rows.withColumn("__g_whole", F.floor("__g_due").cast("bigint")).withColumn("__g_f", F.col("__g_due") - F.col("__g_whole"))
     odds = (F.col("__g_u") / (1 - F.col("__g_u"))) * ((1 - F.col("__g_f")) / F.when(F.col("__g_f") > 0, F.col("__g_f")))
     # odds / (1 + odds) keeps the order and lies in (0, 1).
@@ -110,18 +110,18 @@ def _inside(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("__g_in", F.when(_wanted(), F.col("__g_k1").isNull() | below | F.coalesce(at, F.lit(False))).otherwise(False))
 
 
-def _cuts(ranked: DataFrame) -> DataFrame:
+def _cuts(ranked: DataFrame, few: bool) -> DataFrame:
     """One row per source: the words needed beyond certain copies, the cells and the rank of the cut, and the gap left."""
     key = ["__g_source"]
     tries = ranked.filter("__g_rank is not null and __g_size > 0")
     certain = ranked.groupBy(*key).agg((F.first("target") - F.sum(F.col("__g_whole") * F.col("__g_size"))).alias("__g_need"), F.count(F.lit(1)).alias("__g_rows"))
     first = tries.groupBy(*key, "__g_c1").agg(F.sum("__g_size").alias("__g_words")).join(certain, key).withColumn("__g_zero", F.lit(0).cast("bigint"))
     one = materialise(_cut(first, key, "__g_c1", "__g_need", "__g_zero").join(certain, key), "mix-cells")
-    in_one = _by_source(tries, one, "__g_rows").filter(F.col("__g_c1") == F.col("__g_c1_cut"))
+    in_one = _by_source(tries, one, "__g_rows", few).filter(F.col("__g_c1") == F.col("__g_c1_cut"))
     second = in_one.groupBy(*key, "__g_c1", "__g_c2", "__g_need", "__g_c1_before").agg(F.sum("__g_size").alias("__g_words"))
     two = _cut(second, [*key, "__g_c1", "__g_need"], "__g_c2", "__g_need", "__g_c1_before")
     two = materialise(two.join(certain.select(*key, "__g_rows"), key).withColumnRenamed("__g_c1", "__g_k1"), "mix-cells")
-    last = _by_source(tries, two, "__g_rows").filter((F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") == F.col("__g_c2_cut")))
+    last = _by_source(tries, two, "__g_rows", few).filter((F.col("__g_c1") == F.col("__g_k1")) & (F.col("__g_c2") == F.col("__g_c2_cut")))
     ties = last.groupBy(*key, "__g_need", "__g_c2_before", "__g_rank", "__g_id").agg(F.sum("__g_size").alias("__g_words"))
     order = Window.partitionBy(*key).orderBy("__g_rank", F.col("__g_id").asc_nulls_last())
     run = ties.withColumn("__g_run", F.sum("__g_words").over(order) + F.col("__g_c2_before"))
@@ -147,14 +147,15 @@ def _copies(
     else:
         due = due.withColumn("__g_rate", F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))
     due = materialise(due, "mix-targets")
-    ranked = _ranked(sizes, due, most)
-    cuts = materialise(_cuts(ranked), "mix-cuts")
+    few = due.count() <= FEW_SOURCES  # of sources; every table by source has as many rows at most
+    ranked = _ranked(sizes, due, most, few)
+    cuts = materialise(_cuts(ranked, few), "mix-cuts")
     # The document that closes the gap best is the last of the sample, if it comes nearer than none.
     miss = F.abs(F.col("__g_size") - F.col("__g_gap"))
-    closer = _inside(_by_source(ranked, cuts, "__g_rows")).filter(_wanted() & ~F.col("__g_in") & (F.col("__g_size") > 0) & (miss < F.col("__g_gap")))
+    closer = _inside(_by_source(ranked, cuts, "__g_rows", few)).filter(_wanted() & ~F.col("__g_in") & (F.col("__g_size") > 0) & (miss < F.col("__g_gap")))
     fill = closer.groupBy("__g_source").agg(F.min(F.struct(miss.alias("miss"), _who().alias("who"))).getField("who").alias("__g_fill"))
     cuts = materialise(cuts.join(fill, "__g_source", "left"), "mix-fill")
-    done = _inside(_by_source(_ranked(drawn, due, most), cuts, "__g_rows"))
+    done = _inside(_by_source(_ranked(drawn, due, most, few), cuts, "__g_rows", few))
     extra = F.col("__g_in") | F.coalesce(_wanted() & (_who() == F.col("__g_fill")), F.lit(False))
     return done.withColumn("__g_copies", F.col("__g_whole") + extra.cast("bigint"))
 

@@ -58,7 +58,6 @@ class Encoder:
             said = json.load(f)
         special = [x["content"] for x in said.get("added_tokens") or ()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.size = self.exact.get_vocab_size()
         self.fast = self._fast(said, set(special))
 
     @staticmethod
@@ -78,6 +77,15 @@ class Encoder:
         return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
 
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id of a tokenizer file; an encoder, which takes more memory, isn't made for that."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    vocab = said["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return 1 + max([*ids, *(x["id"] for x in said.get("added_tokens") or ())])
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -184,7 +192,7 @@ def pack(
     ship(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     groups = max(1, -(-docs.count() // group_docs))
-    narrow = max(encoder(tokenizer).size, end_id + 1) <= 1 << 16
+    narrow = max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16
     text = F.coalesce(F.col(text_col), F.lit(""))
     drawn = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(groups)).cast("bigint")
     pieces = docs.select(drawn.alias("group"), F.col(id_col).alias("id"), text.alias("text")).mapInArrow(
