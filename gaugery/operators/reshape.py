@@ -103,7 +103,22 @@ def replace_span(text: Column, start: Column, old: Column, new: Column) -> Colum
 
 
 def rolling_windows(df: DataFrame, ids: str, width: int, start_id: int) -> DataFrame:
-    """Disjoint windows of at most `width` tokens to be scored, each with the one token before it as context."""
+    """Disjoint windows of at most `width` tokens to be scored, each with `context_ids` before it: the start token for the
+    first, else the token before, and for a last window that is short as many more as keep the input at its full width."""
     cut = df.select("*", F.posexplode(F.sequence(F.lit(0), F.greatest(F.size(ids) - 1, F.lit(0)), F.lit(width))).alias("window_idx", "at")).filter(F.size(ids) > 0)
-    before = F.when(F.col("at") == 0, F.lit(start_id)).otherwise(F.get(ids, F.col("at") - 1))
-    return cut.withColumn("context_id", before).withColumn("window_ids", F.slice(ids, F.col("at") + 1, F.lit(width))).drop("at")
+    count = F.least(F.lit(width), F.size(ids) - F.col("at"))
+    before = F.when(F.col("at") == 0, F.array(F.lit(start_id))).otherwise(F.slice(ids, F.greatest(F.col("at") + count - width, F.lit(1)), width - count + 1))
+    return cut.withColumn("context_ids", before).withColumn("window_ids", F.slice(ids, F.col("at") + 1, F.lit(width))).drop("at")
+
+
+def continuation_chunks(df: DataFrame, prefix: str, target: str, width: int, start_id: int) -> DataFrame:
+    """A continuation longer than the model's input, in chunks of at most `width` tokens, each with as much of what stands
+    before it as fits: the input holds one token more than the width, as the last one is only predicted."""
+    history = F.concat(F.when(F.size(prefix) > 0, F.col(prefix)).otherwise(F.array(F.lit(start_id))), F.col(target))
+    cut = df.withColumn("__all", history).filter(F.size(target) > 0)
+    cut = cut.select("*", F.posexplode(F.sequence(F.lit(0), F.size(target) - 1, F.lit(width))).alias("chunk_idx", "__at"))
+    ends = F.size("__all") - F.size(target) + F.col("__at")  # tokens before the chunk
+    count = F.least(F.lit(width), F.size(target) - F.col("__at"))
+    context = F.least(ends, width + 1 - count)
+    out = cut.withColumn("context_ids", F.slice("__all", ends - context + 1, context)).withColumn("chunk_ids", F.slice(target, F.col("__at") + 1, F.lit(width)))
+    return out.drop("__all", "__at")

@@ -404,12 +404,12 @@ def fixed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     "rolling_windows",
     """
 WITH e AS (SELECT vec_id, unnest(range(0, len(embedding), 5)) AS place, len(embedding) AS n FROM embeddings)
-SELECT vec_id, (place // 5)::INT AS window_idx, least(5, n - place)::INT AS tokens, (CASE WHEN place = 0 THEN -1 ELSE place - 1 END)::INT AS context_id FROM e
+SELECT vec_id, (place // 5)::INT AS window_idx, least(5, n - place)::INT AS tokens, (CASE WHEN place = 0 THEN 1 ELSE 6 - least(5, n - place) END)::INT AS context, (CASE WHEN place = 0 THEN -1 ELSE place - 1 END)::INT AS last_id FROM e
 """,
 )
 def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.sequence(F.lit(0), F.size("embedding") - 1).alias("ids"))
-    return reshape.rolling_windows(e, "ids", 5, -1).select("vec_id", "window_idx", F.size("window_ids").alias("tokens"), "context_id")
+    return reshape.rolling_windows(e, "ids", 5, -1).select("vec_id", "window_idx", F.size("window_ids").alias("tokens"), F.size("context_ids").alias("context"), F.element_at("context_ids", -1).alias("last_id"))
 
 
 _LANES = """

@@ -168,6 +168,27 @@ def test_reshaping(spark):
     assert [(r["item_idx"], r["label"], r["text"]) for r in reshape.columns_to_rows(zipped, ["label", "text"]).collect()] == [(0, "A", "x"), (1, "B", "y")]
 
 
+def test_windows_and_chunks(spark):
+    df = spark.createDataFrame([(list(range(12)), [90, 91, 92]), ([7], [])], "ids array<int>, prefix array<int>")
+    got = [(r["context_ids"], r["window_ids"]) for r in reshape.rolling_windows(df, "ids", 5, -1).collect()]
+    assert got == [([-1], [0, 1, 2, 3, 4]), ([4], [5, 6, 7, 8, 9]), ([6, 7, 8, 9], [10, 11]), ([-1], [7])]
+    got = [(r["context_ids"], r["chunk_ids"]) for r in reshape.continuation_chunks(df, "prefix", "ids", 5, -1).collect()]
+    assert got == [([92], [0, 1, 2, 3, 4]), ([4], [5, 6, 7, 8, 9]), ([6, 7, 8, 9], [10, 11]), ([-1], [7])]
+
+
+def test_requests(spark):
+    from gaugery.operators import requests
+
+    df = spark.createDataFrame([("p", [("a", "b")], None), ("q", None, [1, 2, 3])], "p string, s array<struct<prompt:string,target:string>>, ids array<int>")
+    got = df.select(requests.chat(F.col("p"), F.col("s")).alias("m"), requests.length(F.col("ids"), None, F.col("p")).alias("n")).collect()
+    assert [[m["content"] for m in r["m"]] for r in got] == [["a", "b", "p"], ["q"]] and [r["n"] for r in got] == [1, 3]
+    assert df.select(requests.length(messages=requests.chat(F.col("p"))).alias("n")).first()["n"] == 5
+    assert df.select(requests.generation(F.col("p"), stops=("x",)).alias("r")).first()["r"]["stop"] == ["x"]
+    with pytest.raises(ValueError):
+        requests.generation()
+    assert df.select(requests.choices_length(F.col("p"), F.array(F.lit("ab"), F.lit("c"))).alias("n")).first()["n"] == 4
+
+
 def test_comparison_and_means(spark):
     a = spark.createDataFrame([("s", "m", 1.0), ("s", "n", 0.5)], "suite string, metric string, value double")
     b = spark.createDataFrame([("s", "m", 1.0), ("s", "o", 0.5)], "suite string, metric string, value double")
