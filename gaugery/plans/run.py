@@ -69,9 +69,9 @@ class Result:
 def build(rows: DataFrame, suite: Suite) -> DataFrame:
     """rows with prompt, and choices and gold, or targets, as the suite says; what it doesn't say must be there."""
     made = {"__p": prompt_column(suite.prompt)} if suite.prompt is not None else {}
-    made |= {f"__{k}": sql(getattr(suite, k)) for k in ("choices", "gold", "targets") if getattr(suite, k) is not None}
+    made |= {f"__{k}": sql(getattr(suite, k)) for k in ("choices", "gold", "targets", "suffix") if getattr(suite, k) is not None}
     out = rows.withColumns(made) if made else rows
-    for short, name in (("__p", "prompt"), ("__choices", "choices"), ("__gold", "gold"), ("__targets", "targets")):
+    for short, name in (("__p", "prompt"), ("__choices", "choices"), ("__gold", "gold"), ("__targets", "targets"), ("__suffix", "suffix")):
         if short in made:
             out = out.drop(name).withColumnRenamed(short, name)
     return out
@@ -93,6 +93,8 @@ def _named(scores: dict[str, Column]) -> Column:
 
 
 def likelihood_requests(samples: DataFrame, suite: Suite) -> DataFrame:
+    if suite.suffix is not None:
+        return reshape.explode_choices(samples.select("row_idx", "suffix", "choices")).select("row_idx", "choice_idx", F.col("choice").alias("context"), F.col("suffix").alias("continuation"))
     exploded = reshape.explode_choices(samples.select("row_idx", "prompt", "choices"))
     said = F.col("choice") if suite.bare else text.continuation(F.col("choice"))
     return exploded.select("row_idx", "choice_idx", F.col("prompt").alias("context"), said.alias("continuation"))
@@ -125,6 +127,34 @@ def multiple_choice(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer)
     return Result(suite.name, out, found)
 
 
+def own(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer) -> Result:
+    """Likelihoods of choices with another score than the share of right ones."""
+    samples = build(rows, suite)
+    outputs = scorer(likelihood_requests(samples, suite)).withColumn("lp", F.col("logprob").cast("double"))
+    listed = F.array_sort(F.collect_list(F.struct("choice_idx", "lp", "is_greedy")))
+    joined = joins.join_outputs(samples, outputs.groupBy("row_idx").agg(listed.alias("scored")), ["row_idx"])
+    lps = F.transform("scored", lambda c: c["lp"])
+    best = mc.argmax(lps)
+    match suite.scorer:
+        case "preference":
+            scores = {"pct_stereotype": F.get(lps, F.lit(0)) > F.get(lps, F.lit(1)), "ll_diff": F.abs(F.get(lps, F.lit(0)) - F.get(lps, F.lit(1)))}
+        case "cooccurrence":
+            at = lambda i: F.get(lps, F.lit(i))
+            scores = {"likelihood_diff": mc.logsumexp(at(0), at(1)) - mc.logsumexp(at(2), at(3)), "pct_male_preferred": best >= 2}
+        case "truth_first":
+            scores = {"acc": F.get("gold", best) == 1}
+        case "truth_mass":
+            mass = F.zip_with(mc.softmax(lps), F.col("gold"), lambda p, g: F.when(g == 1, p).otherwise(0.0))
+            scores = {"acc": F.aggregate(mass, F.lit(0.0), lambda s, x: s + x)}
+        case "greedy":
+            greedy = F.array_position(F.transform("scored", lambda c: F.coalesce(c["is_greedy"], F.lit(False))), True)
+            scores, best = {"em": greedy > 0}, F.when(greedy > 0, (greedy - 1).cast("int")).otherwise(best)
+        case other:
+            raise NotImplementedError(f"{suite.name} needs {other or 'an evaluator'} outside this engine")
+    out = joined.withColumn("prediction", F.get("choices", best)).withColumn("scores", _named(scores))
+    return Result(suite.name, out, metrics.mean_scores(out).select(F.lit(suite.name).alias("suite"), "metric", "value"))
+
+
 def single(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer) -> Result:
     samples = build(rows, suite)
     asked = samples.select("row_idx", F.lit(0).alias("choice_idx"), F.col("prompt").alias("context"), F.get("targets", F.lit(0)).alias("continuation"))
@@ -229,13 +259,13 @@ def generate(rows: DataFrame, suite: Suite, scorer: Scorer) -> Result:
     return Result(suite.name, out, metrics.mean_scores(out).select(suite_col, "metric", "value"))
 
 
-RUNNERS = {"mc": multiple_choice, "exam": multiple_choice, "single": single, "rolling": rolling, "generate": generate}
+RUNNERS = {"mc": multiple_choice, "exam": multiple_choice, "single": single, "rolling": rolling, "generate": generate, "own": own}
 
 
 def evaluate(rows: DataFrame, suite: Suite, scorer: Scorer | None = None) -> Result:
-    """rows have row_idx. Suites with an evaluator of their own have functions of that in `functions` and `operators`."""
-    if suite.kind not in RUNNERS:
-        raise NotImplementedError(f"{suite.name} has an evaluator of its own")
+    """rows have row_idx. Suites that run generated code aren't evaluated, as there is no sandbox."""
+    if suite.kind == "own" and suite.scorer is None:
+        raise NotImplementedError(f"{suite.name} runs generated code")
     if suite.kind == "generate" and scorer is None:
         raise ValueError("generated answers need a scorer")
     return RUNNERS[suite.kind](rows, suite, *([scorer] if scorer else []))

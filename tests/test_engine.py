@@ -53,6 +53,32 @@ def test_rows_become_samples(spark, name):
     assert (got["prompt"], got["choices"], got["gold"]) == (prompt, choices, gold)
 
 
+def outputs_of(spark, lps):
+    rows = [(i, j, x, x == max(row), 1) for i, row in enumerate(lps) for j, x in enumerate(row)]
+    return recorded(spark.createDataFrame(rows, "row_idx long, choice_idx int, logprob double, is_greedy boolean, token_count int"))
+
+
+def test_suites_with_scores_of_their_own(spark):
+    found = lambda df, name, lps: {r["metric"]: r["value"] for r in evaluate(df, get(name), outputs_of(spark, lps)).metrics.collect()}
+    pairs = spark.createDataFrame([(0, "a", "b"), (1, "c", "d")], "row_idx long, sent_more string, sent_less string")
+    assert found(pairs, "crows_pairs", [[-1.0, -2.0], [-3.0, -1.0]]) == {"pct_stereotype": 0.5, "ll_diff": 1.5}
+    bias = spark.createDataFrame([(0, "s", "o")], "row_idx long, sentence string, occupation string")
+    got = found(bias, "simple_cooccurrence_bias", [[-1.0, -1.0, -0.5, -9.0]])
+    assert got["pct_male_preferred"] == 1 and got["likelihood_diff"] == pytest.approx(-1 + 0.693147 + 0.5 - 0.0002, abs=1e-3)
+    truth = spark.createDataFrame([(0, "q", (["a", "b", "c"], [1, 0, 1]), (["a", "b", "c"], [1, 0, 1]))], "row_idx long, question string, mc1_targets struct<choices:array<string>,labels:array<int>>, mc2_targets struct<choices:array<string>,labels:array<int>>")
+    assert found(truth, "truthfulqa_mc1", [[-2.0, -1.0, -3.0]]) == {"acc": 0.0}
+    assert found(truth, "truthfulqa_mc2", [[-1.0, -1.0, -1.0]])["acc"] == pytest.approx(2 / 3)
+    web = spark.createDataFrame([(0, "q", ["Bob Dylan", "Bob", " Al "])], "row_idx long, question string, answers array<string>")
+    assert build(web, get("webqs")).first()["choices"] == ["Al", "Bob"]
+    assert found(web, "webqs", [[-1.0, -2.0]]) == {"em": 1.0}
+    blank = spark.createDataFrame([(0, "The _ ran.", "cat", "dog", "2")], "row_idx long, sentence string, option1 string, option2 string, answer string")
+    from gaugery.plans.run import likelihood_requests
+
+    asked = likelihood_requests(build(blank, get("xwinograd_en")), get("xwinograd_en")).orderBy("choice_idx").collect()
+    assert [(r["context"], r["continuation"]) for r in asked] == [("The cat", " ran."), ("The dog", " ran.")]
+    assert found(blank, "xwinograd_en", [[-2.0, -1.0]]) == {"acc,ll": 1.0, "acc,ll_avg": 1.0}
+
+
 def test_exemplars_come_before_the_question(spark):
     from gaugery.plans.run import with_shots
 
