@@ -216,6 +216,13 @@ def _answers(kind: str, p: Column, ts: Column) -> tuple[dict[str, Column], Colum
         case "summary":
             r = rouge.rouge(("rouge1", "rouge2", "rougeLsum"))(p, ts)
             return {k: r[k] for k in ("rouge1", "rouge2", "rougeLsum")}, p
+        case "indices":
+            said, gold = labels.indices(p, F.size("answers")), F.transform(ts, lambda x: x.cast("bigint"))
+            none = F.size(said) == 0
+            f1 = F.when(none & (F.size(gold) == 0), 1.0).when(none, 0.0).otherwise(labels.set_f1(said, gold))
+            return {"em": F.array_sort(said) == F.array_sort(F.array_distinct(gold)), "f1a": f1}, F.array_join(F.transform(said, lambda x: x.cast("string")), ",")
+        case "contains_all":
+            return {"contains": qa_text.contains_fraction(qa_text.control_to_lines(p), ts)}, qa_text.control_to_lines(p)
         case "bleu_rouge":
             r = rouge.rouge(("rouge1", "rouge2", "rougeL"))(p, ts)
             return {"bleu": bleu.sentence_bleu(p, ts), **{k: r[k] for k in ("rouge1", "rouge2", "rougeL")}}, p

@@ -278,17 +278,48 @@ _add(
     Suite("webqs", "own", "web_questions", "test", "Question: {question}\nAnswer:", "aggregate(array_sort(filter(transform(answers, x -> strip(x)), x -> x <> '')), cast(array() as array<string>), (s, x) -> if(size(s) > 0 and startswith(x, s[size(s) - 1]), s, concat(s, array(x))))", scorer="greedy"),
 )
 
+# Subjects of one exam, passages with marks, scrolls, wordings that need cleaning.
+for _subject, _asked in {
+    "biology": "قم بالإجابة على مايلي في مجال العلوم الحيوية",
+    "islamic_studies": "قم بالإجابة على مايلي في مجال العلوم الإسلامية",
+    "physics": "قم بالإجابة على مايلي في مجال الفيزياء",
+}.items():
+    _add(Suite(f"aexams_{_subject}", "mc", "Hennara/aexams", "test", _asked + "\n\n{question}\n" + _FOUR + "\nالجواب:", ABCD, LETTER_OF.format("answer")))
+_HEAD, _REST = "regexp_replace(substring_index(input, '\\n\\n', 1), '(?U)^\\\\s+|\\\\s+$', '')", "regexp_replace(substr(input, instr(input, '\\n\\n') + 2), '(?U)^\\\\s+|\\\\s+$', '')"
+_OPTION = r"regexp_replace(regexp_replace(x, '^\\(?([A-Z])\\)?(?:[.:：、]|．)?\\s*', ''), '(?U)^\\s+|\\s+$', '')"
+_QUALITY = "transform(slice(split(left(" + _REST + ", locate('\\n\\n', " + _REST + ", locate('(D)', " + _REST + ")) - 1), ' *\\\\([A-D]\\\\) *'), 2, 4), x -> array_join(filter(split(x, '(?U)\\\\s+'), t -> t <> ''), ' '))"
+_add(
+    Suite("agieval", "mc", "RUCAIBox/AGIEval", "test", "{sql coalesce(concat('Passage:\\n', nullif(strip(passage), ''), '\\n\\n'), '')}Question: {question}\n{sql array_join(transform(options, (x, i) -> concat(char(65 + i), '. ', " + _OPTION + ")), '\\n')}\n\nAnswer:", LETTERS_FOR.format("options"), LETTER_OF.format("label")),
+    Suite("click", "mc", "EunsuKim/CLIcK", "train", "{sql if(strip(paragraph) = '', '주어진 질문을 천천히 읽고, 적절한 정답을 ', '주어진 맥락을 천천히 읽고, 질문에 대한 적절한 정답을 ')}{sql array_join(slice(array('A', 'B', 'C', 'D', 'E'), 1, size(choices)), ', ')} 중에 골라 알파벳 하나로 답하시오.\n\n{sql if(strip(paragraph) = '', '', concat('맥락: ', strip(paragraph), '\\n'))}질문: {question}\n보기:\n{sql array_join(transform(choices, (x, i) -> concat(char(65 + i), if(i = 0, ':', ': '), strip(x))), ', ')}\n정답:", "slice(array('A', 'B', 'C', 'D', 'E'), 1, if(contains(id, 'CSAT'), 5, size(choices)))", "array_position(choices, answer) - 1"),
+    Suite("record", "mc", "super_glue:record", "validation", "record query: {raw query} entities: {sql array_join(entities, ', ')} passage: {sql replace(regexp_replace(passage, '([.?!\"\\'])\\n@highlight\\n', '$1 '), '\\n@highlight\\n', '. ')}", "entities", "array_position(entities, answers[0]) - 1"),
+    Suite("wsc", "mc", "super_glue:wsc.fixed", "validation", None, NO_YES, LABEL),
+    Suite("lambada_openai_cloze", "single", "EleutherAI/lambada_openai", "test", "{sql array_join(slice(split(text, ' '), 1, size(split(text, ' ')) - 1), ' ')} ____. ->", targets="array(concat(' ', element_at(split(text, ' '), -1)))"),
+    Suite("scrolls_quality", "mc", "tau/scrolls:quality", "validation", "{sql " + "regexp_replace(substr(" + _REST + ", locate('\\n\\n', " + _REST + ", locate('(D)', " + _REST + "))), '(?U)^\\\\s+|\\\\s+$', '')}\n\nQuestion: {sql " + _HEAD + "}\nAnswer:", _QUALITY, "array_position(" + _QUALITY + ", array_join(filter(split(outputs[0], '(?U)\\\\s+'), t -> t <> ''), ' ')) - 1"),
+    *(Suite(f"scrolls_{x}", "generate", f"tau/scrolls:{x}", "validation", "{sql " + _REST + "}\n\nQuestion: {sql " + _HEAD + "}\nAnswer:", targets="outputs", scorer="qa", stops=("\n", "\nQuestion:", "\nAnswer:"), max_new_tokens=64) for x in ("qasper", "narrativeqa")),
+    Suite("scrolls_qmsum", "generate", "tau/scrolls:qmsum", "validation", "{sql " + _REST + "}\n\nQuestion: {sql " + _HEAD + "}\nAnswer:", targets="outputs", scorer="summary"),
+    *(Suite(f"scrolls_{x}", "generate", f"tau/scrolls:{y}", "validation", "{input}\n\nQuestion: What is a summary of the preceding text?\nAnswer:", targets="outputs", scorer="summary") for x, y in (("govreport", "gov_report"), ("summscreenfd", "summ_screen_fd"))),
+    *(Suite(f"phrases_{a}-{b}", "generate", "gplsi/ES-VA_translation_test", "test", f"Oració en {names[a]}: {{{a}}}\n\nOració en {names[b]}:", targets=f"array(strip({b}))", scorer="translation", max_new_tokens=64) for names in ({"es": "espanyol", "va": "valencià"},) for a, b in (("es", "va"), ("va", "es"))),
+    Suite("multirc", "generate", "super_glue:multirc", "validation", None, targets="transform(filter(answers, a -> a.label = 1), a -> string(a.answer_idx))", scorer="indices", max_new_tokens=64),
+    *(Suite(x, "generate", "NVIDIA/RULER", "test", "{raw prompt}", targets="targets", scorer="contains_all", max_new_tokens=n) for x, n in {**dict.fromkeys("niah_single_1 niah_single_2 niah_single_3 niah_multikey_1 niah_multikey_2 niah_multikey_3 niah_multiquery niah_multivalue".split(), 128), "ruler_vt": 30, "ruler_cwe": 120, "ruler_fwe": 50, "ruler_qa_squad": 32, "ruler_qa_hotpot": 32}.items()),
+)
+
 # Registered with source and kind; the caller builds their rows.
 for _kind, _names in {
-    "mc": "aexams agieval click record scrolls_quality wsc",
-    "single": "lambada_cloze",
-    "generate": "multirc phrases_es longbench ruler scrolls_qasper scrolls_narrativeqa scrolls_govreport scrolls_qmsum scrolls_summscreenfd",
+    "generate": "longbench",
     "own": "humaneval mbpp livecodebench",
 }.items():
     _add(*(Suite(n, _kind) for n in _names.split()))
 
 
 def get(name: str) -> Suite:
+    if name in GATED:
+        raise NotImplementedError(f"{name} needs an environment to act in")
     if name not in SUITES:
         raise KeyError(f"no such suite: {name}")
     return SUITES[name]
+
+
+#: Names that need tools, browsers or repositories to act on; asking for one is an error.
+GATED = tuple(
+    "swe_bench_verified swe_bench_multilingual swe_bench_pro terminal_bench_2 claw_eval_avg claw_eval_pass3 skillsbench_avg5 qwenclawbench nl2repo qwenwebbench tau3_bench vita_bench deepplanning tool_decathlon mcpmark mcp_atlas widesearch".split()
+)

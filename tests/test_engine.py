@@ -21,6 +21,11 @@ def test_suites_have_names_kinds_and_plans(spark):
     assert len(SUITES) > 160 and get("boolq").choices
     with pytest.raises(KeyError):
         get("nothing")
+    with pytest.raises(NotImplementedError):
+        get("swe_bench_pro")
+    text = "q?\n\n (A) a b (B) c (C) d (D) e  f\n\n The story.\n\nEnds"
+    got = build(spark.createDataFrame([(text,)], "input string"), get("scrolls_quality")).first()
+    assert got["choices"] == ["a b", "c", "d", "e f"] and got["prompt"] == "The story.\n\nEnds\n\nQuestion: q?\nAnswer:"
 
 
 ROWS = {
@@ -41,6 +46,10 @@ ROWS = {
     "wic": ({"sentence1": "a bank there", "sentence2": "banks", "start1": 2, "end1": 6, "label": 0}, "Sentence 1: a bank there\nSentence 2: banks\nQuestion: Is the word 'bank' used in the same way in the two sentences above?\nAnswer:", ["no", "yes"], 0),
     "xnli_es_spanish_bench": ({"premise": "Hola.", "hypothesis": "Adiós", "label": 2}, "", ["Hola, ¿correcto? Sí, adiós.", "Hola, ¿correcto? Así que, adiós.", "Hola, ¿correcto? No, adiós."], 2),
     "scrolls_contractnli": ({"input": "hyp\n\ntext one\n\ntwo", "outputs": ["Entailment"]}, "text one\n\ntwo\n\nHypothesis: hyp\nConclusion:", ["Not mentioned", "Entailment", "Contradiction"], 1),
+    "agieval": ({"passage": None, "question": " q", "options": ["(A)one", "(B) two"], "label": "B"}, "Question: q\nA. one\nB. two\n\nAnswer:", ["A", "B"], 1),
+    "click": ({"paragraph": "", "question": "q", "choices": ["x", "y"], "answer": "y", "id": "KIIP_1"}, "주어진 질문을 천천히 읽고, 적절한 정답을 A, B 중에 골라 알파벳 하나로 답하시오.\n\n질문: q\n보기:\nA:x, B: y\n정답:", ["A", "B"], 1),
+    "record": ({"query": "q @placeholder", "entities": ["x", "y"], "passage": "a.\n@highlight\nb\n@highlight\nc", "answers": ["y"]}, "record query: q @placeholder entities: x, y passage: a. b. c", ["x", "y"], 1),
+    "aexams_physics": ({"question": "q", "A": "1", "B": "2", "C": "3", "D": "4", "answer": "D"}, "قم بالإجابة على مايلي في مجال الفيزياء\n\nq\nA. 1\nB. 2\nC. 3\nD. 4\nالجواب:", list("ABCD"), 3),
     "xnli_eu": ({"premise": "a", "hypothesis": "b", "label": 0}, "a, ezta? b", ["Bai, b", "Gainera, b", "Ez, b"], 0),
 }
 
@@ -132,7 +141,10 @@ def test_generated_answers(spark):
     echo = python_scorer(lambda xs: [{"row_idx": x["row_idx"], "text": "the Answer"} for x in xs], "row_idx long, text string")
     qa = spark.createDataFrame([(0, "q", ["zz", "answer", ""])], "row_idx long, question string, answer array<string>")
     assert {r["metric"]: r["value"] for r in evaluate(qa, get("nq_open"), echo).metrics.collect()} == {"em": 1.0, "f1": 1.0}
-    kinds = {s.scorer: s for s in SUITES.values() if s.kind == "generate" and s.scorer not in (None, "ifeval")}
+    many = spark.createDataFrame([(0, "p", [(0, 1), (1, 0), (2, 1)])], "row_idx long, prompt string, answers array<struct<answer_idx:int,label:int>>")
+    two = python_scorer(lambda xs: [{"row_idx": 0, "text": "0 and 1"}], "row_idx long, text string")
+    assert {r["metric"]: r["value"] for r in evaluate(many, get("multirc"), two).metrics.collect()} == {"em": 0.0, "f1a": 0.5}
+    kinds = {s.scorer: s for s in SUITES.values() if s.kind == "generate" and s.scorer not in (None, "ifeval", "indices")}
     base = spark.createDataFrame([(0, "p", ["t", "A"], ["t"], ["o", "t"])], "row_idx long, prompt string, other array<string>, targets array<string>, options array<string>")
     for scorer in kinds:
         evaluate(base, Suite("x", "generate", scorer=scorer), echo).metrics.collect()
