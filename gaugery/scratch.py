@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,6 +18,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="gaugery-"))
+        atexit.register(shutil.rmtree, _own_root[0], ignore_errors=True)
     return _own_root[0]
 
 
