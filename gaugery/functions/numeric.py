@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugery.functions.text import filled_lines, strip
+from gaugery.functions.text import filled_lines, let, strip
 
 INVALID = "[invalid]"
 NUMBER = r"-?(?:[0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)"
@@ -30,17 +30,23 @@ def _last(c: Column, pattern: str, group: int = 0) -> Column:
 
 def canonical(token: Column) -> Column:
     """Plain decimal notation without grouping, needless zeros or a minus before zero; [invalid] for what is no number."""
-    t = F.replace(strip(token), F.lit(","), F.lit(""))
-    whole = F.regexp_replace(F.regexp_extract(t, r"^[+-]?([0-9]*)", 1), r"^0+(?=.)", "")
-    part = F.regexp_replace(F.regexp_extract(t, r"\.([0-9]*)$", 1), r"0+$", "")
-    whole = F.when(whole == "", "0").otherwise(whole)
-    size = F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
-    signed = F.when(t.startswith("-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
-    return F.when(F.rlike(t, F.lit(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$")), signed).otherwise(INVALID)
+
+    def signed(t: Column, size: Column) -> Column:
+        return F.when(t.startswith("-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
+
+    def plain(t: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_extract(t, r"^[+-]?0*([0-9]*)", 1), r"^$", "0")
+        part = F.regexp_extract(t, r"\.([0-9]*?)0*$", 1)
+        size = let(part, lambda p: F.when(p == "", whole).otherwise(F.concat(whole, F.lit("."), p)))
+        number = let(size, lambda x: signed(t, x))
+        return F.when(F.rlike(t, F.lit(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$")), number).otherwise(INVALID)
+
+    return let(F.replace(strip(token), F.lit(","), F.lit("")), plain)
 
 
 def numbers_equal(left: Column, right: Column) -> Column:
-    return (left != INVALID) & (right != INVALID) & (canonical(left) == canonical(right))
+    same = lambda a, b: (a != INVALID) & (b != INVALID) & (canonical(a) == canonical(b))
+    return let(left, lambda a: let(right, lambda b: same(a, b)))
 
 
 def reference_answer(c: Column) -> Column:
@@ -68,7 +74,7 @@ def numeric_answer(c: Column) -> Column:
     box = _first(_first(c, BOXED, 1), NUMBER)
     line = _last(F.try_element_at(filled_lines(F.coalesce(c, F.lit(""))), F.lit(-1)), NUMBER)
     found = F.coalesce(_first(c, HASH_NUMBER, 1), phrase, box, line, _last(c, NUMBER))
-    return F.when(found.isNull(), INVALID).otherwise(canonical(found))
+    return let(found, lambda x: F.when(x.isNull(), INVALID).otherwise(canonical(x)))
 
 
 def target_after_hashes(c: Column) -> Column:

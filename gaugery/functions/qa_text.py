@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugery.functions.text import collapse, tokens, without_punctuation
+from gaugery.functions.text import collapse, let, tokens, without_punctuation
 
 #: What counts as declining to answer; the last but one can't arise once punctuation is gone.
 NO_ANSWER = ("", "unanswerable", "no answer", "cannot be answered", "can't be answered", "not answerable")
@@ -18,8 +18,7 @@ def normalise(c: Column) -> Column:
 
 
 def canonical(c: Column) -> Column:
-    n = normalise(c)
-    return F.when(n.isin(*NO_ANSWER), UNANSWERABLE).otherwise(n)
+    return let(normalise(c), lambda n: F.when(n.isin(*NO_ANSWER), UNANSWERABLE).otherwise(n))
 
 
 def common_count(left: Column, right: Column) -> Column:
@@ -30,11 +29,14 @@ def common_count(left: Column, right: Column) -> Column:
 
 def multiset_f1(left: Column, right: Column, both_empty: float | None = 1.0) -> Column:
     """F1 of token arrays. With both_empty None, empty sides score 0; else equality decides where a side is empty."""
-    common = common_count(left, right)
-    f1 = F.when(common == 0, 0.0).otherwise(2.0 * common / (F.size(left) + F.size(right)))
-    if both_empty is None:
-        return f1
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), (F.size(left) == F.size(right)).cast("double") * both_empty).otherwise(f1)
+
+    def score(p: Column, r: Column) -> Column:
+        f1 = let(common_count(p, r), lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(p) + F.size(r))))
+        if both_empty is None:
+            return f1
+        return F.when((F.size(p) == 0) | (F.size(r) == 0), (F.size(p) == F.size(r)).cast("double") * both_empty).otherwise(f1)
+
+    return let(left, lambda p: let(right, lambda r: score(p, r)))
 
 
 def exact_match(prediction: Column, target: Column) -> Column:

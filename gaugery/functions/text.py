@@ -5,6 +5,8 @@ Patterns use Java's `(?U)` where letters and blanks of all scripts are meant.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 _BLANK = r"[\s\x1c-\x1f]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it; a plain expression would be repeated at each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any kind at either end; Spark's trim knows the space only."""
     return F.regexp_replace(c, f"(?U)^{_BLANK}+|{_BLANK}+$", "")
