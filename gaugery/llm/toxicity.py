@@ -50,23 +50,40 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
 
 _homoglyphs = str.maketrans(HOMOGLYPHS)
-#: A word in which a letter stands next to a digit or sign.
-_mixed = re.compile(r"[\w@$]*(?:[^\W\d_][0-9@$!]|[0-9@$][^\W\d_])[\w@$!]*")
+_signs = re.compile(r"[0-9@$!]+")
 _substitutes = str.maketrans(SUBSTITUTES)
+#: Letters that may stand for others: beyond Latin with its accents, and the dotless i.
+_foreign = re.compile("[^\\x00-\u0130\u0132-\u024f]")
 _gaps = re.compile(r"[\W\d_]+")
 
 
-def _unmixed(m: re.Match) -> str:
-    word = m.group().rstrip("@$!")
-    return word.translate(_substitutes) if sum(map(str.isalpha, word)) >= 2 else word
+def unmix(t: str) -> str:
+    """Digits and signs next to a letter as the letters that they stand for, in words of two letters or more; signs that end
+    a word are left out, and exclamation marks count between letters only."""
+    out, last = [], 0
+    for m in _signs.finditer(t):
+        a, b = m.span()
+        if a < last:
+            continue
+        before, after = a > 0 and t[a - 1].isalpha(), b < len(t) and t[b].isalpha()
+        if not (before and after) and (m.group().strip("!") == "" or not (before or after)):
+            continue
+        while a > last and (t[a - 1].isalnum() or t[a - 1] in "@$"):
+            a -= 1
+        while b < len(t) and (t[b].isalnum() or t[b] in "@$!"):
+            b += 1
+        word = t[a:b].rstrip("@$!")
+        out += [t[last:a], word.translate(_substitutes) if sum(map(str.isalpha, word)) >= 2 else word]
+        last = b
+    return "".join([*out, t[last:]]) if out else t
 
 
 def fold(text: str | None) -> str:
     """Words in folded letters, each between two spaces of its own."""
     t = (text or "").lower()
-    if not t.isascii():
+    if not t.isascii() and _foreign.search(t):
         t = unicodedata.normalize("NFKC", t).translate(_homoglyphs)
-    t = _mixed.sub(_unmixed, t)
+    t = unmix(t)
     return f" {_gaps.sub('  ', t)} "
 
 
