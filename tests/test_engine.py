@@ -24,7 +24,8 @@ def test_suites_have_names_kinds_and_plans(spark):
     with pytest.raises(NotImplementedError):
         get("swe_bench_pro")
     text = "q?\n\n (A) a b (B) c (C) d (D) e  f\n\n The story.\n\nEnds"
-    got = build(spark.createDataFrame([(text,)], "input string"), get("scrolls_quality")).first()
+    got = build(spark.createDataFrame([(text, [" e f"])], "input string, outputs array<string>"), get("scrolls_quality")).first()
+    assert got["gold"] == 3
     assert got["choices"] == ["a b", "c", "d", "e f"] and got["prompt"] == "The story.\n\nEnds\n\nQuestion: q?\nAnswer:"
 
 
