@@ -3,13 +3,16 @@
 Texts are cut where the rolling hash of the last 32 bytes has `bits` zero bits, at least `least` and at most `most`
 bytes after the cut before, never inside a character. Cuts depend on the bytes near them only, so an insertion shifts
 no cut but its neighbours, and the same passage gives the same chunks wherever it stands. Chunks are known by a 128-bit
-digest. A chunk is repeated if documents of two ids or more hold it, and a passage is a run of repeated chunks that
-follow each other in a text; only passages of at least `least_words` words count. A passage is
-kept if it holds the first occurrence, by id and place, of any of its chunks, so that no text is lost from the corpus.
+digest. A chunk is repeated if documents of two ids or more hold it, and a run of repeated chunks that follow each other
+in a text counts if it has at least `least_words` words.
+
+Stretches of a run whose chunks all occur first elsewhere, by id and place, aren't kept if they have `least_words` words.
+What is left of runs is kept where it holds first occurrences,
+so that no text is lost from the corpus: what goes stands earlier. Overlapping parts of one kind are one passage.
 
 Digests are counted with partial aggregation; a chunk that very many documents hold is met through `join_groups`, and
 only repeated chunks move on. Passages are put together from the repeated chunks of one text, dealt by id and by a
-stretch of 4096 chunks, so neither a frequent chunk nor a long text fills a task.
+stretch of 4096 chunks, and joined over its edges a text at a time, so neither a frequent chunk nor a long text fills a task.
 
 Defined cases: a null or empty text has no chunks. What is repeated inside one document alone isn't a repeated passage. Rows
 that repeat an id are one document holding the chunks of all of them, each at its place. A null id never keeps against
@@ -19,7 +22,9 @@ empty results.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -73,20 +78,33 @@ def cuts(data: bytes, bits: int = BITS, least: int = LEAST, most: int = MOST) ->
     return found
 
 
+def word_edges(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end, in bytes."""
+    blank = np.ones(len(a) + 2, bool)
+    blank[1:-1] = (a == 32) | ((a >= 9) & (a <= 13))
+    return np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+
+
 def _chunker(bits: int, least: int, most: int):
+    def add(rows: tuple, *row) -> None:
+        for column, x in zip(rows, (*row[:-1], (row[-1] >> 64) - (1 << 63), (row[-1] & ((1 << 64) - 1)) - (1 << 63)), strict=True):
+            column.append(x)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "place", "start", "end", "words", "hi", "lo"]
+        names = ["id", "place", "start", "end", "word", "words", "hi", "lo"]
         for batch in batches:
             rows, held = tuple([] for _ in names), 0
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                last = 0
-                for place, end in enumerate(cuts(data, bits, least, most)):
-                    chunk = data[last:end]
-                    digest = xxhash.xxh3_128_intdigest(chunk)
-                    for column, x in zip(rows, (own, place, last, end, len(chunk.split()), (digest >> 64) - (1 << 63), (digest & ((1 << 64) - 1)) - (1 << 63)), strict=True):
-                        column.append(x)
-                    last = end
+                a = np.frombuffer(data, np.uint8)
+                starts, ends = word_edges(a)
+                found = cuts(data, bits, least, most)
+                heads = [0, *found[:-1]]
+                # A chunk's first word is the one that its start lies in or before.
+                pieces = zip(heads, found, np.searchsorted(ends, heads, "right").tolist(), strict=False)
+                for place, (start, end, word) in enumerate(pieces):
+                    part = data[start:end]
+                    add(rows, own, place, start, end, word, len(part.split()), xxhash.xxh3_128_intdigest(part))
                 held += len(data)
                 if held > 8 << 20:
                     yield _chunks(rows, names)
@@ -97,17 +115,131 @@ def _chunker(bits: int, least: int, most: int):
 
 
 def _chunks(rows: tuple, names: list[str]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
 
 def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """One row per chunk: id, place, start and end in bytes, words, and the digest's halves hi and lo."""
+    """One row per chunk: id, place, start and end in bytes, first word, words, and the digest's halves hi and lo."""
     ship(docs.sparkSession)
-    schema = "id long, place int, start long, end long, words int, hi long, lo long"
+    schema = "id long, place int, start long, end long, word int, words int, hi long, lo long"
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most)), schema)
 
 
+class _Part(NamedTuple):
+    id: int | None
+    mine: bool
+    a: int
+    b: int
+    start: int
+    end: int
+    word: int
+    word_end: int
+    words: int
+    chunks: int
+    copies: int
+
+
+def _union(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (start, end, words) that overlap or touch as one, with the most words of any."""
+    out: list[tuple[int, int, int]] = []
+    for start, end, n in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]), max(n, out[-1][2]))
+        else:
+            out.append((start, end, n))
+    return out
+
+
+def _without(spans: list[tuple[int, int, int]], gone: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """What gone leaves of spans, both unions; words are 0 where something was taken."""
+    at = 0
+    for start, end, n in spans:
+        while at < len(gone) and gone[at][1] <= start:
+            at += 1
+        last, k = start, at
+        while k < len(gone) and gone[k][0] < end:
+            if gone[k][0] > last:
+                yield last, gone[k][0], 0
+            last, n, k = gone[k][1], 0, k + 1
+        if last < end:
+            yield last, end, n
+
+
+def _judged(parts: list[_Part], least_words: int) -> list[tuple]:
+    """The passages of one text from its parts, which come by place."""
+    runs: list[list[list[_Part]]] = []  # runs of stretches of parts
+    reach = -2
+    gone, held, used = [], [], []
+    for x in parts:
+        if x.a > reach + 1:
+            runs.append([[x]])
+            reach = x.b
+        else:
+            if runs[-1][-1][0].mine == x.mine:
+                runs[-1][-1].append(x)
+            else:
+                runs[-1].append([x])
+            reach = max(reach, x.b)
+    for run in runs:
+        n = sum(x.words for part in run for x in part)
+        if n < least_words:
+            continue
+        used += [x for part in run for x in part]
+        if any(part[0].mine for part in run):
+            held.append((min(part[0].start for part in run), max(x.end for part in run for x in part), n))
+        for part in run:
+            n = sum(x.words for x in part)
+            if not part[0].mine and n >= least_words:
+                gone.append((min(x.start for x in part), max(x.end for x in part), n))
+    if not used:
+        return []
+    first, last = {}, {}  # the words at the edges
+    for x in used:
+        first[x.start] = min(x.word, first.get(x.start, x.word))
+        last[x.end] = max(x.word_end, last.get(x.end, 0))
+    out = []
+    gone = _union(gone)
+    for kept, spans in ((False, gone), (True, list(_without(_union(held), gone)))):
+        counts = [[0, 0, 0] for _ in spans]
+        ends = [end for _, end, _ in spans]
+        for x in used:
+            k = bisect_right(ends, x.start)
+            while (kept or not x.mine) and k < len(spans) and spans[k][0] < x.end:
+                c = counts[k]
+                c[0], c[1], c[2] = c[0] + x.chunks, min(c[1] or x.copies, x.copies), c[2] + x.chunks * x.mine
+                k += 1
+        for (start, end, n), c in zip(spans, counts, strict=True):
+            n = max(n, last.get(end, first.get(end, 0)) - first.get(start, last.get(start, 0)))
+            if n >= least_words:
+                out.append((parts[0].id, start, end, n, *c, kept))
+    return out
+
+
+def _joiner(least_words: int):
+    names = ["id", "start", "end", "words", "chunks", "copies", "first_chunks", "kept"]
+    types = [*[pa.int64()] * 7, pa.bool_()]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[_Part] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if parts and row[0] != parts[0].id:
+                    out += _judged(parts, least_words)
+                    parts = []
+                parts.append(_Part(*row))
+            yield batch_of(out)
+        if parts:
+            yield batch_of(_judged(parts, least_words))
+
+    return run
+
+
 def passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, least_words: int = LEAST_WORDS
 ) -> DataFrame:
@@ -121,20 +253,18 @@ def passages(
     counted = materialise(counted, "chunk-counts")
     again = join_groups(chunks, counted, key, "n", F.struct("id", "place")).filter("n is not null")
     mine = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.place") == F.col("place"))
-    again = again.select("id", "place", "start", "end", "words", "n", mine.alias("mine"), F.floor(F.col("place") / STRETCH).cast("int").alias("stretch"))
-    # Runs of places without a gap, inside a stretch; a run over the edge of two stretches is joined after.
-    runs = again.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy("id", "stretch").orderBy("place")))
-    part = runs.groupBy("id", "stretch", "run").agg(
-        F.min("place").alias("a"), F.max("place").alias("b"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"),
-        F.count(F.lit(1)).alias("chunks"), F.min("n").alias("copies"), F.sum(F.col("mine").cast("bigint")).alias("first_chunks"),
-    )
-    whole = Window.partitionBy("id").orderBy("a")
-    linked = part.withColumn("new", (F.col("a") != F.coalesce(F.lag("b").over(whole), F.lit(-9)) + 1).cast("int")).withColumn("passage", F.sum("new").over(whole))
-    out = linked.groupBy("id", "passage").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").alias("words"), F.sum("chunks").alias("chunks"), F.min("copies").alias("copies"), F.sum("first_chunks").alias("first_chunks"),
+    stretch = F.floor(F.col("place") / STRETCH).cast("int")
+    again = again.select("id", "place", "start", "end", "word", "words", "n", mine.alias("mine"), stretch.alias("stretch"))
+    # Stretches of places without a gap that are all first occurrences or none; what lies at an edge is joined after.
+    runs = again.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy("id", "stretch", "mine").orderBy("place")))
+    part = runs.groupBy("id", "stretch", "mine", "run").agg(
+        F.min("place").alias("a"), F.max("place").alias("b"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"),
+        F.max(F.col("word") + F.col("words")).alias("word_end"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("chunks"), F.min("n").alias("copies"),
     )
-    out = out.filter(F.col("words") >= least_words).withColumn("kept", F.col("first_chunks") > 0)
-    return out.select(F.col("id").alias(id_col), "start", "end", "words", "chunks", "copies", "first_chunks", "kept")
+    part = part.select("id", "mine", "a", "b", "start", "end", "word", "word_end", "words", "chunks", "copies")
+    part = part.repartition("id").sortWithinPartitions("id", "a", "mine")
+    out = part.mapInArrow(tidy(_joiner(least_words)), "id long, start long, end long, words long, chunks long, copies long, first_chunks long, kept boolean")
+    return out.withColumnRenamed("id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

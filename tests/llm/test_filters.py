@@ -153,6 +153,22 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert all(len(out[i]) < len(t) - 150 for i, t in texts if 6 <= i < 24)
 
 
+def test_shared_passage_inside_a_copied_document_goes(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    shared, short = prose(100), prose(12)
+    whole = f"{prose(90)} {shared} {prose(90)} {short} {prose(90)}"
+    texts = [(1, f"{prose(60)} {shared} {prose(60)}"), (2, whole), (3, whole), (4, f"{prose(60)} {short} {prose(60)}")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = substring_dedup.passages(docs).collect()
+    (own,) = [x for x in got if x["doc_id"] == 2 and not x["kept"]]
+    assert whole.encode()[own["start"] : own["end"]].decode() in shared and own["words"] >= 85 and own["first_chunks"] == 0
+    assert len([x for x in got if x["doc_id"] == 2 and x["kept"] and x["first_chunks"]]) == 2
+    out = {x["doc_id"]: x["text"] for x in substring_dedup.deduplicate(docs).collect()}
+    assert out[1] == texts[0][1] and len(out[2]) <= len(whole) - len(shared) + 200 and short in out[2] and len(out[3]) < 50
+
+
 def test_passages_on_supplied_documents(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     truth = shared_passages([(x["doc_id"], x["text"]) for x in docs.collect()])
