@@ -6,8 +6,13 @@ no cut but its neighbours, and the same passage gives the same chunks wherever i
 digest. A chunk is repeated if documents of two ids or more hold it, and a run of repeated chunks that follow each other
 in a text counts if it has at least `least_words` words.
 
-Stretches of a run whose chunks all occur first elsewhere, by id and place, aren't kept if they have `least_words` words.
-What is left of runs is kept where it holds first occurrences,
+Chunks at the ends of a shared passage differ, so a short passage may have no such run. Shingles of `least_words` whole
+words (17 at least) go with the chunks therefore: of any neighbouring shingles that make up SURE words the one with the
+least hash is taken. The hash is the gear's at the shingle's end and so depends on bytes inside it alone: two texts that
+share SURE words or more, byte by byte, take the same shingle there. A repeated shingle counts as it stands.
+
+Stretches of a run whose chunks all occur first elsewhere, by id and place, aren't kept if they have `least_words` words,
+nor are shingles that occur first elsewhere. What is left of runs and shingles is kept where it holds first occurrences,
 so that no text is lost from the corpus: what goes stands earlier. Overlapping parts of one kind are one passage.
 
 Digests are counted with partial aggregation; a chunk that very many documents hold is met through `join_groups`, and
@@ -39,6 +44,8 @@ BITS = 5
 LEAST = 16
 MOST = 160
 LEAST_WORDS = 24
+#: Passages of so many words that two documents share are found without fail.
+SURE = 51
 STRETCH = 4096
 #: One 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(1976).integers(0, 1 << 32, 256, np.uint32)
@@ -85,13 +92,26 @@ def word_edges(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
 
 
-def _chunker(bits: int, least: int, most: int):
+def shingles(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, least_words: int = LEAST_WORDS) -> list[int]:
+    """First words of the shingles that are taken; a shingle has max(least_words, 17) words, so 32 bytes at least."""
+    size = max(least_words, 17)
+    near = max(SURE, size) - size + 1
+    if len(starts) < size + near - 1:
+        return []
+    h = gear(a)[ends[size - 1 :] - 1]
+    least = np.lib.stride_tricks.sliding_window_view(h, near).argmin(axis=1)
+    return np.unique(least + np.arange(len(least))).tolist()
+
+
+def _chunker(bits: int, least: int, most: int, least_words: int):
+    size = max(least_words, 17)
+
     def add(rows: tuple, *row) -> None:
         for column, x in zip(rows, (*row[:-1], (row[-1] >> 64) - (1 << 63), (row[-1] & ((1 << 64) - 1)) - (1 << 63)), strict=True):
             column.append(x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "place", "start", "end", "word", "words", "hi", "lo"]
+        names = ["id", "shingle", "place", "start", "end", "word", "words", "hi", "lo"]
         for batch in batches:
             rows, held = tuple([] for _ in names), 0
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -104,7 +124,10 @@ def _chunker(bits: int, least: int, most: int):
                 pieces = zip(heads, found, np.searchsorted(ends, heads, "right").tolist(), strict=False)
                 for place, (start, end, word) in enumerate(pieces):
                     part = data[start:end]
-                    add(rows, own, place, start, end, word, len(part.split()), xxhash.xxh3_128_intdigest(part))
+                    add(rows, own, False, place, start, end, word, len(part.split()), xxhash.xxh3_128_intdigest(part))
+                for word in shingles(a, starts, ends, least_words):
+                    start, end = int(starts[word]), int(ends[word + size - 1])
+                    add(rows, own, True, word, start, end, word, size, xxhash.xxh3_128_intdigest(data[start:end], 1))
                 held += len(data)
                 if held > 8 << 20:
                     yield _chunks(rows, names)
@@ -115,19 +138,23 @@ def _chunker(bits: int, least: int, most: int):
 
 
 def _chunks(rows: tuple, names: list[str]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+    types = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
 
 
-def chunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """One row per chunk: id, place, start and end in bytes, first word, words, and the digest's halves hi and lo."""
+def chunk(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, least_words: int = LEAST_WORDS
+) -> DataFrame:
+    """One row per chunk and per taken shingle: id, shingle, place (of a shingle its first word), start and end in bytes,
+    first word, words, and the digest's halves hi and lo."""
     ship(docs.sparkSession)
-    schema = "id long, place int, start long, end long, word int, words int, hi long, lo long"
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most)), schema)
+    schema = "id long, shingle boolean, place int, start long, end long, word int, words int, hi long, lo long"
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most, least_words)), schema)
 
 
 class _Part(NamedTuple):
     id: int | None
+    shingle: bool
     mine: bool
     a: int
     b: int
@@ -167,12 +194,15 @@ def _without(spans: list[tuple[int, int, int]], gone: list[tuple[int, int, int]]
 
 
 def _judged(parts: list[_Part], least_words: int) -> list[tuple]:
-    """The passages of one text from its parts, which come by place."""
+    """The passages of one text from its parts, which come by shingle and place."""
     runs: list[list[list[_Part]]] = []  # runs of stretches of parts
     reach = -2
     gone, held, used = [], [], []
     for x in parts:
-        if x.a > reach + 1:
+        if x.shingle:
+            (held if x.mine else gone).append((x.start, x.end, x.word_end - x.word))
+            used.append(x)
+        elif x.a > reach + 1:
             runs.append([[x]])
             reach = x.b
         else:
@@ -243,9 +273,9 @@ def _joiner(least_words: int):
 def passages(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, least_words: int = LEAST_WORDS
 ) -> DataFrame:
-    """One row per repeated passage of a text: id, start and end (bytes), words, chunks, copies (occurrences of its rarest
-    chunk), first_chunks (how many of them occur here first) and kept."""
-    chunks = materialise(chunk(docs, id_col, text_col, bits, least, most), "chunks")
+    """One row per repeated passage of a text: id, start and end (bytes), words, chunks (and shingles), copies (occurrences of
+    its rarest chunk), first_chunks (how many of them occur here first) and kept."""
+    chunks = materialise(chunk(docs, id_col, text_col, bits, least, most, least_words), "chunks")
     key = ["hi", "lo"]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
     own = F.coalesce("id", F.lit(-(1 << 63)))
@@ -254,15 +284,16 @@ def passages(
     again = join_groups(chunks, counted, key, "n", F.struct("id", "place")).filter("n is not null")
     mine = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.place") == F.col("place"))
     stretch = F.floor(F.col("place") / STRETCH).cast("int")
-    again = again.select("id", "place", "start", "end", "word", "words", "n", mine.alias("mine"), stretch.alias("stretch"))
+    stretch = F.when(F.col("shingle"), -1 - stretch).otherwise(stretch)
+    again = again.select("id", "shingle", "place", "start", "end", "word", "words", "n", mine.alias("mine"), stretch.alias("stretch"))
     # Stretches of places without a gap that are all first occurrences or none; what lies at an edge is joined after.
     runs = again.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy("id", "stretch", "mine").orderBy("place")))
-    part = runs.groupBy("id", "stretch", "mine", "run").agg(
+    part = runs.groupBy("id", "stretch", "shingle", "mine", "run").agg(
         F.min("place").alias("a"), F.max("place").alias("b"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"),
         F.max(F.col("word") + F.col("words")).alias("word_end"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("chunks"), F.min("n").alias("copies"),
     )
-    part = part.select("id", "mine", "a", "b", "start", "end", "word", "word_end", "words", "chunks", "copies")
-    part = part.repartition("id").sortWithinPartitions("id", "a", "mine")
+    part = part.select("id", "shingle", "mine", "a", "b", "start", "end", "word", "word_end", "words", "chunks", "copies")
+    part = part.repartition("id").sortWithinPartitions("id", "shingle", "a", "mine")
     out = part.mapInArrow(tidy(_joiner(least_words)), "id long, start long, end long, words long, chunks long, copies long, first_chunks long, kept boolean")
     return out.withColumnRenamed("id", id_col)
 

@@ -153,6 +153,20 @@ def test_planted_passages_are_found_and_clean_texts_left(spark):
     assert all(len(out[i]) < len(t) - 150 for i, t in texts if 6 <= i < 24)
 
 
+def test_no_passage_of_51_words_is_lost(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    planted = [prose(51) for _ in range(200)]
+    texts = [(i, f"{prose(40 + i % 7)} {planted[i % 200]} {prose(40)}") for i in range(400)] + [(1000 + i, prose(150)) for i in range(100)]
+    got = substring_dedup.passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in got} == shared_passages(texts) == set(range(400))
+    for x in got:
+        part = texts[x["doc_id"]][1][x["start"] : x["end"]]
+        assert x["words"] >= 24 and part in texts[(x["doc_id"] + 200) % 400][1]
+    assert {x["doc_id"] for x in got if x["kept"]} == set(range(200))
+
+
 def test_shared_passage_inside_a_copied_document_goes(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
