@@ -5,11 +5,12 @@ documents, by the Jensen-Shannon distance (base 2, so from 0 to 1); a text whose
 divergence, as their histograms say little. Base rules on words, symbols, lines and repeated word triples come with it.
 
 One pass over the texts writes the counts of each row; references are sums of those, and judging reads the counts
-again. Everything is SQL functions. Repeated triples are found inside the row: 64-bit hashes of the triples carry their
+again. References of up to 1000 languages are broadcast; of more, those with most rows are, and the others are met by a
+shuffle. Everything is SQL functions. Repeated triples are found inside the row: 64-bit hashes of the triples carry their
 place in the low bits, are sorted, and equal neighbours mark their places.
 
-Defined cases: a null text has no words, fails the base rules and is not kept. A null language, or one outside the 1000
-with most rows, is compared with the reference over all rows. A histogram that is empty on either side has distance 0.
+Defined cases: a null text has no words, fails the base rules and is not kept. A null language is
+compared with the reference over all rows. A histogram that is empty on either side has distance 0.
 Rows are judged each by itself, repeated or not; a null id is carried. Other columns are not read. Empty tables give
 empty results. Texts of any length are read whole.
 """
@@ -19,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import materialise, words
+from gaugery.llm.common import join_groups, materialise, words
 
 LEAST_WORDS = 100
 MOST_DISTANCE = 0.235
+#: So many references are broadcast.
 LANGUAGES = 1000
 #: Function words of the languages, by which word histograms are kept.
 COMMON_WORDS = (
@@ -82,11 +84,11 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     )
 
 
-def references(measured: DataFrame, languages: int = LANGUAGES) -> DataFrame:
-    """Sums of the histograms: one row per language, of the `languages` with most rows, and one with lang null for all."""
+def references(measured: DataFrame) -> DataFrame:
+    """Sums of the histograms: one row per language, and one with lang null for all."""
     sums = lambda c, n: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
     both = [sums("chars", 6).alias("ref_chars"), sums("commons", len(COMMON) + 1).alias("ref_commons"), F.sum("chars_total").alias("ref_chars_total"), F.sum("commons_total").alias("ref_commons_total"), F.count(F.lit(1)).alias("rows")]
-    by = measured.filter("lang is not null").groupBy("lang").agg(*both).orderBy(F.col("rows").desc(), "lang").limit(languages)
+    by = measured.filter("lang is not null").groupBy("lang").agg(*both)
     return by.unionByName(measured.agg(*both).withColumn("lang", F.lit(None).cast("string")), allowMissingColumns=True)
 
 
@@ -105,8 +107,13 @@ def judge(
     measured = materialise(measure(docs, id_col, text_col, lang_col), "quality")
     refs = materialise(references(measured), "quality-refs")
     pooled = refs.filter("lang is null").first()  # one row of fixed width
-    own = F.broadcast(refs.filter("lang is not null").drop("rows"))
-    known = measured.join(own, "lang", "left")
+    own = refs.filter("lang is not null")
+    if own.count() <= LANGUAGES:
+        known = measured.join(F.broadcast(own), "lang", "left")
+    else:
+        # Rows without a language may be many, so they stay out of the shuffle.
+        known = join_groups(measured.filter("lang is not null"), own, ["lang"], "rows", F.struct("id", "n_words", "word_chars"), LANGUAGES)
+        known = known.unionByName(measured.filter("lang is null"), allowMissingColumns=True)
     array = lambda c: F.coalesce(F.col(c), F.array(*[F.lit(int(x or 0)) for x in pooled[c]]).cast("array<bigint>"))
     number = lambda c: F.coalesce(F.col(c), F.lit(int(pooled[c] or 0)))
     known = known.withColumns({f"js_{k}": js_distance(F.col(h), array(f"ref_{h}"), F.col(f"{h}_total"), number(f"ref_{h}_total")) for k, h in (("chars", "chars"), ("words", "commons"))})

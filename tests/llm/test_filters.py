@@ -107,6 +107,16 @@ def test_clean_documents_stay_and_odd_ones_go(spark):
     assert share(1) > 0.98 and share(0) < 0.5
 
 
+def test_every_language_has_its_reference(spark):
+    # Each language has a text of its own, so its distance is 0; against the reference over all rows it is not.
+    n = 1010
+    texts = [(i, "x" * (1 + i % 7) + " " + " ".join(f"{'AB1é'[i % 4]}{i}w{k}" for k in range(100)), f"l{i}") for i in range(n)]
+    docs = spark.createDataFrame([*texts, (n, texts[0][1], "l0"), (n + 1, texts[1][1], None)], "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality_rules.judge(docs).collect()}
+    assert len(got) == n + 2 and all(got[i]["js_chars"] < 1e-6 and got[i]["js_words"] < 1e-6 and got[i]["kept"] for i in range(n + 1))
+    assert got[n + 1]["js_chars"] > 0.01
+
+
 def test_gear_is_the_sum_over_the_last_bytes():
     import numpy as np
 
