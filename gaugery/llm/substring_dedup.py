@@ -2,9 +2,9 @@
 
 Texts are cut where the rolling hash of the last 32 bytes has `bits` zero bits, at least `least` and at most `most`
 bytes after the cut before, never inside a character. Cuts depend on the bytes near them only, so an insertion shifts
-no cut but its neighbours, and the same passage gives the same chunks wherever it stands. Chunks are known by a 128-bit
-digest. A chunk is repeated if documents of two ids or more hold it, and a run of repeated chunks that follow each other
-in a text counts if it has at least `least_words` words.
+no cut but its neighbours, and the same passage gives the same chunks wherever it stands. Chunks are known by 96 bits of
+a digest. A chunk is repeated if two documents or more hold it (with inside=True, if it stands twice anywhere), and a
+run of repeated chunks that follow each other in a text counts if it has at least `least_words` words.
 
 Chunks at the ends of a shared passage differ, so a short passage may have no such run. Shingles of `least_words` whole
 words (17 at least) go with the chunks therefore: of any neighbouring shingles that make up SURE words the one with the
@@ -15,18 +15,25 @@ Stretches of a run whose chunks all occur first elsewhere, by id and place, aren
 nor are shingles that occur first elsewhere. What is left of runs and shingles is kept where it holds first occurrences,
 so that no text is lost from the corpus: what goes stands earlier. Overlapping parts of one kind are one passage.
 
-Digests are counted with partial aggregation; a chunk that very many documents hold is met through `join_groups`, and
-only repeated chunks move on. Passages are put together from the repeated chunks of one text, dealt by id and by a
-stretch of 4096 chunks, and joined over its edges a text at a time, so neither a frequent chunk nor a long text fills a task.
-
-Defined cases: a null or empty text has no chunks. What is repeated inside one document alone isn't a repeated passage. Rows
-that repeat an id are one document holding the chunks of all of them, each at its place. A null id never keeps against
-another. Texts are read whole. Other columns are carried by `deduplicate`, and are not read else. Empty tables give
-empty results.
+1. Block: texts are chunked once, about `held` bytes to a block. A block's digests, each once with its number, its first
+   place and whether two documents have it, and the places of its chunks are written as packed arrays, one row a block.
+2. Count: slices of the sorted digests of every block go to the bucket of their range, about `cell` digests to each.
+   A bucket finds which are repeated, how often, and in which block they occur first. A digest comes once from a block,
+   however often it stands there, so a frequent chunk is as many entries as there are blocks.
+3. Judge: only numbers and first marks of repeated digests go back to their block, which has all chunks of its texts and
+   puts passages together. Neither texts nor single chunks are shuffled, and no text is needed a second time.
+
+Defined cases: a null or empty text has no chunks. A row's passages are its own, whether its id repeats or not: rows with
+one id count as one document when documents are counted, and rows with equal id and text are judged alike. Rows with a
+null id are documents of their own unless their texts are equal, and never keep against a row with an id. Without
+`inside`, what is repeated inside one document alone isn't a repeated passage. Texts are read whole; a text longer than
+`held` is a block of its own. Other columns are carried by `deduplicate`, and are not read else. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -34,10 +41,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import flagged, join_groups, materialise
+from gaugery.llm.common import flagged, materialise
 from gaugery.ship import ship, tidy
 
 BITS = 5
@@ -46,7 +54,9 @@ MOST = 160
 LEAST_WORDS = 24
 #: Passages of so many words that two documents share are found without fail.
 SURE = 51
-STRETCH = 4096
+#: Bytes of text in a block, and digests in a bucket, about.
+HELD = 8 << 20
+CELL = 400_000
 #: One 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(1976).integers(0, 1 << 32, 256, np.uint32)
 
@@ -103,57 +113,206 @@ def shingles(a: np.ndarray, starts: np.ndarray, ends: np.ndarray, least_words: i
     return np.unique(least + np.arange(len(least))).tolist()
 
 
-def _chunker(bits: int, least: int, most: int, least_words: int):
-    size = max(least_words, 17)
+def planes(a: np.ndarray) -> bytes:
+    """An array's first bytes, then its second bytes, and so on: small numbers become runs of zeros, which pack well."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+
+
+def unplanes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+class Entries(NamedTuple):
+    """Digests of a block, sorted and each once: two parts of it; owner (a document's id, or of a null id a digest of the
+    text), whether the id is null, and place of the first occurrence; whether two documents have it; how often it stands."""
+
+    high: np.ndarray
+    low: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    n: np.ndarray
+    null: np.ndarray
+    many: np.ndarray
+
+    def pack(self) -> bytes:
+        return b"".join((planes(self.high), planes(self.low), planes(self.owner), planes(self.place), planes(self.n), np.packbits(np.concatenate((self.null, self.many))).tobytes()))
+
+    @classmethod
+    def unpack(cls, data: bytes, size: int) -> Entries:
+        at, out = 0, []
+        for kind, width in ((np.uint64, 8), (np.uint32, 4), (np.int64, 8), (np.int32, 4), (np.int32, 4)):
+            out.append(unplanes(data[at : at + width * size], kind))
+            at += width * size
+        bits = np.unpackbits(np.frombuffer(data[at:], np.uint8), count=2 * size).astype(bool)
+        return cls(*out, bits[:size], bits[size:])
+
+    def part(self, a: int, b: int) -> Entries:
+        return Entries(*(x[a:b] for x in self))
+
+    @classmethod
+    def join(cls, parts: list[Entries]) -> Entries:
+        return cls(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def grouped(e: Entries) -> tuple[Entries, np.ndarray, np.ndarray]:
+    """Entries sorted and each digest once, the number of each given entry's digest, and whether the entry is a first one."""
+    size = len(e.high)
+    order = np.argsort(e.high, kind="stable")
+    high = e.high[order]
+    twin = np.zeros(size, bool)
+    if size > 1:
+        same = high[1:] == high[:-1]
+        twin[1:] |= same
+        twin[:-1] |= same
+    # Few entries share a digest with another: only those are put in order by all that counts.
+    at = np.flatnonzero(twin)
+    some = order[at]
+    order[at] = some[np.lexsort((e.place[some], e.owner[some], e.null[some], e.low[some], e.high[some]))]
+    s = Entries(*(x[order] for x in e))
+    head = np.ones(size, bool)
+    head[1:] = (s.high[1:] != s.high[:-1]) | (s.low[1:] != s.low[:-1])
+    first = np.flatnonzero(head)
+    number = np.cumsum(head) - 1
+    lead = first[number]
+    many = s.many | (s.null != s.null[lead]) | (s.owner != s.owner[lead])
+    out = Entries(s.high[first], s.low[first], s.owner[first], s.place[first], _sums(s.n, first), s.null[first], _sums(many, first) > 0)
+    numbers, firsts = np.empty(size, np.int32), np.empty(size, bool)
+    numbers[order] = number
+    firsts[order] = (s.null == s.null[lead]) & (s.owner == s.owner[lead]) & (s.place == s.place[lead])
+    return out, numbers, firsts
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums from each place of first to the next, as 32-bit numbers that end at their limit."""
+    return np.minimum(np.add.reduceat(x, first, dtype=np.int64), (1 << 31) - 1).astype(np.int32) if len(x) else np.zeros(0, np.int32)
+
+
+class _Block:
+    """Texts and their chunks and shingles, gathered."""
+
+    def __init__(self) -> None:
+        self.bytes, self.docs, self.digests, self.spans = 0, [], [], []
+
+    def add(self, own: int | None, data: bytes, row: bytes, bits: int, least: int, most: int, least_words: int) -> None:
+        size = max(least_words, 17)
+        a = np.frombuffer(data, np.uint8)
+        starts, ends = word_edges(a)
+        found = np.array(cuts(data, bits, least, most), np.int32)
+        heads = np.concatenate((np.zeros(1, np.int32), found[:-1]))
+        # A chunk's first word is the one that its start lies in or before; parts of words count.
+        word = np.searchsorted(ends, heads, "right")
+        words = np.maximum(np.searchsorted(starts, found, "left") - word, 0)
+        taken = np.array(shingles(a, starts, ends, least_words), np.int64)
+        s_start, s_end = starts[taken], ends[taken + size - 1]
+        self.digests += [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(heads.tolist(), found.tolist(), strict=True)]
+        self.digests += [xxhash.xxh3_128_digest(data[x:y], 1) for x, y in zip(s_start.tolist(), s_end.tolist(), strict=True)]
+        self.docs.append((own, row, len(found), len(taken)))
+        self.spans.append(np.array([np.concatenate(x) for x in ((heads, s_start), (found, s_end), (word, taken), (words, np.full(len(taken), size)))], np.int32))
+        self.bytes += len(data)
+
+    def row(self, block: int) -> tuple:
+        ids = [own for own, *_ in self.docs]
+        sizes = np.array([x[2:] for x in self.docs], np.int32)
+        each = sizes.sum(axis=1)
+        null = np.array([x is None for x in ids])
+        owner = np.array([int.from_bytes(row[:8], "little", signed=True) if x is None else x for x, row, *_ in self.docs], np.int64)
+        spans = np.concatenate(self.spans, axis=1)
+        place = np.concatenate([np.concatenate((np.arange(x[2]), s[2, x[2] :])) for x, s in zip(self.docs, self.spans, strict=True)]).astype(np.int32)
+        digests = np.frombuffer(b"".join(self.digests), np.uint64).reshape(-1, 2)
+        one = np.ones(len(place), np.int32)
+        entries = Entries(digests[:, 0].copy(), (digests[:, 1] >> np.uint64(32)).astype(np.uint32), np.repeat(owner, each), place, one, np.repeat(null, each), np.zeros(len(place), bool))
+        entries, numbers, firsts = grouped(entries)
+        start, end, word, words = spans
+        gaps = start.copy()
+        gaps[1:] -= end[:-1]
+        steps = np.diff(word, prepend=np.int32(0))
+        packed = b"".join((*map(planes, (gaps, end - start, steps.astype(np.int32), words, numbers)), np.packbits(firsts).tobytes()))
+        return block, ids, b"".join(x[1] for x in self.docs), sizes.tobytes(), len(entries.high), entries.pack(), packed
+
+
+_BLOCKS = "block long, ids array<long>, rows binary, sizes binary, digests long, entries binary, spans binary"
+
+
+def _chunker(bits: int, least: int, most: int, least_words: int, held: int):
+    types = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
 
-    def add(rows: tuple, *row) -> None:
-        for column, x in zip(rows, (*row[:-1], (row[-1] >> 64) - (1 << 63), (row[-1] & ((1 << 64) - 1)) - (1 << 63)), strict=True):
-            column.append(x)
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "shingle", "place", "start", "end", "word", "words", "hi", "lo"]
+        at, block = TaskContext.get().partitionId() << 32, _Block()
         for batch in batches:
-            rows, held = tuple([] for _ in names), 0
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                a = np.frombuffer(data, np.uint8)
-                starts, ends = word_edges(a)
-                found = cuts(data, bits, least, most)
-                heads = [0, *found[:-1]]
-                # A chunk's first word is the one that its start lies in or before.
-                pieces = zip(heads, found, np.searchsorted(ends, heads, "right").tolist(), strict=False)
-                for place, (start, end, word) in enumerate(pieces):
-                    part = data[start:end]
-                    add(rows, own, False, place, start, end, word, len(part.split()), xxhash.xxh3_128_intdigest(part))
-                for word in shingles(a, starts, ends, least_words):
-                    start, end = int(starts[word]), int(ends[word + size - 1])
-                    add(rows, own, True, word, start, end, word, size, xxhash.xxh3_128_intdigest(data[start:end], 1))
-                held += len(data)
-                if held > 8 << 20:
-                    yield _chunks(rows, names)
-                    rows, held = tuple([] for _ in names), 0
-            yield _chunks(rows, names)
+                if not data:
+                    continue
+                block.add(own, data, hashlib.md5(data, usedforsecurity=False).digest(), bits, least, most, least_words)
+                if block.bytes >= held:
+                    yield batch_of([block.row(at)])
+                    at, block = at + 1, _Block()
+        if block.docs:
+            yield batch_of([block.row(at)])
 
     return run
 
 
-def _chunks(rows: tuple, names: list[str]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=names)
-
-
 def chunk(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, least_words: int = LEAST_WORDS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, least_words: int = LEAST_WORDS, held: int = HELD
 ) -> DataFrame:
-    """One row per chunk and per taken shingle: id, shingle, place (of a shingle its first word), start and end in bytes,
-    first word, words, and the digest's halves hi and lo."""
+    """One row per block of texts: their ids and MD5 digests, and packed arrays of their chunks and shingles. To be written
+    before it is used, as blocks are numbered by the task that makes them."""
     ship(docs.sparkSession)
-    schema = "id long, shingle boolean, place int, start long, end long, word int, words int, hi long, lo long"
-    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most, least_words)), schema)
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most, least_words, held)), _BLOCKS)
+
+
+def _slicer(buckets: int):
+    """From (block, digests, entries), the entries of each range of digests: (bucket, block, base, size, entries)."""
+    edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                e = Entries.unpack(data, size)
+                cut = [0, *np.searchsorted(e.high, edges, "left").tolist(), size]
+                rows = [(k, block, a, b - a, e.part(a, b).pack()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
+                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "base", "size", "entries"])
+
+    return run
+
+
+def _counter(inside: bool):
+    """Of slices sorted by bucket, what goes back to each block: (block, numbers, copies, firsts) of its repeated digests."""
+
+    def told(slices: list[tuple]) -> pa.RecordBatch:
+        parts = [Entries.unpack(data, size) for _, _, _, size, data in slices]
+        total, number, first = grouped(Entries.join(parts))
+        again = (total.n > 1 if inside else total.many)[number]
+        rows, at = [], 0
+        for (_, block, base, size, _), _part in zip(slices, parts, strict=True):
+            own = np.flatnonzero(again[at : at + size])
+            if len(own):
+                rows.append((block, planes((own + base).astype(np.int32)), planes(total.n[number[at + own]]), np.packbits(first[at + own]).tobytes()))
+            at += size
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "copies", "firsts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if slices and row[0] != slices[0][0]:
+                    yield told(slices)
+                    slices = []
+                slices.append(row)
+        if slices:
+            yield told(slices)
+
+    return run
 
 
 class _Part(NamedTuple):
-    id: int | None
     shingle: bool
     mine: bool
     a: int
@@ -242,69 +401,114 @@ def _judged(parts: list[_Part], least_words: int) -> list[tuple]:
         for (start, end, n), c in zip(spans, counts, strict=True):
             n = max(n, last.get(end, first.get(end, 0)) - first.get(start, last.get(start, 0)))
             if n >= least_words:
-                out.append((parts[0].id, start, end, n, *c, kept))
+                out.append((start, end, n, *c, kept))
     return out
 
 
-def _joiner(least_words: int):
-    names = ["id", "start", "end", "words", "chunks", "copies", "first_chunks", "kept"]
-    types = [*[pa.int64()] * 7, pa.bool_()]
+def _unspanned(data: bytes, size: int) -> tuple[np.ndarray, ...]:
+    gaps, lengths, steps, words, numbers = (unplanes(data[4 * size * i : 4 * size * (i + 1)], np.int32) for i in range(5))
+    first = np.unpackbits(np.frombuffer(data[20 * size :], np.uint8), count=size).astype(bool)
+    end = np.cumsum(gaps.astype(np.int64) + lengths)
+    return end - lengths, end, np.cumsum(steps), words, numbers, first
+
+
+def _passages_of(ids: list, rows: bytes, sizes: bytes, digests: int, spans: bytes, told: list[tuple], least_words: int) -> list[tuple]:
+    """The passages of a block: its own row and what came back to it."""
+    sizes = np.frombuffer(sizes, np.int32).reshape(-1, 2)
+    each = sizes.sum(axis=1)
+    total = int(each.sum())
+    start, end, word, words, number, first = _unspanned(spans, total)
+    copies, leads = np.zeros(digests, np.int32), np.zeros(digests, bool)
+    for numbers, n, firsts in told:
+        at = unplanes(numbers, np.int32)
+        copies[at] = unplanes(n, np.int32)
+        leads[at] = np.unpackbits(np.frombuffer(firsts, np.uint8), count=len(at)).astype(bool)
+    doc, begin = np.repeat(np.arange(len(sizes)), each), np.cumsum(each) - each
+    inner = np.arange(total) - begin[doc]
+    shingle = inner >= sizes[doc, 0]
+    place = np.where(shingle, word, inner)
+    again = np.flatnonzero(copies[number] > 0)
+    if not len(again):
+        return []
+    mine = (first & leads[number])[again]
+    d, s, p = doc[again], shingle[again], place[again]
+    # Runs of neighbours that are all first occurrences or none.
+    head = np.ones(len(again), bool)
+    head[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (mine[1:] != mine[:-1]) | (p[1:] != p[:-1] + 1)
+    a = np.flatnonzero(head)
+    b = np.append(a[1:], len(again)) - 1
+    most = lambda x: np.maximum.reduceat(x[again], a)
+    columns = s[a], mine[a], p[a], p[b], start[again][a], most(end), word[again][a], most(word + words), np.add.reduceat(words[again], a), b - a + 1, np.minimum.reduceat(copies[number[again]], a)
+    parts, out = list(map(_Part._make, zip(*(x.tolist() for x in columns), strict=True))), []
+    edges = [*np.flatnonzero(np.diff(d[a], prepend=-1)).tolist(), len(a)]
+    for x, y in zip(edges, edges[1:], strict=False):
+        i = int(d[a[x]])
+        out += [(ids[i], *found, rows[16 * i : 16 * (i + 1)].hex()) for found in _judged(parts[x:y], least_words)]
+    return out
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+def _joiner(least_words: int):
+    """Rows by block, the block's own first: (block, ids, rows, sizes, digests, spans, numbers, copies, firsts)."""
+    names = ["id", "start", "end", "words", "chunks", "copies", "first_chunks", "kept", "text_md5"]
+    types = [*[pa.int64()] * 7, pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[_Part] = []
+        own, told = None, []
+
+        def done() -> pa.RecordBatch:
+            rows = _passages_of(*own[1:6], told, least_words) if own and told else []
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * len(names), types, strict=True)], names=names)
+
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if parts and row[0] != parts[0].id:
-                    out += _judged(parts, least_words)
-                    parts = []
-                parts.append(_Part(*row))
-            yield batch_of(out)
-        if parts:
-            yield batch_of(_judged(parts, least_words))
+                if own is None or row[0] != own[0]:
+                    yield done()
+                    own, told = row, []
+                else:
+                    told.append(row[6:])
+        yield done()
 
     return run
 
 
 def passages(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, least: int = LEAST, most: int = MOST, least_words: int = LEAST_WORDS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    bits: int = BITS,
+    least: int = LEAST,
+    most: int = MOST,
+    least_words: int = LEAST_WORDS,
+    inside: bool = False,
+    held: int = HELD,
+    cell: int = CELL,
 ) -> DataFrame:
     """One row per repeated passage of a text: id, start and end (bytes), words, chunks (and shingles), copies (occurrences of
-    its rarest chunk), first_chunks (how many of them occur here first) and kept."""
-    chunks = materialise(chunk(docs, id_col, text_col, bits, least, most, least_words), "chunks")
-    key = ["hi", "lo"]
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "place"))
-    own = F.coalesce("id", F.lit(-(1 << 63)))
-    counted = chunks.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), first.alias("first"), F.min(own).alias("lo_id"), F.max(own).alias("hi_id")).filter("lo_id < hi_id").drop("lo_id", "hi_id")
-    counted = materialise(counted, "chunk-counts")
-    again = join_groups(chunks, counted, key, "n", F.struct("id", "place")).filter("n is not null")
-    mine = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.place") == F.col("place"))
-    stretch = F.floor(F.col("place") / STRETCH).cast("int")
-    stretch = F.when(F.col("shingle"), -1 - stretch).otherwise(stretch)
-    again = again.select("id", "shingle", "place", "start", "end", "word", "words", "n", mine.alias("mine"), stretch.alias("stretch"))
-    # Stretches of places without a gap that are all first occurrences or none; what lies at an edge is joined after.
-    runs = again.withColumn("run", F.col("place") - F.dense_rank().over(Window.partitionBy("id", "stretch", "mine").orderBy("place")))
-    part = runs.groupBy("id", "stretch", "shingle", "mine", "run").agg(
-        F.min("place").alias("a"), F.max("place").alias("b"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("word").alias("word"),
-        F.max(F.col("word") + F.col("words")).alias("word_end"), F.sum("words").alias("words"), F.count(F.lit(1)).alias("chunks"), F.min("n").alias("copies"),
-    )
-    part = part.select("id", "shingle", "mine", "a", "b", "start", "end", "word", "word_end", "words", "chunks", "copies")
-    part = part.repartition("id").sortWithinPartitions("id", "shingle", "a", "mine")
-    out = part.mapInArrow(tidy(_joiner(least_words)), "id long, start long, end long, words long, chunks long, copies long, first_chunks long, kept boolean")
+    its rarest chunk), first_chunks (how many of them occur here first), kept, and text_md5, by which rows that repeat an id
+    are told apart."""
+    blocks = materialise(chunk(docs, id_col, text_col, bits, least, most, least_words, held), "chunks")
+    digests = blocks.agg(F.sum("digests")).first()[0] or 0
+    buckets = max(-(-digests // cell), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = blocks.select("block", "digests", "entries").mapInArrow(tidy(_slicer(buckets)), "bucket int, block long, base long, size long, entries binary")
+    told = sliced.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidy(_counter(inside)), "block long, numbers binary, copies binary, firsts binary")
+    own = blocks.select("block", "ids", "rows", "sizes", "digests", "spans")
+    rows = own.unionByName(told, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("sizes").isNull())
+    out = rows.mapInArrow(tidy(_joiner(least_words)), "id long, start long, end long, words long, chunks long, copies long, first_chunks long, kept boolean, text_md5 string")
     return out.withColumnRenamed("id", id_col)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without the passages that aren't kept, all other columns as they were; a text may become empty."""
-    gone = passages(docs, id_col, text_col, **options).filter(~F.col("kept")).groupBy(id_col).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__g_gone"))
-    gone = materialise(gone.withColumnRenamed(id_col, "__g_id").filter("__g_id is not null"), "chunk-gone")
-    some = F.col(id_col).cast("bigint")
-    touched = flagged(docs, some, gone.select("__g_id")).join(gone, some == F.col("__g_id"), "left")
-    rest = flagged(docs, some, gone.select("__g_id"), how="left_anti")
+    """docs without the passages that aren't kept, all other columns as they were; a text may become empty.
+
+    Texts find their passages by id and MD5 digest, so that rows which repeat an id lose none but their own.
+    """
+    gone = passages(docs, id_col, text_col, **options).filter(~F.col("kept"))
+    gone = gone.groupBy(F.col(id_col).alias("__g_id"), F.col("text_md5").alias("__g_md5")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__g_gone"))
+    gone = materialise(gone, "chunk-gone")
+    some = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))
+    touched = flagged(docs, some, gone.select(F.coalesce("__g_id", F.lit(0).cast("bigint"))))
+    touched = touched.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__g_id")) & (F.md5(F.col(text_col).cast("binary")) == F.col("__g_md5")), "left")
+    rest = flagged(docs, some, gone.select(F.coalesce("__g_id", F.lit(0).cast("bigint"))), how="left_anti")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -200,10 +201,65 @@ def test_passages_on_supplied_documents(spark):
     assert len(truth & found) >= 0.99 * len(truth)
 
 
-def test_passages_with_nulls_repeats_and_long_runs(spark, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "STRETCH", 16)
+def test_passages_with_nulls_repeats_and_long_runs(spark):
     text = " ".join(f"w{i}q" for i in range(2000))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
-    got = {x["doc_id"]: x for x in substring_dedup.passages(docs).collect()}
-    assert set(got) == {1, 2, None} and got[2]["start"] == 0 and got[2]["end"] == len(text) and got[2]["words"] >= 2000
+    for held, cell in ((substring_dedup.HELD, substring_dedup.CELL), (1, 50)):
+        rows = substring_dedup.passages(docs, held=held, cell=cell).collect()
+        got = {x["doc_id"]: x for x in rows}
+        assert len(rows) == 4 and set(got) == {1, 2, None} and got[2]["start"] == 0 and got[2]["end"] == len(text) and got[2]["words"] >= 2000
+        assert got[1]["kept"] and not got[2]["kept"] and not got[None]["kept"] and all(x["copies"] == 4 for x in rows)
     assert substring_dedup.passages(docs.limit(0)).count() == 0
+    assert substring_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_an_id_lose_their_own_passages_alone(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijé") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    shared, null_a, null_b = prose(90), prose(120), prose(120)
+    other = prose(300)
+    rows = [(1, shared), (7, f"{prose(40)} {shared} {prose(40)}"), (7, other), (None, f"{null_a} {shared}"), (None, null_b), (None, f"{null_b} {prose(30)}"), (9, None)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(order)], "doc_id long, text string, words int")
+        got = substring_dedup.passages(docs, held=200).collect()
+        texts = {hashlib.md5(t.encode()).hexdigest(): t for _, t in rows if t}
+        for x in got:
+            part = texts[x["text_md5"]].encode()[x["start"] : x["end"]].decode()
+            assert sum(part in t for t in texts.values()) == 2 or part in shared
+        out = {x["words"]: x["text"] for x in substring_dedup.deduplicate(docs, held=200).collect()}
+        back = [out[order.index(x)] for x in rows]
+        assert back[0] == shared and back[2] == other and back[6] is None and sorted(map(len, back[4:6]))[1] >= 120
+        assert len(back[1]) < len(rows[1][1]) - 300 and null_a[:300] in back[3] and len(back[3]) < len(rows[3][1]) - 300
+        # Of the two texts without id that share a passage one keeps it.
+        assert sum(null_b[100:300] in x for x in back[4:6]) == 1
+
+
+def test_repeats_inside_one_document_on_demand(spark):
+    r = random.Random(9)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    twice = prose(80)
+    docs = spark.createDataFrame([(1, f"{twice} {prose(50)} {twice}"), (2, prose(100))], "doc_id long, text string")
+    assert substring_dedup.passages(docs).count() == 0
+    got = substring_dedup.passages(docs, inside=True).collect()
+    assert {x["doc_id"] for x in got} == {1} and sorted(x["kept"] for x in got) == [False, True]
+
+
+def test_packed_entries_round_trip_and_group():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    n = 500
+    high = r.integers(0, 200, n).astype(np.uint64)
+    e = substring_dedup.Entries(high, r.integers(0, 2, n).astype(np.uint32), r.integers(-5, 5, n), r.integers(0, 3, n).astype(np.int32), r.integers(1, 4, n).astype(np.int32), r.random(n) < 0.1, r.random(n) < 0.05)
+    assert all((x == y).all() for x, y in zip(substring_dedup.Entries.unpack(e.pack(), n), e, strict=True))
+    out, number, first = substring_dedup.grouped(e)
+    by = defaultdict(list)
+    for i, x in enumerate(zip(*(c.tolist() for c in e), strict=True)):
+        by[x[:2]].append((i, x))
+    assert [tuple(x) for x in zip(out.high.tolist(), out.low.tolist(), strict=True)] == sorted(by)
+    for k, key in enumerate(sorted(by)):
+        rows = by[key]
+        lead = min((x[5], x[2], x[3]) for _, x in rows)
+        assert (out.null[k], out.owner[k], out.place[k], out.n[k]) == (*lead, sum(x[4] for _, x in rows))
+        assert out.many[k] == (any(x[6] for _, x in rows) or len({(x[5], x[2]) for _, x in rows}) > 1)
+        assert all(number[i] == k and first[i] == ((x[5], x[2], x[3]) == lead) for i, x in rows)
