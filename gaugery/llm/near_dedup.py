@@ -1,7 +1,8 @@
 """MinHash near-deduplication with sequential Bayesian verification.
 
-1. Sketch: each document's distinct shingles of whole words give a signature of bands x rows hash minima, in Python on
-   Arrow batches. Documents with the same word sequence form a class; its least id stands for it from here on.
+1. Sketch: each row's distinct shingles of whole words give a signature of bands x rows hash minima, in Python on
+   Arrow batches. Rows with the same word sequence form a class; one of them, by row number, stands for it from here on.
+   Ids come back at the end: classes that an id has in common are linked.
 2. Candidates: representatives that share a band. A band's bucket is never expanded into pairs. Its pivot, the member
    with the most company over all bands, is compared with every other member: as many candidates as members.
 3. Verification: signatures are compared batch by batch. After each batch a pair is dropped if the posterior chance of a
@@ -9,22 +10,26 @@
    confirmed on their full shingle sets, read again from the texts.
 4. Components of the confirmed links. A bucket whose members now share one component is settled: a further link inside
    it could change nothing.
-5. Open buckets are finished exactly, in blocks of bounded size. Members of different components are compared by
-   signature, those with a surviving partner get their texts, and all their intersections are counted at once by
-   products of 0/1 matrices. What a block sends on is links that join its components, fewer than its members; so no
-   link between components is lost, but for banding (3e-6 at the threshold) and `miss`.
+5. Open buckets are finished exactly. A bucket's members are parted by size, as sets whose sizes are further apart than
+   the threshold can't be linked: members meet those of their own size class and of the next. In such a part the members
+   of the largest component needn't meet each other; the rest meet them and one another, in blocks of about BLOCK members
+   and a bounded number of shingles. So one outlier in a bucket of n costs n rows. In a block, members of different
+   components are compared by signature, those with a surviving partner get their texts, and all their intersections are
+   counted at once by products of 0/1 matrices. What a block sends on is links that join its components, fewer than its
+   members; so no link between components is lost, but for banding (3e-6 at the threshold) and `miss`.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and is its own component; with
 fewer words than a shingle has, the whole sequence is the only shingle. Rows with a null id are linked with nothing,
-have a null component and are kept. Rows that repeat an id count as one document with the links of all of them. Other
-columns are carried as they are; names starting with `__g_` are reserved. Empty tables give empty results.
+have a null component and are kept. Rows that repeat an id count as one document with the links of all of them, each
+row being compared by its own text. Texts are read again by id and a 64-bit hash, so that rows of one id are told apart.
+Other columns are carried as they are; names starting with `__g_` are reserved. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ ROWS = 4
 MISS = 1e-7
 BATCH = 16
 BLOCK = 512
+#: Shingles that the texts of a block have, about.
+BLOCK_SHINGLES = 4_000_000
 PIVOT_BLOCK = 256
 MASK = (1 << 64) - 1
 
@@ -91,7 +98,7 @@ def _sketcher(k: int, bands: int, rows: int):
         salts = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             counts, sequences, signatures, keys = [], [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 w = word_list(text)
                 if not w:
                     counts.append(0)
@@ -110,8 +117,8 @@ def _sketcher(k: int, bands: int, rows: int):
                 signatures.append(s.tobytes())
                 keys.append(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(sequences, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "sequence", "sig", "keys"],
+                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(sequences, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["id", "hash", "n_shingles", "sequence", "sig", "keys"],
             )
 
     return run
@@ -155,76 +162,93 @@ def _pruner(n: int, percent: int, miss: float):
         for batch in batches:
             if batch.num_rows:
                 alive, _ = survives(_signatures(batch.column(2), n), _signatures(batch.column(3), n), least, BATCH)
-                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["id", "pivot"])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(pa.array(alive)) for i in (0, 1)], names=["node", "pivot"])
 
     return run
 
 
 def _confirmer(k: int, percent: int):
-    """Rows sorted by pivot and block, the pivot's text first: (pivot, block, id, text)."""
+    """Rows sorted by pivot and block, the pivot's text first: (pivot, block, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, set()
+        own: set = set()
         for batch in batches:
-            ids, pivots = [], []
-            for pivot, block, other, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            nodes, pivots = [], []
+            for pivot, _block, other, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if other is None:
-                    own = own | shingle_set(text, k) if at == (pivot, block) else shingle_set(text, k)
-                    at = (pivot, block)
+                    own = shingle_set(text, k)
                     continue
                 theirs = shingle_set(text, k)
                 both = len(own & theirs)
                 if 100 * both >= percent * (len(own) + len(theirs) - both) and both:
-                    ids.append(other)
+                    nodes.append(other)
                     pivots.append(pivot)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pivots, pa.int64())], names=["id", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(pivots, pa.int64())], names=["node", "pivot"])
 
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (id, pivot) whose full shingle sets reach the threshold; texts has id and text, and is read once more.
+def _with_texts(rows: DataFrame, node: str, where: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows, a written table, with the text of `node`. where: node, id and hash; texts: id, hash and text, read once more.
+
+    Rows of texts that repeat id and hash count once, where they meet for the join anyway.
+    """
+    known = rows.join(where.withColumnRenamed("node", node), node)
+    found = flagged(texts, F.col("hash"), known.select("hash")).groupBy("id", "hash").agg(F.first("text").alias("text"))
+    return known.join(found, ["id", "hash"]).drop("id", "hash")
+
+
+def confirm(pairs: DataFrame, where: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (node, pivot) whose full shingle sets reach the threshold.
 
     A pivot of many pairs is dealt out in blocks, each with its own copy of the pivot's text.
     """
     counted = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     blocks = lambda n: F.ceil(n / PIVOT_BLOCK).cast("bigint")
-    dealt = join_groups(pairs, counted, ["pivot"], "n", F.col("id")).select("pivot", F.pmod(F.xxhash64("id", F.lit(7)), blocks(F.col("n"))).alias("block"), "id")
-    heads = counted.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(F.col("n")) - 1)).alias("block"), F.lit(None).cast("bigint").alias("id"))
-    asked = materialise(dealt.unionAll(heads).withColumn("of", F.coalesce("id", "pivot")), "near-asked")
-    found = flagged(texts, F.col("id"), asked.select("of")).withColumnRenamed("id", "of")
-    rows = asked.join(found, "of").select("pivot", "block", "id", "text")
-    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("id").asc_nulls_first()).mapInArrow(tidy(_confirmer(k, percent)), "id long, pivot long")
+    dealt = join_groups(pairs, counted, ["pivot"], "n", F.col("node")).select("pivot", F.pmod(F.xxhash64("node", F.lit(7)), blocks(F.col("n"))).alias("block"), "node")
+    heads = counted.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks(F.col("n")) - 1)).alias("block"), F.lit(None).cast("bigint").alias("node"))
+    asked = materialise(dealt.unionAll(heads).withColumn("of", F.coalesce("node", "pivot")), "near-asked")
+    rows = _with_texts(asked, "of", where, texts).select("pivot", "block", "node", "text")
+    return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("node").asc_nulls_first()).mapInArrow(tidy(_confirmer(k, percent)), "node long, pivot long")
+
+
+#: What rows of a run begin with: bucket, size class, kind, blocks; which side of two, whether of the class below, node, component.
+RUN = "key long, g int, kind int, x int, y int, side int, guest boolean, node long, comp long"
+_RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
+_RUN_TYPES = (pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64())
+CROSS, REST = 0, 1
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (key, x, y, ...) sorted by the three: those of each run, one block or a pair of blocks of a bucket."""
+    """Rows (RUN, ...) sorted by their first five: those of each run, one block or a pair of blocks of a part of a bucket."""
     at, rows = None, []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != row[:3]:
+            if at != row[:5]:
                 if len(rows) > 1:
                     yield rows
-                at, rows = row[:3], []
+                at, rows = row[:5], []
             rows.append(row)
     if len(rows) > 1:
         yield rows
 
 
 def _apart(rows: list[tuple]) -> np.ndarray:
-    """Which pairs of a run are to be compared: of different components, and of different blocks if the run has two."""
-    side, comps = (np.array([r[j] for r in rows]) for j in (3, 5))
-    apart = comps[:, None] != comps
-    return apart & (side[:, None] != side) if rows[0][1] != rows[0][2] else apart
+    """Which pairs of a run are to be compared: of different components, not both from the class below, as those meet there,
+    and of different sides if the run has two."""
+    side, guest, comps = (np.array([r[j] for r in rows]) for j in (5, 6, 8))
+    apart = (comps[:, None] != comps) & ~(guest[:, None] & guest)
+    _, _, kind, x, y, *_ = rows[0]
+    return apart & (side[:, None] != side) if kind == CROSS or x != y else apart
 
 
 def _hopeful(n: int, percent: int, miss: float):
-    """Of rows (key, x, y, side, id, comp, sig), those with a partner that no batch rules out; without the signature."""
+    """Of rows (RUN, sig), those with a partner that no batch rules out; without the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = fewest_matches(n, BATCH, percent, miss)
         for rows in _runs(batches):
-            sigs, apart = np.frombuffer(b"".join(r[6] for r in rows), np.uint32).reshape(-1, n), _apart(rows)
+            sigs, apart = np.frombuffer(b"".join(r[9] for r in rows), np.uint32).reshape(-1, n), _apart(rows)
             hope = np.zeros(len(rows), bool)
             for i in range(len(rows)):
                 other = np.flatnonzero(apart[i, i + 1 :]) + i + 1
@@ -232,9 +256,9 @@ def _hopeful(n: int, percent: int, miss: float):
                     alive, _ = survives(np.broadcast_to(sigs[i], (len(other), n)), sigs[other], least, BATCH)
                     hope[other[alive]] = True
                     hope[i] |= len(alive) > 0
-            columns = list(zip(*[r[:6] for r, h in zip(rows, hope, strict=True) if h], strict=True)) or [()] * 6
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["key", "x", "y", "side", "id", "comp"])
+            if hope.any():
+                columns = zip(*[r[:9] for r, h in zip(rows, hope, strict=True) if h], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RUN_TYPES, strict=True)], names=_RUN_NAMES)
 
     return run
 
@@ -258,87 +282,124 @@ def shared(sets: list[np.ndarray], cells: int = 4_000_000) -> np.ndarray:
 
 
 def _finisher(k: int, percent: int):
-    """Of rows (key, x, y, side, id, comp, text), links that join all components of a run that any link would join."""
+    """Of rows (RUN, text), links that join all components of a run that any link would join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            words_of = [word_list(r[6]) for r in rows]
+            words_of = [word_list(r[9]) for r in rows]
             sets = [shingle_hashes(w, k) for w in words_of]
             size, both = np.array([len(x) for x in sets], np.float64), shared(sets)
             close = (100 * both >= percent * (size[:, None] + size - both)) & _apart(rows)
-            label, links = np.array([r[5] for r in rows]), []
+            label, links = np.array([r[8] for r in rows]), []
             while close.any():
                 i, j = divmod(int(close.argmax()), len(rows))
-                x, y = shingle_set(rows[i][6], k), shingle_set(rows[j][6], k)
+                x, y = shingle_set(rows[i][9], k), shingle_set(rows[j][9], k)
                 if 100 * len(x & y) >= percent * len(x | y):
-                    links.append((rows[i][4], rows[j][4]))
+                    links.append((rows[i][7], rows[j][7]))
                     label[label == label[j]] = label[i]
                     close &= label[:, None] != label
                 else:
                     close[i, j] = close[j, i] = False
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["id", "pivot"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in links], pa.int64()) for j in (0, 1)], names=["node", "pivot"])
 
     return run
 
 
 def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """rows with comp: the component of id, or id itself where no link has it."""
-    return rows.join(comps.withColumnsRenamed({"node": "id", "component": "__g_comp"}), "id", "left").withColumn("comp", F.coalesce("__g_comp", "id")).drop("__g_comp")
+    """rows with comp: the component of node, or node itself where no link has it."""
+    return rows.join(comps.withColumnRenamed("component", "__g_comp"), "node", "left").withColumn("comp", F.coalesce("__g_comp", "node")).drop("__g_comp")
+
+
+def _parted(crowd: DataFrame, comps: DataFrame, percent: int, block: int) -> DataFrame:
+    """The members (node, key, comp) of buckets with two components or more, by part of the bucket and block.
+
+    g, guest: size class of the part, and whether the member is of the class below; lead: of the part's largest component;
+    own: the member's block, of `bigs` blocks of that component or `rests` blocks of all others.
+    """
+    placed = _labelled(crowd, comps)
+    several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("open_n")).filter("lo != hi").select("key", "open_n")
+    opened = join_groups(placed.select("node", "g", "key", "comp"), several, ["key"], "open_n", F.col("node")).filter("open_n is not null")
+    classes = F.explode(F.array(F.struct("g", F.lit(False).alias("guest")), F.struct((F.col("g") + 1).alias("g"), F.lit(True).alias("guest"))))
+    parts = materialise(opened.select("node", "key", "comp", classes.alias("c")).select("node", "key", "comp", "c.g", "c.guest"), "near-parts")
+    by = parts.groupBy("key", "g", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("guests"))
+    tops = by.groupBy("key", "g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("part_n"), F.count(F.lit(1)).alias("n_comps"), F.min("guests").alias("guests"))
+    tops = tops.filter("n_comps > 1 and not guests").select("key", "g", F.col("top.comp").alias("big"), F.col("top.m").alias("big_n"), "part_n", "n_comps")
+    dealt = join_groups(parts, tops, ["key", "g"], "part_n", F.col("node")).filter("big is not null")
+    size = F.greatest(F.lit(1.0), F.least(F.lit(float(block)), F.lit(float(BLOCK_SHINGLES)) / F.pow(F.lit(100 / percent), "g")))
+    count = lambda n: F.ceil(n / size).cast("int")
+    dealt = dealt.withColumns({"lead": F.col("comp") == F.col("big"), "bigs": count(F.col("big_n")), "rests": count(F.col("part_n") - F.col("big_n"))})
+    own = F.pmod(F.xxhash64("node", F.lit(11)), F.when(F.col("lead"), F.col("bigs")).otherwise(F.col("rests"))).cast("int")
+    return dealt.select("node", "key", "g", "guest", "comp", "lead", "bigs", "rests", "n_comps", own.alias("own"))
+
+
+def _sent(parted: DataFrame) -> DataFrame:
+    """The members of each run: RUN."""
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    one = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), side.alias("side"))
+    own = F.col("own")
+    across = F.when(F.col("lead"), F.transform(upto(F.col("rests")), lambda j: one(CROSS, own, j, F.lit(0)))).otherwise(F.transform(upto(F.col("bigs")), lambda i: one(CROSS, i, own, F.lit(1))))
+    among = F.transform(upto(F.col("rests")), lambda j: one(REST, F.least(own, j), F.greatest(own, j), F.when(own == j, 0).when(own < j, 1).otherwise(2)))
+    # The rest meet one another only if they are of two components or more.
+    runs = F.when(F.col("lead") | (F.col("n_comps") == 2), across).otherwise(F.concat(across, among))
+    return parted.withColumn("r", F.explode(runs)).select("key", "g", "r.kind", "r.x", "r.y", "r.side", "guest", "node", "comp")
 
 
 def link(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK
 ) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the least id reachable, itself included), kept."""
     ship(docs.sparkSession)
     size = bands * rows
-    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sketch = materialise(whole.mapInArrow(tidy(_sketcher(shingle, bands, rows)), "id long, n_shingles long, sequence binary, sig binary, keys array<long>"), "near-sketch")
+    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    sketch = whole.mapInArrow(tidy(_sketcher(shingle, bands, rows)), "id long, hash long, n_shingles long, sequence binary, sig binary, keys array<long>")
+    sketch = materialise(sketch.withColumn("row", F.monotonically_increasing_id()), "near-sketch")
     full = sketch.filter("id is not null and n_shingles > 0")
-    classes = full.groupBy("sequence").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    member = materialise(join_groups(full.select("id", "sequence"), classes.filter("n > 1"), ["sequence"], "n", F.col("id")).select("id", F.coalesce("rep", "id").alias("rep")), "near-class")
-    reps = member.filter("id = rep").select("id").distinct()
-    alone = full.select("id", "sig", "keys").join(reps, "id", "left_semi")
-    keyed = alone.select("id", F.explode("keys").alias("key"))
+    classes = full.groupBy("sequence").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n"))
+    member = join_groups(full.select("id", "row", "sequence"), classes.filter("n > 1"), ["sequence"], "n", F.col("row"))
+    member = materialise(member.select("id", "row", F.coalesce("node", "row").alias("node")), "near-class")
+    where = full.select(F.col("row").alias("node"), "id", "hash")
+    # The size class: sizes of two sets that reach the threshold are of one class or of neighbours.
+    g = F.floor(F.log(F.col("n_shingles").cast("double")) / log(100 / percent * (1 + 1e-9))).cast("int") if percent < 100 else F.lit(0)
+    alone = full.select("row", g.alias("g"), "keys").join(member.filter("row = node").select("row"), "row", "left_semi")
+    keyed = alone.select(F.col("row").alias("node"), "g", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowd = materialise(join_groups(keyed, buckets, ["key"], "n", F.col("id")).filter("n is not null").select("id", "key", "n"), "near-crowd")
-    weights = crowd.groupBy("id").agg(F.sum("n").alias("w"))
-    weighed = crowd.join(weights, "id")
-    pivots = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("least"))).alias("top"), F.max("n").alias("n")).select("key", (-F.col("top.least")).alias("pivot"), "n")
-    stars = join_groups(crowd.select("id", "key"), pivots, ["key"], "n", F.col("id")).filter("id != pivot").select("id", "pivot").distinct()
-    sigs = flagged(full.select("id", "sig"), F.col("id"), crowd.select("id")).dropDuplicates(["id"])
-    sigs = materialise(sigs, "near-sigs")
+    crowd = materialise(join_groups(keyed, buckets, ["key"], "n", F.col("node")).filter("n is not null").select("node", "g", "key", "n"), "near-crowd")
+    weights = crowd.groupBy("node").agg(F.sum("n").alias("w"))
+    weighed = crowd.join(weights, "node")
+    pivots = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("least"))).alias("top"), F.max("n").alias("n")).select("key", (-F.col("top.least")).alias("pivot"), "n")
+    stars = join_groups(crowd.select("node", "key"), pivots, ["key"], "n", F.col("node")).filter("node != pivot").select("node", "pivot").distinct()
+    sigs = materialise(flagged(full.select(F.col("row").alias("node"), "sig"), F.col("node"), crowd.select("node")), "near-sigs")
 
     def pruned(pairs: DataFrame) -> DataFrame:
         per = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-        heads = per.join(sigs.withColumnsRenamed({"id": "pivot", "sig": "pivot_sig"}), "pivot")
-        both = join_groups(pairs.join(sigs, "id"), heads, ["pivot"], "n", F.col("id")).filter("pivot_sig is not null")
-        return both.select("id", "pivot", "sig", "pivot_sig").mapInArrow(tidy(_pruner(size, percent, miss)), "id long, pivot long")
+        heads = per.join(sigs.withColumnsRenamed({"node": "pivot", "sig": "pivot_sig"}), "pivot")
+        both = join_groups(pairs.join(sigs, "node"), heads, ["pivot"], "n", F.col("node")).filter("pivot_sig is not null")
+        return both.select("node", "pivot", "sig", "pivot_sig").mapInArrow(tidy(_pruner(size, percent, miss)), "node long, pivot long")
 
     candidates = materialise(pruned(materialise(stars, "near-stars")), "near-pruned")
-    links = materialise(confirm(candidates, whole, shingle, percent), "near-links")
-    comps = materialise(components(links, "id", "pivot"), "near-comps")
-
-    # Buckets with members of more than one component, in blocks.
-    placed = _labelled(crowd, comps)
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("open_n")).filter("lo != hi").select("key", "open_n")
-    opened = join_groups(placed.select("id", "key", "comp"), open_keys, ["key"], "open_n", F.col("id")).filter("open_n is not null")
-    opened = materialise(opened.withColumn("blocks", F.ceil(F.col("open_n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(11)), F.col("blocks")).cast("int")), "near-open")
-    if not opened.isEmpty():
-        sent = opened.join(sigs, "id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        runs = sent.select("key", F.least("own", "j").alias("x"), F.greatest("own", "j").alias("y"), F.when(F.col("own") == F.col("j"), 0).when(F.col("own") < F.col("j"), 1).otherwise(2).alias("side"), "id", "comp", "sig")
-        hopeful = runs.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(_hopeful(size, percent, miss)), "key long, x int, y int, side int, id long, comp long")
-        hopeful = materialise(hopeful, "near-hopeful")
-        told = hopeful.join(flagged(whole, F.col("id"), hopeful.select("id")), "id").select("key", "x", "y", "side", "id", "comp", "text")
-        found = told.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(tidy(_finisher(shingle, percent)), "id long, pivot long")
+    links = confirm(candidates, where, whole, shingle, percent)
+    # Classes that have an id in common are one document.
+    shared_ids = member.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo != hi").select("id", "lo", "n")
+    same = join_groups(member.select("id", "node"), shared_ids, ["id"], "n", F.col("node")).filter("lo is not null and node != lo").select("node", F.col("lo").alias("pivot"))
+    links = materialise(links.unionByName(same), "near-links")
+    comps = materialise(components(links, "node", "pivot"), "near-comps")
+
+    parted = materialise(_parted(crowd, comps, percent, block), "near-open")
+    if not parted.isEmpty():
+        run_cols = _RUN_NAMES[:5]
+        runs = _sent(parted).join(sigs, "node").select(*_RUN_NAMES, "sig")
+        hopeful = materialise(runs.repartition(*run_cols).sortWithinPartitions(*run_cols).mapInArrow(tidy(_hopeful(size, percent, miss)), RUN), "near-hopeful")
+        told = _with_texts(hopeful, "node", where, whole).select(*_RUN_NAMES, "text")
+        found = told.repartition(*run_cols).sortWithinPartitions(*run_cols).mapInArrow(tidy(_finisher(shingle, percent)), "node long, pivot long")
         found = materialise(found, "near-links")
         if not found.isEmpty():
-            comps = materialise(components(links.unionAll(found), "id", "pivot"), "near-comps")
+            comps = materialise(components(links.unionByName(found), "node", "pivot"), "near-comps")
 
-    final = _labelled(member.select("rep", F.col("id").alias("own")).withColumnRenamed("rep", "id"), comps).select(F.col("own").alias("id"), "comp")
-    final = final.groupBy("id").agg(F.min("comp").alias("comp"))
-    out = sketch.select("id", "n_shingles").join(final, "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("comp")).otherwise(F.col("id"))
+    placed = materialise(_labelled(member.select("id", "node"), comps).select("id", "comp"), "near-placed")
+    least = placed.groupBy("comp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    final = join_groups(placed, least, ["comp"], "n", F.col("id")).groupBy("id").agg(F.min(F.coalesce("low", "id")).alias("component"), F.count(F.lit(1)).alias("n"))
+    out = join_groups(sketch.select("id", "n_shingles", "row"), final, ["id"], "n", F.col("row"))
+    component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 

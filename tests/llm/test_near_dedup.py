@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gaugery.llm import near_dedup as nd
 from gaugery.llm.common import table
@@ -27,9 +28,9 @@ def brute(texts, k, percent=80):
     return {i: (len(sets[i]), top(i)) for i in ids}
 
 
-def check(spark, texts, k):
+def check(spark, texts, k, **options):
     docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, sig string")
-    got = {r["doc_id"]: r for r in nd.link(docs, shingle=k).collect()}
+    got = {r["doc_id"]: r for r in nd.link(docs, shingle=k, **options).collect()}
     for i, (n, c) in brute(texts, k).items():
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n, c, i == c)
 
@@ -51,12 +52,34 @@ def test_equals_brute_force_with_families_around_the_threshold(spark, k):
     check(spark, list(enumerate(texts)), k)
 
 
-def test_open_buckets_are_finished_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "BLOCK", 8)
+def test_open_buckets_are_finished_in_blocks(spark):
     r = random.Random(3)
     base = [f"w{r.randrange(300)}" for _ in range(100)]
-    texts = family(r, base, 60, 0.06)
-    check(spark, list(enumerate(texts)), 2)
+    # Of different lengths too, so that neighbouring size classes meet.
+    texts = family(r, base, 60, 0.06) + [t for n in (75, 82, 88, 95) for t in family(r, base[:n], 12, 0.03)]
+    check(spark, list(enumerate(texts)), 2, block=8)
+
+
+def test_one_outlier_in_a_large_bucket_costs_linear_rows(spark):
+    n = 100_000
+    crowd = spark.range(n + 1).select(F.col("id").alias("node"), F.lit(20).alias("g"), F.lit(5).cast("long").alias("key"), F.lit(n + 1).cast("long").alias("n"))
+    comps = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
+    sent = nd._sent(nd._parted(crowd, comps, 80, nd.BLOCK)).groupBy("g", "kind", "x", "y").agg(F.sum("side").alias("others"), F.count(F.lit(1)).alias("rows")).collect()
+    assert sum(x["rows"] for x in sent) < 1.02 * n and max(x["rows"] for x in sent) < 2 * nd.BLOCK
+    assert all(x["others"] == 1 for x in sent) and {x["g"] for x in sent} == {20}
+
+
+def test_repeated_ids_are_one_document(spark):
+    r = random.Random(11)
+    base = [[f"w{r.randrange(500)}" for _ in range(80)] for _ in range(3)]
+    near = lambda b: " ".join(w if k != 40 else f"x{r.randrange(1000)}" for k, w in enumerate(b))
+    a, b, c = (" ".join(x) for x in base)
+    rows = [(1, a), (2, b), (3, near(base[0])), (3, near(base[1])), (4, c), (5, near(base[2])), (5, "one two"), (6, "one two"), (6, None), (7, None), (None, a)]
+    for seed in range(4):
+        order = random.Random(seed).sample(rows, len(rows))
+        got = nd.link(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        assert {(x["doc_id"], x["component_id"]) for x in got} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 4), (7, 7), (None, None)}
 
 
 def test_nulls_and_empty_tables(spark):
