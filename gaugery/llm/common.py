@@ -57,19 +57,46 @@ def flagged(rows: DataFrame, column: Column, wanted: DataFrame, flags: int = FLA
     return rows.withColumn("__g_flag", bucket(column)).join(F.broadcast(few), "__g_flag", how).drop("__g_flag")
 
 
-def labelled_sample(labels: DataFrame, docs: DataFrame, most: dict | int) -> DataFrame:
-    """label and text of a bounded sample: of labels (id, label), at most `most` rows of each label (a number, or one by label).
-
-    Rows are drawn by the least hashes of their ids in 64 cells of each label, so that no label's rows meet in one task;
-    docs (id, text) is then read for the drawn ids alone. The result is written to the scratch folder. Nulls are left out.
-    """
-    rows = labels.filter("id is not null and label is not null").withColumn("h", F.xxhash64(F.col("id"), F.lit(3)))
+def _drawn(rows: DataFrame, keys: list[str], most: dict | int) -> DataFrame:
+    """At most `most` of the rows (label, keys) of each label, each once, in the scratch folder: those of the least hashes
+    of their keys in 64 cells of each label, so that no label's rows meet in one task. A row that repeats takes places as
+    often, so a sample may be smaller than its bound, never larger."""
+    rows = rows.select("label", *keys).withColumn("h", F.xxhash64(*keys, F.lit(3)))
     limit = F.lit(most) if isinstance(most, int) else F.coalesce(*[F.when(F.col("label") == k, F.lit(v)) for k, v in most.items()], F.lit(0))
-    cell = Window.partitionBy("label", F.pmod("h", F.lit(CELLS))).orderBy("h", "id")
+    cell = Window.partitionBy("label", F.pmod("h", F.lit(CELLS))).orderBy("h", *keys)
     # The first bound is one that Spark applies before the shuffle.
     high = most if isinstance(most, int) else max(most.values())
     placed = rows.withColumn("place", F.row_number().over(cell)).filter(F.col("place") <= high // CELLS + 1)
     drawn = placed.filter((F.col("place") - 1) * CELLS + F.pmod("h", F.lit(CELLS)) < limit)
-    drawn = materialise(drawn.select("id", "label").distinct(), "drawn")
-    texts = flagged(docs.filter("text is not null").select("id", "text"), F.col("id"), drawn.select("id"))
-    return materialise(texts.join(drawn, "id").select("label", "text"), "sample")
+    return materialise(drawn.select("label", *keys).distinct(), "drawn")
+
+
+def row_sample(rows: DataFrame, most: dict | int) -> DataFrame:
+    """label and text of a bounded sample: of rows (id, label, text), at most `most` of each label (a number, or one by
+    label), in the scratch folder.
+
+    Rows are drawn, not ids: of an id that repeats each row keeps its own label and text. Rows that are equal in all three
+    count once. Nulls are left out. The rows are read twice, for the draw and for the texts of the drawn.
+    """
+    known = rows.filter("id is not null and label is not null and text is not null").select("id", "label", "text", F.xxhash64("text").alias("hash"))
+    drawn = _drawn(known, ["id", "hash"], most)
+    texts = flagged(known, F.col("hash"), drawn.select("hash")).join(F.broadcast(drawn), ["label", "id", "hash"])
+    return materialise(texts.dropDuplicates(["label", "id", "hash"]).select("label", "text"), "sample")
+
+
+def labelled_sample(labels: DataFrame, docs: DataFrame, most: dict | int) -> DataFrame:
+    """label and text of a bounded sample where labels (id, label) stand apart from docs (id, text): at most `most` rows of
+    each label, as of `row_sample`. An id's label holds for all its texts, and every label for an id that has several."""
+    drawn = _drawn(labels.filter("id is not null and label is not null"), ["id"], most)
+    return row_sample(docs.select("id", "text").join(F.broadcast(drawn), "id"), most)
+
+
+def carried(columns: list[str], taken: list[str]) -> dict[str, str]:
+    """Names under which input columns are carried beside the result's own: one that clashes gets `_in` at its end."""
+    out: dict[str, str] = {}
+    for c in columns:
+        name = c
+        while name in taken or (name != c and name in columns) or name in out.values():
+            name += "_in"
+        out[c] = name
+    return out

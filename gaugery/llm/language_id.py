@@ -4,8 +4,8 @@ Every language has a codeword of +1 and -1. For each bit a binary classifier on
 over lower-cased letters, other characters being gaps) tells the languages with +1 from those with -1: the log-odds of
 an n-gram under the mean of either side, averaged over a text, short texts being drawn to 0. Decoding takes the
 codeword of least loss, log(1 + exp(-code * margin)) weighted by each bit's accuracy on the sample, and flags a text as
-ambiguous where the runner-up is near. Up to five languages have the exhaustive code, more a random dense code chosen
-for the distance of its words.
+ambiguous where the runner-up is near. Up to seven languages have the exhaustive code, more a random dense code of distinct
+columns chosen for the distance of its words.
 
 Fitting: n-gram counts of at most `per_language` labelled rows of each language, drawn by a hash of their ids in 64
 cells, so that no language's rows meet in one task; the model is a table of n-grams by bits, of fixed size. Prediction
@@ -13,7 +13,9 @@ reads whole texts in Arrow batches and needs no shuffle.
 
 Defined cases: a null text, or one without letters, is `und` with score 0 and not ambiguous; so is every text if no
 labelled row has letters. With one language every other text is that, with score 1. A null id is held out. Rows that
-repeat are predicted each by itself. Other columns are not read. Empty tables give empty results.
+repeat are predicted each by itself. Other columns are carried and not read; one named like a result column gets `_in` at
+the end of its name. Empty tables give empty results. More than `most_languages` labels are an error, as the model's size
+is in proportion to them.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import labelled_sample
+from gaugery.llm.common import carried, row_sample
 from gaugery.ship import ship, tidy
 
 PER_LANGUAGE = 1500
@@ -39,6 +41,7 @@ AMBIGUOUS = 0.2
 SCALE = 3.0
 SHRINK = 12
 CHUNK = 400_000
+MOST_LANGUAGES = 200
 
 
 @lru_cache(1)
@@ -92,15 +95,22 @@ def codewords(n: int, seed: int = 5) -> np.ndarray:
     """n rows of +1 and -1, no column constant or the same as another or its opposite."""
     if n <= 1:
         return np.ones((n, 1), np.int8)
-    if n <= 5:
+    if n <= 7:
         columns = [[1 if i in ones else -1 for i in range(n)] for k in range(1, n) for ones in combinations(range(n), k) if 0 in ones]
         return np.array(columns, np.int8).T
     r, best = np.random.default_rng(seed), None
     bits = int(np.ceil(10 * np.log2(n)))
     for _ in range(200):
-        code = r.choice(np.array([-1, 1], np.int8), (n, bits))
-        distance = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
-        if (abs(code.sum(axis=0)) < n).all() and (best is None or distance > best[0]):
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < bits:
+            c = r.choice(np.array([-1, 1], np.int8), n)
+            c *= c[0]  # the opposite column is the same classifier
+            if abs(int(c.sum())) < n:
+                columns.setdefault(c.tobytes(), c)
+        code = np.stack(list(columns.values()), axis=1)
+        alike = code.astype(np.int32) @ code.T.astype(np.int32)
+        distance = int((bits - alike[~np.eye(n, dtype=bool)]).min()) // 2
+        if best is None or distance > best[0]:
             best = distance, code
     return best[1]
 
@@ -162,13 +172,23 @@ def _counter(dimensions: int):
 
 
 def fit(
-    docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", learnable: Column | None = None, per_language: int = PER_LANGUAGE, dimensions: int = DIMENSIONS
+    docs: DataFrame,
+    lang_col: str = "lang",
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    learnable: Column | None = None,
+    per_language: int = PER_LANGUAGE,
+    dimensions: int = DIMENSIONS,
+    most_languages: int = MOST_LANGUAGES,
 ) -> Model:
     """The model, of a size that depends on the number of languages alone."""
     ship(docs.sparkSession)
     own = docs if learnable is None else docs.filter(learnable)
     own = own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"), F.col(text_col).alias("text"))
-    rows = labelled_sample(own.select("id", "label"), own.select("id", "text"), per_language)
+    several = [r[0] for r in own.select("label").filter("label is not null").distinct().limit(most_languages + 1).collect()]
+    if len(several) > most_languages:
+        raise ValueError(f"more than {most_languages} languages; the model holds {dimensions} numbers for each: raise most_languages")
+    rows = row_sample(own, per_language)
     counted = rows.mapInArrow(tidy(_counter(dimensions)), "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     got = counted.toArrow()
     names, bins, numbers = got.column("lang").combine_chunks().dictionary_encode(), got.column("bin").to_numpy(), got.column("n").to_numpy()
@@ -206,8 +226,9 @@ def fit(
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """docs' columns, the text only if asked for, with lang_pred, score (0 to 1), second, ambiguous."""
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "second", "ambiguous")]
-    at = kept.index(text_col)
+    named = carried(docs.columns, ["lang_pred", "score", "second", "ambiguous"])
+    kept = list(named.values())
+    at = docs.columns.index(text_col)
     sent = [i for i in range(len(kept)) if keep_text or i != at]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -225,6 +246,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bo
                 names=[*(kept[i] for i in sent), "lang_pred", "score", "second", "ambiguous"],
             )
 
-    ordered = docs.select(*[f"`{c}`" for c in kept])
+    ordered = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in named.items()])
     types = "".join(f"`{ordered.schema[i].name}` {ordered.schema[i].dataType.simpleString()}, " for i in sent)
     return ordered.mapInArrow(tidy(run), f"{types}lang_pred string, score double, second string, ambiguous boolean")

@@ -1,8 +1,8 @@
 """Packing of tokenised documents into sequences: first-fit decreasing with a tournament tree of bin capacities.
 
 Texts are tokenised in Python on Arrow batches and cut into pieces: full pieces of the capacity and one rest. Pieces
-are dealt to randomised groups by a hash of id, text and place, about `group_docs` documents to a group, and sorted by
-falling length inside their group. Each group is packed by itself as its pieces stream by: the leftmost bin with room is
+are dealt to randomised groups by a hash of id, row and place, about `group_docs` documents to a group, and sorted by
+falling length inside their group; neither a huge text nor rows that repeat fill one group. Each group is packed by itself as its pieces stream by: the leftmost bin with room is
 found by descending a tree that holds the greatest free capacity below each node, so a step costs the logarithm of the
 bins, and memory holds the tree, not the pieces. A group's bins are numbered from group * 2^32.
 
@@ -12,7 +12,8 @@ is applied by `tiktoken`, which is several times faster.
 
 Defined cases: a null text is empty and has the end id alone. A text of any length is tokenised whole. Rows that repeat
 an id are documents of their own; a null id is carried. Ties in length are ordered by id and start. An empty table gives
-an empty result. Only id and text are read from docs, so further columns don't matter.
+an empty result. Only id and text are read from docs, so further columns don't matter. docs should be a table: rows are
+told apart by their place in it, which must be the same when a lost task runs again.
 """
 
 from __future__ import annotations
@@ -54,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
+        self.exact.no_truncation()
+        self.exact.no_padding()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         special = [x["content"] for x in said.get("added_tokens") or ()]
@@ -62,13 +65,21 @@ class Encoder:
 
     @staticmethod
     def _fast(said: dict, special: set[str]):
-        split = said.get("pre_tokenizer") or {}
-        if said["model"].get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or said.get("normalizer"):
+        """The same vocabulary by ranks, or None if the file says anything that ranks can't."""
+        split, model = said.get("pre_tokenizer") or {}, said["model"]
+        if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or said.get("normalizer"):
+            return None
+        if any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+            return None
+        # Ranks are merges only if every merged token comes by one merge, and later merges have greater ids.
+        of, vocab = byte_letters(), model["vocab"]
+        merged = [vocab.get("".join(x.split(" ") if isinstance(x, str) else x), -1) for x in model["merges"]]
+        letters = {i for word, i in vocab.items() if word in of}
+        if any(a >= b for a, b in zip([max(letters, default=-1), *merged], merged, strict=False)) or {i for w, i in vocab.items() if w not in special} != letters | set(merged) or len(letters) < 256:
             return None
         import tiktoken
 
-        of = byte_letters()
-        ranks = {bytes(of[c] for c in word): i for word, i in said["model"]["vocab"].items() if word not in special}
+        ranks = {bytes(of[c] for c in word): i for word, i in vocab.items() if word not in special}
         return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
@@ -91,7 +102,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _cutter(path: str, capacity: int, end_id: int, narrow: bool):
+def _cutter(path: str, capacity: int, end_id: int, narrow: bool, groups: int):
     kind = np.uint16 if narrow else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +114,8 @@ def _cutter(path: str, capacity: int, end_id: int, narrow: bool):
                 ids = np.append(enc.ids(text or ""), np.uint32(end_id)).astype(kind)
                 for start in range(0, len(ids), capacity):
                     piece = ids[start : start + capacity]
-                    for column, x in zip(rows, (group, own, start, len(piece), len(ids), piece.tobytes()), strict=True):
+                    # A text's pieces go to neighbouring groups.
+                    for column, x in zip(rows, ((group + start // capacity) % groups, own, start, len(piece), len(ids), piece.tobytes()), strict=True):
                         column.append(x)
                     bytes_held += piece.nbytes
                 if bytes_held > 16 << 20:
@@ -194,9 +206,9 @@ def pack(
     groups = max(1, -(-docs.count() // group_docs))
     narrow = max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16
     text = F.coalesce(F.col(text_col), F.lit(""))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), text, F.lit(seed)), F.lit(groups)).cast("bigint")
+    drawn = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("bigint")
     pieces = docs.select(drawn.alias("group"), F.col(id_col).alias("id"), text.alias("text")).mapInArrow(
-        tidy(_cutter(tokenizer, capacity, end_id, narrow)), f"group long, id {id_type}, start long, length long, doc_tokens long, ids binary"
+        tidy(_cutter(tokenizer, capacity, end_id, narrow, groups)), f"group long, id {id_type}, start long, length long, doc_tokens long, ids binary"
     )
     dealt = pieces.repartition("group").sortWithinPartitions("group", F.col("length").desc(), "id", "start")
     packed = dealt.mapInArrow(tidy(_packer(capacity, narrow)), f"id {id_type}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")

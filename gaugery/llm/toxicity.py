@@ -11,8 +11,8 @@ by chance with probability under `chance`, counted by text; a longer term goes w
 words over a stem that occur mainly in clean texts become exceptions. Scoring reads whole texts in Arrow batches.
 
 Defined cases: a null or empty text scores as one without matches, and so does every text if there are no labelled
-rows. Rows that repeat are scored each by itself. Other columns are carried, none is read but the text. Empty tables
-give empty results.
+rows. Rows that repeat are scored each by itself. Other columns are carried, none is read but the text; one named like a
+result column gets `_in` at the end of its name. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,15 +22,16 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 from math import exp, lgamma, log
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import labelled_sample
+from gaugery.llm.common import carried, labelled_sample
 from gaugery.ship import ship, tidy
 
 MOST_TOXIC = 2000
@@ -38,7 +39,7 @@ MOST_CLEAN = 8000
 CHANCE = 1e-6
 STEMS = (3, 4, 5, 7)
 ONE_WORD = 0.7
-POWERS = (0.0, 0.25, 0.5, 0.75, 1.0)
+POWERS = (0.25, 0.5, 0.75, 1.0)
 #: Phrases in which a term is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "pond scum", "sore loser")
 #: Letters of other scripts that look like Latin ones.
@@ -197,9 +198,8 @@ def fit(labels: DataFrame, docs: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     lexicon = choose(list(counts.itertuples(index=False, name=None)), toxic, clean, chance)
     stems = [x for x in lexicon if not x.endswith(" ")]
     if stems:
-        over = F.lit(False)
-        for s in stems:
-            over = over | F.col("term").startswith(s)
+        of = {n: [x for x in stems if len(x) == n] for n in {len(x) for x in stems}}  # as many lengths as STEMS has
+        over = reduce(or_, [F.substring("term", 1, n).isin(some) for n, some in sorted(of.items())])
         tame = counted.filter((F.col("clean") >= 3) & F.col("term").endswith(" ") & (odds < 0.5) & over).toPandas()
         lexicon |= dict.fromkeys(tame["term"], 0.0)
     for phrase in exceptions:
@@ -243,8 +243,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs' columns but the text, with score (0 to 1), predicted (1 if score >= 0.5), evidence and n_words."""
     ship(docs.sparkSession)
-    rest = [c for c in docs.columns if c != text_col]
-    ordered = docs.select(*[f"`{c}`" for c in rest], F.col(text_col).alias("__g_text"))
+    named = carried([c for c in docs.columns if c != text_col], ["score", "predicted", "evidence", "n_words"])
+    rest = list(named.values())
+    ordered = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in named.items()], F.col(f"`{text_col}`").alias("__g_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
