@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -28,7 +30,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="gaugery-py-")) / f"{here.name}.zip"
+    folder = tempfile.mkdtemp(prefix="gaugery-py-")  # on the driver, which serves it to executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / f"{here.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for source in sorted(here.rglob("*.py")):
             z.write(source, source.relative_to(here.parent))
