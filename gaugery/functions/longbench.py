@@ -9,6 +9,9 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from gaugery.functions.arrow import arrow_udf
 from gaugery.functions.rouge import rouge_l, tokenise
 
@@ -89,6 +92,13 @@ def score(task: str, prediction: str, reference: str, classes: list[str] = ()) -
             return _numbers(p, m[1] if m else None)
 
 
+def scored_part(task: str, prediction: Column) -> Column:
+    """What of a prediction counts: of some tasks the first line."""
+    if task.removesuffix("_e") not in FIRST_LINE:
+        return prediction
+    return F.substring_index(F.ltrim(prediction, F.lit("\n")), "\n", 1)
+
+
 @arrow_udf("double")
 def longbench_score(task: pd.Series, prediction: pd.Series, references: pd.Series, classes: pd.Series) -> pd.Series:
     """The best score over the references; classes may be null."""

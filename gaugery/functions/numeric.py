@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gaugery.functions.text import filled_lines, let, strip
+from gaugery.functions.text import filled_lines, strip
 
 INVALID = "[invalid]"
 NUMBER = r"-?(?:[0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)"
@@ -21,7 +21,8 @@ def _all(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def _first(c: Column, pattern: str, group: int = 0) -> Column:
-    return F.get(_all(c, pattern, group), F.lit(0))
+    """The first match or null; no pattern here matches the empty text."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def _last(c: Column, pattern: str, group: int = 0) -> Column:
@@ -29,24 +30,19 @@ def _last(c: Column, pattern: str, group: int = 0) -> Column:
 
 
 def canonical(token: Column) -> Column:
-    """Plain decimal notation without grouping, needless zeros or a minus before zero; [invalid] for what is no number."""
+    """Plain decimal notation without grouping, needless zeros or a minus before zero; [invalid] for what is no number.
 
-    def signed(t: Column, size: Column) -> Column:
-        return F.when(t.startswith("-") & (size != "0"), F.concat(F.lit("-"), size)).otherwise(size)
-
-    def plain(t: Column) -> Column:
-        whole = F.regexp_replace(F.regexp_extract(t, r"^[+-]?0*([0-9]*)", 1), r"^$", "0")
-        part = F.regexp_extract(t, r"\.([0-9]*?)0*$", 1)
-        size = let(part, lambda p: F.when(p == "", whole).otherwise(F.concat(whole, F.lit("."), p)))
-        number = let(size, lambda x: signed(t, x))
-        return F.when(F.rlike(t, F.lit(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$")), number).otherwise(INVALID)
-
-    return let(F.replace(strip(token), F.lit(","), F.lit("")), plain)
+    A chain of replacements: no plus, no zeros before a digit, a zero before a leading point, no zeros after the last digit
+    of a fraction, no point at the end, no minus before zero.
+    """
+    t = number = F.replace(strip(token), F.lit(","), F.lit(""))
+    for find, put in ((r"^\+", ""), (r"^(-?)0+(?=[0-9])", "$1"), (r"^(-?)\.", "$10."), (r"(\.[0-9]*?)0+$", "$1"), (r"\.$", ""), (r"^-0$", "0")):
+        number = F.regexp_replace(number, find, put)
+    return F.when(F.rlike(t, F.lit(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)$")), number).otherwise(INVALID)
 
 
 def numbers_equal(left: Column, right: Column) -> Column:
-    same = lambda a, b: (a != INVALID) & (b != INVALID) & (canonical(a) == canonical(b))
-    return let(left, lambda a: let(right, lambda b: same(a, b)))
+    return (left != INVALID) & (right != INVALID) & (canonical(left) == canonical(right))
 
 
 def reference_answer(c: Column) -> Column:
@@ -74,7 +70,7 @@ def numeric_answer(c: Column) -> Column:
     box = _first(_first(c, BOXED, 1), NUMBER)
     line = _last(F.try_element_at(filled_lines(F.coalesce(c, F.lit(""))), F.lit(-1)), NUMBER)
     found = F.coalesce(_first(c, HASH_NUMBER, 1), phrase, box, line, _last(c, NUMBER))
-    return let(found, lambda x: F.when(x.isNull(), INVALID).otherwise(canonical(x)))
+    return canonical(found)
 
 
 def target_after_hashes(c: Column) -> Column:

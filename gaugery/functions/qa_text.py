@@ -21,10 +21,22 @@ def canonical(c: Column) -> Column:
     return let(normalise(c), lambda n: F.when(n.isin(*NO_ANSWER), UNANSWERABLE).otherwise(n))
 
 
+def counts(a: Column) -> Column:
+    """The distinct elements t of an array in order, each with its number n: starts of runs in the sorted array."""
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.struct(x.alias("t"), i.alias("at"), ((i == 0) | (x != F.get(s, i - 1))).alias("head"))), lambda r: r["head"])
+        return let(heads, lambda h: F.transform(h, lambda r, j: F.struct(r["t"].alias("t"), (F.coalesce(F.get(h, j + 1)["at"], F.size(s)) - r["at"]).alias("n"))))
+
+    return let(F.sort_array(a), runs)
+
+
 def common_count(left: Column, right: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    times = lambda a, t: F.size(F.filter(a, lambda x: x == t))
-    return F.aggregate(F.array_intersect(left, right), F.lit(0), lambda s, t: s + F.least(times(left, t), times(right, t)))
+    """Size of the intersection of two arrays as multisets: of neighbours with one element in the sorted counts of both, the
+    first has the lesser number."""
+    both = F.sort_array(F.concat(counts(left), counts(right)))
+    shared = lambda z: F.transform(z, lambda x, k: F.when(x["t"] == F.get(z, k + 1)["t"], x["n"]).otherwise(0))
+    return let(both, lambda z: F.aggregate(shared(z), F.lit(0), lambda s, x: s + x))
 
 
 def multiset_f1(left: Column, right: Column, both_empty: float | None = 1.0) -> Column:

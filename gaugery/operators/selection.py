@@ -9,12 +9,15 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugery.scratch import materialise
 
 DEFAULT_SEED = 7
+#: Rows up to which Python's generator draws an order on the driver.
+MOST_DRAWN = 5_000_000
 
 
 def with_row_idx(df: DataFrame, name: str = "row_idx") -> DataFrame:
@@ -48,12 +51,12 @@ def select_rows(df: DataFrame, indices: Sequence[int] | None, max_rows: int | No
 
 
 def parse_order(order: str | None) -> tuple[str, str | int | None]:
-    """native, shuffle, shuffle|<seed>, length|asc, length|desc."""
+    """native, shuffle, shuffle|<seed>, hash, hash|<seed>, length|asc, length|desc."""
     kind, _, rest = (order or "native").strip().lower().partition("|")
     if kind == "native" and not rest:
         return "native", None
-    if kind == "shuffle":
-        return "shuffle", int(rest) if rest else DEFAULT_SEED
+    if kind in ("shuffle", "hash"):
+        return kind, int(rest) if rest else DEFAULT_SEED
     if kind == "length" and rest in ("asc", "desc"):
         return "length", rest
     raise ValueError(f"no such order: {order}")
@@ -62,22 +65,25 @@ def parse_order(order: str | None) -> tuple[str, str | int | None]:
 def order_rows(df: DataFrame, order: str | None, length: Column | None = None, row_idx: str = "row_idx", streamed: bool = False) -> DataFrame:
     """df with `exec_pos`, the place of each row in the order, dense from 0; ties keep their native order.
 
-    A shuffle is that of Python's generator over the native order, so results can be repeated outside Spark. Lengths are
-    ranked by a range partitioning, a count per partition giving the offsets.
+    A shuffle is that of Python's generator over the native order, so results can be repeated outside Spark; it is drawn on
+    the driver and is an error beyond MOST_DRAWN rows, where `hash`, an order by seeded hashes of row numbers, is for any
+    size. Lengths and hashes are ranked by a range partitioning, a count per partition giving the offsets.
     """
     kind, how = parse_order(order)
     if streamed and kind != "native":
         raise ValueError("a stream has its native order only")
     if kind == "shuffle":
         rows = df.select(row_idx).count()
+        if rows > MOST_DRAWN:
+            raise ValueError(f"a shuffle of {rows} rows; the order hash|{how} is for more than {MOST_DRAWN}")
         places = list(range(rows))
         random.Random(how).shuffle(places)
         native = df.select(row_idx).orderBy(row_idx)
         ranked = with_row_idx(native, "__rank")
-        shuffled = df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(places)], "__rank bigint, exec_pos bigint")
+        shuffled = df.sparkSession.createDataFrame(pa.table({"__rank": pa.array(places, pa.int64()), "exec_pos": pa.array(range(rows), pa.int64())}))
         return df.join(ranked.join(shuffled, "__rank").drop("__rank"), row_idx)
-    keys = [F.col(row_idx)] if kind == "native" else [F.col("__len").asc() if how == "asc" else F.col("__len").desc(), F.col(row_idx)]
-    sized = df if kind == "native" else df.withColumn("__len", length)
+    keys = [F.col(row_idx)] if kind == "native" else [F.col("__len").desc() if how == "desc" else F.col("__len").asc(), F.col(row_idx)]
+    sized = df if kind == "native" else df.withColumn("__len", F.xxhash64(F.lit(how), F.col(row_idx)) if kind == "hash" else length)
     return with_row_idx(sized.orderBy(*keys), "exec_pos").drop("__len")
 
 

@@ -6,10 +6,12 @@ import random
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugery.functions.arrow import arrow_udf
+from gaugery.operators.selection import MOST_DRAWN
 
 
 def shared_permutations(rows: int, size: int, seed: int) -> list[list[int]]:
@@ -24,8 +26,13 @@ def shared_permutations(rows: int, size: int, seed: int) -> list[list[int]]:
 
 def shuffle_choices(df: DataFrame, choices: str, gold: int, size: int, seed: int = 0, row_idx: str = "row_idx") -> DataFrame:
     """Choices in the order that a generator shared by all rows gives, and gold_label, the letter at which the gold one
-    then stands. The orders are made on the driver, as each depends on the ones before, and joined by row number."""
-    orders = df.sparkSession.createDataFrame(list(enumerate(shared_permutations(df.count(), size, seed))), f"`{row_idx}` bigint, __order array<int>")
+    then stands. The orders are made on the driver, as each depends on the ones before, and joined by row number; more than
+    MOST_DRAWN rows are an error."""
+    rows = df.count()
+    if rows > MOST_DRAWN:
+        raise ValueError(f"choices of {rows} rows; one generator shared by all rows is for {MOST_DRAWN} at most")
+    drawn = shared_permutations(rows, size, seed)
+    orders = df.sparkSession.createDataFrame(pa.table({row_idx: pa.array(range(rows), pa.int64()), "__order": pa.array(drawn, pa.list_(pa.int32()))}))
     out = df.join(orders, row_idx)
     moved = F.transform("__order", lambda i: F.get(choices, i))
     letter = F.char(64 + F.array_position("__order", F.lit(gold)))
@@ -54,3 +61,9 @@ def shuffle_pair(first: Column, second: Column) -> tuple[Column, Column]:
 def sampled_shots(row: int, pool: Sequence[int], k: int, seed: int = 0) -> list[int]:
     """Exemplars of a row, drawn by a generator of its own from the pool without it."""
     return random.Random(seed + row).sample([i for i in pool if i != row], k=min(k, max(0, len(pool) - (row in pool))))
+
+
+@arrow_udf("array<bigint>")
+def sampled_rows(row_idx: pd.Series, pool: pd.Series, k: pd.Series, seed: pd.Series) -> pd.Series:
+    """`sampled_shots` of each row; the pool is an array of row numbers."""
+    return pd.Series([sampled_shots(int(i), [int(x) for x in p], int(n), int(s)) for i, p, n, s in zip(row_idx, pool, k, seed, strict=True)])

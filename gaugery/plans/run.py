@@ -14,9 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.functions import bleu, classification, ifeval, labels, math_text, mlqa, numeric, qa_text, rouge, text
+from gaugery.functions import bleu, classification, ifeval, labels, longbench, math_text, mlqa, numeric, qa_text, rouge, text
 from gaugery.functions import multiple_choice as mc
 from gaugery.operators import joins, metrics, reshape, selection
+from gaugery.plans.rows import ROWS, prepared
 from gaugery.plans.spec import prompt_column, sql
 from gaugery.plans.suites import Suite
 from gaugery.ship import ship, tidy
@@ -68,7 +69,9 @@ class Result:
 
 def build(rows: DataFrame, suite: Suite) -> DataFrame:
     """rows with prompt, and choices and gold, or targets, as the suite says; what it doesn't say must be there."""
-    made = {"__p": prompt_column(suite.prompt)} if suite.prompt is not None else {}
+    given = suite.name in ROWS and "prompt" in rows.columns
+    rows = prepared(suite.name, rows)
+    made = {"__p": prompt_column(suite.prompt)} if suite.prompt is not None and not given else {}
     made |= {f"__{k}": sql(getattr(suite, k)) for k in ("choices", "gold", "targets", "suffix") if getattr(suite, k) is not None}
     out = rows.withColumns(made) if made else rows
     for short, name in (("__p", "prompt"), ("__choices", "choices"), ("__gold", "gold"), ("__targets", "targets"), ("__suffix", "suffix")):
@@ -163,13 +166,38 @@ def single(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer) -> Resul
     return Result(suite.name, out, found.select(F.lit(suite.name).alias("suite"), F.explode("m").alias("metric", "value")))
 
 
-def rolling(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer) -> Result:
+@dataclass(frozen=True)
+class Windows:
+    """How a text is scored that is longer than a model's input: a function from a text column to its token ids, the
+    input's width, and the id that stands before a first token."""
+
+    tokenise: Callable[[Column], Column]
+    width: int
+    start_id: int
+
+
+def _windowed(samples: DataFrame, scorer: Scorer, windows: Windows) -> DataFrame:
+    """row_idx, logprob and token_count of texts that are scored window by window: disjoint windows, each after what fits
+    before it. A request has the ids beside their texts, numbers parted by spaces; its choice_idx is the window's number."""
+    told = reshape.rolling_windows(samples.select("row_idx", windows.tokenise(F.col("scored_text")).alias("ids")), "ids", windows.width, windows.start_id)
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
+    asked = told.select("row_idx", F.col("window_idx").alias("choice_idx"), text_of("context_ids").alias("context"), text_of("window_ids").alias("continuation"), "context_ids", F.col("window_ids").alias("continuation_ids"))
+    sums = scorer(asked).groupBy("row_idx").agg(F.sum("logprob").alias("logprob"), F.sum("token_count").alias("token_count"))
+    # A text without tokens has no window, and nothing to score.
+    return samples.select("row_idx").join(sums, "row_idx", "left").fillna({"logprob": 0.0, "token_count": 0})
+
+
+def rolling(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer, windows: Windows | None = None) -> Result:
     samples = build(rows, suite)
     wiki = suite.name == "wikitext"
     samples = samples.withColumn("scored_text", text.wikitext(F.col("prompt")) if wiki else F.col("prompt"))
     samples = samples.withColumn("words", text.split_word_count(F.col("prompt")) if wiki else text.token_count(F.col("prompt"))).withColumn("bytes", text.byte_count(F.col("prompt")))
-    asked = samples.select("row_idx", F.lit(0).alias("choice_idx"), F.lit("").alias("context"), F.col("scored_text").alias("continuation"))
-    out = joins.join_outputs(samples, scorer(asked).select("row_idx", "logprob", "token_count"), ["row_idx"])
+    if windows is None:
+        asked = samples.select("row_idx", F.lit(0).alias("choice_idx"), F.lit("").alias("context"), F.col("scored_text").alias("continuation"))
+        scored = scorer(asked).select("row_idx", "logprob", "token_count")
+    else:
+        scored = _windowed(samples, scorer, windows)
+    out = joins.join_outputs(samples, scored, ["row_idx"])
     p = out.agg(metrics.perplexities(F.col("logprob"), F.col("words"), F.col("bytes")).alias("p"))
     found = p.select(F.lit(suite.name).alias("suite"), F.explode(_named({k: F.col(f"p.{k}") for k in ("word_perplexity", "byte_perplexity", "bits_per_byte")})).alias("metric", "value"))
     return Result(suite.name, out, found)
@@ -178,6 +206,10 @@ def rolling(rows: DataFrame, suite: Suite, scorer: Scorer = hash_scorer) -> Resu
 def _answers(kind: str, p: Column, ts: Column) -> tuple[dict[str, Column], Column]:
     """Scores of a generated text, and what was extracted from it."""
     first = F.get(ts, F.lit(0))
+    if kind.startswith("longbench "):
+        task = kind.removeprefix("longbench ")
+        scored = longbench.longbench_score(F.lit(task), p, ts, F.col("classes"))
+        return {"score": scored, f"{longbench.METRIC_OF[task.removesuffix('_e')]}_score": scored}, longbench.scored_part(task, p)
     match kind:
         case "em":
             return {"em": text.strip(p) == first}, text.strip(p)
@@ -229,7 +261,7 @@ def _answers(kind: str, p: Column, ts: Column) -> tuple[dict[str, Column], Colum
         case "headline":
             clean = qa_text.headline_clean(p)
             r = rouge.rouge(("rouge1",), stemmed=False)(clean, F.array(qa_text.headline_clean(first)))
-            return {"rouge1": r["rouge1"]}, clean
+            return {"rouge1": r["rouge1"], "average_len": F.when(clean == "", 0).otherwise(F.size(F.split(clean, " ")))}, clean
         case "nodes":
             strict, flexible = labels.final_nodes(p), labels.final_nodes(p, True)
             none = F.array().cast("array<string>")
@@ -239,6 +271,8 @@ def _answers(kind: str, p: Column, ts: Column) -> tuple[dict[str, Column], Colum
 
 def generate(rows: DataFrame, suite: Suite, scorer: Scorer) -> Result:
     samples = build(rows, suite)
+    if (suite.scorer or "").startswith("longbench ") and "classes" not in samples.columns:
+        samples = samples.withColumn("classes", F.array().cast("array<string>"))
     stops = F.array(*map(F.lit, suite.stops)) if suite.stops else F.array().cast("array<string>")
     asked = samples.select("row_idx", "prompt", stops.alias("stops"), F.lit(suite.max_new_tokens).alias("max_new_tokens"))
     said = scorer(asked).select("row_idx", F.col("text").alias("__text"))
@@ -266,13 +300,27 @@ def generate(rows: DataFrame, suite: Suite, scorer: Scorer) -> Result:
     return Result(suite.name, out, metrics.mean_scores(out).select(suite_col, "metric", "value"))
 
 
+#: Suites whose rows take exemplars in a form of their own.
+WITH_POOL = ("mmlu_pro", "mmlu_pro_plus")
 RUNNERS = {"mc": multiple_choice, "exam": multiple_choice, "single": single, "rolling": rolling, "generate": generate, "own": own}
 
 
-def evaluate(rows: DataFrame, suite: Suite, scorer: Scorer | None = None) -> Result:
-    """rows have row_idx. Suites that run generated code aren't evaluated, as there is no sandbox."""
+def evaluate(
+    rows: DataFrame, suite: Suite, scorer: Scorer | None = None, *, pool: DataFrame | None = None, shots: int = 5, group: str | None = None, order: str | None = None, windows: Windows | None = None
+) -> Result:
+    """rows have row_idx. Suites that run generated code aren't evaluated, as there is no sandbox.
+
+    pool: rows from which the first `shots` exemplars are taken, of each row's `group` if a column is named. order: the
+    order of submission, by which samples get exec_pos; it changes no result. windows: for perplexity of long texts.
+    """
     if suite.kind == "own" and suite.scorer is None:
         raise NotImplementedError(f"{suite.name} runs generated code")
     if suite.kind == "generate" and scorer is None:
         raise ValueError("generated answers need a scorer")
-    return RUNNERS[suite.kind](rows, suite, *([scorer] if scorer else []))
+    if pool is not None:
+        rows = prepared(suite.name, rows, pool=pool, shots=shots) if suite.name in WITH_POOL else with_shots(rows, pool, suite, shots, group)
+    more = {"windows": windows} if suite.kind == "rolling" else {}
+    result = RUNNERS[suite.kind](rows, suite, *([scorer] if scorer else []), **more)
+    if order is not None:
+        result.samples = selection.order_rows(result.samples, order, F.length("prompt"))
+    return result

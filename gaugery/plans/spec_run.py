@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import platform
+from importlib import metadata
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gaugery.operators.selection import limit_rows, parse_order
 from gaugery.plans.run import Result, Scorer, evaluate, hash_scorer, recorded
 from gaugery.plans.suites import get
-from gaugery.sources.readers import Source, read, read_rows
+from gaugery.sources.readers import Source, read_rows
 from gaugery.sources.sinks import result_document
 
 ENGINES = ("hash", "recorded")
@@ -53,15 +56,17 @@ def run(spark: SparkSession, spec: dict) -> tuple[list[Result], dict]:
     """Results of all tests, and the document with their metrics."""
     results, scorer = [], scorer_of(spark, spec["engine"])
     for test in spec["tests"]:
-        _options(test, {"type", "path", "format", "schema", "max_rows", "order"}, "a test")
+        _options(test, {"type", "path", "format", "schema", "max_rows", "order", "pool", "shots", "group"}, "a test")
         suite = get(test["type"])
-        parse_order(test.get("order"))
+        parse_order(test.get("order"))  # before anything is read
         rows = read_rows(spark, Source(test["path"], test.get("format", "parquet"), test.get("schema")))
-        results.append(evaluate(limit_rows(rows, test.get("max_rows")), suite, scorer))
+        pool = read_rows(spark, Source(test["pool"])) if "pool" in test else None
+        rows = limit_rows(rows, test.get("max_rows"))
+        results.append(evaluate(rows, suite, scorer, pool=pool, shots=test.get("shots", 5), group=test.get("group"), order=test.get("order")))
     metrics: DataFrame | None = None
     for r in results:
         metrics = r.metrics if metrics is None else metrics.unionByName(r.metrics)
-    head = {"model": spec["model"], "engine": spec["engine"], "versions": {"spark": spark.version}}
+    head = {"model": spec["model"], "engine": spec["engine"], "versions": versions(spark)}
     return results, result_document(metrics, head) if metrics is not None else {**head, "tests": []}
 
 
@@ -81,5 +86,11 @@ def as_python(spec: dict) -> str:
     )
 
 
-def tables(spark: SparkSession, sources: dict[str, Source]) -> dict[str, DataFrame]:
-    return {k: read(spark, s) for k, s in sources.items()}
+def versions(spark: SparkSession) -> dict[str, str]:
+    """Of Spark, Java, Scala, Python and the libraries that the engine runs on."""
+    java = spark.sparkContext._jvm.java.lang.System.getProperty("java.version")
+    found = {"spark": spark.version, "java": java, "python": platform.python_version()}
+    for name in ("pyarrow", "pandas", "numpy"):
+        with contextlib.suppress(metadata.PackageNotFoundError):
+            found[name] = metadata.version(name)
+    return found

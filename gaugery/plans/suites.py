@@ -1,8 +1,10 @@
 """The suites as data: where rows come from, how a row becomes a prompt, choices and gold, and how it is scored.
 
 Templates are those of `spec.prompt_column`; other fields are SQL over the columns of a row, in which `strip(x)` stands for
-trimming blanks of all kinds off a column. A suite without a prompt is registered with its source and kind; its rows are
-given `prompt` (and `choices`, `gold` or `targets`) by the caller.
+trimming blanks of all kinds off a column. Rows of a suite without a prompt are made by the function of its name in
+`plans.rows`, or have `prompt` (and `choices`, `gold` or `targets`) already.
+
+All texts of prompts, choices, stops and names of datasets in this file are fixed values.
 """
 
 from __future__ import annotations
@@ -183,7 +185,10 @@ _add(
     Suite("xlsum_es", "generate", "csebuetnlp/xlsum:spanish", "test", "Texto: {text}\n\nResumen:", targets="array(strip(summary))", scorer="summary", max_new_tokens=128),
     Suite("flores_pt", "generate", "facebook/flores", "devtest", "{source_language} sentence: {source}\n{target_language} sentence:", targets="array(strip(target))", scorer="translation"),
     Suite("cocoteros_es", "generate", "gplsi/cocoteros", "test", "Genera una frase corta con estas palabras: {keywords}. El contexto es: {context} \n\nRespuesta:", targets="array(strip(text))", scorer="translation", max_new_tokens=40),
-    Suite("code_x_glue", "generate", "google/code_x_glue_ct_code_to_text", "test", None, targets="array(array_join(docstring_tokens, ' '))", scorer="bleu4", max_new_tokens=128),
+    *(
+        Suite(n, "generate", d, "test", None, targets="array(docstring)", scorer="bleu4", stops=("</s>",), max_new_tokens=128)
+        for n, d in {"code_x_glue": "google/code_x_glue_ct_code_to_text", **{f"code2text_{x}": f"CM/codexglue_code2text_{x}" for x in "go java javascript php python ruby".split()}}.items()
+    ),
     Suite("graphwalks", "generate", "openai/graphwalks", "train", "{raw prompt}", targets="answer_nodes", scorer="nodes", max_new_tokens=16384),
     Suite("ifeval", "generate", "google/IFEval", "train", "{raw prompt}", targets="array(prompt)", scorer="ifeval", max_new_tokens=1280),
     Suite("gpqa", "generate", "Idavidrein/gpqa:gpqa_main", "train", 'What is the correct answer to this question: {Question}\n\nChoices:\n{sql array_join(transform(options, (x, i) -> concat(\'(\', char(65 + i), \') \', strip(x))), \'\\n\')}\n\nFormat your response as follows: "The correct answer is (insert answer here)"', targets="array(gold_label)", scorer="label_gpqa", stops=("\n\n", "\nQuestion:", *CHAT_ENDS), max_new_tokens=64),
@@ -251,11 +256,17 @@ _add(
     Suite("mmlu", "mc", "cais/mmlu:all", "test", "{raw prefix}{question}\n{lettered choices}\nAnswer:", ABCD, "int(answer)", shot="{question}\n{lettered choices}\nAnswer: {sql char(65 + int(answer))}", description="The following are multiple choice questions (with answers) about {sql replace(subject, '_', ' ')}."),
 )
 
+_NOTICIA = (
+    "Ahora eres una Inteligencia Artificial experta en desmontar titulares sensacionalistas o clickbait. Tu tarea consiste en analizar noticias con titulares sensacionalistas y generar un resumen de una sola frase que revele "
+    "la verdad detrás del titular.\nEste es el titular de la noticia: {raw web_headline}\nEl titular plantea una pregunta o proporciona información incompleta. Debes buscar en el cuerpo de la noticia una frase que responda lo que se "
+    "sugiere en el título. Siempre que puedas cita el texto original, especialmente si se trata de una frase que alguien ha dicho. Si citas una frase que alguien ha dicho, usa comillas para indicar que es una cita. Usa siempre las mínimas "
+    "palabras posibles. No es necesario que la respuesta sea una oración completa, puede ser sólo el foco de la pregunta. Recuerda responder siempre en Español.\nEste es el cuerpo de la noticia:\n{raw web_text}"
+)
 _DOCTOR = "Instructions: The following text is a question asked by a patient. Answer how a doctor would, while trying to be as informative and helpful as possible.\n\nQuestion: {QUESTION}\n\nAnswer:"
 _add(
     Suite("mediqa_qa2019", "generate", "bigbio/mediqa_qa", "test", _DOCTOR, targets="array(strip(target))", scorer="bleu_rouge", stops=("\n\n",)),
     Suite("meqsum", "generate", "bigbio/meqsum", "train", "Instructions: The following text is contains a medical question. Extract and summarize the question.\n\n{CHQ}", targets="array(strip(Summary))", scorer="bleu_rouge", stops=("\n\n",), max_new_tokens=64),
-    Suite("noticia", "generate", "Iker/NoticIA", "test", None, targets="array(summary)", scorer="headline", stops=("\n\n", "\n"), max_new_tokens=64),
+    Suite("noticia", "generate", "Iker/NoticIA", "test", _NOTICIA, targets="array(summary)", scorer="headline", stops=("\n\n", "\n"), max_new_tokens=64),
     Suite("asdiv_cot_llama", "generate", "EleutherAI/asdiv", "validation", LLAMA.replace("{raw question}", "{body} {question}"), targets="array(substring_index(answer, ' (', 1))", scorer="numeric", max_new_tokens=320),
 )
 
@@ -292,23 +303,34 @@ _add(
     Suite("agieval", "mc", "RUCAIBox/AGIEval", "test", "{sql coalesce(concat('Passage:\\n', nullif(strip(passage), ''), '\\n\\n'), '')}Question: {question}\n{sql array_join(transform(options, (x, i) -> concat(char(65 + i), '. ', " + _OPTION + ")), '\\n')}\n\nAnswer:", LETTERS_FOR.format("options"), LETTER_OF.format("label")),
     Suite("click", "mc", "EunsuKim/CLIcK", "train", "{sql if(strip(paragraph) = '', '주어진 질문을 천천히 읽고, 적절한 정답을 ', '주어진 맥락을 천천히 읽고, 질문에 대한 적절한 정답을 ')}{sql array_join(slice(array('A', 'B', 'C', 'D', 'E'), 1, size(choices)), ', ')} 중에 골라 알파벳 하나로 답하시오.\n\n{sql if(strip(paragraph) = '', '', concat('맥락: ', strip(paragraph), '\\n'))}질문: {question}\n보기:\n{sql array_join(transform(choices, (x, i) -> concat(char(65 + i), if(i = 0, ':', ': '), strip(x))), ', ')}\n정답:", "slice(array('A', 'B', 'C', 'D', 'E'), 1, if(contains(id, 'CSAT'), 5, size(choices)))", "array_position(choices, answer) - 1"),
     Suite("record", "mc", "super_glue:record", "validation", "record query: {raw query} entities: {sql array_join(entities, ', ')} passage: {sql replace(regexp_replace(passage, '([.?!\"\\'])\\n@highlight\\n', '$1 '), '\\n@highlight\\n', '. ')}", "entities", "array_position(entities, answers[0]) - 1"),
-    Suite("wsc", "mc", "super_glue:wsc.fixed", "validation", None, NO_YES, LABEL),
+    Suite("wsc", "mc", "super_glue:wsc.fixed", "validation", 'Passage: {raw passage}\nQuestion: In the passage above, does the pronoun "*{raw span2_text}*" refer to "*{raw span1_text}*"?\nAnswer:', NO_YES, LABEL),
     Suite("lambada_openai_cloze", "single", "EleutherAI/lambada_openai", "test", "{sql array_join(slice(split(text, ' '), 1, size(split(text, ' ')) - 1), ' ')} ____. ->", targets="array(concat(' ', element_at(split(text, ' '), -1)))"),
     Suite("scrolls_quality", "mc", "tau/scrolls:quality", "validation", "{sql " + "regexp_replace(substr(" + _REST + ", locate('\\n\\n', " + _REST + ", locate('(D)', " + _REST + "))), '(?U)^\\\\s+|\\\\s+$', '')}\n\nQuestion: {sql " + _HEAD + "}\nAnswer:", _QUALITY, "array_position(" + _QUALITY + ", array_join(filter(split(outputs[0], '(?U)\\\\s+'), t -> t <> ''), ' ')) - 1"),
     *(Suite(f"scrolls_{x}", "generate", f"tau/scrolls:{x}", "validation", "{sql " + _REST + "}\n\nQuestion: {sql " + _HEAD + "}\nAnswer:", targets="outputs", scorer="qa", stops=("\n", "\nQuestion:", "\nAnswer:"), max_new_tokens=64) for x in ("qasper", "narrativeqa")),
     Suite("scrolls_qmsum", "generate", "tau/scrolls:qmsum", "validation", "{sql " + _REST + "}\n\nQuestion: {sql " + _HEAD + "}\nAnswer:", targets="outputs", scorer="summary"),
     *(Suite(f"scrolls_{x}", "generate", f"tau/scrolls:{y}", "validation", "{input}\n\nQuestion: What is a summary of the preceding text?\nAnswer:", targets="outputs", scorer="summary") for x, y in (("govreport", "gov_report"), ("summscreenfd", "summ_screen_fd"))),
     *(Suite(f"phrases_{a}-{b}", "generate", "gplsi/ES-VA_translation_test", "test", f"Oració en {names[a]}: {{{a}}}\n\nOració en {names[b]}:", targets=f"array(strip({b}))", scorer="translation", max_new_tokens=64) for names in ({"es": "espanyol", "va": "valencià"},) for a, b in (("es", "va"), ("va", "es"))),
-    Suite("multirc", "generate", "super_glue:multirc", "validation", None, targets="transform(filter(answers, a -> a.label = 1), a -> string(a.answer_idx))", scorer="indices", max_new_tokens=64),
+    Suite("multirc", "generate", "super_glue:multirc", "validation", 'Read the passage and answer the question. Return the indices of all correct answers as a comma-separated list in ascending order. If none are correct, return "none". Reply with numbers only.\n\nPassage:\n{raw paragraph}\n\nQuestion: {raw question}\nAnswer options:\n{sql array_join(transform(answers, a -> concat(string(a.answer_idx), \'. \', a.text)), \'\\n\')}\nIndices:', targets="transform(filter(answers, a -> a.label = 1), a -> string(a.answer_idx))", scorer="indices", max_new_tokens=64),
     *(Suite(x, "generate", "NVIDIA/RULER", "test", "{raw prompt}", targets="targets", scorer="contains_all", max_new_tokens=n) for x, n in {**dict.fromkeys("niah_single_1 niah_single_2 niah_single_3 niah_multikey_1 niah_multikey_2 niah_multikey_3 niah_multiquery niah_multivalue".split(), 128), "ruler_vt": 30, "ruler_cwe": 120, "ruler_fwe": 50, "ruler_qa_squad": 32, "ruler_qa_hotpot": 32}.items()),
 )
 
-# Registered with source and kind; the caller builds their rows.
-for _kind, _names in {
-    "generate": "longbench",
-    "own": "humaneval mbpp livecodebench",
-}.items():
-    _add(*(Suite(n, _kind) for n in _names.split()))
+#: Tokens that long-context tasks may generate; the tasks that have a second set of rows by length.
+LONG_TOKENS = {
+    "narrativeqa": 128, "qasper": 128, "multifieldqa_en": 64, "multifieldqa_zh": 64, "hotpotqa": 32, "2wikimqa": 32, "musique": 32, "dureader": 128, "gov_report": 512, "qmsum": 512, "multi_news": 512,
+    "vcsum": 512, "trec": 64, "triviaqa": 32, "samsum": 128, "lsht": 64, "passage_count": 32, "passage_retrieval_en": 32, "passage_retrieval_zh": 32, "lcc": 64, "repobench-p": 64,
+}
+LONG_BY_LENGTH = "qasper multifieldqa_en hotpotqa 2wikimqa gov_report multi_news trec triviaqa samsum passage_count passage_retrieval_en lcc repobench-p".split()
+_add(
+    *(
+        Suite(f"longbench_{x.replace('-', '_')}{e}", "generate", f"THUDM/LongBench:{x}{e}", "test", None, scorer=f"longbench {x}{e}", stops=("\n",) if x in ("trec", "triviaqa", "samsum", "lsht") else (), max_new_tokens=n)
+        for e in ("", "_e")
+        for x, n in LONG_TOKENS.items()
+        if not e or x in LONG_BY_LENGTH
+    ),
+    replace(Suite("longbench", "generate", "THUDM/LongBench:qasper", "test", None, scorer="longbench qasper"), max_new_tokens=LONG_TOKENS["qasper"]),
+    # Registered with source and kind alone: they run generated code.
+    *(Suite(n, "own") for n in ("humaneval", "mbpp", "livecodebench")),
+)
 
 
 def get(name: str) -> Suite:

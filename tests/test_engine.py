@@ -1,15 +1,21 @@
+import base64
+import hashlib
 import io
 import json
+import os
+import pickle
 import random
 import subprocess
 import sys
 import tarfile
 import zipfile
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gaugery.operators import compare, joins, metrics, reshape, selection
+from gaugery.operators import compare, joins, metrics, reshape, selection, shuffles
 from gaugery.plans import spec_run
 from gaugery.plans.run import build, evaluate, hash_scorer, python_scorer, recorded
 from gaugery.plans.suites import SUITES, Suite, get
@@ -101,6 +107,74 @@ def test_exemplars_come_before_the_question(spark):
     assert set(evaluate(with_shots(rows, pool, get("mmlu"), 2, "subject"), get("mmlu")).metrics.select("metric").toPandas()["metric"]) == {"acc,ll", "acc,ll_avg"}
 
 
+def test_rows_that_need_more_than_a_template(spark):
+    problems = [{"question": "Q1  _  .", "answer": " B", "options": ["a", "b", "c", "d"]}, {"question": "Q2?", "answer": "A", "options": ["e", "f", "g", "h"]}, {"question": "Q3", "answer": "D", "options": ["i", "j", "k", "l"]}]
+    articles = spark.createDataFrame([(0, "Text.", repr(problems)), (1, "Other.", repr(problems[1:2]))], "row_idx long, article string, problems string")
+    got = build(articles, get("race")).orderBy("row_idx").collect()
+    assert [r["prompt"] for r in got] == ["Article: Text.\n\nQ1  _  .", "Article: Text.\n\n _  .b\nQ2?", "Article: Text.\n\n _  .b\nQuestion: Q2?\nAnswer: e\nQ3", "Article: Other.\n\nQ2?"]
+    assert [(r["row_idx"], r["gold"], r["choices"][0]) for r in got] == [(0, 1, "a"), (1, 0, "e"), (2, 3, "i"), (3, 0, "e")]
+    flat = [(i, (1, q, a), f"P{q}", f"q{q}", t, l) for i, (q, a, t, l) in enumerate([(1, 0, "x", 0), (0, 0, "u", 1), (0, 1, "v", 0), (1, 1, "y", 0)])]
+    multi = spark.createDataFrame(flat, "row_idx long, idx struct<paragraph:int,question:int,answer:int>, paragraph string, question string, answer string, label int")
+    got = build(multi, get("multirc")).orderBy("row_idx").collect()
+    assert [r["targets"] for r in got] == [["0"], []]
+    assert got[0]["prompt"].endswith("numbers only.\n\nPassage:\nP0\n\nQuestion: q0\nAnswer options:\n0. u\n1. v\nIndices:")
+    wsc = spark.createDataFrame([(0, "Mark told ( Pete ) that he did n't know , ok .", "he", 6, "Mark", 1)], "row_idx long, text string, span2_text string, span2_index int, span1_text string, label int")
+    assert build(wsc, get("wsc")).first()["prompt"] == 'Passage: Mark told (Pete) that *he* didn\'t know, ok.\nQuestion: In the passage above, does the pronoun "*he*" refer to "*Mark*"?\nAnswer:'
+    pool = spark.createDataFrame([(i, "Computer Science", f"p{i} ", ["1", "N/A", " 2"], "B", c) for i, c in enumerate(["A: Let's think step by step. Two.", "Because", None])], "row_idx long, category string, question string, options array<string>, answer string, cot_content string")
+    rows = spark.createDataFrame([(0, "computer science", " q", ["x", " ", "y"], "b", "")], pool.schema)
+    from gaugery.plans.rows import prepared
+
+    head = "The following are multiple choice questions (with answers) about computer science. Think step by step and then finish your answer with 'the answer is (X)' where X is the correct letter choice."
+    got = build(prepared("mmlu_pro", rows, pool=pool, shots=2), get("mmlu_pro")).first()
+    shot = lambda i, said: f"\n\n\nQuestion:\np{i}\nOptions:\nA. 1\nB. 2\n{said}\n\n"
+    assert got["prompt"] == head + shot(0, "Answer: Let's think step by step. Two.") + shot(1, "Answer: Because") + "\nQuestion:\nq\nOptions:\nA. x\nB. y\nAnswer: Let's think step by step."
+    assert got["targets"] == ["B"] and got["fewshot_count"] == 2
+    assert build(rows, get("mmlu_pro_plus")).first()["prompt"].startswith(head + "\nQuestion:\nq\n")
+    code = spark.createDataFrame([(0, ["def", "f", "\n", "x"], ["Say", "\n", "it ."])], "row_idx long, code_tokens array<string>, docstring_tokens array<string>")
+    assert [(r["prompt"], r["targets"]) for r in [build(code, get("code2text_go")).first()]] == [("def f x", ["Say it ."])]
+    news = spark.createDataFrame([(0, " T", "B\n", "La verdad.", "u")], "row_idx long, web_headline string, web_text string, summary string, web_url string")
+    say = lambda text: python_scorer(lambda xs: [{"row_idx": x["row_idx"], "text": text} for x in xs], "row_idx long, text string")
+    got = evaluate(news, get("noticia"), say("la VERDAD pura\nmás"))
+    assert got.samples.first()["prompt"].endswith("Este es el cuerpo de la noticia:\nB\n") and {r["metric"]: r["value"] for r in got.metrics.collect()} == {"rouge1": pytest.approx(0.8), "average_len": 3.0}
+
+
+def test_long_contexts(spark):
+    say = lambda text: python_scorer(lambda xs: [{"row_idx": x["row_idx"], "text": text} for x in xs], "row_idx long, text string")
+    rows = spark.createDataFrame([(0, "C. ", "What?\nAnswer: ", "Answer:", ["", "The cat", "The cat", "dog"], ["cat", "dog"]), (1, "D. ", "Who?", "Say:", ["dog"], ["cat", "dog"])], "row_idx long, context string, input string, answer_prefix string, answers array<string>, all_classes array<string>")
+    got = evaluate(rows, get("longbench_qasper_e"), say("a cat"))
+    assert [r["prompt"] for r in got.samples.orderBy("row_idx").collect()] == ["C. What?\nAnswer: ", "D. Who?Say:"]
+    assert {r["metric"]: r["value"] for r in got.metrics.collect()} == {"score": 0.5, "qa_f1_score": 0.5}
+    got = evaluate(rows, get("longbench_trec"), say("\ndog it is\ncat"))
+    assert {r["metric"]: r["value"] for r in got.metrics.collect()} == {"score": 1.0, "classification_score": 1.0} or got.metrics.count() == 2
+    with pytest.raises(Exception, match="answer"):
+        evaluate(rows.withColumn("answers", F.array(F.lit(" "))), get("longbench_lcc"), say("x")).metrics.collect()
+
+
+def test_rolling_scores_by_windows(spark):
+    from gaugery.plans.run import Windows
+
+    rows = spark.createDataFrame([(0, "a b c d e f g"), (1, ""), (2, "x")], "row_idx long, text string")
+    ids = lambda c: F.transform(F.filter(F.split(c, " "), lambda x: x != ""), F.ascii)
+    count = lambda asked: asked.select("row_idx", "choice_idx", (-F.size("continuation_ids") - F.size("context_ids") / 100).alias("logprob"), F.lit(False).alias("is_greedy"), F.size("continuation_ids").alias("token_count"))
+    got = {r["row_idx"]: r for r in evaluate(rows, get("c4"), count, windows=Windows(ids, 3, 0)).samples.collect()}
+    # Three windows, the last of one token after as many more as fill the input.
+    assert (got[0]["logprob"], got[0]["token_count"]) == (pytest.approx(-7.05), 7) and got[1]["token_count"] == 0 and got[2]["logprob"] == pytest.approx(-1.01)
+    asked = evaluate(rows, get("c4"), hash_scorer, windows=Windows(ids, 3, 0), order="length|desc").samples
+    assert [r["row_idx"] for r in asked.orderBy("exec_pos").collect()] == [0, 2, 1]
+
+
+def test_exemplars_without_the_row(spark):
+    rows = spark.createDataFrame([(i, "g" if i < 9 else "h", c) for i, c in enumerate(["a", "a", "b", "c", "b", "a", "d", None, "e", "z", "z"])], "row_idx long, k string, c string")
+    want = {}
+    for r in rows.collect():
+        want[r["row_idx"]] = [x["row_idx"] for x in rows.orderBy("row_idx").collect() if x["k"] == r["k"] and x["c"] != r["c"]]
+    got = joins.first_others(rows, rows, "k", ["c"], "row_idx", 3).collect()
+    assert len(got) == 11 and all([s["row_idx"] for s in r["shots"]] == want[r["row_idx"]][:3] for r in got)
+    assert {r["row_idx"]: r["others"] for r in joins.count_others(rows, rows, "k", ["c"]).collect()} == {i: len(x) for i, x in want.items()}
+    drawn = rows.select("row_idx", shuffles.sampled_rows("row_idx", F.array(*map(F.lit, range(5))), F.lit(2), F.lit(3)).alias("s")).collect()
+    assert all(r["s"] == shuffles.sampled_shots(r["row_idx"], range(5), 2, 3) and r["row_idx"] not in r["s"] for r in drawn)
+
+
 def test_every_prompt_parses():
     from gaugery.plans.spec import _slot
 
@@ -159,6 +233,8 @@ def test_orders_and_selection(spark):
     places = lambda order: [r["row_idx"] for r in selection.order_rows(df, order, F.col("n")).orderBy("exec_pos").collect()]
     ids = list(range(23))
     assert places("native") == ids and places("length|asc") == sorted(ids, key=lambda i: i * 7 % 5) and places("length|desc") == sorted(ids, key=lambda i: -(i * 7 % 5))
+    hashed = places("hash|5")
+    assert sorted(hashed) == ids and hashed != ids and hashed == places("hash|5") != places("hash|6")
     for order, seed in (("shuffle", 7), ("shuffle|3", 3)):
         want = ids[:]
         random.Random(seed).shuffle(want)
@@ -249,6 +325,46 @@ def test_sources(spark, tmp_path):
     assert [(r["a"], r["b"]) for r in got] == [(1, "é"), (2, None)]
     got = readers.read(spark, readers.Source(str(tmp_path / "a.zip"), "csv_in_archive", "a int, b string")).orderBy("line_no").collect()
     assert [(r["a"], r["b"]) for r in got] == [(1, "x"), (2, "y")]
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as z:
+        z.writestr("l.jsonl", '{"a": 1, "b": "x\u2028y\u0085z"}\r\n\n{"a": 2, "b": "\\u000c"}')
+        z.writestr("q.csv", 'n,"b",a\r\n1,"two\r\nlines, and ""quotes""",7\r\n2,y,\r\n')
+        z.writestr("l.json", '[{"a": 1}, {"a": 2, "b": "z"}]')
+        z.writestr("m.json", '{"k": {"a": 3}, "j": {"b": "w"}}')
+        z.writestr("n.json", '{"data": [{"title": "t", "paragraphs": [{"context": "c", "qas": [{"id": "1", "question": "q", "answers": [{"text": "a"}]}]}]}]}')
+        z.writestr("d.xml", '<?xml version="1.0"?><Set><Question id="7"><Text>what</Text><Answer>a</Answer><Answer>b &amp; c</Answer></Question><Question id="8"><Text>why</Text></Question></Set>')
+        z.writestr("bad.jl", '{"a": \n')
+        z.writestr("s.en", "one\ntwo\n")
+        z.writestr("s.es", "uno\ndos\n")
+    of = lambda kind, schema=None, **options: readers.read(spark, readers.Source(str(tmp_path / "b.zip"), kind, schema, options)).collect()
+    assert [(r["a"], r["b"]) for r in of("jsonl_in_archive", "a int, b string", members="jsonl$")] == [(1, "x\u2028y\u0085z"), (2, "\u000c")]
+    assert [(r["line_no"], r["a"], r["b"], r["n"]) for r in of("csv_in_archive", "a int, b string, n long")] == [(0, 7, 'two\r\nlines, and "quotes"', 1), (1, None, "y", 2)]
+    assert [(r["line_no"], r["a"], r["b"]) for r in of("json_array_in_archive", "a int, b string", members="^l.json$")] == [(0, 1, None), (1, 2, "z")]
+    assert {(r["id"], r["a"], r["b"]) for r in of("json_by_id_in_archive", "a int, b string", members="^m")} == {("k", 3, None), ("j", None, "w")}
+    nested = readers.read(spark, readers.Source(str(tmp_path / "b.zip"), "json_in_archive", "data array<struct<title:string,paragraphs:array<struct<context:string,qas:array<struct<id:string,question:string,answers:array<struct<text:string>>>>>>>>", {"members": "^n"}))
+    assert [(r["context"], r["answers"]) for r in reshape.flatten_squad(nested).collect()] == [("c", ["a"])]
+    (doc,) = of("xml_in_archive", "Question array<struct<_id:int,Text:string,Answer:array<string>>>")
+    assert [(q["_id"], q["Text"], q["Answer"]) for q in doc["Question"]] == [(7, "what", ["a", "b & c"]), (8, "why", None)]
+    assert {(r["source"], r["target"]) for r in of("parallel_lines_in_archive", source=r"\.en$", target=r"\.es$")} == {("one", "uno"), ("two", "dos")}
+    with pytest.raises(Exception, match="(?i)malformed|parse"):
+        of("jsonl_in_archive", "a int", members="bad")
+    with pytest.raises(Exception, match="digest"):
+        of("jsonl_in_archive", "a int", members="jsonl$", sha256="0" * 64)
+    good = hashlib.sha256((tmp_path / "b.zip").read_bytes()).hexdigest()
+    assert len(of("jsonl_in_archive", "a int", members="jsonl$", sha256=good)) == 2
+    (tmp_path / "cache").mkdir()
+    for i, name in enumerate(("old.arrow", "new.arrow")):
+        table = pa.table({"q": [f"{name}{k}" for k in range(3)], "n": pa.array(range(3), pa.int32())})
+        with pa.OSFile(str(tmp_path / "cache" / name), "wb") as f, (pa.ipc.new_stream if i else pa.ipc.new_file)(f, table.schema) as w:
+            w.write_table(table)
+        os.utime(tmp_path / "cache" / name, (1_700_000_000 + i, 1_700_000_000 + i))
+    cached = lambda **o: readers.read(spark, readers.Source(str(tmp_path / "cache" / "*.arrow"), "arrow_file", "n long, q string", o))
+    assert cached().count() == 6 and [r["q"] for r in cached(newest="true").orderBy("n").collect()] == ["new.arrow0", "new.arrow1", "new.arrow2"]
+    tests = [{"input": "1", "output": "2", "testtype": "stdin"}]
+    wrapped = base64.b64encode(zlib.compress(pickle.dumps(json.dumps(tests)))).decode()
+    held = spark.createDataFrame([(wrapped,), (json.dumps(tests),), (None,)], "t string").select(readers.hidden_tests_column("t").alias("x")).collect()
+    assert [r["x"] and [y.asDict() for y in r["x"]] for r in held] == [tests, tests, None]
+    with pytest.raises(ValueError):
+        readers.hidden_tests(base64.b64encode(zlib.compress(pickle.dumps(Suite))).decode())
     data = io.BytesIO()
     with tarfile.open(fileobj=data, mode="w:gz") as t:
         info = tarfile.TarInfo("../out.txt")
