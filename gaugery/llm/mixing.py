@@ -10,7 +10,8 @@ The cut is found without ordering a source anywhere: ranks are dealt into 4096 c
 partial aggregate, the cell that holds the cut is found from those sums, and is split into 4096 cells again; only the
 documents of that last cell, about one in sixteen million, are ordered. The sample's last place goes to the document
 not yet taken whose size is nearest to the words still missing. Targets
-come from the table of sources, one row each, by the closed form of capping and resharing.
+come from the table of sources, one row each, by the closed form of capping and resharing; it is ordered in one task, good
+for some ten million sources.
 
 Defined cases: a null text has size 0 and takes 0. The null source is a source of its own, last in order. Rows that
 repeat source and id share a draw, hence their fate. A source without words has target 0. A null id draws as the text
@@ -87,7 +88,7 @@ def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
 
 def _ranked(rows: DataFrame, due: DataFrame, most: int, few: bool) -> DataFrame:
     """rows with copies due, their whole part, the rest, the rank, and its cells."""
-    rows = _by_source(rows, due, "source_size", few).withColumn("__g_due", F.coalesce(F.least(F.lit(float(most)), F.col("__g_rate") * F.col("__g_weight")), F.lit(0.0)))
+    rows = _by_source(rows, due, "__g_source_size", few).withColumn("__g_due", F.coalesce(F.least(F.lit(float(most)), F.col("__g_rate") * F.col("__g_weight")), F.lit(0.0)))
     rows = rows.withColumn("__g_whole", F.floor("__g_due").cast("bigint")).withColumn("__g_f", F.col("__g_due") - F.col("__g_whole"))
     odds = (F.col("__g_u") / (1 - F.col("__g_u"))) * ((1 - F.col("__g_f")) / F.when(F.col("__g_f") > 0, F.col("__g_f")))
     # odds / (1 + odds) keeps the order and lies in (0, 1).
@@ -114,7 +115,7 @@ def _cuts(ranked: DataFrame, few: bool) -> DataFrame:
     """One row per source: the words needed beyond certain copies, the cells and the rank of the cut, and the gap left."""
     key = ["__g_source"]
     tries = ranked.filter("__g_rank is not null and __g_size > 0")
-    certain = ranked.groupBy(*key).agg((F.first("target") - F.sum(F.col("__g_whole") * F.col("__g_size"))).alias("__g_need"), F.count(F.lit(1)).alias("__g_rows"))
+    certain = ranked.groupBy(*key).agg((F.first("__g_target") - F.sum(F.col("__g_whole") * F.col("__g_size"))).alias("__g_need"), F.count(F.lit(1)).alias("__g_rows"))
     first = tries.groupBy(*key, "__g_c1").agg(F.sum("__g_size").alias("__g_words")).join(certain, key).withColumn("__g_zero", F.lit(0).cast("bigint"))
     one = materialise(_cut(first, key, "__g_c1", "__g_need", "__g_zero").join(certain, key), "mix-cells")
     in_one = _by_source(tries, one, "__g_rows", few).filter(F.col("__g_c1") == F.col("__g_c1_cut"))
@@ -134,18 +135,19 @@ def _cuts(ranked: DataFrame, few: bool) -> DataFrame:
 
 
 def _copies(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total_share: float, most: int, seed: str, weight_col: str | None
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total_share: float, most: int, seed: str, weight_col: str | None, whole: bool
 ) -> DataFrame:
-    """docs with __g_size, __g_source, source_size, target and __g_copies; docs is read once for the sizes and once more."""
+    """With whole, docs, else a row for each of its rows, with __g_id, __g_size, __g_source, __g_source_size, __g_target and
+    __g_copies. docs is read once for the sizes, and again with whole alone."""
     needed = list(dict.fromkeys([id_col, text_col, source_col, *([weight_col] if weight_col else [])]))
-    drawn = _drawn(docs, id_col, text_col, source_col, seed, weight_col)
     sizes = materialise(_drawn(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, seed, weight_col).select("__g_id", "__g_source", "__g_size", "__g_u", "__g_weight"), "mix")
-    due = targets(sizes, weights, total_share, most)
+    drawn = _drawn(docs, id_col, text_col, source_col, seed, weight_col) if whole else sizes
+    due = targets(sizes, weights, total_share, most).withColumnsRenamed({"source_size": "__g_source_size", "target": "__g_target"})
     if weight_col:
         due = due.join(sizes.groupBy("__g_source").agg(F.sum(F.col("__g_weight") * F.col("__g_size")).alias("__g_ws")), "__g_source")
-        due = due.withColumn("__g_rate", F.col("target") / F.when(F.col("__g_ws") > 0, F.col("__g_ws"))).drop("__g_ws")
+        due = due.withColumn("__g_rate", F.col("__g_target") / F.when(F.col("__g_ws") > 0, F.col("__g_ws"))).drop("__g_ws")
     else:
-        due = due.withColumn("__g_rate", F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))
+        due = due.withColumn("__g_rate", F.col("__g_target") / F.when(F.col("__g_source_size") > 0, F.col("__g_source_size")))
     due = materialise(due, "mix-targets")
     few = due.count() <= FEW_SOURCES  # of sources; every table by source has as many rows at most
     ranked = _ranked(sizes, due, most, few)
@@ -176,13 +178,13 @@ def mix(
     weight_col: a positive column by which documents of a source are due more or fewer copies; null counts as 1.
     """
     needed = list(dict.fromkeys([id_col, text_col, source_col, *([weight_col] if weight_col else [])]))
-    done = _copies(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, weights, total_share, most, seed, weight_col)
+    done = _copies(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, weights, total_share, most, seed, weight_col, False)
     return done.select(
         F.col("__g_id").alias(id_col),
         F.col("__g_source.name").alias(source_col),
         F.col("__g_size").alias("size"),
-        "source_size",
-        "target",
+        F.col("__g_source_size").alias("source_size"),
+        F.col("__g_target").alias("target"),
         F.col("__g_copies").alias("copies"),
         (F.col("__g_copies") * F.col("__g_size")).alias("taken"),
     )
@@ -200,6 +202,6 @@ def mixed(
     weight_col: str | None = None,
 ) -> DataFrame:
     """The mixture itself: each row of docs as often as it is taken, all columns as they were; texts aren't shuffled."""
-    done = _copies(docs, id_col, text_col, source_col, weights, total_share, most, seed, weight_col)
+    done = _copies(docs, id_col, text_col, source_col, weights, total_share, most, seed, weight_col, True)
     repeated = done.filter("__g_copies > 0").withColumn("__g_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__g_copies"))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])

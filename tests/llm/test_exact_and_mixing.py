@@ -21,9 +21,9 @@ def test_sql(name, same_as_sql):
 CASES = [(1, "a", "s"), (2, None, "s"), (3, "", "s"), (4, "a", None), (5, "a" * 100 + "x", "s"), (6, "a" * 100 + "y", "s"), (7, "é", "s"), (8, "a", "s"), (9, "word " * 50_000, "s"), (10, "word " * 50_000, "s")]
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 1 << 18])
-def test_groups_of_equal_texts(spark, buckets):
-    got = {r["doc_id"]: r for r in exact_dedup.decide(rows(spark, CASES), buckets=buckets).collect()}
+@pytest.mark.parametrize(("prefix_chars", "most_bits"), [(64, 1 << 27), (0, 1), (3, 1 << 16)])
+def test_groups_of_equal_texts(spark, prefix_chars, most_bits):
+    got = {r["doc_id"]: r for r in exact_dedup.decide(rows(spark, CASES), prefix_chars=prefix_chars, most_bits=most_bits).collect()}
     want = defaultdict(list)
     for i, t, _ in CASES:
         want[t or ""].append(i)
@@ -41,6 +41,22 @@ def test_deduplicate_keeps_columns_and_one_row_of_each_text(spark):
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 3, 5, 6, 7, 8, 10]
 
 
+def test_each_step_hashes_only_what_the_one_before_left(spark):
+    texts = ["a" * n for n in range(1, 40)] + ["b" * 100, "c" * 100, "d" * 100 + "x", "d" * 100 + "y", "e" * 101, "e" * 101]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r for r in exact_dedup.refiner(docs)(docs).collect()}
+    # Lengths of one row, prefixes of one row, and the rest; a bitmap of few bits may let others through.
+    assert sum(r["__g_pfx"] is not None for r in got.values()) <= 8 and all(got[t]["__g_pfx"] is not None for t in texts[39:])
+    assert sum(r["__g_full"] is not None for r in got.values()) <= 5 and all(got[t]["__g_full"] is not None for t in texts[41:])
+
+
+def test_of_rows_that_repeat_id_and_text_the_choice_is_defined(spark):
+    cells = [(1, "t", k, {"k": str(k)}) for k in range(6)] + [(None, "t", 9, None), (1, "t", 3, {"k": "3"}), (2, "u", 0, {})]
+    schema = "doc_id long, text string, __x int, m map<string,string>"
+    kept = {tuple(sorted((r["doc_id"], r["__x"]) for r in exact_dedup.deduplicate(spark.createDataFrame(cells[k:] + cells[:k], schema).repartition(1 + k)).collect())) for k in range(3)}
+    assert len(kept) == 1 and sorted(i for i, _ in next(iter(kept))) == [1, 2]
+
+
 def test_empty_tables(spark):
     none = rows(spark, [])
     assert exact_dedup.decide(none).count() == 0
@@ -74,6 +90,12 @@ def test_mixture_comes_near_its_targets_and_repeats(spark):
     assert out.count() == sum(r["copies"] for r in first.values())
 
 
+def test_columns_named_like_the_mixture_s_own_are_carried(spark):
+    docs = spark.createDataFrame([(i, "w w", "ab"[i % 2], "t", 1, 2, 3) for i in range(40)], "doc_id long, text string, source string, target string, source_size int, copies int, taken int")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and {(r["target"], r["source_size"], r["copies"], r["taken"]) for r in out.collect()} == {("t", 1, 2, 3)}
+
+
 def test_weights_favour_documents(spark):
     docs = rows(spark, [(i, "w " * 10, "a") for i in range(400)]).selectExpr("*", "if(doc_id < 200, 3.0, 1.0) as favour")
     got = mixing.mix(docs, weights=(1,), total_share=0.5, weight_col="favour").collect()
