@@ -1,22 +1,26 @@
 """WARC derivatives: from response records, linked metadata and plain-text conversion records.
 
 A record is a row: record_id, record_type, target_uri, date, content_type, refers_to, refers_to_target_uri,
-refers_to_date, headers (a map of all further named fields), block (binary), block_digest, payload_digest. Each response
+refers_to_date, headers (all further named fields as pairs, repeated ones included), block (binary), block_digest,
+payload_digest. Each response
 gives a `metadata` record (application/warc-fields: title, charset, outlinks) and a `conversion` record (text/plain),
 both referring to it by its id, target and date. They carry the source's HTTP headers as `Source-HTTP-<name>`, its
 content type, and its block and payload digests, and have digests of their own blocks. Ids are UUIDs made from the
 source's id and the kind, so a task that runs twice makes the same records.
 
-Records are written as gzip members, one per record as the format advises, whose concatenation is a .warc.gz file.
+`write` stores records as gzip members, one per record as the format advises, in a table; `export` writes .warc.gz files of
+records whose blocks are UTF-8, as those of derivatives are. `read` takes an archive whole, up to 2 GB, in one task.
 
 Defined cases: a null page is a response with an empty body, whose conversion is empty; a null URL is a null target. A
-block that isn't HTTP is taken as the body itself. Rows that repeat give equal records. Records of other types than
+block that isn't HTTP is taken as the body itself. The encoding is that of the HTTP header, else that of the first <meta>
+anywhere in the page; one that isn't known, or isn't one of texts, counts as UTF-8, and bytes that don't fit are replaced. Rows that repeat give equal records. Records of other types than
 response give no derivatives. Further columns of pages (page_id apart) aren't read. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html as entities
@@ -38,8 +42,8 @@ NAMED = {
     "record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "refers_to": "WARC-Refers-To",
     "refers_to_target_uri": "WARC-Refers-To-Target-URI", "refers_to_date": "WARC-Refers-To-Date", "block_digest": "WARC-Block-Digest", "payload_digest": "WARC-Payload-Digest",
 }
-SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + ", headers map<string,string>, block binary, block_digest string, payload_digest string"
-_TYPES = [pa.string()] * len(FIELDS) + [pa.map_(pa.string(), pa.string()), pa.binary(), pa.string(), pa.string()]
+SCHEMA = ", ".join(f"{f} string" for f in FIELDS) + ", headers array<struct<name:string,value:string>>, block binary, block_digest string, payload_digest string"
+_TYPES = [pa.string()] * len(FIELDS) + [pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())])), pa.binary(), pa.string(), pa.string()]
 COLUMNS = [*FIELDS, "headers", "block", "block_digest", "payload_digest"]
 
 _tag = re.compile(
@@ -96,8 +100,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES, strict=True)], names=COLUMNS)
 
 
+def _pairs(headers: list[tuple[str, str]]) -> list[dict[str, str]]:
+    return [{"name": k, "value": v} for k, v in headers]
+
+
 def _record(key: str, kind: str, uri: str | None, date: str | None, content: str, block: bytes, headers: list[tuple[str, str]], payload: bytes | None, refers: tuple = (None, None, None)) -> tuple:
-    return (f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{key}')}>", kind, uri, date, content, *refers, headers, block, digest(block), digest(payload) if payload is not None else None)
+    return (f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}:{key}')}>", kind, uri, date, content, *refers, _pairs(headers), block, digest(block), digest(payload) if payload is not None else None)
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
@@ -117,20 +125,23 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     return pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).mapInArrow(tidy(run), SCHEMA)
 
 
+def _of_texts(charset: str) -> bool:
+    """Whether Python has an encoding of texts by that name which can replace what doesn't fit."""
+    try:
+        return b"\xff".decode(charset, "replace") is not None and codecs.lookup(charset).name not in ("idna", "punycode", "undefined", "unicode-escape", "raw-unicode-escape")
+    except (LookupError, UnicodeError, ValueError):
+        return False
+
+
 def _derivatives(row: dict) -> list[tuple]:
     status, http, body = split_http(row["block"] or b"")
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
-    named = re.search(r"charset=[\"']?([\w:.-]+)", kind) or _charset.search(body[:2048].decode("latin-1"))
+    named = re.search(r"charset=[\"']?([\w:.-]+)", kind, re.I) or _charset.search(body.decode("latin-1"))
     charset = named[1] if named else "utf-8"
-    try:
-        page = body.decode(charset, "replace")
-    except LookupError:
-        page = body.decode("utf-8", "replace")
-    text, title, links = plain_text(page)
-    source = [*dict(row["headers"] or []).items(), *((f"Source-HTTP-{k}", v) for k, v in http), ("Source-Content-Type", row["content_type"] or "")]
+    text, title, links = plain_text(body.decode(charset if _of_texts(charset) else "utf-8", "replace"))
+    source = [*((x["name"], x["value"]) for x in row["headers"] or ()), *((f"Source-HTTP-{k}", v) for k, v in http), ("Source-Content-Type", row["content_type"] or "")]
     source += [("Source-HTTP-Status", status)] if status else []
     source += [(f"Source-{k}-Digest", row[f"{k.lower()}_digest"]) for k in ("Block", "Payload") if row[f"{k.lower()}_digest"]]
-    source = list(dict(source).items())
     refers = row["record_id"], row["target_uri"], row["date"]
     fields = [("title", title), ("charset", charset), *(("outlink", f"{x} A/@href") for x in links)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v).encode("utf-8", "replace")
@@ -156,9 +167,13 @@ def derive(records: DataFrame) -> DataFrame:
 def encode(row: dict) -> bytes:
     """A record as WARC/1.1 in a gzip member of its own."""
     block = row["block"] or b""
-    named = [(NAMED[k], row[k]) for k in NAMED if row[k] is not None] + list(dict(row["headers"] or []).items())
+    return gzip.compress(_head(row, len(block)) + block + b"\r\n\r\n", mtime=0)
+
+
+def _head(row: dict, length: int) -> bytes:
+    named = [(NAMED[k], row[k]) for k in NAMED if row[k] is not None] + [(x["name"], x["value"]) for x in row["headers"] or ()]
     lines = "".join(f"{k}: {' '.join(str(v).splitlines())}\r\n" for k, v in named)
-    return gzip.compress(f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n", mtime=0)
+    return f"WARC/1.1\r\n{lines}Content-Length: {length}\r\n\r\n".encode()
 
 
 def decode(data: bytes) -> Iterator[tuple]:
@@ -177,7 +192,7 @@ def decode(data: bytes) -> Iterator[tuple]:
                 known[own[k.lower()]] = v
             else:
                 rest.append((k, v))
-        yield (*(known[k] for k in FIELDS), list(dict(rest).items()), f.read(length), known["block_digest"], known["payload_digest"])
+        yield (*(known[k] for k in FIELDS), _pairs(rest), f.read(length), known["block_digest"], known["payload_digest"])
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -193,6 +208,21 @@ def write(records: DataFrame, path: str) -> None:
     records.select(*COLUMNS).mapInArrow(tidy(run), "value binary").write.mode("errorifexists").parquet(path)
 
 
+def export(records: DataFrame, path: str) -> None:
+    """.warc.gz files in the folder `path`, one for each partition, through Spark's text writer. Blocks must be UTF-8, as text
+    writers know no other; a block that isn't is an error. A file is one gzip member."""
+    ship(records.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                # The writer ends each record by its second line end.
+                texts = [(_head(x, len(x["block"] or b"")) + (x["block"] or b"") + b"\r\n").decode("utf-8") for x in batch.slice(i, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+
+    records.select(*COLUMNS).mapInArrow(tidy(run), "value string").write.mode("errorifexists").options(lineSep="\r\n", compression="gzip").text(path)
+
+
 def read(spark: SparkSession, path: str, table: bool = False) -> DataFrame:
     """Records of .warc and .warc.gz files, or with table=True of a folder made by `write`."""
     ship(spark)

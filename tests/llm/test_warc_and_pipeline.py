@@ -1,4 +1,5 @@
 import gzip
+from html.parser import HTMLParser
 
 import corpus_pipeline
 from gaugery.llm import queries, warc
@@ -29,8 +30,9 @@ def test_derivatives_refer_to_their_source(spark):
     for r in got:
         s = by[r["refers_to"]]
         assert (r["refers_to_target_uri"], r["refers_to_date"], r["target_uri"]) == (s["target_uri"], s["date"], s["target_uri"])
-        assert r["headers"]["Source-Payload-Digest"] == s["payload_digest"] and r["headers"]["Source-Block-Digest"] == s["block_digest"]
-        assert r["headers"]["Source-HTTP-Content-Type"] == "text/html; charset=utf-8" and r["headers"].get("X-Page-ID") == s["headers"].get("X-Page-ID")
+        said, own = dict(r["headers"]), dict(s["headers"])
+        assert said["Source-Payload-Digest"] == s["payload_digest"] and said["Source-Block-Digest"] == s["block_digest"]
+        assert said["Source-HTTP-Content-Type"] == "text/html; charset=utf-8" and said.get("X-Page-ID") == own.get("X-Page-ID")
         assert r["block_digest"] == warc.digest(bytes(r["block"]))
     one = {r["record_type"]: bytes(r["block"]).decode() for r in got if r["target_uri"] == "http://a/é"}
     assert one["conversion"].startswith("One two") and "title: A & B\r\n" in one["metadata"] and "outlink: /u?a=1&b=2 A/@href" in one["metadata"]
@@ -60,10 +62,83 @@ def test_other_records_and_plain_blocks(spark):
     assert warc.derive(source).count() == 0
 
 
-def test_query_has_two_records_a_page(spark, sf_dir):
+def record(block, **more):
+    row = dict.fromkeys(warc.COLUMNS) | {"record_id": "<r>", "record_type": "response", "headers": [], "block": block} | more
+    return [dict(zip(warc.COLUMNS, x, strict=True)) for x in warc._derivatives(row)]
+
+
+def test_encodings_and_repeated_headers():
+    page = "<p>é</p>" + "<!-- x -->" * 1000 + "<meta charset=latin-1>"
+    meta, plain = record(page.encode("latin-1"))
+    assert plain["block"].decode() == "é" and b"charset: latin-1" in meta["block"]
+    for odd in ("undefined", "idna", "punycode", "nothing-known", "base64", "hex", "rot13", "unicode_escape", "utf-8\0"):
+        _, plain = record(f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={odd}\r\n\r\n<p>é\\x</p>".encode())
+        assert plain["block"].decode() == "é\\x", odd
+    _, plain = record(b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nContent-Type: TEXT/HTML; Charset=UTF-16\r\nSet-Cookie: b=2\r\n\r\n" + "hi".encode("utf-16"), headers=[{"name": "Via", "value": "1"}, {"name": "Via", "value": "2"}])
+    assert [(x["name"], x["value"]) for x in plain["headers"] if x["name"] in ("Via", "Source-HTTP-Set-Cookie")] == [("Via", "1"), ("Via", "2"), ("Source-HTTP-Set-Cookie", "a=1"), ("Source-HTTP-Set-Cookie", "b=2")]
+    assert plain["block"] == b"hi"
+    back = list(warc.decode(warc.encode(plain)))
+    assert back == [tuple(plain[c] for c in warc.COLUMNS)]
+
+
+def test_exported_files_hold_the_records(spark, tmp_path):
+    records = warc.derive(warc.responses(pages(spark, [(1, "http://a/é", PAGE, ""), (2, None, None, ""), (3, "http://c/", "WARC/1.1\r\n\r\n", "")])))
+    warc.export(records, str(tmp_path / "out"))
+    want = sorted(repr(sorted(r.asDict().items(), key=str)) for r in records.collect())
+    got = sorted(repr(sorted(r.asDict().items(), key=str)) for r in warc.read(spark, str(tmp_path / "out" / "*.gz")).collect())
+    assert got == want
+    assert all(gzip.decompress(p.read_bytes())[:10] in (b"", b"WARC/1.1\r\n") for p in (tmp_path / "out").glob("*.gz"))
+
+
+class Rebuilt(HTMLParser):
+    """Text, title and links by another parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.out, self.names, self.links, self.titles = [], [], [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc.BLOCKS:
+            self.out.append("\n")
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+        if tag in ("script", "style", "noscript", "template", "title"):
+            self.names.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in warc.BLOCKS:
+            self.out.append("\n")
+        if self.names and tag == self.names[-1]:
+            self.names.pop()
+
+    def handle_data(self, data):
+        (self.titles if self.names == ["title"] else [] if self.names else self.out).append(data)
+
+    @property
+    def text(self):
+        lines = (" ".join(x.replace("\u00a0", " ").split(" ")).split() for x in "".join(self.out).split("\n"))
+        return "\n".join(" ".join(x) for x in lines if x)
+
+
+def test_query_equals_a_rebuild(spark, sf_dir):
     rows = queries.op10_warc(spark, sf_dir).collect()
-    n = table(spark, sf_dir, "pages").count()
-    assert len(rows) == 2 * n and {r["record_type"] for r in rows} == {"metadata", "conversion"}
+    source = {r["page_id"]: r for r in table(spark, sf_dir, "pages").collect()}
+    assert len(rows) == 2 * len(source) and {r["record_type"] for r in rows} == {"metadata", "conversion"}
+    ids = {}
+    for r in rows:
+        page = source[r["page_id"]]
+        made = Rebuilt(page["html"] or "")
+        assert r["target_uri"] == page["url"] and r["block_digest"] == warc.digest(r["text"].encode())
+        if r["record_type"] == "conversion":
+            assert [x.split() for x in r["text"].split("\n")] == [x.split() for x in made.text.split("\n")]
+        else:
+            title = " ".join("".join(made.titles).split())
+            want = ([("title", title)] if title else []) + [("charset", "utf-8")] + [("outlink", f"{' '.join(x.split())} A/@href".strip()) for x in made.links]
+            assert [tuple(x.split(": ", 1)) for x in r["text"].split("\r\n")[:-1]] == want
+        ids.setdefault(r["page_id"], set()).add(r["refers_to"])
+    assert all(len(x) == 1 for x in ids.values()) and len(set().union(*ids.values())) == len(source)
 
 
 def test_stages_in_order_and_each_on_what_was_kept(spark, sf_dir, tmp_path):
