@@ -26,7 +26,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, spread: Column, hot: int = 1000) -> DataFrame:

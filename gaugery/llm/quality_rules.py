@@ -1,13 +1,14 @@
 """Quality rules by distribution divergence.
 
 A text's histograms of character classes and of common words are compared with those of its language, summed over all
-documents, by the Jensen-Shannon distance (base 2, so from 0 to 1); a text whose mean of the two is too great goes. Texts shorter than `least_words` aren't judged by
-divergence, as their histograms say little. Base rules on words, symbols, lines and repeated word triples come with it.
+documents, by the Jensen-Shannon distance (base 2, so from 0 to 1); a text whose mean of the two is too great goes. Texts
+shorter than `least_words` aren't judged by divergence, as their histograms say little. Base rules on words, symbols,
+lines and repeated word triples come with it.
 
 One pass over the texts writes the counts of each row; references are sums of those, and judging reads the counts
 again. References of up to 1000 languages are broadcast; of more, those with most rows are, and the others are met by a
-shuffle. Everything is SQL functions. Repeated triples are found inside the row: 64-bit hashes of the triples carry their
-place in the low bits, are sorted, and equal neighbours mark their places.
+shuffle. Everything is SQL functions. Repeated triples are found inside the row, where there are any: 64-bit hashes of the
+triples are sorted with their places beside them, and equal neighbours mark their places.
 
 Defined cases: a null text has no words, fails the base rules and is not kept. A null language is
 compared with the reference over all rows. A histogram that is empty on either side has distance 0.
@@ -34,6 +35,8 @@ COMMON_WORDS = (
     "el los las y que es del por con para una no su al lo se"
 ).split()
 COMMON = tuple(dict.fromkeys(COMMON_WORDS))
+#: One character stands for each common word while they are counted.
+CODES = "".join(map(chr, range(0x30, 0x30 + len(COMMON))))
 SYMBOLS = "#*$%&|<>"
 
 
@@ -41,46 +44,39 @@ def _without(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _repeat_words(w: str, n: str, h: str, p: str, scale: str) -> Column:
-    """Words in triples that occur twice or more. p: sorted (hash without low bits) | place; scale: power of two above n."""
-    top = lambda x: x.bitwiseAND(-F.col(scale))
-    place = lambda x: x.bitwiseAND(F.col(scale) - 1).cast("int")
-    same = lambda x, y: (top(x) == top(y)) & (F.get(h, place(x)) == F.get(h, place(y)))
-    last = F.size(p) - 1
-    marked = F.filter(p, lambda x, k: ((k > 0) & same(x, F.get(p, k - 1))) | ((k < last) & same(x, F.get(p, k + 1))))
-    places = F.sort_array(F.transform(marked, place))
-    return places
-
-
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang, the base counts, and the histograms chars and commons, one row per row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     a = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), text.alias("t"), words(F.col(text_col)).alias("w"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     rest = F.regexp_replace("t", r"[a-z\x20\x09-\x0D]+", "")
+    code = F.create_map(*[F.lit(x) for pair in zip(COMMON, CODES, strict=True) for x in pair])
+    codes = F.array_join(F.transform(F.filter("w", lambda x: x.isin(*COMMON)), lambda x: F.element_at(code, x)), "")
     b = a.select(
-        "id", "lang", "w", F.size("w").alias("n"), F.length("t").alias("n_chars"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"), rest.alias("rest"), lines.alias("lines"),
-        F.filter("w", lambda x: x.isin(*COMMON)).alias("common"),
+        "id", "lang", "w", F.size("w").alias("n"), F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"), rest.alias("rest"), lines.alias("lines"), codes.alias("codes"),
     )
     three = F.when(F.col("n") >= 3, F.transform(F.sequence(F.lit(0), F.col("n") - 3), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).otherwise(F.array().cast("array<bigint>"))
     c = b.select(
-        "id", "lang", "n", "word_chars", "rest", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"), "common",
-        (F.col("n_chars") - F.length("rest") - (F.col("n_chars") - F.col("word_chars"))).alias("lower"), three.alias("h"),
-        F.expr("shiftleft(1L, length(bin(n)))").alias("scale"),
+        "id", "lang", "n", "word_chars", "rest", "codes", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        F.length("rest").alias("n_rest"), three.alias("h"),
     )
-    d = c.withColumn("p", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: x.bitwiseAND(-F.col("scale")).bitwiseOR(i.cast("bigint"))))).otherwise(F.array().cast("array<bigint>")))
-    e = d.withColumn("places", _repeat_words("w", "n", "h", "p", "scale"))
+    none = F.array().cast("array<struct<h:bigint,at:int>>")
+    d = c.withColumn("placed", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("at"))))).otherwise(none)).drop("h")
+    same = lambda x, k: F.coalesce(x["h"] == F.get("placed", k)["h"], F.lit(False))
+    marked = F.filter("placed", lambda x, k: same(x, k - 1) | same(x, k + 1))
+    e = d.withColumn("places", F.sort_array(F.transform(marked, lambda x: x["at"]))).drop("placed")
     covered = F.aggregate(F.transform("places", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("places", k + 1), x + 3) - x)), F.lit(0), lambda s, x: s + x)
-    joined = F.concat(F.lit(" "), F.array_join("common", "  "), F.lit(" "))
-    e = e.withColumn("s", joined).withColumn("n_symbols", _without(F.col("rest"), SYMBOLS).cast("bigint"))
-    upper, digit = _without(F.col("rest"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _without(F.col("rest"), "0123456789")
-    ascii_ = F.length("rest") - F.length(F.regexp_replace("rest", r"[\x00-\x7f]+", ""))
-    chars = F.array(F.col("lower"), upper, digit, F.col("n_symbols"), ascii_ - upper - digit - F.col("n_symbols"), F.length("rest") - ascii_)
-    counts = [((F.length("s") - F.length(F.replace("s", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("bigint") for w in COMMON]
-    return e.select(
-        "id", "lang", F.col("n").cast("bigint").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", covered.cast("bigint").alias("n_repeat_words"),
-        F.transform(chars, lambda x: x.cast("bigint")).alias("chars"), F.array(*counts, (F.col("n") - F.size("common")).cast("bigint")).alias("commons"),
-        F.aggregate(chars, F.lit(0).cast("bigint"), lambda v, x: v + x).alias("chars_total"), F.col("n").cast("bigint").alias("commons_total"),
+    count = lambda chars: _without(F.col("rest"), chars)
+    f = e.select(
+        "id", "lang", "n", "word_chars", "n_dup_lines", "codes", covered.cast("bigint").alias("n_repeat_words"), (F.col("word_chars") - F.col("n_rest")).alias("lower"), "n_rest",
+        count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"), count("0123456789").alias("digit"), count(SYMBOLS).alias("symbols"), F.length(F.regexp_replace("rest", r"[\x00-\x7f]+", "")).alias("beyond"),
+    )
+    chars = [F.col("lower"), F.col("upper"), F.col("digit"), F.col("symbols"), F.col("n_rest") - F.col("beyond") - F.col("upper") - F.col("digit") - F.col("symbols"), F.col("beyond")]
+    counts = [F.octet_length("codes") - F.octet_length(F.replace("codes", F.lit(x), F.lit(""))) for x in CODES]
+    whole = lambda xs: F.array(*[x.cast("bigint") for x in xs])
+    return f.select(
+        "id", "lang", F.col("n").cast("bigint").alias("n_words"), "word_chars", F.col("symbols").cast("bigint").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
+        whole(chars).alias("chars"), whole([*counts, F.col("n") - F.octet_length("codes")]).alias("commons"), F.col("word_chars").alias("chars_total"), F.col("n").cast("bigint").alias("commons_total"),
     )
 
 
