@@ -65,7 +65,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
-    page = F.col("headers")["X-Page-ID"].cast("bigint").alias("page_id")
+    page = F.get(F.filter("headers", lambda x: x["name"] == "X-Page-ID"), F.lit(0))["value"].cast("bigint").alias("page_id")
     return made.select(page, *warc.FIELDS, F.to_json("headers").alias("headers"), F.decode("block", "UTF-8").alias("text"), "block_digest", "payload_digest")
 
 

@@ -10,8 +10,9 @@ All of it is SQL functions.
 
 Defined cases: a null URL or one without `://` has empty host and path, and gets the default verdict unless a pattern
 matches the empty text. A rule without a usable token is tried on every URL. Of the host rules that fit the longest
-wins, then the greater text. Repeated rows are judged alike. Other columns are carried; names starting with `__g_` are
-reserved. Empty tables give empty results, and no rules give the default everywhere.
+wins, then the greater text. Repeated rows are judged alike. Other columns are carried, one named like a result column
+with `_in` at the end of its name; names starting with `__g_` are reserved. Empty tables give empty results, and no rules
+give the default everywhere.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import join_groups
+from gaugery.llm.common import carried, join_groups
 
 ALLOW, BLOCK = "allow", "block"
 INLINE = 256
+#: Filed rules up to which the index is broadcast.
+BROADCAST = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,8 +103,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
     A host rule's verdict comes first, then a pattern's, then the default.
     """
     host, path = host_and_path(F.col(url_col))
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "pattern", "verdict")]
-    seen = pages.select(*[f"`{c}`" for c in kept], host.alias("host"), path.alias("path"))
+    named = carried(pages.columns, ["host", "path", "rule", "pattern", "verdict"])
+    kept = list(named.values())
+    seen = pages.select(*[F.col(f"`{c}`").alias(name) for c, name in named.items()], host.alias("host"), path.alias("path"))
     filed = index(seen.select("host", "path"), rules)
     url = F.concat("host", "path")
     if sum(map(len, filed.values())) <= inline:
@@ -119,7 +123,8 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
         urls = seen.groupBy("host", "path").agg(F.count(F.lit(1)).alias("__g_n"))
         asked = urls.withColumn("token", F.explode(F.concat(_tokens(url), F.array(F.lit("")))))
         one = F.struct("long", "rule", "verdict", "glob", "regex")
-        fit = asked.join(F.broadcast(ways), "token").filter(F.rlike(url, F.col("regex")))
+        ways = F.broadcast(ways) if len(rows) <= BROADCAST else ways
+        fit = asked.join(ways, "token").filter(F.rlike(url, F.col("regex")))
         best = fit.groupBy("host", "path").agg(F.first("__g_n").alias("__g_n"), F.max(F.when(~F.col("glob"), one)).alias("__g_rule"), F.max(F.when(F.col("glob"), one)).alias("__g_glob"))
         found = join_groups(seen, best, ["host", "path"], "__g_n", F.monotonically_increasing_id())
     verdict = F.coalesce(F.col("__g_rule.verdict"), F.col("__g_glob.verdict"), F.lit(default))

@@ -62,6 +62,13 @@ def test_tokens_and_empty_tables(spark):
     assert list(filed) == ["en"]
 
 
+def test_columns_named_like_the_verdict_are_carried(spark):
+    rows = spark.createDataFrame([(1, "http://a.net/", "h", "v", 5)], "page_id long, url string, host string, verdict string, rule int")
+    for inline in (0, 256):
+        r = url_filter.judge(rows, [url_filter.Rule("block", "net/")], inline=inline).first()
+        assert (r["host"], r["verdict"], r["rule"], r["host_in"], r["verdict_in"], r["rule_in"]) == ("a.net", "block", "net/", "h", "v", 5)
+
+
 def base(text):
     t = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", t)

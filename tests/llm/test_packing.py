@@ -56,6 +56,24 @@ def test_empty_table_nulls_and_repeated_rows(spark):
     assert packing.pack(docs.limit(0), PATH).count() == 0
 
 
+def test_hot_rows_and_huge_texts_are_dealt_to_many_groups(spark):
+    docs = spark.createDataFrame([(1, "same text")] * 400 + [(2, "x y " * 200_000)], "doc_id long, text string")
+    rows = packing.pack(docs, PATH, group_docs=10).collect()
+    groups = lambda i: {r["sequence_id"] >> 32 for r in rows if r["doc_id"] == i}
+    assert len(groups(1)) > 30 and len(groups(2)) > 30
+
+
+def test_files_that_ranks_cannot_express_go_to_the_exact_encoder(tmp_path):
+    import json
+
+    said = json.loads(open(PATH, encoding="utf-8").read())
+    assert packing.Encoder(PATH).fast is not None
+    changes = [("ignore_merges", True), ("dropout", 0.1), ("end_of_word_suffix", "</w>"), ("continuing_subword_prefix", "##")]
+    odd = [said | {"model": said["model"] | {k: v}} for k, v in changes]
+    odd += [said | {"pre_tokenizer": said["pre_tokenizer"] | {"use_regex": False}}, said | {"model": said["model"] | {"merges": said["model"]["merges"][1:]}}, said | {"model": said["model"] | {"merges": said["model"]["merges"][::-1]}}]
+    assert all(packing.Encoder._fast(x, {"<|endoftext|>"}) is None for x in odd)
+
+
 def test_query_digests_and_padding(spark, sf_dir, exact):
     rows = queries.op1_packing(spark, sf_dir).collect()
     texts = {r["doc_id"]: r["text"] for r in queries.table(spark, sf_dir, "documents").collect()}
