@@ -25,13 +25,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "second", "ambiguous")
 
 
-#: The host rules, and the path patterns that are blocked where no host rule fits.
+#: Names of folders and pairs of words in names of hosts that are blocked where no host rule fits.
+URL_FOLDERS = "casino login porn signup wp-admin xxx".split()
+URL_FIRST = "best buy cheap click daily discount easy fast free get hot instant live lucky mega my new now online quick real spam super top win your".split()
+URL_SECOND = "bets bonus cash casino coupons credit crypto dating deals diet farm followers forex gifts girls jackpot leads links loans lottery meds money pharmacy pills poker prizes replica slots spins traffic viagra watches".split()
+#: The host rules; the patterns are made of the words above, with a hyphen or without, in any label of a name.
 URL_RULES = [
     url_filter.Rule("block", "net/"),
     url_filter.Rule("allow", "example.net/en/"),
     url_filter.Rule("block", "example.com/de/"),
     url_filter.Rule("allow", "org/fr/"),
-    *[url_filter.Rule("block", f"*/{p}/*", glob=True) for p in ("casino", "login", "porn", "signup", "wp-admin", "xxx")],
+    *[url_filter.Rule("block", f"*/{p}/*", glob=True) for p in URL_FOLDERS],
+    *[url_filter.Rule("block", f"{lead}{a}{gap}{b}.*", glob=True) for a in URL_FIRST for b in URL_SECOND for gap in ("-", "") for lead in ("", "*.")],
 ]
 
 
@@ -40,8 +45,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "pattern", "verdict")
 
 
-OP3_SQL = """
-WITH a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+OP3_SQL = (
+    """
+WITH n AS (SELECT unnest(FIRST) AS f), s AS (SELECT unnest(SECOND) AS s),
+v AS (
+  SELECT '*/' || unnest(FOLDERS) || '/*' AS g, NULL AS p
+  UNION ALL SELECT l || f || h || s || '.*', f || h || s FROM n, s, (VALUES ('-'), ('')) a(h), (VALUES (''), ('*.')) b(l)),
+a AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM a),
 c AS (
   SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -50,13 +64,17 @@ d AS (
   SELECT *, CASE WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
                  WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
                  WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
-                 WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
-         (SELECT arg_max('*/' || p || '/*', (length(p), p)) FROM (VALUES ('casino'), ('login'), ('porn'), ('signup'), ('wp-admin'), ('xxx')) v(p)
-          WHERE contains(host || path, '/' || p || '/')) AS pattern FROM c)
+                 WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/'
+                 END AS rule FROM c),
+u AS (SELECT DISTINCT host || path AS url FROM c),
+m AS (
+  SELECT url, arg_max(g, (length(g), g)) AS pattern FROM u, v
+  WHERE CASE WHEN p IS NULL THEN contains(url, replace(g, '*', '')) WHEN starts_with(g, '*') THEN contains(url, '.' || p || '.') ELSE starts_with(url, p || '.') END GROUP BY url)
 SELECT page_id, host, path, rule, pattern,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
-FROM d
-"""
+FROM d LEFT JOIN m ON d.host || d.path = m.url
+""".replace("FIRST", _list(URL_FIRST)).replace("SECOND", _list(URL_SECOND)).replace("FOLDERS", _list(URL_FOLDERS))
+)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
