@@ -22,6 +22,11 @@ def perplexities(logprob: Column, words: Column, size: Column) -> Column:
     return F.struct(F.exp(-lp / F.nullif(w, F.lit(0))).alias("word_perplexity"), F.exp(-lp / F.nullif(b, F.lit(0))).alias("byte_perplexity"), (-lp / F.nullif(b, F.lit(0)) / F.log(F.lit(2.0))).alias("bits_per_byte"))
 
 
+def row_perplexities(logprob: Column, words: Column, size: Column) -> Column:
+    """The same of a row by itself."""
+    return F.struct(F.exp(-logprob / words).alias("word_perplexity"), F.exp(-logprob / size).alias("byte_perplexity"), (-logprob / size / F.log(F.lit(2.0))).alias("bits_per_byte"))
+
+
 def perplexity(logprob: Column) -> Column:
     return F.exp(-F.avg(logprob))
 

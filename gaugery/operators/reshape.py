@@ -88,7 +88,7 @@ def paper_answers(df: DataFrame, qas: str = "qas") -> DataFrame:
 
 def lettered_options(text: Column) -> Column:
     """Options of `a ) x , b ) y` in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[abcde] \) (.*?)(?: , (?=[abcde] \))|$)"), F.lit(1)), F.btrim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"[abcde] \) (.*?)(?: , (?=[abcde] \))|$)"), F.lit(1)), lambda x: F.btrim(x))
 
 
 def blank_parts(sentence: Column, options: Column) -> tuple[Column, Column]:

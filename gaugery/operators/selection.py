@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -121,12 +122,15 @@ def subset_rows(df: DataFrame, category: Column, leaves: Sequence[str]) -> DataF
 
 
 def interleave(parts: Sequence[DataFrame], order: str = "row_idx") -> DataFrame:
-    """Rows of several tables in turn: the first of each, the second of each, and so on, with `turn` and `source_pos`."""
-    numbered = [with_row_idx(p.orderBy(order), "turn").withColumn("source_pos", F.lit(i)) for i, p in enumerate(parts)]
-    out = numbered[0]
-    for p in numbered[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("turn", "source_pos")
+    """Rows of several tables in turn: the first of each, the second of each, and so on, with `turn` and `source_pos`.
+
+    All are ranked by one sort, and a table's first rank is taken off its rows' ranks.
+    """
+    marked = [p.withColumn("source_pos", F.lit(i)) for i, p in enumerate(parts)]
+    placed = with_row_idx(reduce(DataFrame.unionByName, marked).orderBy("source_pos", order), "turn")
+    first = placed.groupBy("source_pos").agg(F.min("turn").alias("__first"))  # one row per table
+    out = placed.join(F.broadcast(first), "source_pos").withColumn("turn", F.col("turn") - F.col("__first"))
+    return out.select(*parts[0].columns, "turn", "source_pos").orderBy("turn", "source_pos")
 
 
 def fewshot(df: DataFrame, group: str, example: Column, k: int, row_idx: str = "row_idx", glue: str = "\n\n") -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugery.functions import bleu, classification, ifeval, labels, longbench, math_text, mlqa, numeric, qa_text, rouge, text
+from gaugery.functions import bleu, classification, ifeval, labels, math_text, numeric, qa_text, rouge, text
 from gaugery.functions import multiple_choice as mc
-from gaugery.operators import compare, joins, metrics, reshape, selection
+from gaugery.operators import compare, joins, metrics, requests, reshape, selection
 from gaugery.plans.registry import query
 
 #: Sums of doubles differ in their last digits with the order of addition, so results of such are rounded on both sides.
@@ -19,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of four choices from embeddings: log-probability and gold; token counts 1 to 4."""
+    """Questions of four choices whose log-probabilities are the first four values of an embedding, as no model runs here,
+    with gold; token counts 1 to 4."""
     e = table(spark, sf_dir, "embeddings")
     one = lambda i: F.struct(F.lit(i).alias("choice_idx"), F.col("embedding")[i].cast("double").alias("logprob"), F.lit(1 + i).alias("token_count"))
     return e.select("vec_id", (F.col("label") % 4).alias("gold"), F.array(*map(one, range(4))).alias("choices"))
@@ -35,9 +38,8 @@ b AS (SELECT *, list_position(lp, list_max(lp)) - 1 AS raw_best, list_position(l
 @query("mc_accuracy", _MC_SQL + "SELECT count(*) AS samples, avg((raw_best = gold)::INT::DOUBLE) AS acc_ll, avg((norm_best = gold)::INT::DOUBLE) AS acc_ll_avg FROM b")
 def mc_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Choices exploded into requests, scored, gathered again, argmax, mean."""
-    samples = _scored(spark, sf_dir)
-    asked = samples.select("vec_id", "gold", F.posexplode(F.transform("choices", lambda c: F.struct(c["logprob"].alias("logprob"), c["token_count"].alias("token_count")))).alias("choice_idx", "o"))
-    scored = asked.select("vec_id", "gold", "choice_idx", "o.logprob", "o.token_count")
+    asked = reshape.explode_choices(_scored(spark, sf_dir))
+    scored = asked.select("vec_id", "gold", "choice_idx", "choice.logprob", "choice.token_count")
     got = reshape.gather_choices(scored, ["vec_id", "gold"]).select(mc.outcome(F.col("choices"), F.col("gold")).alias("x"))
     return got.agg(F.count(F.lit(1)).alias("samples"), F.avg("x.raw_acc").alias("acc_ll"), F.avg("x.norm_acc").alias("acc_ll_avg"))
 
@@ -148,19 +150,20 @@ def _qa_tokens(c: str) -> str:
     "qa_token_f1",
     f"""
 WITH {_PAIRED},
-t AS (SELECT doc_id, {_qa_tokens('prediction')} AS a, {_qa_tokens('reference')} AS b FROM p),
-u AS (SELECT doc_id, unnest(a) AS w, 1 AS l, 0 AS r FROM t UNION ALL SELECT doc_id, unnest(b), 0, 1 FROM t),
-g AS (SELECT doc_id, w, least(sum(l), sum(r)) AS n FROM u GROUP BY ALL),
-c AS (SELECT doc_id, sum(n)::DOUBLE AS common FROM g GROUP BY ALL)
+t AS MATERIALIZED (SELECT doc_id, {_qa_tokens('prediction')} AS a, {_qa_tokens('reference')} AS b FROM p),
+l AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(a) AS w FROM t) GROUP BY doc_id, w),
+r AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(b) AS w FROM t) GROUP BY doc_id, w),
+c AS (SELECT l.doc_id, sum(least(l.n, r.n))::DOUBLE AS common FROM l JOIN r ON l.doc_id = r.doc_id AND l.w = r.w GROUP BY l.doc_id)
 SELECT t.doc_id, (array_to_string(a, ' ') = array_to_string(b, ' '))::INT::DOUBLE AS em,
-       CASE WHEN len(a) = 0 OR len(b) = 0 THEN (len(a) = len(b))::INT::DOUBLE ELSE round(2 * coalesce(common, 0) / (len(a) + len(b)), 9) END AS f1
+       CASE WHEN len(a) = 0 OR len(b) = 0 THEN (len(a) = len(b))::INT::DOUBLE ELSE round(2 * coalesce(common, 0) / (len(a) + len(b)), 9) END AS f1,
+       CASE WHEN coalesce(common, 0) = 0 THEN 0.0::DOUBLE ELSE round(2 * common / (len(a) + len(b)), 9) END AS f1_shared
 FROM t LEFT JOIN c USING (doc_id)
 """,
 )
 def qa_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paired(spark, sf_dir).select("doc_id", qa_text.normalise(F.col("prediction")).alias("a"), qa_text.normalise(F.col("reference")).alias("b"))
     t = p.select("doc_id", (F.col("a") == F.col("b")).cast("double").alias("em"), text.tokens(F.col("a")).alias("a"), text.tokens(F.col("b")).alias("b"))
-    return t.select("doc_id", "em", F.round(qa_text.multiset_f1(F.col("a"), F.col("b")), DIGITS).alias("f1"))
+    return t.select("doc_id", "em", F.round(qa_text.multiset_f1(F.col("a"), F.col("b")), DIGITS).alias("f1"), F.round(qa_text.multiset_f1(F.col("a"), F.col("b"), None), DIGITS).alias("f1_shared"))
 
 
 @query("contains_rate", f"WITH {_PAIRED} SELECT count(*) AS samples, avg(contains(lower(prediction), lower(reference))::INT::DOUBLE) AS em_contains FROM p")
@@ -170,10 +173,10 @@ def contains_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "contains_fraction",
-    f"WITH {_PAIRED} SELECT doc_id, round(len(list_filter(['the', 'zzzz', left(reference, 12)], lambda o: contains(lower(prediction), lower(o)))) / 3.0::DOUBLE, 9) AS em FROM p",
+    f"WITH {_PAIRED} SELECT doc_id, round(len(list_filter(['the', 'zzzz', reference], lambda o: contains(lower(prediction), lower(o)))) / 3.0::DOUBLE, 9) AS em FROM p",
 )
 def contains_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outputs = F.array(F.lit("the"), F.lit("zzzz"), F.left(F.col("reference"), F.lit(12)))
+    outputs = F.array(F.lit("the"), F.lit("zzzz"), F.col("reference"))
     return _paired(spark, sf_dir).select("doc_id", F.round(qa_text.contains_fraction(F.col("prediction"), outputs), DIGITS).alias("em"))
 
 
@@ -214,12 +217,12 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "fewshot_topk",
     """
 WITH r AS (SELECT lang, text, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM documents)
-SELECT lang, count(*) AS shots, string_agg(left(coalesce(text, ''), 40), chr(10) || chr(10) ORDER BY doc_id) AS prefix FROM r WHERE k <= 3 GROUP BY lang
+SELECT lang, count(*) AS shots, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY doc_id) AS prefix FROM r WHERE k <= 3 GROUP BY lang
 """,
 )
 def fewshot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    shots = selection.fewshot(d, "lang", F.left(F.coalesce("text", F.lit("")), F.lit(40)), 3, row_idx="doc_id")
+    shots = selection.fewshot(d, "lang", F.coalesce("text", F.lit("")), 3, row_idx="doc_id")
     return shots.select("lang", F.size("shots").cast("bigint").alias("shots"), "prefix")
 
 
@@ -281,11 +284,12 @@ def numeric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "numeric_match",
-    "SELECT count(*) AS samples, avg((l_quantity::BIGINT % 2 = 0)::INT::DOUBLE) AS acc_num, 0::BIGINT AS invalid FROM lineitem",
+    "SELECT count(*) AS samples, avg((l_quantity::BIGINT % 2 = 0)::INT::DOUBLE) AS acc_num, count(*) FILTER (l_quantity::BIGINT % 2 = 1 AND l_quantity::BIGINT % 5 = 0) AS invalid FROM lineitem",
 )
 def numeric_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("l_quantity").cast("bigint")
-    said = F.when(q % 2 == 0, F.format_string("thinking\n#### %d.00", q)).otherwise(F.format_string("so it is %d", q + 1))
+    wrong = F.when(q % 5 == 0, F.lit("I can't tell.")).otherwise(F.concat(F.lit("so it is "), (q + 1).cast("string")))
+    said = F.when(q % 2 == 0, F.concat(F.lit("thinking\n#### "), q.cast("string"), F.lit(".00"))).otherwise(wrong)
     x = table(spark, sf_dir, "lineitem").select(numeric.numeric_answer(said).alias("a"), q.cast("string").alias("g"))
     return x.agg(F.count(F.lit(1)).alias("samples"), F.avg(numeric.numbers_equal(F.col("a"), F.col("g")).cast("double")).alias("acc_num"), metrics.invalid_count(F.col("a")).alias("invalid"))
 
@@ -358,16 +362,28 @@ def label_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", prompt_column("Question: {p_name}\n{lettered options}\nAnswer:").alias("prompt"))
 
 
-@query("order_length_desc", "SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS exec_pos FROM documents")
+@query("order_length_desc", "SELECT doc_id, row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, doc_id) - 1 AS exec_pos FROM documents")
 def order_length_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return selection.order_rows(d, "length|desc", F.col("n_chars"), row_idx="doc_id").select("doc_id", "exec_pos")
+    """By the length of the request; only ids and lengths are ranked."""
+    d = table(spark, sf_dir, "documents").select("doc_id", requests.length(prompt=F.col("text")).alias("n"))
+    return selection.order_rows(d, "length|desc", F.col("n"), row_idx="doc_id").select("doc_id", "exec_pos")
+
+
+def _shuffled(rows: int, seed: int) -> str:
+    """Rows in the order that Python's generator gives, as a list of SQL."""
+    order = list(range(rows))
+    random.Random(seed).shuffle(order)
+    return f"{order}"
 
 
-@query("order_shuffle")
+#: The SQL knows the order for tables of 200 and of 1,000 rows.
+@query(
+    "order_shuffle",
+    f"WITH n AS (SELECT count(*) AS n FROM documents), o AS (SELECT CASE n WHEN 200 THEN {_shuffled(200, 7)} WHEN 1000 THEN {_shuffled(1000, 7)} END AS o FROM n) SELECT doc_id, list_position(o, doc_id::INT) - 1 AS exec_pos FROM documents, o",
+)
 def order_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Python's seeded shuffle of the native order; it has no SQL."""
-    return selection.order_rows(table(spark, sf_dir, "benchmark").select("item_id"), "shuffle|7", row_idx="item_id").select("item_id", "exec_pos")
+    """Python's seeded shuffle of the native order."""
+    return selection.order_rows(table(spark, sf_dir, "documents").select("doc_id"), "shuffle|7", row_idx="doc_id").select("doc_id", "exec_pos")
 
 
 @query("select_rows", "SELECT item_id, pos FROM benchmark JOIN (VALUES (5, 0), (2, 1), (5, 2), (9, 3)) v(item_id, pos) USING (item_id)")
@@ -385,13 +401,14 @@ def subset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "interleave_sources",
     """
-WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS turn, CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 ELSE 2 END AS source_pos FROM documents WHERE lang IN ('de', 'en', 'fr'))
-SELECT doc_id, lang, turn, source_pos FROM r
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS turn, (dense_rank() OVER (ORDER BY source NULLS LAST) - 1)::INT AS source_pos FROM documents
 """,
 )
 def interleave_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return selection.interleave([d.filter(F.col("lang") == x) for x in ("de", "en", "fr")], order="doc_id").select("doc_id", "lang", "turn", "source_pos")
+    """All sources in turn, rows without one last; a table is named for each, so their number is small."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    named = [r["source"] for r in d.select("source").distinct().orderBy(F.col("source").asc_nulls_last()).collect()]
+    return selection.interleave([d.filter(F.col("source").eqNullSafe(F.lit(x))) for x in named], order="doc_id").select("doc_id", "source", "turn", "source_pos")
 
 
 @query("fixed_groups", "SELECT doc_id // 4 AS group_id, count(*) AS members, max(n_chars) AS longest FROM documents GROUP BY ALL")
@@ -462,13 +479,13 @@ def micro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "output_join",
-    "SELECT item_id, length(text) AS prompt_chars, 'out ' || item_id AS output FROM benchmark",
+    "SELECT doc_id, length(coalesce(text, '')) AS prompt_chars, 'out ' || doc_id AS output FROM documents",
 )
 def output_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outputs in another order than requests, by key, each exactly once."""
-    b = table(spark, sf_dir, "benchmark")
-    outputs = b.select("item_id", F.concat(F.lit("out "), F.col("item_id").cast("string")).alias("output")).repartition(3, F.col("item_id"))
-    return joins.join_outputs(b, outputs, ["item_id"]).select("item_id", F.length("text").cast("bigint").alias("prompt_chars"), "output")
+    d = table(spark, sf_dir, "documents").select("doc_id", requests.length(prompt=F.coalesce("text", F.lit(""))).cast("bigint").alias("prompt_chars"))
+    outputs = d.select("doc_id", F.concat(F.lit("out "), F.col("doc_id").cast("string")).alias("output")).orderBy(F.col("doc_id").desc())
+    return joins.join_outputs(d, outputs, ["doc_id"]).select("doc_id", "prompt_chars", "output")
 
 
 @query(
@@ -477,12 +494,16 @@ def output_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def self_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    return joins.others(s, s, "s_nationkey", ["s_name"]).groupBy("s_suppkey").agg(F.count("shot_s_name").alias("shots"))
+    return joins.count_others(s, s, "s_nationkey", ["s_name"], "shots").filter("shots > 0").select("s_suppkey", "shots")
 
 
-@query("token_stats", "SELECT min(n_chars) AS min, round(avg(n_chars), 9) AS avg, max(n_chars) AS max FROM documents")
+@query(
+    "token_stats",
+    r"SELECT min(n) AS min, round(avg(n), 9) AS avg, max(n) AS max FROM (SELECT len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\s\x1c-\x1f\x{85}\p{Z}]+'), lambda x: x <> '')) AS n FROM documents)",
+)
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "documents").agg(metrics.token_stats(F.col("n_chars")).alias("s"))
+    n = table(spark, sf_dir, "documents").select(text.token_count(F.coalesce("text", F.lit(""))).alias("n"))
+    s = n.agg(metrics.token_stats(F.col("n")).alias("s"))
     return s.select("s.min", F.round("s.avg", DIGITS).alias("avg"), "s.max")
 
 
@@ -524,22 +545,23 @@ def instruction_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("x", ifeval.followed("kind", "text", "options")).groupBy("kind").agg(F.count(F.lit(1)).alias("turns"), F.count_if("x.strict").alias("strict"), F.count_if("x.loose").alias("loose"))
 
 
-@query("math_answers", "SELECT p_partkey, 1.0::DOUBLE AS em FROM part")
+@query(
+    "math_answers",
+    """
+SELECT p_partkey, (CASE p_partkey % 5 WHEN 3 THEN false WHEN 4 THEN p_size % 2 = 0 ELSE true END)::INT::DOUBLE AS em,
+       CASE p_partkey % 5 WHEN 0 THEN '\\dfrac{' || p_size || '}{7}' WHEN 1 THEN p_size || ' \\text{ cm}' WHEN 2 THEN '\\left(' || p_size || ', 3\\right)' WHEN 3 THEN (p_size + 1)::VARCHAR ELSE '\\sqrt{' || p_size || '}' END AS answer
+FROM part
+""",
+)
 def math_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("p_size").cast("string")
-    said = F.concat(F.lit("Thus $x$ gives \\boxed{\\dfrac"), F.lit("{"), n, F.lit("}{7}}."))
-    return table(spark, sf_dir, "part").select("p_partkey", math_text.math_match(said, F.concat(F.lit("\\frac{"), n, F.lit("}{7}"))).alias("em"))
-
-
-@query("longbench_scores", "SELECT item_id, 1.0::DOUBLE AS score FROM benchmark")
-def longbench_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    none = F.lit(None).cast("array<string>")
-    return b.select("item_id", longbench.longbench_score(F.lit("qasper_e"), F.col("text"), F.array(F.lit("zz"), F.col("text")), none).alias("score"))
-
-
-@query("mlqa_scores", "SELECT item_id, 1.0::DOUBLE AS em, 1.0::DOUBLE AS f1, 1 AS place FROM benchmark")
-def mlqa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    got = mlqa.mlqa_best(F.concat(F.lit("The "), "text"), F.array(F.lit("zz"), F.col("text")), F.lit("en"))
-    return b.select("item_id", got.alias("x")).select("item_id", "x.em", "x.f1", "x.place")
+    """Fractions, units, pairs and roots in boxes and phrases; some answers are wrong."""
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    of = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    pick = lambda *cases: F.coalesce(*[F.when(kind == i, c) for i, c in enumerate(cases)])
+    other = F.when(F.col("p_size") % 2 == 0, n).otherwise(F.lit("0"))
+    said = pick(
+        of("Thus $x$ gives \\boxed{\\dfrac{", n, "}{7}}."), of("It is \\boxed{", n, " \\text{ cm}}"), of("So the final answer is $\\left(", n, ", 3\\right)$."),
+        of("\\boxed{1} no, \\boxed{", (F.col("p_size") + 1).cast("string"), "}"), of("we find \\boxed{\\sqrt{", n, "}}"),
+    )
+    gold = pick(of("\\frac{", n, "}{7}"), n, of("(", n, ",3)"), n, of("\\sqrt", "{", other, "}"))
+    return table(spark, sf_dir, "part").select("p_partkey", math_text.math_match(said, gold).alias("em"), math_text.extract_answer(said).alias("answer"))

@@ -106,6 +106,12 @@ def test_text(one):
     assert one(["python\nx = 1\n```\nmore", "Here is the code:\ny"], text.humaneval_code) == ["x = 1", "y"]
 
 
+def test_stems_of_the_second_step():
+    words = "possibly biology digitizer conformably radically differently vilely analogously vietnamization predication operator feudalism decisiveness hopefulness callousness formality sensitivity sensibility apology valency hesitancy".split()
+    # Golden values, by hand from the published rules with `bli` and `logi`.
+    assert [rouge.stem(w) for w in words] == "possibl biologi digit conform radic differ vile analog vietnam predic oper feudal decis hope callous formal sensit sensibl apolog valenc hesit".split()
+
+
 def test_rouge_and_stems():
     assert rouge.score("rouge1", "the quick brown fox jumps", "the quick fox") == pytest.approx((1.0, 0.6, 0.75))
     assert [rouge.stem(w) for w in "caresses ponies agreed plastered motoring hopping falling happy relational conditional rational electrical hopefulness revival adjustment adoption probate controll roll".split()] == (
