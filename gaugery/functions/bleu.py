@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from gaugery.functions.arrow import arrow_udf
 
+#: Fixed value: added to counts before their logarithm is taken.
 TINY = 2.2250738585072014e-308
 
 

@@ -20,6 +20,13 @@ HLE_PHRASES = (
 )
 
 
+#: What stands before a short answer, answers of yes or no, a letter in brackets, a list of names.
+ANSWER_PREFIX = r"(?iU)^\s*(?:A:|Answer:|The answer is)\s*"
+YES_NO = r"(?U)\b(True|False|Yes|No)\b"
+IN_BRACKETS = r"\(([A-Z])\)"
+FINAL_ANSWER = r"(?iU)final answer:\s*\[([^\n]*)\]"
+
+
 def _found(c: Column, pattern: str) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(1)), F.upper)
 
@@ -61,10 +68,10 @@ def label_or_text(c: Column, options: Column, phrases: tuple[str, ...] = PRO_PHR
 
 def bbh_answer(c: Column, target: Column) -> Column:
     """First line without an answer prefix, in the shape of the target where that is a yes or no or a letter in brackets."""
-    t = F.regexp_replace(F.get(lines(strip(c)), F.lit(0)), r"(?iU)^\s*(?:A:|Answer:|The answer is)\s*", "")
+    t = F.regexp_replace(F.get(lines(strip(c)), F.lit(0)), ANSWER_PREFIX, "")
     t = strip(t)
-    yes_no = F.get(F.regexp_extract_all(t, F.lit(r"(?U)\b(True|False|Yes|No)\b"), F.lit(1)), F.lit(0))
-    letter = F.get(F.regexp_extract_all(t, F.lit(r"\(([A-Z])\)"), F.lit(1)), F.lit(0))
+    yes_no = F.get(F.regexp_extract_all(t, F.lit(YES_NO), F.lit(1)), F.lit(0))
+    letter = F.get(F.regexp_extract_all(t, F.lit(IN_BRACKETS), F.lit(1)), F.lit(0))
     boxed = F.concat(F.lit("("), F.coalesce(letter, F.when(F.rlike(t, F.lit("^[A-Z]$")), t)), F.lit(")"))
     ended = F.when(t.endswith(".") & ~target.endswith("."), F.regexp_replace(t, r"(?U)\.$", "")).otherwise(t)
     ended = F.regexp_replace(ended, r"(?U)\s+$", "")
@@ -75,8 +82,7 @@ def final_nodes(c: Column, flexible: bool = False) -> Column:
     """Names in `final answer: [...]` on the last line that isn't blank, or with flexible on the last line that has it; null if none."""
     text = F.coalesce(c, F.lit(""))
     rows = F.filter(lines(text), lambda x: strip(x) != "")
-    pattern = r"(?iU)final answer:\s*\[([^\n]*)\]"
-    said = F.transform(rows, lambda x: F.get(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), F.lit(0)))
+    said = F.transform(rows, lambda x: F.get(F.regexp_extract_all(x, F.lit(FINAL_ANSWER), F.lit(1)), F.lit(0)))
     kept = F.filter(said, lambda x: x.isNotNull()) if flexible else said
     inside = F.try_element_at(kept, F.lit(-1))
     names = F.filter(F.split(inside, ",", -1), lambda x: strip(x) != "")

@@ -20,7 +20,11 @@ def gather_choices(scored: DataFrame, keys: Sequence[str], first: Sequence[str]
 
 
 def history(df: DataFrame, group: str, order: str, fields: Sequence[str], name: str = "history") -> DataFrame:
-    """Each row with the array of the rows before it in its group."""
+    """Each row with the array of the rows before it in its group.
+
+    What comes out is in proportion to the square of a group's rows, and a group is one task: for conversations of up to
+    some thousand turns.
+    """
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.collect_list(F.struct(*fields)).over(before))
 
