@@ -2,7 +2,7 @@
 
 language_id drops documents without a known language or between two; exact_dedup keeps one of equal texts; near_dedup
 keeps one document of each group linked by five-word shingles at a similarity of 0.8; mixing takes each source to its
-target weight, so a document may go or come twice; packing returns the pieces of token sequences.
+target weight, full texts first, so a document may go or come twice; packing returns the pieces of token sequences.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, weight=mixing.full_texts)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
