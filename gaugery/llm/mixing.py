@@ -3,8 +3,9 @@
 A document of a source whose target is c times its words is due c copies. The whole part of c is certain and is taken
 as such; what is left, f, is its inclusion probability in a sample drawn by Pareto order: documents are ranked by
 (u / (1-u)) / (f / (1-f)), their random odds over their inclusion odds, u being a digest of seed and id, and the lowest
-ranks are taken until the source's remaining words are reached. With a `weight` column documents of one source have
-unequal probabilities.
+ranks are taken until the source's remaining words are reached. By a weight, from a column or from its size, a document
+is due more copies than another of its source, so inclusion probabilities are unequal; one that is due a whole number of
+copies short of the most ranks after all that are due a part.
 
 The cut is found without ordering a source anywhere: ranks are dealt into 4096 cells whose words are summed by a
 partial aggregate, the cell that holds the cut is found from those sums, and is split into 4096 cells again; only the
@@ -20,11 +21,16 @@ repeat source and id share a draw, hence their fate. A source without words has
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugery.llm.common import join_groups, materialise, words
 
+#: A column's name, or a function of the size in words.
+Weight = str | Callable[[Column], Column] | None
+
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MOST_COPIES = 2
@@ -32,6 +38,8 @@ SEED = "mix-1"
 CELLS = 4096
 #: A written table of sources with no more rows than this is broadcast.
 FEW_SOURCES = 50_000
+#: Inclusion odds of a document that is due no part of a copy, as a divisor.
+LAST = 1e15
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, most: int = MOST_COPIES) -> DataFrame:
@@ -74,23 +82,30 @@ def _by_source(rows: DataFrame, sources: DataFrame, size: str, few: bool) -> Dat
     return join_groups(rows, sources, ["__g_source"], size, F.col("__g_id"))
 
 
-def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight_col: str | None) -> DataFrame:
-    return docs.withColumns(
+def full_texts(size: Column, least: int = 50, weight: float = 2.0) -> Column:
+    """A weight by size: texts of `least` words or more are due `weight` times the copies of shorter ones."""
+    return F.when(size >= least, F.lit(weight)).otherwise(F.lit(1.0))
+
+
+def _drawn(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weight: Weight) -> DataFrame:
+    drawn = docs.withColumns(
         {
             "__g_id": F.col(id_col),
             "__g_source": F.struct(F.col(source_col).isNull().alias("last"), F.col(source_col).alias("name")),
             "__g_size": F.size(words(F.col(text_col))).cast("bigint"),
             "__g_u": draw(F.col(id_col), seed),
-            "__g_weight": F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)) if weight_col else F.lit(1.0),
         }
     )
+    own = F.col(weight) if isinstance(weight, str) else weight(F.col("__g_size")) if weight else F.lit(1.0)
+    return drawn.withColumn("__g_weight", F.coalesce(own.cast("double"), F.lit(1.0)))
 
 
 def _ranked(rows: DataFrame, due: DataFrame, most: int, few: bool) -> DataFrame:
     """rows with copies due, their whole part, the rest, the rank, and its cells."""
     rows = _by_source(rows, due, "__g_source_size", few).withColumn("__g_due", F.coalesce(F.least(F.lit(float(most)), F.col("__g_rate") * F.col("__g_weight")), F.lit(0.0)))
     rows = rows.withColumn("__g_whole", F.floor("__g_due").cast("bigint")).withColumn("__g_f", F.col("__g_due") - F.col("__g_whole"))
-    odds = (F.col("__g_u") / (1 - F.col("__g_u"))) * ((1 - F.col("__g_f")) / F.when(F.col("__g_f") > 0, F.col("__g_f")))
+    part = F.when(F.col("__g_f") > 0, (1 - F.col("__g_f")) / F.col("__g_f")).otherwise(LAST)
+    odds = (F.col("__g_u") / (1 - F.col("__g_u"))) * F.when(F.col("__g_due") < most, part)
     # odds / (1 + odds) keeps the order and lies in (0, 1).
     place = F.col("__g_rank") / (1 + F.col("__g_rank")) * CELLS
     return rows.withColumn("__g_rank", odds).withColumn("__g_c1", F.floor(place).cast("int")).withColumn("__g_c2", F.floor((place - F.floor(place)) * CELLS).cast("int"))
@@ -134,16 +149,20 @@ def _cuts(ranked: DataFrame, few: bool) -> DataFrame:
     return cuts.withColumn("__g_gap", F.col("__g_need") - F.coalesce("__g_run", "__g_c2_before")).drop("__g_run", "__g_c2_before")
 
 
+def _needed(id_col: str, text_col: str, source_col: str, weight: Weight) -> list[str]:
+    return [f"`{c}`" for c in dict.fromkeys([id_col, text_col, source_col, *([weight] if isinstance(weight, str) else [])])]
+
+
 def _copies(
-    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total_share: float, most: int, seed: str, weight_col: str | None, whole: bool
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], total_share: float, most: int, seed: str, weight: Weight, whole: bool
 ) -> DataFrame:
     """With whole, docs, else a row for each of its rows, with __g_id, __g_size, __g_source, __g_source_size, __g_target and
     __g_copies. docs is read once for the sizes, and again with whole alone."""
-    needed = list(dict.fromkeys([id_col, text_col, source_col, *([weight_col] if weight_col else [])]))
-    sizes = materialise(_drawn(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, seed, weight_col).select("__g_id", "__g_source", "__g_size", "__g_u", "__g_weight"), "mix")
-    drawn = _drawn(docs, id_col, text_col, source_col, seed, weight_col) if whole else sizes
+    needed = _needed(id_col, text_col, source_col, weight)
+    sizes = materialise(_drawn(docs.select(*needed), id_col, text_col, source_col, seed, weight).select("__g_id", "__g_source", "__g_size", "__g_u", "__g_weight"), "mix")
+    drawn = _drawn(docs, id_col, text_col, source_col, seed, weight) if whole else sizes
     due = targets(sizes, weights, total_share, most).withColumnsRenamed({"source_size": "__g_source_size", "target": "__g_target"})
-    if weight_col:
+    if weight:
         due = due.join(sizes.groupBy("__g_source").agg(F.sum(F.col("__g_weight") * F.col("__g_size")).alias("__g_ws")), "__g_source")
         due = due.withColumn("__g_rate", F.col("__g_target") / F.when(F.col("__g_ws") > 0, F.col("__g_ws"))).drop("__g_ws")
     else:
@@ -171,14 +190,14 @@ def mix(
     total_share: float = TOTAL_SHARE,
     most: int = MOST_COPIES,
     seed: str = SEED,
-    weight_col: str | None = None,
+    weight: Weight = None,
 ) -> DataFrame:
     """One row per row of docs: id, source, size, source_size, target, copies, taken (words, copies counted).
 
-    weight_col: a positive column by which documents of a source are due more or fewer copies; null counts as 1.
+    weight: a positive column, or a function of the size, by which documents of a source are due more or fewer copies; null
+    counts as 1.
     """
-    needed = list(dict.fromkeys([id_col, text_col, source_col, *([weight_col] if weight_col else [])]))
-    done = _copies(docs.select(*[f"`{c}`" for c in needed]), id_col, text_col, source_col, weights, total_share, most, seed, weight_col, False)
+    done = _copies(docs.select(*_needed(id_col, text_col, source_col, weight)), id_col, text_col, source_col, weights, total_share, most, seed, weight, False)
     return done.select(
         F.col("__g_id").alias(id_col),
         F.col("__g_source.name").alias(source_col),
@@ -199,9 +218,9 @@ def mixed(
     total_share: float = TOTAL_SHARE,
     most: int = MOST_COPIES,
     seed: str = SEED,
-    weight_col: str | None = None,
+    weight: Weight = None,
 ) -> DataFrame:
     """The mixture itself: each row of docs as often as it is taken, all columns as they were; texts aren't shuffled."""
-    done = _copies(docs, id_col, text_col, source_col, weights, total_share, most, seed, weight_col, True)
+    done = _copies(docs, id_col, text_col, source_col, weights, total_share, most, seed, weight, True)
     repeated = done.filter("__g_copies > 0").withColumn("__g_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__g_copies"))))
     return repeated.select(*[f"`{c}`" for c in docs.columns])

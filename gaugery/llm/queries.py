@@ -145,7 +145,7 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weight=mixing.full_texts)
     return mixed.select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
 
 
@@ -175,7 +175,7 @@ WITH d AS (
          (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size,
+  SELECT source, sum(size)::BIGINT AS source_size, sum(size * CASE WHEN size >= 50 THEN 2 ELSE 1 END)::BIGINT::DOUBLE AS weighed,
          CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
   FROM d GROUP BY source),
 r AS (SELECT *, source_size * 2 AS cap, (source_size * 2)::DOUBLE / w AS ratio FROM s),
@@ -187,14 +187,14 @@ l AS (
   FROM r),
 f AS (SELECT min(place) AS place FROM l WHERE ratio > level),
 t AS (
-  SELECT l.source, l.source_size,
+  SELECT l.source, l.source_size, l.weighed,
          CASE WHEN l.place >= f.place THEN l.w * (SELECT level FROM l l2 WHERE l2.place = f.place) ELSE l.cap::DOUBLE END AS target
   FROM l, f),
 c AS (
-  SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0) AS due
+  SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, coalesce(least(2.0::DOUBLE, t.target / nullif(t.weighed, 0) * CASE WHEN size >= 50 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END), 0) AS due
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 k AS (SELECT *, floor(due)::BIGINT AS whole, due - floor(due) AS f FROM c),
-o AS (SELECT *, (u / (1 - u)) * ((1 - f) / nullif(f, 0)) AS odds, target - sum(whole * size) OVER (PARTITION BY source) AS need FROM k),
+o AS (SELECT *, (u / (1 - u)) * CASE WHEN due < 2 THEN CASE WHEN f > 0 THEN (1 - f) / f ELSE 1e15 END END AS odds, target - sum(whole * size) OVER (PARTITION BY source) AS need FROM k),
 q AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
   FROM o),

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from gaugery.llm import exact_dedup, mixing, queries
 from gaugery.llm.common import table
@@ -98,11 +99,28 @@ def test_columns_named_like_the_mixture_s_own_are_carried(spark):
 
 def test_weights_favour_documents(spark):
     docs = rows(spark, [(i, "w " * 10, "a") for i in range(400)]).selectExpr("*", "if(doc_id < 200, 3.0, 1.0) as favour")
-    got = mixing.mix(docs, weights=(1,), total_share=0.5, weight_col="favour").collect()
+    got = mixing.mix(docs, weights=(1,), total_share=0.5, weight="favour").collect()
     heavy, light = (sum(r["copies"] for r in got if (r["doc_id"] < 200) == k) for k in (True, False))
     assert heavy + light == 200 and 130 < heavy < 170
 
 
+def test_inclusion_is_unequal_and_targets_are_reached(spark):
+    # Texts of 10 and of 100 words: the long ones are due twice as many copies.
+    sized = [(i, "w " * (100 if i % 2 else 10), "a") for i in range(4000)]
+    half = mixing.mix(rows(spark, sized), weights=(1,), total_share=0.5, weight=mixing.full_texts).collect()
+    rate = 0.5 * (10 + 100) / (10 + 2 * 100)
+    for r in (0, 1):
+        share = sum(x["copies"] for x in half if x["doc_id"] % 2 == r) / 2000
+        assert abs(share - rate * (1 + r)) < 0.03
+    assert abs(sum(x["taken"] for x in half) - 0.5 * 220_000) <= 50
+    # Where the most copies hold back the long ones, and where whole numbers of copies are due, short ones make up for it.
+    for share in (1.0, 1.5, 2.0):
+        got = mixing.mix(rows(spark, sized), weights=(1,), total_share=share, weight=mixing.full_texts).collect()
+        assert abs(sum(x["taken"] for x in got) - share * 220_000) <= 50 and max(x["copies"] for x in got) <= 2
+    even = mixing.mix(rows(spark, [(i, "w " * (100 if i % 2 else 200), "a") for i in range(60)]), weights=(1,), total_share=1.25, weight=lambda size: F.when(size >= 200, 1.0).otherwise(0.5)).collect()
+    assert abs(sum(x["taken"] for x in even) - 1.25 * 9000) <= 100
+
+
 def test_supplied_documents_keep_one_of_each_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     assert exact_dedup.deduplicate(docs).count() == docs.selectExpr("coalesce(text, '') t").distinct().count()
