@@ -41,6 +41,8 @@ AMBIGUOUS = 0.2
 SCALE = 3.0
 SHRINK = 12
 CHUNK = 400_000
+#: Characters beyond which a text is read piece by piece.
+LONG = 2_000_000
 MOST_LANGUAGES = 200
 
 
@@ -80,9 +82,48 @@ def ngrams(texts: list[str], dimensions: int) -> Iterator[tuple[np.ndarray, np.n
         yield bins, np.searchsorted(starts_own, np.arange(len(texts)))
 
 
+def pieces(text: str, size: int) -> Iterator[str]:
+    """A text in pieces of about `size` characters, cut before a blank where there is one."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.rfind(" ", at + 1, at + size)
+        cut = cut if cut > 0 else at + size
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def long_ngrams(text: str, dimensions: int, size: int = CHUNK) -> Iterator[np.ndarray]:
+    """Hashed n-grams of one text, piece by piece and order by order, each once: two characters are carried over a cut."""
+    shift, carry = np.uint64(64 - (dimensions.bit_length() - 1)), np.zeros(0, np.uint64)
+    every = pieces(text, size)
+    piece, first = next(every), " "
+    while piece is not None:
+        following = next(every, None)
+        codes = np.frombuffer(f"{first}{piece.lower()}{' ' if following is None else ''}".encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(_letters()[codes], codes, np.uint32(32))
+        same = np.empty(len(codes), bool)
+        same[0] = len(carry) > 0 and carry[-1] == 32 and codes[0] == 32
+        same[1:] = (codes[1:] == 32) & (codes[:-1] == 32)
+        c = np.concatenate((carry, codes[~same].astype(np.uint64)))
+        x = np.zeros(len(c), np.uint64)
+        for order in (1, 2, 3):
+            # x[i] is of the window that begins at i; those that end in the carry were counted before.
+            x = x[: len(c) - order + 1]
+            x = (x + c[order - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+            x ^= x >> np.uint64(32)
+            own = x[max(0, len(carry) - order + 1) :]
+            yield ((own * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64)
+        carry, piece, first = c[-2:], following, ""
+
+
 def chunks(texts: list[str], size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about `size` characters; a text beyond LONG is a run of its own."""
     start, held = 0, 0
     for i, t in enumerate(texts):
+        if len(t) > LONG and start < i:
+            yield start, i
+            start, held = i, 0
         held += len(t)
         if held >= size:
             yield start, i + 1
@@ -124,6 +165,12 @@ class Model:
 
     def margins(self, texts: list[str]) -> np.ndarray:
         total, counts = np.zeros((len(texts), self.table.shape[1])), np.zeros(len(texts))
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            # Numbers of n-grams take the place of the n-grams, so memory doesn't grow with the text.
+            found = np.zeros(len(self.table), np.int64)
+            for bins in long_ngrams(texts[0], len(self.table)):
+                found += np.bincount(bins, minlength=len(found))
+            return SCALE * (found @ self.table.astype(np.float64))[None] / (found.sum() + SHRINK)
         for bins, first in ngrams(texts, len(self.table)):
             ends = np.append(first[1:], len(bins))
             some = ends > first
@@ -162,7 +209,8 @@ def _counter(dimensions: int):
             for lang, texts in by.items():
                 total = found.setdefault(lang, np.zeros(dimensions, np.int64))
                 for a, b in chunks(texts):
-                    for bins, _ in ngrams(texts[a:b], dimensions):
+                    long = b - a == 1 and len(texts[a]) > LONG
+                    for bins in long_ngrams(texts[a], dimensions) if long else (x for x, _ in ngrams(texts[a:b], dimensions)):
                         total += np.bincount(bins, minlength=dimensions)
         for lang, total in found.items():
             at = np.flatnonzero(total)

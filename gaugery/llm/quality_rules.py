@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from gaugery.llm.common import join_groups, materialise, words
 
 LEAST_WORDS = 100
+#: Of the mean of both distances: on the supplied tables more than 98 % of the documents that are labelled good and pass the
+#: base rules lie below it, and fewer than half of those labelled bad.
 MOST_DISTANCE = 0.235
 #: So many references are broadcast.
 LANGUAGES = 1000

@@ -37,6 +37,8 @@ from gaugery.ship import ship, tidy
 MOST_TOXIC = 2000
 MOST_CLEAN = 8000
 CHANCE = 1e-6
+#: Terms of the sample, the most frequent in toxic texts, from which a lexicon is chosen.
+MOST_TERMS = 100_000
 STEMS = (3, 4, 5, 7)
 ONE_WORD = 0.7
 POWERS = (0.25, 0.5, 0.75, 1.0)
@@ -181,8 +183,9 @@ def choose(counts: list[tuple[str, int, int]], toxic: int, clean: int, chance: f
     return kept
 
 
-def fit(labels: DataFrame, docs: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, chance: float = CHANCE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """labels: id, label (1 toxic, 0 not); docs: id, text. At most most_toxic + most_clean rows are read for the fit."""
+def fit(labels: DataFrame, docs: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, chance: float = CHANCE, exceptions: tuple[str, ...] = EXCEPTIONS, most_terms: int = MOST_TERMS) -> Model:
+    """labels: id, label (1 toxic, 0 not); docs: id, text. At most most_toxic + most_clean rows are read for the fit, and at
+    most `most_terms` of their terms, and as many possible exceptions, come to the driver."""
     ship(docs.sparkSession)
     rows = labelled_sample(labels, docs, {1: most_toxic, 0: most_clean})
     # Several parts, as the work is on words and the sample is small in bytes.
@@ -194,13 +197,14 @@ def fit(labels: DataFrame, docs: DataFrame, most_toxic: int = MOST_TOXIC, most_c
     counted = spread.mapInArrow(tidy(_counted), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # A term needs three toxic texts and a weight of 2, an exception three clean ones over a stem: only such are collected.
     odds = F.log((F.col("toxic") + 0.5) / (F.lit(toxic + 0.5) - F.col("toxic"))) - F.log((F.col("clean") + 0.5) / (F.lit(clean + 0.5) - F.col("clean")))
-    counts = counted.filter((F.col("toxic") >= 3) & (odds >= 2)).toPandas()
+    likely = counted.filter((F.col("toxic") >= 3) & (odds >= 2)).orderBy(F.col("toxic").desc(), "term").limit(most_terms)
+    counts = likely.toPandas()
     lexicon = choose(list(counts.itertuples(index=False, name=None)), toxic, clean, chance)
     stems = [x for x in lexicon if not x.endswith(" ")]
     if stems:
         of = {n: [x for x in stems if len(x) == n] for n in {len(x) for x in stems}}  # as many lengths as STEMS has
         over = reduce(or_, [F.substring("term", 1, n).isin(some) for n, some in sorted(of.items())])
-        tame = counted.filter((F.col("clean") >= 3) & F.col("term").endswith(" ") & (odds < 0.5) & over).toPandas()
+        tame = counted.filter((F.col("clean") >= 3) & F.col("term").endswith(" ") & (odds < 0.5) & over).orderBy(F.col("clean").desc(), "term").limit(most_terms).toPandas()
         lexicon |= dict.fromkeys(tame["term"], 0.0)
     for phrase in exceptions:
         if any(f" {w} " in lexicon for w in phrase.split()):

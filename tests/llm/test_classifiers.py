@@ -140,6 +140,23 @@ def test_columns_named_like_results_are_carried(spark, model):
     assert list(common.carried(["a", "score", "score_in"], ["score"]).values()) == ["a", "score_in_in", "score_in"]
 
 
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        text = "".join(r.choice(list("abÉß ΣΑ 1\n-日"), int(r.integers(0, 60)))).replace("Σ", "s")
+        want = sorted(np.concatenate([b for b, _ in language_id.ngrams([text], 1 << 12)]).tolist())
+        for size in (1, 2, 3, 7, 100):
+            assert sorted(np.concatenate(list(language_id.long_ngrams(text, 1 << 12, size))).tolist()) == want
+    texts = ["alpha beta " * 40, "zwei drei " * 300, "x", "delta " * 500]
+    table = r.normal(size=(1 << 12, 3)).astype(np.float32)
+    model = language_id.Model(["a", "b", "c"], language_id.codewords(3), table, np.ones(3))
+    whole = model.predict(texts)
+    monkeypatch.setattr(language_id, "LONG", 1000)
+    assert list(language_id.chunks(texts, 1500)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    for x, y in zip(whole, model.predict(texts), strict=True):
+        assert np.allclose(x, y)
+
+
 def test_ngrams_do_not_cross_texts():
     alone = [sorted(np.concatenate([b for b, _ in language_id.ngrams([t], 1 << 12)]).tolist()) for t in ("ab c", "dé")]
     both = [[], []]

@@ -241,6 +241,53 @@ def test_rows_that_repeat_an_id_lose_their_own_passages_alone(spark):
         assert sum(null_b[100:300] in x for x in back[4:6]) == 1
 
 
+def parts_of(text, least_words=24):
+    """(start, end, digest) of all chunks and taken shingles of a text."""
+    import numpy as np
+
+    data = text.encode()
+    ends = substring_dedup.cuts(data)
+    a = np.frombuffer(data, np.uint8)
+    starts, stops = substring_dedup.word_edges(a)
+    out = [(x, y, (0, data[x:y])) for x, y in zip([0, *ends], ends, strict=False)]
+    return out + [(int(starts[w]), int(stops[w + least_words - 1]), (1, data[starts[w] : stops[w + least_words - 1]])) for w in substring_dedup.shingles(a, starts, stops, least_words)]
+
+
+def test_passages_against_counts_by_hand(spark):
+    r = random.Random(10)
+    prose = lambda n: " ".join("".join(r.choice("abcdefghijé") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    shared = [prose(r.randrange(20, 140)) for _ in range(25)]
+    texts = [" ".join(prose(r.randrange(5, 60)) if r.random() < 0.5 else r.choice(shared) for _ in range(r.randrange(1, 9))) for _ in range(120)]
+    texts += texts[:10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.passages(docs, held=3000, cell=300).collect()
+    assert [tuple(x) for x in sorted(got)] == [tuple(x) for x in sorted(substring_dedup.passages(docs.repartition(7)).collect())]
+    where, times = defaultdict(set), Counter()
+    for i, t in enumerate(texts):
+        for _, _, digest in parts_of(t):
+            where[digest].add(i)
+            times[digest] += 1
+    out = {x["doc_id"]: x["text"].encode() for x in substring_dedup.deduplicate(docs).collect()}
+    gone = 0
+    for x in got:
+        inside = [d for a, b, d in parts_of(texts[x["doc_id"]]) if a < x["end"] and b > x["start"] and len(where[d]) > 1]
+        assert x["copies"] in {times[d] for d in inside} and 0 < x["chunks"] <= len(inside) and x["first_chunks"] <= x["chunks"] and x["words"] >= 24
+        if not x["kept"]:
+            gone += 1
+            # What goes stands elsewhere, in what is left of the corpus.
+            whole = [d for a, b, d in parts_of(texts[x["doc_id"]]) if a >= x["start"] and b <= x["end"] and d[0] == 0]
+            assert all(min(where[d]) < x["doc_id"] or len(where[d]) == 1 for d in whole if len(where[d]) > 1)
+            assert all(any(d[1] in t for t in out.values()) for d in whole)
+    assert gone > 50
+    # Every chunk of the corpus is still there.
+    assert all(any(d[1] in t for t in out.values()) for d in where if d[0] == 0 and len(where[d]) > 1)
+    # No passage of 51 words that two documents share is without a passage found over it.
+    spans = defaultdict(list)
+    for x in got:
+        spans[x["doc_id"]].append((x["start"], x["end"]))
+    assert shared_passages(list(enumerate(texts))) <= set(spans)
+
+
 def test_repeats_inside_one_document_on_demand(spark):
     r = random.Random(9)
     prose = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
