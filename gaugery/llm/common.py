@@ -11,7 +11,11 @@ from gaugery.scratch import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-FLAGS = 1 << 18
+#: Bits of a bitmap for each of its keys, and the most that are sent: 16 MB.
+KEY_BITS = 8
+MOST_BITS = 1 << 27
+#: Fixed value: bits in one row of Spark's bitmap functions.
+PAGE_BITS = 1 << 15
 CELLS = 64
 
 
@@ -47,14 +51,38 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     return joined.select(*rows.columns, *[found[n].alias(n) for n in names])
 
 
-def flagged(rows: DataFrame, column: Column, wanted: DataFrame, flags: int = FLAGS, how: str = "left_semi") -> DataFrame:
-    """Rows whose column may be among wanted's only column: at most `flags` bucket numbers are broadcast; false hits stay.
+def _bit(keys: list[Column], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(bits))
+
+
+def bitmap(groups: DataFrame, keys: list[str], most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
+    """A bitmap of the keys of groups (a written table), as a table of pages to broadcast, and its bits."""
+    bits = PAGE_BITS
+    while bits < min(most_bits, KEY_BITS * groups.count()):
+        bits *= 2
+    at = _bit([F.col(k) for k in keys], bits) + 1  # the functions count from 1
+    pages = groups.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__g_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__g_bits"))
+    return pages, bits
+
+
+def marked(rows: DataFrame, keys: list[Column], pages: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows with a boolean: whether their keys are in the bitmap, which may be said of others too."""
+    at = _bit(keys, bits)
+    spot = F.pmod(at, F.lit(PAGE_BITS)).cast("int")
+    paged = rows.withColumns({"__g_page": F.floor(at / PAGE_BITS) + 1, "__g_spot": spot}).join(F.broadcast(pages), "__g_page", "left")
+    byte = F.conv(F.hex(F.substring("__g_bits", F.floor(F.col("__g_spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return paged.withColumn(name, F.coalesce(F.getbit(byte, F.col("__g_spot") % 8) == 1, F.lit(False))).drop("__g_page", "__g_bits", "__g_spot")
+
+
+def flagged(rows: DataFrame, column: Column, wanted: DataFrame, most_bits: int = MOST_BITS, how: str = "left_semi") -> DataFrame:
+    """Rows whose column may be among the only column of wanted, a written table: a bitmap is broadcast, of eight bits a row of
+    wanted and at most `most_bits`; false hits stay, about one row in eight, and more beyond that size.
 
     how="left_anti" gives the other rows.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(flags)).cast("int")
-    few = wanted.select(bucket(F.col(wanted.columns[0])).alias("__g_flag")).distinct()
-    return rows.withColumn("__g_flag", bucket(column)).join(F.broadcast(few), "__g_flag", how).drop("__g_flag")
+    pages, bits = bitmap(wanted, wanted.columns, most_bits)
+    seen = marked(rows, [column], pages, bits, "__g_flag")
+    return seen.filter(F.col("__g_flag") if how == "left_semi" else ~F.col("__g_flag")).drop("__g_flag")
 
 
 def _drawn(rows: DataFrame, keys: list[str], most: dict | int) -> DataFrame:

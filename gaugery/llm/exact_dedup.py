@@ -20,14 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugery.llm.common import join_groups, materialise
+from gaugery.llm.common import MOST_BITS, bitmap, join_groups, marked, materialise
 
 PREFIX_CHARS = 64
-#: Bits of a bitmap for each of its keys, and the most that are sent: 16 MB.
-KEY_BITS = 8
-MOST_BITS = 1 << 27
-#: Fixed value: bits in one row of Spark's bitmap functions.
-PAGE_BITS = 1 << 15
 KEYS = ["__g_len", "__g_pfx", "__g_full"]
 
 
@@ -44,29 +39,6 @@ def _prefix(prefix_chars: int) -> Column:
     return F.xxhash64(F.substring("__g_text", 1, prefix_chars))
 
 
-def _bit(keys: list[Column], bits: int) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(bits))
-
-
-def bitmap(groups: DataFrame, keys: list[str], most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """A bitmap of the keys of groups (a written table), as a table of pages to broadcast, and its bits."""
-    bits = PAGE_BITS
-    while bits < min(most_bits, KEY_BITS * groups.count()):
-        bits *= 2
-    at = _bit([F.col(k) for k in keys], bits) + 1  # the functions count from 1
-    pages = groups.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__g_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__g_bits"))
-    return pages, bits
-
-
-def marked(rows: DataFrame, keys: list[Column], pages: DataFrame, bits: int, name: str) -> DataFrame:
-    """rows with a boolean: whether their keys are in the bitmap, which may be said of others too."""
-    at = _bit(keys, bits)
-    spot = F.pmod(at, F.lit(PAGE_BITS)).cast("int")
-    paged = rows.withColumns({"__g_page": F.floor(at / PAGE_BITS) + 1, "__g_spot": spot}).join(F.broadcast(pages), "__g_page", "left")
-    byte = F.conv(F.hex(F.substring("__g_bits", F.floor(F.col("__g_spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return paged.withColumn(name, F.coalesce(F.getbit(byte, F.col("__g_spot") % 8) == 1, F.lit(False))).drop("__g_page", "__g_bits", "__g_spot")
-
-
 def _shared(rows: DataFrame, keys: list[str], label: str, most_bits: int) -> tuple[DataFrame, int]:
     """The bitmap of the keys that two rows or more have."""
     groups = materialise(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*keys), label)

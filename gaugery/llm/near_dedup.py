@@ -189,11 +189,11 @@ def _confirmer(k: int, percent: int):
 
 
 def _with_texts(rows: DataFrame, node: str, where: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows, a written table, with the text of `node`. where: node, id and hash; texts: id, hash and text, read once more.
+    """rows with the text of `node`. where: node, id and hash; texts: id, hash and text, read once more.
 
     Rows of texts that repeat id and hash count once, where they meet for the join anyway.
     """
-    known = rows.join(where.withColumnRenamed("node", node), node)
+    known = materialise(rows.join(where.withColumnRenamed("node", node), node), "near-known")
     found = flagged(texts, F.col("hash"), known.select("hash")).groupBy("id", "hash").agg(F.first("text").alias("text"))
     return known.join(found, ["id", "hash"]).drop("id", "hash")
 

@@ -505,10 +505,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = passages(docs, id_col, text_col, **options).filter(~F.col("kept"))
     gone = gone.groupBy(F.col(id_col).alias("__g_id"), F.col("text_md5").alias("__g_md5")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__g_gone"))
     gone = materialise(gone, "chunk-gone")
-    some = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0))
-    touched = flagged(docs, some, gone.select(F.coalesce("__g_id", F.lit(0).cast("bigint"))))
+    some = F.coalesce(F.col(id_col).cast("bigint"), F.lit(0).cast("bigint"))
+    ids = gone.select(F.coalesce("__g_id", F.lit(0).cast("bigint")).alias("__g_some"))
+    touched = flagged(docs, some, ids)
     touched = touched.join(gone, F.col(id_col).cast("bigint").eqNullSafe(F.col("__g_id")) & (F.md5(F.col(text_col).cast("binary")) == F.col("__g_md5")), "left")
-    rest = flagged(docs, some, gone.select(F.coalesce("__g_id", F.lit(0).cast("bigint"))), how="left_anti")
+    rest = flagged(docs, some, ids, how="left_anti")
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
