@@ -17,9 +17,10 @@ so that no text is lost from the corpus: what goes stands earlier. Overlapping p
 
 1. Block: texts are chunked once, about `held` bytes to a block. A block's digests, each once with its number, its first
    place and whether two documents have it, and the places of its chunks are written as packed arrays, one row a block.
-2. Count: slices of the sorted digests of every block go to the bucket of their range, about `cell` digests to each.
-   A bucket finds which are repeated, how often, and in which block they occur first. A digest comes once from a block,
-   however often it stands there, so a frequent chunk is as many entries as there are blocks.
+2. Count: slices of the sorted digests of blocks go to the bucket of their range, about `cell` digests to each; blocks that
+   make up `gather` digests are sliced together, so that slices don't get thin. A bucket finds which are repeated, how
+   often, and in which block they occur first. A digest comes once from a block, however often it stands there, so a
+   frequent chunk is as many entries as there are blocks.
 3. Judge: only numbers and first marks of repeated digests go back to their block, which has all chunks of its texts and
    puts passages together. Neither texts nor single chunks are shuffled, and no text is needed a second time.
 
@@ -54,9 +55,12 @@ MOST = 160
 LEAST_WORDS = 24
 #: Passages of so many words that two documents share are found without fail.
 SURE = 51
-#: Bytes of text in a block, and digests in a bucket, about.
+#: Bytes of text in a block, digests in a bucket, and digests that are sliced at once, about.
 HELD = 8 << 20
 CELL = 400_000
+GATHER = 4_000_000
+#: Digests that a slice should have on average at least.
+SLICE = 16
 #: One 32-bit number for each byte, from a fixed seed.
 GEAR = np.random.default_rng(1976).integers(0, 1 << 32, 256, np.uint32)
 
@@ -266,48 +270,97 @@ def chunk(
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(_chunker(bits, least, most, least_words, held)), _BLOCKS)
 
 
-def _slicer(buckets: int):
-    """From (block, digests, entries), the entries of each range of digests: (bucket, block, base, size, entries)."""
+def _slicer(buckets: int, gather: int):
+    """From (block, digests, entries), the entries of each range of digests, of all blocks that make up about `gather` of them:
+    (bucket, blocks, bases, sizes, entries), where bases are the numbers in their blocks from which the sizes count."""
     edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+    types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    names = ["bucket", "first", "blocks", "bases", "sizes", "entries"]
+
+    def sliced(held: list[tuple[int, Entries]]) -> Iterator[pa.RecordBatch]:
+        blocks = np.array([block for block, _ in held], np.int64)
+        cut = np.array([[0, *np.searchsorted(e.high, edges, "left").tolist(), len(e.high)] for _, e in held], np.int64)
+        sizes = np.diff(cut, axis=1)
+        joined = Entries.join([e for _, e in held])
+        # By bucket, then by block.
+        order = np.argsort(np.concatenate([np.repeat(np.arange(buckets), n) for n in sizes]), kind="stable")
+        joined = Entries(*(x[order] for x in joined))
+        ends = np.cumsum(sizes.sum(axis=0))
+        some = np.flatnonzero(sizes.sum(axis=0))
+        for i in range(0, len(some), 1000):
+            rows = []
+            for k in some[i : i + 1000].tolist():
+                at = np.flatnonzero(sizes[:, k])
+                part = joined.part(int(ends[k] - sizes[:, k].sum()), int(ends[k]))
+                rows.append((k, int(blocks[at[0]]), planes(blocks[at]), planes(cut[at, k].astype(np.int32)), planes(sizes[at, k].astype(np.int32)), part.pack()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for block, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                e = Entries.unpack(data, size)
-                cut = [0, *np.searchsorted(e.high, edges, "left").tolist(), size]
-                rows = [(k, block, a, b - a, e.part(a, b).pack()) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
-                types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["bucket", "block", "base", "size", "entries"])
+            for block, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append((block, Entries.unpack(data, n)))
+                size += n
+                if size >= gather:
+                    yield from sliced(held)
+                    held, size = [], 0
+        if held:
+            yield from sliced(held)
 
     return run
 
 
-def _counter(inside: bool):
-    """Of slices sorted by bucket, what goes back to each block: (block, numbers, copies, firsts) of its repeated digests."""
+def _counter(inside: bool, cell: int):
+    """Of slices sorted by bucket, what goes back to each block: (block, numbers, copies, firsts) of its repeated digests.
 
-    def told(slices: list[tuple]) -> pa.RecordBatch:
-        parts = [Entries.unpack(data, size) for _, _, _, size, data in slices]
-        total, number, first = grouped(Entries.join(parts))
+    A bucket with far more than `cell` digests is unpacked and counted by ranges, one after the other.
+    """
+
+    def counted(slices: list[tuple[int, int, int]], entries: Entries) -> Iterator[tuple]:
+        total, number, first = grouped(entries)
         again = (total.n > 1 if inside else total.many)[number]
-        rows, at = [], 0
-        for (_, block, base, size, _), _part in zip(slices, parts, strict=True):
+        at = 0
+        for block, base, size in slices:
             own = np.flatnonzero(again[at : at + size])
             if len(own):
-                rows.append((block, planes((own + base).astype(np.int32)), planes(total.n[number[at + own]]), np.packbits(first[at + own]).tobytes()))
+                yield block, planes((own + base).astype(np.int32)), planes(total.n[number[at + own]]), np.packbits(first[at + own]).tobytes()
             at += size
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "copies", "firsts"])
+
+    def told(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        known = [(unplanes(blocks, np.int64).tolist(), unplanes(bases, np.int32).tolist(), unplanes(sizes, np.int32).tolist(), data) for _, _, blocks, bases, sizes, data in rows]
+        whole = sum(sum(sizes) for _, _, sizes, _ in known)
+        ranges = -(-whole // (4 * cell))
+        low = high = None
+        if ranges > 1:
+            ends = [(int(e.high.min()), int(e.high.max())) for e in (Entries.unpack(data, sum(sizes)) for _, _, sizes, data in known)]
+            low, high = min(x for x, _ in ends), max(x for _, x in ends)
+        for k in range(ranges):
+            slices, parts = [], []
+            for blocks, bases, sizes, data in known:
+                e, at = Entries.unpack(data, sum(sizes)), 0
+                for block, base, size in zip(blocks, bases, sizes, strict=True):
+                    a, b = 0, size
+                    if ranges > 1:
+                        edges = [low + -(-(high + 1 - low) * j // ranges) for j in (k, k + 1)]
+                        a, b = (size if x > high else int(np.searchsorted(e.high[at : at + size], np.uint64(x), "left")) for x in edges)
+                    if a < b:
+                        slices.append((block, base + a, b - a))
+                        parts.append(e.part(at + a, at + b))
+                    at += size
+            found = list(counted(slices, Entries.join(parts))) if parts else []
+            columns = list(zip(*found, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "copies", "firsts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: list[tuple] = []
+        rows: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if slices and row[0] != slices[0][0]:
-                    yield told(slices)
-                    slices = []
-                slices.append(row)
-        if slices:
-            yield told(slices)
+                if rows and row[0] != rows[0][0]:
+                    yield from told(rows)
+                    rows = []
+                rows.append(row)
+        if rows:
+            yield from told(rows)
 
     return run
 
@@ -482,15 +535,17 @@ def passages(
     inside: bool = False,
     held: int = HELD,
     cell: int = CELL,
+    gather: int = GATHER,
 ) -> DataFrame:
     """One row per repeated passage of a text: id, start and end (bytes), words, chunks (and shingles), copies (occurrences of
     its rarest chunk), first_chunks (how many of them occur here first), kept, and text_md5, by which rows that repeat an id
     are told apart."""
     blocks = materialise(chunk(docs, id_col, text_col, bits, least, most, least_words, held), "chunks")
     digests = blocks.agg(F.sum("digests")).first()[0] or 0
-    buckets = max(-(-digests // cell), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sliced = blocks.select("block", "digests", "entries").mapInArrow(tidy(_slicer(buckets)), "bucket int, block long, base long, size long, entries binary")
-    told = sliced.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidy(_counter(inside)), "block long, numbers binary, copies binary, firsts binary")
+    # A slice should have a good many digests, so beyond some terabytes of text buckets grow, and are counted by ranges.
+    buckets = max(min(-(-digests // cell), gather // SLICE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sliced = blocks.select("block", "digests", "entries").mapInArrow(tidy(_slicer(buckets, gather)), "bucket int, first long, blocks binary, bases binary, sizes binary, entries binary")
+    told = sliced.repartition("bucket").sortWithinPartitions("bucket", "first").mapInArrow(tidy(_counter(inside, cell)), "block long, numbers binary, copies binary, firsts binary")
     own = blocks.select("block", "ids", "rows", "sizes", "digests", "spans")
     rows = own.unionByName(told, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", F.col("sizes").isNull())
     out = rows.mapInArrow(tidy(_joiner(least_words)), "id long, start long, end long, words long, chunks long, copies long, first_chunks long, kept boolean, text_md5 string")

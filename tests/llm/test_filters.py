@@ -211,8 +211,8 @@ def test_passages_on_supplied_documents(spark):
 def test_passages_with_nulls_repeats_and_long_runs(spark):
     text = " ".join(f"w{i}q" for i in range(2000))
     docs = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
-    for held, cell in ((substring_dedup.HELD, substring_dedup.CELL), (1, 50)):
-        rows = substring_dedup.passages(docs, held=held, cell=cell).collect()
+    for held, cell, gather in ((substring_dedup.HELD, substring_dedup.CELL, substring_dedup.GATHER), (1, 50, 100), (1, 5, 16)):
+        rows = substring_dedup.passages(docs, held=held, cell=cell, gather=gather).collect()
         got = {x["doc_id"]: x for x in rows}
         assert len(rows) == 4 and set(got) == {1, 2, None} and got[2]["start"] == 0 and got[2]["end"] == len(text) and got[2]["words"] >= 2000
         assert got[1]["kept"] and not got[2]["kept"] and not got[None]["kept"] and all(x["copies"] == 4 for x in rows)
@@ -260,7 +260,7 @@ def test_passages_against_counts_by_hand(spark):
     texts = [" ".join(prose(r.randrange(5, 60)) if r.random() < 0.5 else r.choice(shared) for _ in range(r.randrange(1, 9))) for _ in range(120)]
     texts += texts[:10]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = substring_dedup.passages(docs, held=3000, cell=300).collect()
+    got = substring_dedup.passages(docs, held=3000, cell=30, gather=1000).collect()
     assert [tuple(x) for x in sorted(got)] == [tuple(x) for x in sorted(substring_dedup.passages(docs.repartition(7)).collect())]
     where, times = defaultdict(set), Counter()
     for i, t in enumerate(texts):
