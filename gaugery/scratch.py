@@ -64,3 +64,17 @@ def scope(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         release(spark, since)
+
+
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of the given bytes, which the driver holds, in a scratch folder of its own; gives the folder's path."""
+    folder = f"{scratch_root(spark)}/gaugery-file-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release, spark)
+    _written.append(folder)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(data))
+    out.close()
+    return folder

@@ -1,6 +1,6 @@
 import pytest
 
-from gaugery.plans import more_queries as _  # noqa: F401
+from gaugery.plans import file_queries as _  # noqa: F401
 from gaugery.plans import registry
 
 SQL = registry.oracle_sql()
