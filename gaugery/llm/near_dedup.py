@@ -212,10 +212,11 @@ def confirm(pairs: DataFrame, where: DataFrame, texts: DataFrame, k: int, percen
     return rows.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.col("node").asc_nulls_first()).mapInArrow(tidy(_confirmer(k, percent)), "node long, pivot long")
 
 
-#: What rows of a run begin with: bucket, size class, kind, blocks; which side of two, whether of the class below, node, component.
-RUN = "key long, g int, kind int, x int, y int, side int, guest boolean, node long, comp long"
+#: What rows of a run begin with: bucket, size class, kind, blocks; which side of two, whether of the class below, size of the
+#: set, node, component.
+RUN = "key long, g int, kind int, x int, y int, side int, guest boolean, size long, node long, comp long"
 _RUN_NAMES = [x.split()[0] for x in RUN.split(", ")]
-_RUN_TYPES = (pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.int64(), pa.int64())
+_RUN_TYPES = (pa.int64(), *[pa.int32()] * 5, pa.bool_(), *[pa.int64()] * 3)
 CROSS, REST = 0, 1
 
 
@@ -233,11 +234,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield rows
 
 
-def _apart(rows: list[tuple]) -> np.ndarray:
-    """Which pairs of a run are to be compared: of different components, not both from the class below, as those meet there,
-    and of different sides if the run has two."""
-    side, guest, comps = (np.array([r[j] for r in rows]) for j in (5, 6, 8))
-    apart = (comps[:, None] != comps) & ~(guest[:, None] & guest)
+def _apart(rows: list[tuple], percent: int) -> np.ndarray:
+    """Which pairs of a run are to be compared: of different components, of sizes that allow the threshold, not both from the
+    class below, as those meet there, and of different sides if the run has two."""
+    side, guest, size, comps = (np.array([r[j] for r in rows]) for j in (5, 6, 7, 9))
+    apart = (comps[:, None] != comps) & ~(guest[:, None] & guest) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
     _, _, kind, x, y, *_ = rows[0]
     return apart & (side[:, None] != side) if kind == CROSS or x != y else apart
 
@@ -248,7 +249,7 @@ def _hopeful(n: int, percent: int, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = fewest_matches(n, BATCH, percent, miss)
         for rows in _runs(batches):
-            sigs, apart = np.frombuffer(b"".join(r[9] for r in rows), np.uint32).reshape(-1, n), _apart(rows)
+            sigs, apart = np.frombuffer(b"".join(r[10] for r in rows), np.uint32).reshape(-1, n), _apart(rows, percent)
             hope = np.zeros(len(rows), bool)
             for i in range(len(rows)):
                 other = np.flatnonzero(apart[i, i + 1 :]) + i + 1
@@ -257,7 +258,7 @@ def _hopeful(n: int, percent: int, miss: float):
                     hope[other[alive]] = True
                     hope[i] |= len(alive) > 0
             if hope.any():
-                columns = zip(*[r[:9] for r, h in zip(rows, hope, strict=True) if h], strict=True)
+                columns = zip(*[r[:10] for r, h in zip(rows, hope, strict=True) if h], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RUN_TYPES, strict=True)], names=_RUN_NAMES)
 
     return run
@@ -286,16 +287,16 @@ def _finisher(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches):
-            words_of = [word_list(r[9]) for r in rows]
+            words_of = [word_list(r[10]) for r in rows]
             sets = [shingle_hashes(w, k) for w in words_of]
             size, both = np.array([len(x) for x in sets], np.float64), shared(sets)
-            close = (100 * both >= percent * (size[:, None] + size - both)) & _apart(rows)
-            label, links = np.array([r[8] for r in rows]), []
+            close = (100 * both >= percent * (size[:, None] + size - both)) & _apart(rows, percent)
+            label, links = np.array([r[9] for r in rows]), []
             while close.any():
                 i, j = divmod(int(close.argmax()), len(rows))
-                x, y = shingle_set(rows[i][9], k), shingle_set(rows[j][9], k)
+                x, y = shingle_set(rows[i][10], k), shingle_set(rows[j][10], k)
                 if 100 * len(x & y) >= percent * len(x | y):
-                    links.append((rows[i][7], rows[j][7]))
+                    links.append((rows[i][8], rows[j][8]))
                     label[label == label[j]] = label[i]
                     close &= label[:, None] != label
                 else:
@@ -311,25 +312,28 @@ def _labelled(rows: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def _parted(crowd: DataFrame, comps: DataFrame, percent: int, block: int) -> DataFrame:
-    """The members (node, key, comp) of buckets with two components or more, by part of the bucket and block.
+    """The members (node, size, key, comp) of buckets with two components or more, by part of the bucket and block.
 
     g, guest: size class of the part, and whether the member is of the class below; lead: of the part's largest component;
     own: the member's block, of `bigs` blocks of that component or `rests` blocks of all others.
     """
     placed = _labelled(crowd, comps)
     several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("open_n")).filter("lo != hi").select("key", "open_n")
-    opened = join_groups(placed.select("node", "g", "key", "comp"), several, ["key"], "open_n", F.col("node")).filter("open_n is not null")
+    opened = join_groups(placed.select("node", "size", "key", "comp"), several, ["key"], "open_n", F.col("node")).filter("open_n is not null")
+    # Sizes of two sets that reach the threshold are of one class or of neighbours.
+    g = F.floor(F.log(F.col("size").cast("double")) / log(100 / percent * (1 + 1e-9))).cast("int") if percent < 100 else F.lit(0)
+    opened = opened.withColumn("g", g)
     classes = F.explode(F.array(F.struct("g", F.lit(False).alias("guest")), F.struct((F.col("g") + 1).alias("g"), F.lit(True).alias("guest"))))
-    parts = materialise(opened.select("node", "key", "comp", classes.alias("c")).select("node", "key", "comp", "c.g", "c.guest"), "near-parts")
+    parts = materialise(opened.select("node", "size", "key", "comp", classes.alias("c")).select("node", "size", "key", "comp", "c.g", "c.guest"), "near-parts")
     by = parts.groupBy("key", "g", "comp").agg(F.count(F.lit(1)).alias("m"), F.min("guest").alias("guests"))
     tops = by.groupBy("key", "g").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("part_n"), F.count(F.lit(1)).alias("n_comps"), F.min("guests").alias("guests"))
     tops = tops.filter("n_comps > 1 and not guests").select("key", "g", F.col("top.comp").alias("big"), F.col("top.m").alias("big_n"), "part_n", "n_comps")
     dealt = join_groups(parts, tops, ["key", "g"], "part_n", F.col("node")).filter("big is not null")
-    size = F.greatest(F.lit(1.0), F.least(F.lit(float(block)), F.lit(float(BLOCK_SHINGLES)) / F.pow(F.lit(100 / percent), "g")))
-    count = lambda n: F.ceil(n / size).cast("int")
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(block)), F.lit(float(BLOCK_SHINGLES)) / F.pow(F.lit(100 / percent), "g")))
+    count = lambda n: F.ceil(n / most).cast("int")
     dealt = dealt.withColumns({"lead": F.col("comp") == F.col("big"), "bigs": count(F.col("big_n")), "rests": count(F.col("part_n") - F.col("big_n"))})
     own = F.pmod(F.xxhash64("node", F.lit(11)), F.when(F.col("lead"), F.col("bigs")).otherwise(F.col("rests"))).cast("int")
-    return dealt.select("node", "key", "g", "guest", "comp", "lead", "bigs", "rests", "n_comps", own.alias("own"))
+    return dealt.select("node", "size", "key", "g", "guest", "comp", "lead", "bigs", "rests", "n_comps", own.alias("own"))
 
 
 def _sent(parted: DataFrame) -> DataFrame:
@@ -341,7 +345,7 @@ def _sent(parted: DataFrame) -> DataFrame:
     among = F.transform(upto(F.col("rests")), lambda j: one(REST, F.least(own, j), F.greatest(own, j), F.when(own == j, 0).when(own < j, 1).otherwise(2)))
     # The rest meet one another only if they are of two components or more.
     runs = F.when(F.col("lead") | (F.col("n_comps") == 2), across).otherwise(F.concat(across, among))
-    return parted.withColumn("r", F.explode(runs)).select("key", "g", "r.kind", "r.x", "r.y", "r.side", "guest", "node", "comp")
+    return parted.withColumn("r", F.explode(runs)).select("key", "g", "r.kind", "r.x", "r.y", "r.side", "guest", "size", "node", "comp")
 
 
 def link(
@@ -358,12 +362,10 @@ def link(
     member = join_groups(full.select("id", "row", "sequence"), classes.filter("n > 1"), ["sequence"], "n", F.col("row"))
     member = materialise(member.select("id", "row", F.coalesce("node", "row").alias("node")), "near-class")
     where = full.select(F.col("row").alias("node"), "id", "hash")
-    # The size class: sizes of two sets that reach the threshold are of one class or of neighbours.
-    g = F.floor(F.log(F.col("n_shingles").cast("double")) / log(100 / percent * (1 + 1e-9))).cast("int") if percent < 100 else F.lit(0)
-    alone = full.select("row", g.alias("g"), "keys").join(member.filter("row = node").select("row"), "row", "left_semi")
-    keyed = alone.select(F.col("row").alias("node"), "g", F.explode("keys").alias("key"))
+    alone = full.select("row", F.col("n_shingles").alias("size"), "keys").join(member.filter("row = node").select("row"), "row", "left_semi")
+    keyed = alone.select(F.col("row").alias("node"), "size", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    crowd = materialise(join_groups(keyed, buckets, ["key"], "n", F.col("node")).filter("n is not null").select("node", "g", "key", "n"), "near-crowd")
+    crowd = materialise(join_groups(keyed, buckets, ["key"], "n", F.col("node")).filter("n is not null").select("node", "size", "key", "n"), "near-crowd")
     weights = crowd.groupBy("node").agg(F.sum("n").alias("w"))
     weighed = crowd.join(weights, "node")
     pivots = weighed.groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("least"))).alias("top"), F.max("n").alias("n")).select("key", (-F.col("top.least")).alias("pivot"), "n")

@@ -62,7 +62,7 @@ def test_open_buckets_are_finished_in_blocks(spark):
 
 def test_one_outlier_in_a_large_bucket_costs_linear_rows(spark):
     n = 100_000
-    crowd = spark.range(n + 1).select(F.col("id").alias("node"), F.lit(20).alias("g"), F.lit(5).cast("long").alias("key"), F.lit(n + 1).cast("long").alias("n"))
+    crowd = spark.range(n + 1).select(F.col("id").alias("node"), F.lit(88).cast("long").alias("size"), F.lit(5).cast("long").alias("key"), F.lit(n + 1).cast("long").alias("n"))
     comps = spark.range(n).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("component"))
     sent = nd._sent(nd._parted(crowd, comps, 80, nd.BLOCK)).groupBy("g", "kind", "x", "y").agg(F.sum("side").alias("others"), F.count(F.lit(1)).alias("rows")).collect()
     assert sum(x["rows"] for x in sent) < 1.02 * n and max(x["rows"] for x in sent) < 2 * nd.BLOCK
