@@ -11,11 +11,10 @@ from gaugery.scratch import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-#: Bits of a bitmap for each of its keys, and the most that are sent: 16 MB.
+#: Bits of a bitmap for each of its keys, the fewest, and the most that are sent: 262,144 rows of 64 bits.
 KEY_BITS = 8
-MOST_BITS = 1 << 27
-#: Fixed value: bits in one row of Spark's bitmap functions.
-PAGE_BITS = 1 << 15
+LEAST_BITS = 1 << 15
+MOST_BITS = 1 << 24
 CELLS = 64
 
 
@@ -56,22 +55,20 @@ def _bit(keys: list[Column], bits: int) -> Column:
 
 
 def bitmap(groups: DataFrame, keys: list[str], most_bits: int = MOST_BITS) -> tuple[DataFrame, int]:
-    """A bitmap of the keys of groups (a written table), as a table of pages to broadcast, and its bits."""
-    bits = PAGE_BITS
+    """A bitmap of the keys of groups (a written table), as a table of words of 64 bits to broadcast, and its bits."""
+    bits = LEAST_BITS
     while bits < min(most_bits, KEY_BITS * groups.count()):
         bits *= 2
-    at = _bit([F.col(k) for k in keys], bits) + 1  # the functions count from 1
-    pages = groups.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("__g_page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("__g_bits"))
-    return pages, bits
+    at = groups.select(_bit([F.col(k) for k in keys], bits).alias("at"))
+    words_of = at.groupBy(F.shiftright("at", 6).alias("__g_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 AS int))")).alias("__g_bits"))
+    return words_of, bits
 
 
-def marked(rows: DataFrame, keys: list[Column], pages: DataFrame, bits: int, name: str) -> DataFrame:
+def marked(rows: DataFrame, keys: list[Column], words_of: DataFrame, bits: int, name: str) -> DataFrame:
     """rows with a boolean: whether their keys are in the bitmap, which may be said of others too."""
     at = _bit(keys, bits)
-    spot = F.pmod(at, F.lit(PAGE_BITS)).cast("int")
-    paged = rows.withColumns({"__g_page": F.floor(at / PAGE_BITS) + 1, "__g_spot": spot}).join(F.broadcast(pages), "__g_page", "left")
-    byte = F.conv(F.hex(F.substring("__g_bits", F.floor(F.col("__g_spot") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return paged.withColumn(name, F.coalesce(F.getbit(byte, F.col("__g_spot") % 8) == 1, F.lit(False))).drop("__g_page", "__g_bits", "__g_spot")
+    placed = rows.withColumns({"__g_word": F.shiftright(at, 6), "__g_spot": (at % 64).cast("int")}).join(F.broadcast(words_of), "__g_word", "left")
+    return placed.withColumn(name, F.coalesce(F.getbit("__g_bits", "__g_spot") == 1, F.lit(False))).drop("__g_word", "__g_bits", "__g_spot")
 
 
 def flagged(rows: DataFrame, column: Column, wanted: DataFrame, most_bits: int = MOST_BITS, how: str = "left_semi") -> DataFrame:

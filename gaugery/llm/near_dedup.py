@@ -238,7 +238,8 @@ def _apart(rows: list[tuple], percent: int) -> np.ndarray:
     """Which pairs of a run are to be compared: of different components, of sizes that allow the threshold, not both from the
     class below, as those meet there, and of different sides if the run has two."""
     side, guest, size, comps = (np.array([r[j] for r in rows]) for j in (5, 6, 7, 9))
-    apart = (comps[:, None] != comps) & ~(guest[:, None] & guest) & (100 * np.minimum(size[:, None], size) >= percent * np.maximum(size[:, None], size))
+    allowed = (percent * size)[:, None] <= 100 * size
+    apart = (comps[:, None] != comps) & ~(guest[:, None] & guest) & allowed & allowed.T
     _, _, kind, x, y, *_ = rows[0]
     return apart & (side[:, None] != side) if kind == CROSS or x != y else apart
 
