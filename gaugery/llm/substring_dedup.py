@@ -56,9 +56,9 @@ LEAST_WORDS = 24
 #: Passages of so many words that two documents share are found without fail.
 SURE = 51
 #: Bytes of text in a block, digests in a bucket, and digests that are sliced at once, about.
-HELD = 8 << 20
+HELD = 4 << 20
 CELL = 400_000
-GATHER = 4_000_000
+GATHER = 2_000_000
 #: Digests that a slice should have on average at least.
 SLICE = 16
 #: One 32-bit number for each byte, from a fixed seed.
@@ -542,7 +542,8 @@ def passages(
     are told apart."""
     blocks = materialise(chunk(docs, id_col, text_col, bits, least, most, least_words, held), "chunks")
     digests = blocks.agg(F.sum("digests")).first()[0] or 0
-    # A slice should have a good many digests, so beyond some terabytes of text buckets grow, and are counted by ranges.
+    # A slice should have a good many digests, so beyond a terabyte of text buckets grow, and are counted by ranges; a greater
+    # `gather` takes more memory and keeps them small.
     buckets = max(min(-(-digests // cell), gather // SLICE), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sliced = blocks.select("block", "digests", "entries").mapInArrow(tidy(_slicer(buckets, gather)), "bucket int, first long, blocks binary, bases binary, sizes binary, entries binary")
     told = sliced.repartition("bucket").sortWithinPartitions("bucket", "first").mapInArrow(tidy(_counter(inside, cell)), "block long, numbers binary, copies binary, firsts binary")
