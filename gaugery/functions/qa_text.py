@@ -31,23 +31,36 @@ def counts(a: Column) -> Column:
     return let(F.sort_array(a), runs)
 
 
+#: Shared elements up to which each is counted by itself; more are counted by sorting.
+FEW = 64
+
+
 def common_count(left: Column, right: Column) -> Column:
-    """Size of the intersection of two arrays as multisets: of neighbours with one element in the sorted counts of both, the
-    first has the lesser number."""
-    both = F.sort_array(F.concat(counts(left), counts(right)))
+    """Size of the intersection of two arrays as multisets.
+
+    A few shared elements are counted one by one, by what taking them out leaves. Of many the counts of both sides are
+    sorted together: of neighbours with one element the first has the lesser number.
+    """
+    times = lambda a, t: F.size(a) - F.size(F.array_remove(a, t))
+    one_by_one = lambda few: F.aggregate(few, F.lit(0), lambda s, t: s + F.least(times(left, t), times(right, t)))
     shared = lambda z: F.transform(z, lambda x, k: F.when(x["t"] == F.get(z, k + 1)["t"], x["n"]).otherwise(0))
-    return let(both, lambda z: F.aggregate(shared(z), F.lit(0), lambda s, x: s + x))
+    by_sorting = let(F.sort_array(F.concat(counts(left), counts(right))), lambda z: F.aggregate(shared(z), F.lit(0), lambda s, x: s + x))
+    return let(F.array_intersect(left, right), lambda few: F.when(F.size(few) <= FEW, one_by_one(few)).otherwise(by_sorting))
+
+
+def f1_of(common: Column, left: Column, right: Column, both_empty: float | None = 1.0) -> Column:
+    """F1 of the sizes of two sides and of what they share. With both_empty None, nothing shared scores 0; else equality of the
+    sizes decides where a side is empty."""
+    f1 = F.when(common == 0, 0.0).otherwise(2.0 * common / (left + right))
+    if both_empty is None:
+        return f1
+    return F.when((left == 0) | (right == 0), (left == right).cast("double") * both_empty).otherwise(f1)
 
 
 def multiset_f1(left: Column, right: Column, both_empty: float | None = 1.0) -> Column:
     """F1 of token arrays. With both_empty None, empty sides score 0; else equality decides where a side is empty."""
 
-    def score(p: Column, r: Column) -> Column:
-        f1 = let(common_count(p, r), lambda n: F.when(n == 0, 0.0).otherwise(2.0 * n / (F.size(p) + F.size(r))))
-        if both_empty is None:
-            return f1
-        return F.when((F.size(p) == 0) | (F.size(r) == 0), (F.size(p) == F.size(r)).cast("double") * both_empty).otherwise(f1)
-
+    score = lambda p, r: let(common_count(p, r), lambda n: f1_of(n, F.size(p), F.size(r), both_empty))
     return let(left, lambda p: let(right, lambda r: score(p, r)))
 
 

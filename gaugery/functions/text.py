@@ -46,7 +46,7 @@ def filled_lines(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """What stands between blanks."""
-    return F.filter(F.split(c, f"(?U){_BLANK}+"), lambda x: x != "")
+    return F.array_remove(F.split(c, f"(?U){_BLANK}+"), "")
 
 
 def collapse(c: Column) -> Column:

@@ -163,7 +163,9 @@ FROM t LEFT JOIN c USING (doc_id)
 def qa_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paired(spark, sf_dir).select("doc_id", qa_text.normalise(F.col("prediction")).alias("a"), qa_text.normalise(F.col("reference")).alias("b"))
     t = p.select("doc_id", (F.col("a") == F.col("b")).cast("double").alias("em"), text.tokens(F.col("a")).alias("a"), text.tokens(F.col("b")).alias("b"))
-    return t.select("doc_id", "em", F.round(qa_text.multiset_f1(F.col("a"), F.col("b")), DIGITS).alias("f1"), F.round(qa_text.multiset_f1(F.col("a"), F.col("b"), None), DIGITS).alias("f1_shared"))
+    n = t.select("doc_id", "em", F.size("a").alias("na"), F.size("b").alias("nb"), qa_text.common_count(F.col("a"), F.col("b")).alias("n"))
+    f1 = lambda empty: F.round(qa_text.f1_of(F.col("n"), F.col("na"), F.col("nb"), empty), DIGITS)
+    return n.select("doc_id", "em", f1(1.0).alias("f1"), f1(None).alias("f1_shared"))
 
 
 @query("contains_rate", f"WITH {_PAIRED} SELECT count(*) AS samples, avg(contains(lower(prediction), lower(reference))::INT::DOUBLE) AS em_contains FROM p")

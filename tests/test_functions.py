@@ -106,6 +106,18 @@ def test_text(one):
     assert one(["python\nx = 1\n```\nmore", "Here is the code:\ny"], text.humaneval_code) == ["x = 1", "y"]
 
 
+def test_multisets_by_either_way(spark, monkeypatch):
+    from collections import Counter
+
+    r = random.Random(3)
+    rows = [([r.choice("abcdefgh") * r.randrange(1, 4) for _ in range(r.randrange(30))], [r.choice("abcdxyz") * r.randrange(1, 4) for _ in range(r.randrange(30))]) for _ in range(60)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    want = [(Counter(a) & Counter(b)).total() for a, b in rows]
+    for few in (64, 3, -1):
+        monkeypatch.setattr(qa_text, "FEW", few)
+        assert [x[0] for x in df.select(qa_text.common_count(F.col("a"), F.col("b"))).collect()] == want
+
+
 def test_stems_of_the_second_step():
     words = "possibly biology digitizer conformably radically differently vilely analogously vietnamization predication operator feudalism decisiveness hopefulness callousness formality sensitivity sensibility apology valency hesitancy".split()
     # Golden values, by hand from the published rules with `bli` and `logi`.
