@@ -39,14 +39,17 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it again: cuts lineage, survives lost executors, scanned as often as needed."""
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write df to the shared scratch folder and read it again: cuts lineage, survives lost executors, scanned as often as needed.
+
+    options: of the Parquet writer, by names with underscores for dots.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/gaugery-{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(release, spark)
     _written.append(path)
-    df.write.parquet(path)
+    df.write.options(**{k.replace("_", "."): v for k, v in options.items()}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
