@@ -540,7 +540,9 @@ def passages(
     """One row per repeated passage of a text: id, start and end (bytes), words, chunks (and shingles), copies (occurrences of
     its rarest chunk), first_chunks (how many of them occur here first), kept, and text_md5, by which rows that repeat an id
     are told apart."""
-    blocks = materialise(chunk(docs, id_col, text_col, bits, least, most, least_words, held), "chunks")
+    # Rows of megabytes, whose values don't repeat: small row groups without dictionaries keep writers small.
+    chunked = chunk(docs, id_col, text_col, bits, least, most, least_words, held)
+    blocks = materialise(chunked, "chunks", parquet_block_size=str(16 << 20), parquet_enable_dictionary="false")
     digests = blocks.agg(F.sum("digests")).first()[0] or 0
     # A slice should have a good many digests, so beyond a terabyte of text buckets grow, and are counted by ranges; a greater
     # `gather` takes more memory and keeps them small.
