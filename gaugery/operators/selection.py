@@ -79,10 +79,9 @@ def order_rows(df: DataFrame, order: str | None, length: Column | None = None, r
             raise ValueError(f"a shuffle of {rows} rows; the order hash|{how} is for more than {MOST_DRAWN}")
         places = list(range(rows))
         random.Random(how).shuffle(places)
-        native = df.select(row_idx).orderBy(row_idx)
-        ranked = with_row_idx(native, "__rank")
+        ranked = with_row_idx(df.orderBy(F.col(row_idx).asc_nulls_last()), "__rank")  # rows, as ids may repeat or be null
         shuffled = df.sparkSession.createDataFrame(pa.table({"__rank": pa.array(places, pa.int64()), "exec_pos": pa.array(range(rows), pa.int64())}))
-        return df.join(ranked.join(shuffled, "__rank").drop("__rank"), row_idx)
+        return ranked.join(shuffled, "__rank").drop("__rank")
     keys = [F.col(row_idx)] if kind == "native" else [F.col("__len").desc() if how == "desc" else F.col("__len").asc(), F.col(row_idx)]
     sized = df if kind == "native" else df.withColumn("__len", F.xxhash64(F.lit(how), F.col(row_idx)) if kind == "hash" else length)
     return with_row_idx(sized.orderBy(*keys), "exec_pos").drop("__len")

@@ -228,6 +228,16 @@ def test_generated_answers(spark):
     assert got["prompt_level_strict_acc"] == 0 and got["inst_level_strict_acc"] == 0.5
 
 
+@pytest.mark.parametrize("ids", [[*range(22), 5], [*range(22), None], [0, *range(20), None, None]])
+def test_shuffle_keeps_each_row_whatever_its_id(spark, ids):
+    """Rows without an id are last in the native order."""
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3)
+    want = sorted(ids, key=lambda i: (i is None, i))
+    random.Random(7).shuffle(want)
+    got = selection.order_rows(df, "shuffle|7", row_idx="doc_id").collect()
+    assert sorted((r["exec_pos"], r["doc_id"]) for r in got) == list(enumerate(want))
+
+
 def test_orders_and_selection(spark):
     df = spark.createDataFrame([(i, i * 7 % 5) for i in range(23)], "row_idx long, n int").repartition(3)
     places = lambda order: [r["row_idx"] for r in selection.order_rows(df, order, F.col("n")).orderBy("exec_pos").collect()]
